@@ -9,16 +9,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from . import bpe, token_count, token_file
+from . import bpe, ctw, decontam, ngram_join, quality_bayes, rules, token_count, token_file
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_bayes.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "quality_.*")
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{C.shared_dir(spark)}/driftline/token-file-{uuid.uuid4().hex}"
     token_file.write_token_file(C.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), path)
@@ -26,13 +35,28 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.digest_token_file(spark, path)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(C.table(spark, sf_dir, "documents"))
+
+
+def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(C.table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(C.table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(C.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+_QUERIES = (op1_decontaminate, op2_bpe, op3_quality, op4_token_file, op5_jaccard_join, op6_ctw, op8_quality_rules, op9_token_counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_token_file": op4_token_file, "op9_token_counts": op9_token_counts}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": rules.oracle()}

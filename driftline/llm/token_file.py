@@ -19,6 +19,7 @@ and their (id - minimum) in full (uint32). The width covers ``percentile`` of th
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
-from ._vocab import spelled, units
+from ._vocab import PIECES, byte_letters, spelled, units
 
-BLOCK = 1024
+BLOCK = 4096
 SEGMENT_IDS = 1 << 19
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 650_000
 LEAST = -(1 << 63)
 FORMAT = (
     "shard long, seg long, before long, n_tokens long, doc_ids binary, doc_null binary, doc_sizes binary, "
@@ -48,7 +49,8 @@ def pack_blocks(ids: np.ndarray, percentile: float) -> tuple[bytes, np.ndarray]:
         block = ids[k : k + BLOCK].astype(np.uint32)
         low = block.min()
         rest = block - low
-        width = int(np.percentile(rest, percentile, method="higher")).bit_length()
+        nth = min(len(rest) - 1, int(len(rest) * percentile / 100))
+        width = int(np.partition(rest, nth)[nth]).bit_length()
         places = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
         bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
         head = np.array([(low, width, len(block) - 1, len(places))], dtype=HEAD)
@@ -73,35 +75,40 @@ def unpack_block(body: bytes, start: int) -> np.ndarray:
     return rest + np.uint32(low)
 
 
-class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, which sees each unit between white space once per cache."""
+class LibraryEncoder(dict):
+    """Ids of whole texts from the tokenizers library; maps a unit between white space to its packed ids.
+
+    Units are cut as the library's pre-tokenizer cuts them and go to the library's BPE model once per cache. Texts
+    with special strings, or with runs of white space, go to the library as they are.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.tokenize = self.lib.model.tokenize
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def __missing__(self, unit: str) -> bytes:
+        text = spelled(unit)
+        pieces = [text] if unit.isalpha() else PIECES.findall(text)
+        ids = [t.id for p in pieces for t in self.tokenize("".join(map(self.letters.__getitem__, p.encode("utf-8"))))]
+        out = self[unit] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.cache.clear()
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        get = self.__getitem__
         cuts = [None if any(s in t for s in self.special) else units(t) for t in texts]
-        whole = iter(self._ids([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)]))
-        cache, new = self.cache, set()
-        for c in cuts:
-            if c is not None:
-                new.update(c[1])
-        new = [u for u in new if u not in cache]
-        cache.update(zip(new, self._ids([spelled(u) for u in new]), strict=True))
-        get = cache.__getitem__
-        return [next(whole) if c is None else b"".join([next(whole), *map(get, c[1])]) for c in cuts]
+        firsts = self.lib.encode_batch_fast([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)], add_special_tokens=False)
+        firsts = [np.array(e.ids, dtype="<u4").tobytes() for e in firsts]
+        return [f if c is None else b"".join([f, *map(get, c[1])]) for f, c in zip(firsts, cuts, strict=True)]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
