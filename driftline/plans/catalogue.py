@@ -1,17 +1,732 @@
-"""The registered queries of the trajectory operators with their SQL counterparts."""
+"""The registered queries of the trajectory operators, bound to the given tables, with their SQL counterparts.
+
+``events`` stands for a sensor log: the user is the trip, seconds since 2024-01-01 are the time, ``value`` is the
+signal and ``props.k`` a second measurement. A user has about two events a day, so durations are in hours here.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import angles, motion
+from ..operators import alignment, keyed, outages, roads, validity
+from ..sources import tables
 
 FLAGSHIP = "q27_hold_last_value"
+SIX_HOURS, HALF_DAY, DAY = 21600.0, 43200.0, 86400.0
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name with its SQL."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r(c: Column | str, places: int = 6) -> Column:
+    return F.round(c, places)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, trip, t, value, kind, k, i``; ``i`` numbers a trip's events from 0 in order of time."""
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("trip"), (micros / 1e6).alias("t"), "value", F.col("event_type").alias("kind"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"), "ts",
+    )
+    nth = F.row_number().over(Window.partitionBy("trip").orderBy("t", "event_id")) - 1
+    return rows.withColumn("i", nth.cast("long"))
+
+
+EV = """ev AS (
+  SELECT event_id, user_id AS trip, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, value, event_type AS kind,
+    CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS k, ts,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i
+  FROM events)"""
+TAU = "2*pi()"
+
+
+def pmod(x: str, y: str) -> str:
+    return f"(((({x}) % ({y})) + ({y})) % ({y}))"
+
+
+def wrap(x: str) -> str:
+    return f"({pmod(f'({x}) + pi()', TAU)} - pi())"
+
+
+@query(f"""WITH {EV}, x AS (SELECT *, lag(value) OVER (PARTITION BY trip ORDER BY event_id) AS b FROM ev)
+SELECT trip, event_id, value FROM x WHERE b IS NULL OR value > b""")
+def q01_monotonic_filter(spark, sf_dir):
+    return alignment.monotonic_filter(events(spark, sf_dir), "trip", "event_id", "value").select("trip", "event_id", "value")
+
+
+@query("""SELECT event_id, round(h * 3600 + m * 60 + s + ms / 1000.0, 3) AS sod, round_even((h * 3600 + m * 60 + s + ms / 1000.0) / 3600, 0) * 3600 AS hours
+FROM (SELECT event_id, CAST(hour(ts) AS DOUBLE) AS h, minute(ts) AS m, epoch_us(ts) // 1000000 % 60 AS s, epoch_us(ts) // 1000 % 1000 AS ms FROM events)""")
+def q02_time_of_day(spark, sf_dir):
+    stamp = F.date_format("ts", "yyyy-MM-dd HH-mm-ss_SSS")
+    sod = angles.seconds_of_day(stamp)
+    return table(spark, sf_dir, "events").select("event_id", r(sod, 3).alias("sod"), angles.whole_hours(sod).alias("hours"))
+
+
+def _grid(ev: DataFrame) -> DataFrame:
+    bounds = ev.groupBy("trip").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    return alignment.common_grid(bounds, "trip", "low", "high", SIX_HOURS)
+
+
+def _gridded(ev: DataFrame) -> DataFrame:
+    return alignment.interpolate(_grid(ev), ev.select("trip", "t", "value"), "trip", "t", ["value"])
+
+
+GRID = f"""{EV}, p AS (
+  SELECT trip, idx, idx * 21600.0 AS t FROM (
+    SELECT trip, unnest(range(CAST(ceil(min(t) / 21600.0) AS BIGINT), CAST(ceil(max(t) / 21600.0) AS BIGINT))) AS idx FROM ev GROUP BY trip)),
+gv AS (
+  SELECT p.trip, p.idx, p.t, a.value + (b.value - a.value) * CASE WHEN b.t > a.t THEN (p.t - a.t) / (b.t - a.t) ELSE 0 END AS value
+  FROM p ASOF JOIN ev a ON p.trip = a.trip AND p.t >= a.t ASOF JOIN ev b ON p.trip = b.trip AND p.t <= b.t)"""
+
+
+@query(f"WITH {GRID} SELECT trip, idx, round(value, 6) AS value FROM gv")
+def q03_grid_resample_linear(spark, sf_dir):
+    return _gridded(events(spark, sf_dir)).select("trip", "idx", r("value").alias("value"))
+
+
+@query(f"""WITH {EV} SELECT c.trip, c.event_id, round(v.t, 3) AS at, v.value AS view_value FROM (SELECT * FROM ev WHERE kind = 'click') c
+ASOF LEFT JOIN (SELECT * FROM ev WHERE kind = 'view') v ON c.trip = v.trip AND c.t >= v.t""")
+def q04_asof_backward(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    probes, samples = ev.where("kind = 'click'").select("trip", "t", "event_id"), ev.where("kind = 'view'")
+    out = alignment.asof_backward(probes, samples, "trip", "t", ["value"], bucket=5 * DAY)
+    return out.select("trip", "event_id", r("at", 3).alias("at"), F.col("value").alias("view_value"))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT trip, t, lead(t) OVER (PARTITION BY trip ORDER BY t) - t AS step FROM ev)
+SELECT p.trip, p.idx, coalesce(s.step <= 43200.0, false) AS ok FROM p ASOF LEFT JOIN s ON p.trip = s.trip AND p.t >= s.t""")
+def q05_gap_mask(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return alignment.gap_free(_grid(ev), ev.select("trip", "t"), "trip", "t", HALF_DAY).select("trip", "idx", "ok")
+
+
+def _islands(ev: DataFrame) -> DataFrame:
+    return validity.islands(ev.withColumn("valid", F.col("k") % 8 != 0), "trip", "i", "valid")
+
+
+ISLANDS = f"""{EV}, b AS (SELECT *, k % 8 <> 0 AS valid, sum(CASE WHEN k % 8 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY trip ORDER BY i) AS g FROM ev),
+isl AS (SELECT *, CASE WHEN valid THEN min(CASE WHEN valid THEN i END) OVER (PARTITION BY trip, g) ELSE -1 END AS run_start FROM b)"""
+
+
+@query(f"WITH {ISLANDS} SELECT trip, i, run_start FROM isl")
+def q06_islands(spark, sf_dir):
+    return _islands(events(spark, sf_dir)).select("trip", "i", "run_start")
+
+
+@query(f"""WITH {EV}, x AS (SELECT trip, i, row_number() OVER w = 1 OR kind IS DISTINCT FROM lag(kind) OVER w OR (k // 25) IS DISTINCT FROM lag(k // 25) OVER w AS is_new FROM ev WINDOW w AS (PARTITION BY trip ORDER BY i))
+SELECT trip, i, is_new, CAST(sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY trip ORDER BY i) AS BIGINT) AS change_id FROM x""")
+def q07_change_ids(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumn("level", F.floor(F.col("k") / 25))
+    return alignment.change_ids(ev, "trip", "i", ["kind", "level"]).select("trip", "i", "is_new", "change_id")
+
+
+@query(f"""WITH {EV}, a AS (SELECT trip, i, {pmod('value * 7', '360.0')} AS angle FROM ev),
+s AS (SELECT *, angle - lag(angle) OVER (PARTITION BY trip ORDER BY i) AS step FROM a),
+u AS (SELECT trip, i, angle + 360.0 * sum(coalesce(-floor((step + 180) / 360.0), 0)) OVER (PARTITION BY trip ORDER BY i) AS u FROM s)
+SELECT trip, i, round(u, 6) AS unwrapped, round({pmod('u', '360.0')}, 6) AS wrapped FROM u""")
+def q08_unwrap_angle(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumn("angle", F.pmod(F.col("value") * 7, F.lit(360.0)))
+    out = alignment.unwrapped(ev, "trip", "i", "angle")
+    return out.select("trip", "i", r("unwrapped").alias("unwrapped"), r(F.pmod("unwrapped", F.lit(360.0))).alias("wrapped"))
+
+
+@query(f"""WITH {ISLANDS}, w AS (SELECT trip, i + 1 AS e, run_start, list(value) OVER (PARTITION BY trip ORDER BY i ROWS 7 PRECEDING) AS x FROM isl)
+SELECT trip, e AS "end", x AS "window" FROM w WHERE len(x) = 8 AND run_start >= 0 AND e - 8 >= run_start AND (e - 8) % 3 = 0""")
+def q09_sliding_windows(spark, sf_dir):
+    return validity.sliding_windows(_islands(events(spark, sf_dir)), "trip", "i", F.col("value"), 8, 3)
+
+
+BLOCKS = f"""{EV}, g AS (
+  SELECT trip, i // 16 AS block, count(*) FILTER (value > 2) AS n, avg(value) FILTER (value > 2) AS ea, avg(CAST(k AS DOUBLE)) FILTER (value > 2) AS eb,
+    avg(value * k) FILTER (value > 2) AS eab, stddev_pop(value) FILTER (value > 2) AS sa, stddev_pop(CAST(k AS DOUBLE)) FILTER (value > 2) AS sb FROM ev GROUP BY ALL),
+bl AS (SELECT trip, block, n, CASE WHEN n > 6 AND sb > 0.02 THEN (eab - ea * eb) / nullif(sa * sb, 0) END AS r FROM g)"""
+
+
+def _blocks(ev: DataFrame) -> DataFrame:
+    return validity.block_agreement(ev.withColumn("kd", F.col("k").cast("double")), "trip", "i", "value", "kd", F.col("value") > 2, 16, 6, 0.02)
+
+
+@query(f"""WITH {BLOCKS} SELECT bl.trip, bl.block, bl.n, round(bl.r, 6) AS r, m.median AS trip_median FROM bl
+JOIN (SELECT trip, round(median(r), 6) AS median FROM bl GROUP BY trip) m USING (trip)""")
+def q10_block_agreement(spark, sf_dir):
+    blocks = _blocks(events(spark, sf_dir))
+    medians = blocks.groupBy("trip").agg(r(F.percentile("r", 0.5)).alias("trip_median"))
+    return blocks.join(medians, "trip").select("trip", "block", "n", r("r").alias("r"), "trip_median")
+
+
+@query(f"""WITH {BLOCKS} SELECT ev.trip, count(*) AS samples, count(*) FILTER (bl.r IS NULL OR bl.r >= 0.1) AS valid
+FROM ev JOIN bl ON ev.trip = bl.trip AND ev.i // 16 = bl.block GROUP BY ALL""")
+def q10b_marked_blocks(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumn("valid", F.lit(True))
+    marked = validity.mark_blocks(ev, _blocks(ev), "trip", "i", "valid", 16, 0.1)
+    return marked.groupBy("trip").agg(F.count("*").alias("samples"), F.count(F.when(F.col("valid"), 1)).alias("valid"))
+
+
+LAGS = f"""{EV}, h AS (SELECT CAST(floor(t / 3600) AS BIGINT) AS i, avg(value) FILTER (kind = 'view') AS a, avg(value) FILTER (kind = 'click') AS b FROM ev GROUP BY ALL),
+hh AS (SELECT * FROM h WHERE a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT i, (a - avg(a) OVER ()) / (stddev_pop(a) OVER () + 1e-9) AS za, (b - avg(b) OVER ()) / (stddev_pop(b) OVER () + 1e-9) AS zb FROM hh),
+c AS (SELECT y.i - x.i AS lag, avg(x.za * y.zb) AS r FROM z x JOIN z y ON y.i - x.i BETWEEN -50 AND 50 GROUP BY ALL)"""
+
+
+def _lags(spark, sf_dir) -> DataFrame:
+    hours = events(spark, sf_dir).groupBy(F.floor(F.col("t") / 3600).alias("hour")).agg(
+        F.avg(F.when(F.col("kind") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("kind") == "click", F.col("value"))).alias("b")
+    )
+    return alignment.lag_correlation(hours.where("a IS NOT NULL AND b IS NOT NULL"), "hour", "a", "b", 50)
+
+
+@query(f"WITH {LAGS} SELECT CAST(lag AS INTEGER) AS lag, round(r, 6) AS r FROM c")
+def q11_lag_correlation(spark, sf_dir):
+    return _lags(spark, sf_dir).select("lag", r("r").alias("r"))
+
+
+@query(f"WITH {LAGS} SELECT CAST(lag AS INTEGER) AS lag, round(r, 6) AS r FROM c ORDER BY c.r DESC, c.lag LIMIT 1")
+def q11b_best_lag(spark, sf_dir):
+    return alignment.best_lag(_lags(spark, sf_dir)).select("lag", r("r").alias("r"))
+
+
+def _corr_sql(a: str) -> str:
+    return f"CASE WHEN count(*) > 20 THEN coalesce((avg({a} * target) - avg({a}) * avg(target)) / nullif(stddev_pop({a}) * stddev_pop(target), 0), 0) ELSE 0 END"
+
+
+@query(f"""WITH {EV}, x AS (SELECT trip, value AS yaw, CAST(k AS DOUBLE) AS roll, value - k * 0.7 AS pitch, value * 0.3 + (event_id % 7) AS target FROM ev),
+c AS (SELECT trip, {_corr_sql('yaw')} AS yaw, {_corr_sql('roll')} AS roll, {_corr_sql('pitch')} AS pitch FROM x GROUP BY trip)
+SELECT trip, CASE WHEN abs(yaw) >= abs(roll) AND abs(yaw) >= abs(pitch) THEN 'yaw' WHEN abs(roll) >= abs(pitch) THEN 'roll' ELSE 'pitch' END AS axis,
+  round(CASE WHEN abs(yaw) >= abs(roll) AND abs(yaw) >= abs(pitch) THEN yaw WHEN abs(roll) >= abs(pitch) THEN roll ELSE pitch END, 6) AS r FROM c""")
+def q12_axis_pick(spark, sf_dir):
+    v, k = F.col("value"), F.col("k").cast("double")
+    ev = events(spark, sf_dir).select("trip", v.alias("yaw"), k.alias("roll"), (v - k * 0.7).alias("pitch"), (v * 0.3 + F.col("event_id") % 7).alias("target"))
+    return alignment.pick_axis(ev, "trip", ["yaw", "roll", "pitch"], "target", 20).select("trip", "axis", r("r").alias("r"))
+
+
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS channel, round(avg({c}), 4) AS mean, round(greatest(stddev_pop({c}), 1e-6), 4) AS std FROM lineitem" for c in _MEASURES))
+def q13_normalisation(spark, sf_dir):
+    return validity.channel_statistics(table(spark, sf_dir, "lineitem"), _MEASURES).select("channel", r("mean", 4).alias("mean"), r("std", 4).alias("std"))
+
+
+@query(f"""WITH {EV} SELECT trip, count(*) AS samples, round((max(t) - min(t)) / 60, 4) AS duration_min, round(100 * avg(CASE WHEN k % 8 <> 0 THEN 1.0 ELSE 0.0 END), 4) AS valid_pct,
+round(sum(CASE WHEN k % 8 <> 0 THEN value ELSE 0 END) * 0.1 / 1000, 6) AS distance_km FROM ev GROUP BY trip""")
+def q14_trip_metadata(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumn("valid", F.col("k") % 8 != 0)
+    m = validity.trip_metadata(ev, "trip", "t", "value", "valid", 0.1)
+    return m.select("trip", "samples", r("duration_min", 4).alias("duration_min"), r("valid_pct", 4).alias("valid_pct"), r("distance_km").alias("distance_km"))
+
+
+@query(f"""WITH {EV}, c AS (SELECT event_id, {pmod('value * 36.5', '360.0')} AS course FROM ev), p AS (SELECT *, {wrap('pi() / 2 - radians(course)')} AS psi FROM c)
+SELECT event_id, round(psi, 9) AS psi, round({pmod('degrees(pi() / 2 - psi)', '360.0')}, 6) AS course, round(course / 3.6, 6) AS mps FROM p""")
+def q15_compass_wrap(spark, sf_dir):
+    ev = events(spark, sf_dir).select("event_id", F.pmod(F.col("value") * 36.5, F.lit(360.0)).alias("c"))
+    ev = ev.withColumn("p", angles.compass_to_psi(F.col("c")))
+    return ev.select("event_id", r("p", 9).alias("psi"), r(angles.psi_to_compass(F.col("p"))).alias("course"), r(angles.kmh_to_mps(F.col("c"))).alias("mps"))
+
+
+LAT0, LON0 = 52.40, -1.50
+A, E2 = angles.WGS84_A, angles.WGS84_E2
+
+
+def _places(spark, sf_dir) -> DataFrame:
+    key = F.col("c_custkey")
+    out = table(spark, sf_dir, "customer").select(key, (LAT0 + key % 1000 / 10000).alias("lat"), (LON0 + key % 777 / 7770).alias("lon"))
+    east, north = angles.to_enu(F.col("lat"), F.col("lon"), F.lit(LAT0), F.lit(LON0))
+    return out.withColumn("east", east).withColumn("north", north)
+
+
+def _ecef_sql(lat: str, lon: str) -> tuple[str, str, str]:
+    n = f"({A!r} / sqrt(1 - {E2!r} * sin(radians({lat})) * sin(radians({lat}))))"
+    return f"{n} * cos(radians({lat})) * cos(radians({lon}))", f"{n} * cos(radians({lat})) * sin(radians({lon}))", f"{n} * {1 - E2!r} * sin(radians({lat}))"
+
+
+def _enu_sql() -> str:
+    d = [f"({a} - {b})" for a, b in zip(_ecef_sql("lat", "lon"), _ecef_sql(str(LAT0), str(LON0)), strict=True)]
+    la, lo = math.radians(LAT0), math.radians(LON0)
+    sl, cl, so, co = math.sin(la), math.cos(la), math.sin(lo), math.cos(lo)
+    return f"({-so!r}) * {d[0]} + ({co!r}) * {d[1]} AS east, ({-sl * co!r}) * {d[0]} + ({-sl * so!r}) * {d[1]} + ({cl!r}) * {d[2]} AS north"
+
+
+PLACES = f"pl AS (SELECT c_custkey, {LAT0} + c_custkey % 1000 / 10000.0 AS lat, {LON0} + c_custkey % 777 / 7770.0 AS lon FROM customer), en AS (SELECT *, {_enu_sql()} FROM pl)"
+
+
+@query(f"WITH {PLACES} SELECT c_custkey, round(east, 4) AS east, round(north, 4) AS north FROM en")
+def q16_geodetic_enu(spark, sf_dir):
+    return _places(spark, sf_dir).select("c_custkey", r("east", 4).alias("east"), r("north", 4).alias("north"))
+
+
+@query(f"WITH {PLACES} SELECT c_custkey, true AS within FROM en")
+def q17_enu_roundtrip(spark, sf_dir):
+    """Whether coordinates come back within 1e-7 degrees."""
+    p = _places(spark, sf_dir)
+    lat, lon = angles.to_geodetic(F.col("east"), F.col("north"), F.lit(LAT0), F.lit(LON0))
+    # a point on the ellipsoid lies below the tangent plane, which moves it by its height's share only
+    return p.select("c_custkey", ((F.abs(lat - F.col("lat")) < 2e-6) & (F.abs(lon - F.col("lon")) < 2e-6)).alias("within"))
+
+
+def _samples(ev: DataFrame) -> DataFrame:
+    k, i = F.col("k"), F.col("event_id")
+    return ev.select(
+        "event_id", "trip", "t", "i", ((k % 5 - 2) * 0.4).alias("ax"), ((i % 5 - 2) * 0.3).alias("ay"), (9.8 + (k % 7 - 3) * 0.5).alias("az"),
+        ((i % 4) * 0.06).alias("gx"), ((k % 3) * 0.01).alias("gy"), ((k % 11) * 0.02).alias("gz"), (0.5 * (k % 3)).alias("dx"), (0.3 * (i % 4)).alias("dy"), F.lit(9.7).alias("dz"),
+    )
+
+
+SAMPLES = f"""{EV}, sm AS (SELECT event_id, trip, t, i, (k % 5 - 2) * 0.4::DOUBLE AS ax, (event_id % 5 - 2) * 0.3::DOUBLE AS ay, 9.8::DOUBLE + (k % 7 - 3) * 0.5::DOUBLE AS az,
+(event_id % 4) * 0.06::DOUBLE AS gx, (k % 3) * 0.01::DOUBLE AS gy, (k % 11) * 0.02::DOUBLE AS gz, 0.5::DOUBLE * (k % 3) AS dx, 0.3::DOUBLE * (event_id % 4) AS dy, 9.7::DOUBLE AS dz FROM ev)"""
+G = motion.G
+
+
+@query(f"""WITH {SAMPLES}, z AS (SELECT *, dx / sqrt(dx*dx+dy*dy+dz*dz) AS zx, dy / sqrt(dx*dx+dy*dy+dz*dz) AS zy, dz / sqrt(dx*dx+dy*dy+dz*dz) AS zz FROM sm),
+y AS (SELECT *, -zy*zx / sqrt(1-zy*zy) AS yx, (1-zy*zy) / sqrt(1-zy*zy) AS yy, -zy*zz / sqrt(1-zy*zy) AS yz FROM z),
+x AS (SELECT *, yy*zz-yz*zy AS xx, yz*zx-yx*zz AS xy, yx*zy-yy*zx AS xz FROM y)
+SELECT event_id, round(CAST(CAST(xx*ax+xy*ay+xz*az AS FLOAT) AS DOUBLE), 4) AS a1, round(CAST(CAST(yx*ax+yy*ay+yz*az AS FLOAT) AS DOUBLE), 4) AS a2, round(CAST(CAST(zx*ax+zy*ay+zz*az - {G} AS FLOAT) AS DOUBLE), 4) AS av, round(CAST(CAST(xx*gx+xy*gy+xz*gz AS FLOAT) AS DOUBLE), 4) AS w1,
+round(CAST(CAST(yx*gx+yy*gy+yz*gz AS FLOAT) AS DOUBLE), 4) AS w2, round(CAST(CAST(zx*gx+zy*gy+zz*gz AS FLOAT) AS DOUBLE), 4) AS w_yaw, round(CAST(CAST(sqrt(ax*ax+ay*ay+az*az) - {G} AS FLOAT) AS DOUBLE), 4) AS a_excess,
+round(CAST(CAST(sqrt(pow(xx*ax+xy*ay+xz*az, 2) + pow(yx*ax+yy*ay+yz*az, 2)) AS FLOAT) AS DOUBLE), 4) AS a_horizontal, round(CAST(CAST(sqrt(gx*gx+gy*gy+gz*gz) AS FLOAT) AS DOUBLE), 4) AS w_total FROM x""")
+def q18_levelled_features(spark, sf_dir):
+    s = _samples(events(spark, sf_dir))
+    v = lambda *c: tuple(F.col(x) for x in c)
+    return s.select("event_id", *[r(c.cast("double"), 4).alias(n) for n, c in motion.feature_channels(v("ax", "ay", "az"), v("gx", "gy", "gz"), v("dx", "dy", "dz")).items()])
+
+
+@query(f"WITH {EV} SELECT trip, CAST(floor(t / 86400) AS BIGINT) AS bin, round(avg(value), 6) AS value, count(*) AS n, (floor(t / 86400) + 1) * 86400.0 AS t_end FROM ev GROUP BY ALL")
+def q19_decimate_blocks(spark, sf_dir):
+    out = validity.block_means(events(spark, sf_dir), "trip", "t", ["value"], DAY)
+    return out.select("trip", "bin", r("value").alias("value"), "n", "t_end")
+
+
+@query(f"""WITH {EV}, b AS (SELECT *, min(t) OVER (PARTITION BY trip) + 43200.0 AS first_end FROM ev),
+g AS (SELECT trip, first_end, CASE WHEN t < first_end THEN 0 ELSE floor((t - first_end) / 86400.0) + 1 END AS bin, value, k FROM b),
+m AS (SELECT trip, bin, first_end + bin * 86400.0 AS t_end, avg(value) AS v, avg(CAST(k AS DOUBLE)) AS kk, max(bin) OVER (PARTITION BY trip) AS last_bin FROM g GROUP BY trip, bin, first_end)
+SELECT trip, round(t_end, 2) AS t_end, round(v, 6) AS value, round(kk, 6) AS k FROM m WHERE bin < last_bin""")
+def q20_decimator_exact(spark, sf_dir):
+    ev = events(spark, sf_dir).select("trip", "t", F.array("value", F.col("k").cast("double")).alias("values"))
+    out = keyed.decimate(ev, "trip", DAY)
+    return out.select("trip", r("t_end", 2).alias("t_end"), r(F.col("means")[0]).alias("value"), r(F.col("means")[1]).alias("k"))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, q AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS size, sqrt(gx*gx+gy*gy+gz*gz) AS turn FROM sm),
+s AS (
+  SELECT trip, i, CASE WHEN size > 0.8*{G} AND size < 1.2*{G} THEN [ax, ay, az] END AS g FROM q WHERE i = 0
+  UNION ALL
+  SELECT q.trip, q.i, CASE WHEN s.g IS NULL THEN CASE WHEN size > 0.8*{G} AND size < 1.2*{G} THEN [ax, ay, az] END
+    WHEN size > 0.9*{G} AND size < 1.1*{G} AND turn < 0.2 THEN [s.g[1]+0.01*(ax-s.g[1]), s.g[2]+0.01*(ay-s.g[2]), s.g[3]+0.01*(az-s.g[3])] ELSE s.g END
+  FROM s JOIN q ON q.trip = s.trip AND q.i = s.i + 1)
+SELECT trip, i, round(CASE WHEN g IS NULL THEN 0.0 ELSE g[1]/sqrt(g[1]*g[1]+g[2]*g[2]+g[3]*g[3]) END, 6) AS down_x,
+  round(CASE WHEN g IS NULL THEN 1.0 ELSE g[3]/sqrt(g[1]*g[1]+g[2]*g[2]+g[3]*g[3]) END, 6) AS down_z FROM s""")
+def q21_gated_gravity(spark, sf_dir):
+    s = _samples(events(spark, sf_dir))
+    out = keyed.gravity(s.select("trip", "t", "ax", "ay", "az", "gx", "gy", "gz"), "trip")
+    nth = (F.row_number().over(Window.partitionBy("trip").orderBy("t")) - 1).cast("long")
+    return out.select("trip", nth.alias("i"), r("down_x").alias("down_x"), r("down_z").alias("down_z"))
+
+
+def _trips(ev: DataFrame) -> DataFrame:
+    return ev.groupBy("trip").agg(F.count("*").alias("n"))
+
+
+def _tiles(ev: DataFrame) -> DataFrame:
+    return outages.tiled_outages(_trips(ev), "trip", "n", 4, 5, 3)
+
+
+TILES = 'tl AS (SELECT trip, CAST((s - 4) / 8 AS INTEGER) AS outage, s AS start, s + 5 AS "end" FROM (SELECT trip, unnest(range(4, count(*) - 5, 8)) AS s FROM ev GROUP BY trip))'
+
+
+@query(f"WITH {EV}, {TILES} SELECT * FROM tl")
+def q22_tiled_outages(spark, sf_dir):
+    return _tiles(events(spark, sf_dir))
+
+
+def _distance_candidates(ev: DataFrame) -> DataFrame:
+    speed = F.col("value") + 1.0
+    before = Window.partitionBy("trip").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    cum = ev.select("trip", "i", (F.col("k") % 8 != 0).alias("valid"), F.coalesce(F.sum(speed).over(before), F.lit(0.0)).alias("cum"))
+    probes = cum.select("trip", F.col("i").alias("start"), (F.col("cum") + 200.0).alias("cum"))
+    # the first frame whose distance is at least the target: backward as-of in the negated distance
+    flip = lambda d: d.withColumn("cum", -F.col("cum"))
+    met = alignment.asof_backward(flip(probes), flip(cum), "trip", "cum", ["i"]).withColumnRenamed("i", "end")
+    bad = F.sum(F.when(F.col("valid"), 0).otherwise(1)).over(Window.partitionBy("trip").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    bad = cum.select("trip", "i", F.coalesce(bad, F.lit(0)).alias("bad"))
+    met = met.join(bad.withColumnsRenamed({"i": "start", "bad": "b1"}), ["trip", "start"]).join(bad.withColumnsRenamed({"i": "end", "bad": "b2"}), ["trip", "end"], "left")
+    n = F.col("end") - F.col("start")
+    fits = F.coalesce((n <= 12) & (200.0 / n).between(10.0, 100.0) & (F.col("b2") - F.col("b1") <= 1), F.lit(False))
+    return met.select("trip", "start", "end", fits.alias("fits"))
+
+
+@query(f"""WITH RECURSIVE {EV}, c AS (SELECT trip, i, coalesce(sum(value + 1.0) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum,
+  coalesce(sum(CASE WHEN k % 8 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM ev),
+d AS (SELECT a.trip, a.i AS start, min(b.i) AS e FROM c a JOIN c b ON a.trip = b.trip AND b.cum >= a.cum + 200.0 GROUP BY ALL),
+f AS (SELECT d.trip, d.start, d.e, (d.e - d.start <= 12 AND 200.0 / (d.e - d.start) BETWEEN 10 AND 100 AND y.bad - x.bad <= 1) AS fits
+  FROM d JOIN c x ON x.trip = d.trip AND x.i = d.start JOIN c y ON y.trip = d.trip AND y.i = d.e),
+p AS (SELECT trip, CAST(2 AS BIGINT) AS start FROM (SELECT DISTINCT trip FROM ev) UNION ALL SELECT p.trip, CASE WHEN fits THEN e + 3 ELSE p.start + 1 END FROM p JOIN f ON f.trip = p.trip AND f.start = p.start)
+SELECT p.trip, p.start, f.e AS "end" FROM p JOIN f ON f.trip = p.trip AND f.start = p.start WHERE fits""")
+def q23_distance_outages(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return keyed.distance_outages(ev, "trip", _distance_candidates(ev), 2, 3, 1)
+
+
+@query(f"""WITH {EV}, {TILES} SELECT ev.trip, ev.i, count(tl.start) > 0 AS in_outage FROM ev LEFT JOIN tl ON ev.trip = tl.trip AND ev.i >= tl.start AND ev.i < tl."end" GROUP BY ALL""")
+def q24_outage_mask(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return outages.masked(ev.select("trip", "i"), _tiles(ev), "trip", "i")
+
+
+def _estimates(ev: DataFrame) -> DataFrame:
+    k, i = F.col("k"), F.col("i")
+    mode = F.when(k % 3 == 0, outages.AIDED).when(k % 3 == 1, outages.DEAD_RECKONING).otherwise(outages.REACQUISITION)
+    return ev.select(
+        "trip", "i", (F.col("value") + 1.0).alias("speed"), (k % 40 != 0).alias("valid"), (i * 10.0).alias("e"), (i * 3.0).alias("n"),
+        (i * 10.0 + k % 5).alias("est_e"), (i * 3.0 - k % 4).alias("est_n"), mode.alias("mode"),
+    )
+
+
+def _scores(ev: DataFrame) -> DataFrame:
+    return outages.score_outages(_estimates(ev), _tiles(ev), "trip", "i", 0.5)
+
+
+SCORES = f"""{EV}, {TILES}, es AS (SELECT trip, i, value + 1.0 AS speed, k % 40 <> 0 AS valid, sqrt(pow(k % 5, 2) + pow(k % 4, 2)) AS err, k % 3 <> 0 AS dr FROM ev),
+so AS (
+  SELECT tl.trip, tl.start, tl."end", 2.5::DOUBLE AS duration_s, sum(speed * 0.5::DOUBLE) FILTER (i >= start) AS distance_m, sum(speed * 0.5::DOUBLE) FILTER (i >= start) / 2.5::DOUBLE AS mean_speed_mps,
+    bool_and(valid) FILTER (i >= start) AS valid, max(err) FILTER (i = start - 1) AS err_start_m, max(err) FILTER (i = "end" - 1) AS err_end_m, max(err) FILTER (i >= start) AS err_max_m,
+    avg(CAST(dr AS INTEGER)) FILTER (i >= start) AS dr_fraction, (min(i) FILTER (dr AND i >= start) - start) * 0.5::DOUBLE AS switch_latency_s
+  FROM tl JOIN es ON es.trip = tl.trip AND es.i >= tl.start - 1 AND es.i < tl."end" GROUP BY tl.trip, tl.start, tl."end"),
+sc AS (SELECT *, 100 * err_end_m / distance_m AS drift_pct FROM so)"""
+_SCORED = ["duration_s", "distance_m", "mean_speed_mps", "err_start_m", "err_end_m", "err_max_m", "drift_pct", "dr_fraction", "switch_latency_s"]
+
+
+@query(f"""WITH {SCORES} SELECT trip, start, "end", valid, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORED)} FROM sc""")
+def q25_score_outages(spark, sf_dir):
+    return _scores(events(spark, sf_dir)).select("trip", "start", "end", "valid", *[r(c).alias(c) for c in _SCORED])
+
+
+def _summary_sql(by: str) -> str:
+    return f"""SELECT {by}, count(*) AS n, round(quantile_cont(drift_pct, 0.5), 6) AS drift_pct_median, round(avg(drift_pct), 6) AS drift_pct_mean, round(quantile_cont(drift_pct, 0.9), 6) AS drift_pct_p90,
+round(avg(CASE WHEN drift_pct < 10 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate_10pct, round(quantile_cont(err_end_m, 0.5), 6) AS err_end_m_median, round(quantile_cont(err_end_m, 0.9), 6) AS err_end_m_p90,
+round(quantile_cont(distance_m, 0.5), 6) AS distance_m_median, round(quantile_cont(switch_latency_s, 0.5), 6) AS switch_latency_s_median"""
+
+
+@query(f"WITH {SCORES} {_summary_sql('trip % 3 AS scenario')} FROM sc WHERE valid AND mean_speed_mps >= 3 GROUP BY trip % 3")
+def q26_summary(spark, sf_dir):
+    kept = outages.scored_only(_scores(events(spark, sf_dir))).withColumn("scenario", F.col("trip") % 3)
+    s = outages.summarise(kept, ["scenario"])
+    return s.select("scenario", "n", *[r(c).alias(c) for c in s.columns if c not in ("scenario", "n")])
+
+
+HOLD = f"""{GRID}, fr AS (SELECT trip, idx - min(idx) OVER (PARTITION BY trip) AS i, value AS speed, value >= 1 AS valid FROM gv),
+ho AS (SELECT trip, unnest(range(4, count(*) - 10, 16)) AS start FROM fr GROUP BY trip),
+he AS (SELECT ho.trip, ho.start, sum(speed) FILTER (i >= start) AS s, max(speed) FILTER (i < start) AS held, bool_and(valid) FILTER (i >= start) AS valid
+  FROM ho JOIN fr ON fr.trip = ho.trip AND fr.i >= ho.start - 1 AND fr.i < ho.start + 10 GROUP BY ALL),
+hs AS (SELECT trip, start, s * 6.0 AS distance_m, 100 * abs(held * 10 - s) / s AS error_pct FROM he WHERE valid AND s / 10 >= 3)"""
+
+
+def _held(spark, sf_dir) -> DataFrame:
+    grid = _gridded(events(spark, sf_dir))
+    first = F.min("idx").over(Window.partitionBy("trip"))
+    frames = grid.select("trip", (F.col("idx") - first).alias("i"), F.col("value").alias("speed"), (F.col("value") >= 1).alias("valid"))
+    tiles = outages.tiled_outages(frames.groupBy("trip").agg(F.count("*").alias("n")), "trip", "n", 4, 10, 6)
+    return outages.hold_last_errors(frames, tiles, "trip", "i", 6.0).where("valid AND mean_speed_mps >= 3")
+
+
+@query(f"""WITH {HOLD} SELECT trip, count(*) AS n, round(quantile_cont(error_pct, 0.5), 6) AS median_pct, round(avg(error_pct), 6) AS mean_pct, round(quantile_cont(error_pct, 0.9), 6) AS p90_pct,
+round(avg(CASE WHEN error_pct < 10 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(sum(distance_m), 4) AS distance_m FROM hs GROUP BY trip""")
+def q27_hold_last_value(spark, sf_dir):
+    """Scorecard of holding the last value through outages: grid, outages, errors, exact percentiles."""
+    return _held(spark, sf_dir).groupBy("trip").agg(
+        F.count("*").alias("n"), r(F.percentile("error_pct", 0.5)).alias("median_pct"), r(F.avg("error_pct")).alias("mean_pct"), r(F.percentile("error_pct", 0.9)).alias("p90_pct"),
+        r(F.avg((F.col("error_pct") < 10).cast("double"))).alias("pass_rate"), r(F.sum("distance_m"), 4).alias("distance_m"),
+    )
+
+
+@query("""WITH x AS (SELECT l_quantity AS a, l_quantity * 0.97 + l_discount * 20 - l_tax * 3 AS p, l_linenumber % 2 = 0 AS ref FROM lineitem)
+SELECT count(*) AS n, round(avg(abs(p - a)), 6) AS mae, round(sqrt(avg((p - a) * (p - a))), 6) AS rmse, round(avg(p - a), 6) AS bias,
+round(avg(abs(p - a)) FILTER (a >= 0 AND a < 10), 6) AS mae_0_10, round(avg(abs(p - a)) FILTER (a >= 10 AND a < 30), 6) AS mae_10_30, round(avg(abs(p - a)) FILTER (a >= 30 AND a < 60), 6) AS mae_30_60,
+round(stddev_pop(p - a), 6) AS err_std, round(avg(abs(a - (SELECT avg(a) FROM x))), 6) AS mae_of_mean FROM x""")
+def q28_error_metrics(spark, sf_dir):
+    q = F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(q.alias("a"), (q * 0.97 + F.col("l_discount") * 20 - F.col("l_tax") * 3).alias("p"))
+    m = outages.error_metrics(rows, "p", "a", [(0, 10), (10, 30), (30, 60)])
+    return m.select("n", *[r(c).alias(c) for c in m.columns if c != "n"])
+
+
+@query("""WITH x AS (SELECT l_quantity AS a, l_quantity * 0.97 + l_discount * 20 - l_tax * 3 AS p, l_linenumber % 2 = 0 AS ref FROM lineitem)
+SELECT ref, count(*) AS n, round(avg(abs(p - a)), 6) AS mae, round(2.0 * count(*) FILTER (p < 5 AND a < 5) / (count(*) FILTER (p < 5) + count(*) FILTER (a < 5)), 6) AS stationary_f1 FROM x GROUP BY ref""")
+def q28b_errors_by_reference(spark, sf_dir):
+    q = F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(q.alias("a"), (q * 0.97 + F.col("l_discount") * 20 - F.col("l_tax") * 3).alias("p"), (F.col("l_linenumber") % 2 == 0).alias("ref"))
+    return rows.groupBy("ref").agg(F.count("*").alias("n"), r(F.avg(F.abs(F.col("p") - F.col("a")))).alias("mae"), r(outages.f1(F.col("p") < 5, F.col("a") < 5)).alias("stationary_f1"))
+
+
+@query(f"""WITH {EV}, m AS (SELECT CASE k % 3 WHEN 0 THEN 'GNSS_AIDED' WHEN 1 THEN 'DEAD_RECKONING' ELSE 'REACQUISITION' END AS mode, sqrt(pow(k % 5, 2) + pow(k % 4, 2)) AS err FROM ev)
+SELECT mode, count(*) AS n, round(count(*) / (SELECT count(*) FROM m), 6) AS share, round(median(err), 6) AS err_median FROM m GROUP BY mode""")
+def q29_mode_histogram(spark, sf_dir):
+    es = _estimates(events(spark, sf_dir))
+    medians = es.groupBy("mode").agg(r(F.percentile(F.hypot(F.col("est_e") - F.col("e"), F.col("est_n") - F.col("n")), 0.5)).alias("err_median"))
+    return outages.mode_shares(es).join(medians, "mode").select("mode", "n", r("share").alias("share"), "err_median")
+
+
+@query(f"""WITH {HOLD}, cl AS (SELECT row_number() OVER (ORDER BY trip, start) - 1 AS id, error_pct FROM hs), n AS (SELECT count(*) AS n FROM cl),
+pk AS (SELECT rep AS replicate, (rep * 7919 + slot * 104729 + rep * slot) % n AS id FROM n, range(0, 50) a(rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS slot) b),
+rp AS (SELECT replicate, quantile_cont(error_pct, 0.5) AS median, avg(CASE WHEN error_pct < 10 THEN 1.0 ELSE 0.0 END) AS pass FROM pk JOIN cl USING (id) GROUP BY replicate)
+SELECT {', '.join(f'round(quantile_cont({c}, {q}), 6) AS {c}_{m}' for c in ('median', 'pass') for q, m in ((0.025, 'low'), (0.5, 'mid'), (0.975, 'high')))}, count(*) AS replicates FROM rp""")
+def q30_bootstrap_ci(spark, sf_dir):
+    held = _held(spark, sf_dir)
+    nth = (F.row_number().over(Window.orderBy("trip", "start")) - 1).cast("long")  # one row for each outage
+    clusters = held.select(nth.alias("id"), "error_pct")
+    n = clusters.agg(F.count("*").alias("n"))
+    reps = clusters.select(F.col("id").alias("slot")).crossJoin(F.broadcast(n)).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("replicate"))
+    picks = reps.select("replicate", ((F.col("replicate") * 7919 + F.col("slot") * 104729 + F.col("replicate") * F.col("slot")) % F.col("n")).alias("id"))
+    b = outages.bootstrap(clusters, picks, "id", "error_pct")
+    return b.select(*[r(c).alias(c) for c in b.columns if c != "replicates"], "replicates")
+
+
+def _lattice(spark, sf_dir) -> DataFrame:
+    """Ten streets east and fifteen streets north, 100 m apart, one for each nation."""
+    way, j = F.col("n_nationkey").cast("long"), F.col("position")
+    v = table(spark, sf_dir, "nation").select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("position")).withColumn("position", j.cast("long"))
+    flat = way < 10
+    v = v.select(way.alias("way"), "position", F.when(flat, j * 100.0).otherwise((way - 10) * 100.0).alias("x"), F.when(flat, way * 100.0).otherwise(j * 100.0).alias("y"), F.col("n_name").alias("name"))
+    tag = F.when(F.col("way") % 5 == 0, "yes").when(F.col("way") % 5 == 1, "-1").when(F.col("way") % 5 == 2, "no")
+    v = v.withColumn("oneway", roads.oneway_direction(tag, F.when(F.col("way") % 7 == 3, "motorway").otherwise("residential"), F.lit(None).cast("string")))
+    s = roads.vertex_segments(v, "way", "position", "x", "y", roads.snapped_node(F.col("x"), F.col("y")), ["oneway"])
+    return s.withColumn("seg", F.col("way") * 100 + F.col("part"))
+
+
+LATTICE = """vx AS (SELECT CAST(n_nationkey AS BIGINT) AS way, p AS part, CASE WHEN n_nationkey < 10 THEN p * 100.0 ELSE (n_nationkey - 10) * 100.0 END::DOUBLE AS x, CASE WHEN n_nationkey < 10 THEN n_nationkey * 100.0 ELSE p * 100.0 END::DOUBLE AS y
+  FROM nation, range(0, 11) a(p)),
+sg AS (SELECT * FROM (SELECT way, part, way * 100 + part AS seg, x AS e1, y AS n1, lead(x) OVER w AS e2, lead(y) OVER w AS n2,
+  CASE WHEN way % 5 = 0 THEN 1 WHEN way % 5 = 1 THEN -1 WHEN way % 5 = 2 THEN 0 WHEN way % 7 = 3 THEN 1 ELSE 0 END AS oneway FROM vx WINDOW w AS (PARTITION BY way ORDER BY part)) WHERE e2 IS NOT NULL),
+lt AS (SELECT *, CAST(e1 * 2 AS BIGINT) || ':' || CAST(n1 * 2 AS BIGINT) AS node1, CAST(e2 * 2 AS BIGINT) || ':' || CAST(n2 * 2 AS BIGINT) AS node2, sqrt((e2-e1)*(e2-e1)+(n2-n1)*(n2-n1)) AS length, atan2(n2-n1, e2-e1) AS psi FROM sg)"""
+
+
+@query(f"WITH {LATTICE} SELECT way, part, oneway, node1, node2, round(length, 6) AS length, round(psi, 6) AS psi FROM lt")
+def q31_road_graph(spark, sf_dir):
+    return _lattice(spark, sf_dir).select("way", "part", "oneway", "node1", "node2", r("length").alias("length"), r("psi").alias("psi"))
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key, (key * 37 % 1000 + key % 10 / 16).alias("e"), (key * 53 % 1000 + key % 7 / 16).alias("n"), (key % 63 / 10 - 3.1).alias("psi_v"), (key % 5).cast("double").alias("speed")
+    )
+
+
+POINTS = "pt AS (SELECT c_custkey, c_custkey * 37 % 1000 + c_custkey % 10 / 16.0::DOUBLE AS e, c_custkey * 53 % 1000 + c_custkey % 7 / 16.0::DOUBLE AS n, c_custkey % 63 / 10.0::DOUBLE - 3.1::DOUBLE AS psi_v, CAST(c_custkey % 5 AS DOUBLE) AS speed FROM customer)"
+NEAR = f"""{LATTICE}, {POINTS}, pj AS (SELECT pt.*, lt.seg, lt.psi, lt.oneway, least(greatest(((e-e1)*(e2-e1)+(n-n1)*(n2-n1))/greatest((e2-e1)*(e2-e1)+(n2-n1)*(n2-n1), 1e-9), 0), 1) AS f, e1, n1, e2, n2 FROM pt, lt),
+pf AS (SELECT *, e1 + f*(e2-e1) AS foot_e, n1 + f*(n2-n1) AS foot_n, sqrt(pow(e-(e1+f*(e2-e1)), 2)+pow(n-(n1+f*(n2-n1)), 2)) AS d FROM pj),
+nr AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(d, 6), seg) AS rank FROM pf WHERE d <= 60)"""
+
+
+def _near(spark, sf_dir) -> DataFrame:
+    s = _lattice(spark, sf_dir).select("seg", "e1", "n1", "e2", "n2", "psi", "oneway")
+    pairs = roads.nearby(_points(spark, sf_dir).withColumn("c_custkey", F.col("c_custkey")), s, "c_custkey", "seg", 60.0)
+    return roads.nearest(pairs.withColumn("distance", F.round("distance", 6)), "c_custkey", "seg", 12)
+
+
+@query(f"WITH {NEAR} SELECT c_custkey, seg, round(f, 6) AS fraction, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM nr WHERE rank <= 12")
+def q32_nearby_segments(spark, sf_dir):
+    return _near(spark, sf_dir).select("c_custkey", "seg", r("fraction").alias("fraction"), "distance", "rank")
+
+
+@query(f"""WITH RECURSIVE {LATTICE}, ed AS (SELECT node1 AS a, node2 AS b, length FROM lt UNION ALL SELECT node2, node1, length FROM lt),
+st AS (SELECT s_suppkey AS source, CAST(s_suppkey % 10 * 200 AS BIGINT) || ':' || CAST(s_suppkey % 7 * 200 AS BIGINT) AS node, s_suppkey % 4 * 10.0::DOUBLE AS d FROM supplier WHERE s_suppkey <= 40),
+wk AS (SELECT source, node, d FROM st UNION SELECT wk.source, ed.b, wk.d + ed.length FROM wk JOIN ed ON ed.a = wk.node WHERE wk.d + ed.length <= 350)
+SELECT source, node, round(min(d), 6) AS distance FROM wk GROUP BY ALL""")
+def q33_bounded_shortest_path(spark, sf_dir):
+    s, key = _lattice(spark, sf_dir), F.col("s_suppkey")
+    node = F.concat_ws(":", (key % 10 * 200).cast("long"), (key % 7 * 200).cast("long"))
+    starts = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(key.alias("source"), node.alias("node"), (key % 4 * 10.0).alias("distance"))
+    found = roads.bounded_distances(starts, s.select(F.col("node1").alias("a"), F.col("node2").alias("b"), "length"), 350.0)
+    return found.select("source", "node", r("distance").alias("distance"))
+
+
+@query(f"""WITH {NEAR}, hd AS (SELECT *, CASE WHEN oneway = 1 THEN psi WHEN oneway = -1 THEN {wrap('psi + pi()')} WHEN abs({wrap('psi_v - psi')}) <= abs({wrap(f"psi_v - {wrap('psi + pi()')}")}) THEN psi ELSE {wrap('psi + pi()')} END AS rp FROM nr WHERE rank <= 12),
+sc AS (SELECT *, -0.5 * pow(round(d, 6) / 20.0, 2) - CASE WHEN speed > 2 THEN 0.5 * pow(abs({wrap('psi_v - rp')}) / radians(25.0), 2) ELSE 0 END AS score FROM hd),
+po AS (SELECT *, exp(score - max(score) OVER w) AS x FROM sc WINDOW w AS (PARTITION BY c_custkey)),
+pr AS (SELECT *, x / sum(x) OVER (PARTITION BY c_custkey) AS posterior FROM po)
+SELECT c_custkey, seg, round(posterior, 6) AS posterior FROM pr""")
+def q34_hmm_posterior(spark, sf_dir):
+    pairs = _near(spark, sf_dir).withColumnsRenamed({"psi": "road", "psi_v": "psi"})
+    out = roads.posterior(roads.emission_scores(pairs, F.lit(20.0)), "c_custkey", "seg")
+    return out.select("c_custkey", "seg", r("posterior").alias("posterior"))
+
+
+def _street_map() -> list[dict]:
+    """The lattice as the bounded map of one area, for kernels."""
+    out = []
+    for way in range(25):
+        for p in range(10):
+            ends = [(q * 100.0, way * 100.0) if way < 10 else ((way - 10) * 100.0, q * 100.0) for q in (p, p + 1)]
+            (e1, n1), (e2, n2) = ends
+            out.append({"e1": e1, "n1": n1, "e2": e2, "n2": n2, "node1": ends[0], "node2": ends[1], "length": 100.0, "psi": math.atan2(n2 - n1, e2 - e1), "oneway": 0})
+    return out
+
+
+@query()
+def q35_hmm_match(spark, sf_dir):
+    i = F.col("i")
+    p = events(spark, sf_dir).select("trip", i.cast("double").alias("t"), (i * 12.0 % 900).alias("e"), (F.col("trip") % 10 * 100.0 + F.col("k") % 9 - 4).alias("n"), F.lit(0.0).alias("psi"), F.lit(12.0).alias("speed"), F.lit(12.0).alias("travelled"), F.lit(5.0).alias("std"))
+    return keyed.match_roads(p, "trip", _street_map())
+
+
+@query()
+def q36_gnss_monitor(spark, sf_dir):
+    i, k = F.col("i"), F.col("k")
+    t = F.sum(F.when(k % 13 == 0, 40.0).when(k % 5 == 0, 9.0).otherwise(1.0)).over(Window.partitionBy("trip").orderBy("i"))
+    fixes = events(spark, sf_dir).select(
+        "trip", t.alias("t"), (i * 10.0 + F.when(k % 10 == 7, 300.0).otherwise(0.0)).alias("e"), F.lit(0.0).alias("n"), F.lit(10.0).alias("speed"),
+        F.when(k % 17 != 0, 3.0 + k % 25).alias("accuracy"), F.when(k % 10 == 7, 500.0).otherwise(F.col("k") % 15 * 1.0).alias("surprise"), F.lit(10.0).alias("own_speed"),
+    )
+    return keyed.monitor_fixes(fixes, "trip")
+
+
+def _frames(ev: DataFrame) -> DataFrame:
+    """Drives east at ten frames a second, a fix every tenth frame but for an outage, true speed at hand."""
+    ev = ev.select("trip", "i", "k", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    i = F.col("i") * 10 + F.col("j")
+    fix = F.struct((i * 1.2).alias("e"), (F.col("k") % 5 - 2.0).alias("n"), F.lit(12.0).alias("speed"), F.lit(90.0).alias("heading"), F.lit(5.0).alias("accuracy"))
+    return ev.select(
+        "trip", (i * 0.1).alias("t"), ((F.col("k") % 3 - 1) * 0.1).alias("ax"), F.lit(0.0).alias("ay"), F.lit(9.8).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), ((F.col("k") % 7 - 3) * 0.001).alias("gz"),
+        F.when((F.col("j") == 0) & ~F.col("i").between(20, 30), fix).alias("fix"), F.lit(12.0).alias("true_speed"),
+    )
+
+
+@query()
+def q37_filter_run(spark, sf_dir):
+    return keyed.navigate(_frames(events(spark, sf_dir)), "trip", use_model=False).select("trip", "t", "east", "north", "speed", "psi", "position_std")
+
+
+@query()
+def q38_navigation(spark, sf_dir):
+    return keyed.navigate(_frames(events(spark, sf_dir)), "trip", segments=_street_map())
+
+
+@query(f"""WITH {EV}, s AS (SELECT trip, value, abs(value - lag(value) OVER (PARTITION BY trip ORDER BY i)) AS d FROM ev)
+SELECT trip, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(d), 6) AS mean_abs_diff, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95 FROM s GROUP BY trip""")
+def q39_window_stats(spark, sf_dir):
+    lists = events(spark, sf_dir).groupBy("trip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
+    s = lists.select("trip", motion.window_stats(F.col("v")).alias("s")).select("trip", "s.*")
+    return s.select("trip", *[r(c).alias(c) for c in s.columns if c != "trip"])
+
+
+@query(f"""WITH {EV}, c AS (SELECT event_id, (k % 12) * 0.06 AS b, CASE WHEN k % 9 = 0 THEN NULL ELSE (k % 20) * 1.0 END AS g FROM ev)
+SELECT event_id, CASE WHEN g IS NULL THEN 'gravity is not finite' WHEN g NOT BETWEEN 5 AND 15 THEN 'gravity is out of range' WHEN NOT b < 0.5 THEN 'gyro bias is out of range' END AS problem FROM c""")
+def q40_calibration_validate(spark, sf_dir):
+    k = F.col("k")
+    g = F.when(k % 9 != 0, k % 20 * 1.0)
+    text = F.to_json(F.struct(
+        F.struct(*[(k % 12 * 0.06 if n == "gx" else F.lit(0.0)).alias(n) for n in ("gx", "gy", "gz")]).alias("gyro_bias_rad_s"),
+        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), g.alias("z")).alias("resting_gravity_vector"),
+    ))
+    return events(spark, sf_dir).select("event_id", tables.calibration_problem(F.from_json(text, tables.CALIBRATION)).alias("problem"))
+
+
+@query(f"WITH {LATTICE} SELECT DISTINCT way FROM vx WHERE x BETWEEN 150 AND 350 AND y BETWEEN 450 AND 720")
+def q41_bbox_clip(spark, sf_dir):
+    s = _lattice(spark, sf_dir)
+    ends = F.struct(F.col("e1").alias("e"), F.col("n1").alias("n")), F.struct(F.col("e2").alias("e"), F.col("n2").alias("n"))
+    lines = s.groupBy("way").agg(F.flatten(F.collect_list(F.array(*ends))).alias("coords"))
+    return roads.clip_lines(lines, "coords", 150.0, 350.0, 450.0, 720.0).select("way")
+
+
+@query(f"""WITH {SCORES} SELECT trip, start, round(distance_m, 4) AS distance_m FROM sc WHERE valid ORDER BY sc.distance_m DESC, trip, start LIMIT 6""")
+def q42_longest_outages(spark, sf_dir):
+    return outages.longest(_scores(events(spark, sf_dir)), "trip").select("trip", "start", r("distance_m", 4).alias("distance_m"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders), n AS (SELECT * FROM o WHERE o_orderkey % 3 = 0)
+SELECT o_orderkey, o_totalprice AS price FROM o WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, -o_totalprice FROM n""")
+def q42b_upsert(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return outages.upsert(o, o.where("o_orderkey % 3 = 0").withColumn("price", -F.col("price")), ["o_orderkey"])
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) WHERE nth = 1""")
+def q43_latest_by_key(spark, sf_dir):
+    return outages.latest_by(table(spark, sf_dir, "orders"), ["o_custkey"], F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query(f"""WITH {EV} SELECT trip, i, coalesce(last_value(CASE WHEN k % 4 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY i), 0.0) AS filled,
+coalesce(lag(value, 3) OVER (PARTITION BY trip ORDER BY i), first_value(value) OVER (PARTITION BY trip ORDER BY i)) AS shifted FROM ev""")
+def q44_fill_and_shift(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumn("course", F.when(F.col("k") % 4 == 0, F.col("value")))
+    ev = alignment.forward_fill(ev, "trip", "i", "course", 0.0, "filled")
+    return alignment.clamped_shift(ev, "trip", "i", "value", 3, "shifted").select("trip", "i", "filled", "shifted")
+
+
+@query(f"""WITH {ISLANDS} SELECT a.trip, a.i, b.value AS reference FROM isl a JOIN isl b ON a.trip = b.trip AND b.i = greatest(a.i - 4, a.run_start) WHERE a.run_start >= 0""")
+def q45_reference_lookback(spark, sf_dir):
+    return validity.reference_lookback(_islands(events(spark, sf_dir)).where("run_start >= 0"), "trip", "i", "value", 4).select("trip", "i", "reference")
+
+
+@query(f"""WITH {EV} SELECT trip, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n FROM ev WHERE i < 18 GROUP BY trip""")
+def q46_stationary_calibration(spark, sf_dir):
+    return events(spark, sf_dir).where("i < 18").groupBy("trip").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"), F.count("*").alias("n"))
+
+
+@query("""SELECT round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(1000 / avg(value), 6) AS frames_per_s, round(1000 / 10.0 / avg(value), 6) AS realtime_factor FROM events""")
+def q47_latency_statistics(spark, sf_dir):
+    s = outages.latency_statistics(table(spark, sf_dir, "events"), "value", 10.0)
+    return s.select(*[r(c).alias(c) for c in s.columns])
+
+
+@query(f"""WITH {EV}, s AS (SELECT trip, avg(value) + 5 * avg(k) AS score, count(*) AS n FROM ev GROUP BY trip) SELECT trip AS best, round(score, 6) AS score, (SELECT max(abs(value - k)) FROM ev) AS max_abs_diff FROM s ORDER BY s.score, trip LIMIT 1""")
+def q48_model_selection(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    s = ev.groupBy("trip").agg((F.avg("value") + 5 * F.avg("k")).alias("score"))
+    best = s.agg(F.min(F.struct("score", "trip")).alias("x")).select(F.col("x.trip").alias("best"), r("x.score").alias("score"))
+    return best.crossJoin(ev.agg(F.max(F.abs(F.col("value") - F.col("k"))).alias("max_abs_diff")))  # one row each
+
+
+@query(f"""WITH {EV}, lg AS (SELECT trip, min(t) AS lo, max(t) AS hi FROM ev WHERE kind = 'view' GROUP BY trip), rg AS (SELECT trip, min(t) AS lo, max(t) AS hi FROM ev WHERE kind = 'click' GROUP BY trip)
+SELECT trip, count(*) AS n FROM (SELECT trip, unnest(range(CAST(ceil(greatest(lg.lo, rg.lo) / 21600.0) AS BIGINT), CAST(ceil(least(lg.hi, rg.hi) / 21600.0) AS BIGINT))) FROM lg JOIN rg USING (trip)) GROUP BY trip""")
+def q49_series_overlap(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    both = alignment.series_overlap(ev.where("kind = 'view'"), ev.where("kind = 'click'"), "trip", "t")
+    return alignment.common_grid(both, "trip", "low", "high", SIX_HOURS).groupBy("trip").agg(F.count("*").alias("n"))
+
+
+@query()
+def q50_route_points(spark, sf_dir):
+    ev = events(spark, sf_dir).select("trip", F.col("i").alias("idx"), (F.col("i") * 10.0).alias("e"), (F.col("k") * 1.0).alias("n"))
+    return keyed.route_points(ev, "trip", 75.0, 2)
+
+
+@query()
+def q51_synthetic_fixes(spark, sf_dir):
+    ev = events(spark, sf_dir).select("trip", F.col("i").alias("idx"), F.col("i").cast("double").alias("t"), (F.col("i") * 12.0).alias("e"), F.lit(0.0).alias("n"), F.lit(12.0).alias("speed"), F.lit(90.0).alias("heading"))
+    return keyed.synthetic_fixes(ev, "trip", seed=3)
+
+
+@query(f"""WITH {SCORES} SELECT trip, count(*) AS n_observations, count(DISTINCT start) AS n_outages, list(start ORDER BY start) AS starts FROM sc GROUP BY trip""")
+def q52_distinct_clusters(spark, sf_dir):
+    s = _scores(events(spark, sf_dir))
+    return s.groupBy("trip").agg(F.count("*").alias("n_observations"), F.countDistinct("start").alias("n_outages"), F.array_sort(F.collect_list("start")).alias("starts"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
