@@ -81,7 +81,7 @@ def read_normalisation(spark: SparkSession, path: str) -> DataFrame:
 
 def calibration_problem(c: Column) -> Column:
     """Why a parsed calibration is not acceptable; null if it is."""
-    bias = [c[f"gyro_bias_rad_s"][f] for f in ("gx", "gy", "gz")]
+    bias = [c["gyro_bias_rad_s"][f] for f in ("gx", "gy", "gz")]
     gravity = [c["resting_gravity_vector"][f] for f in ("x", "y", "z")]
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     every = lambda cs, f: f(cs[0]) & f(cs[1]) & f(cs[2])
@@ -115,7 +115,8 @@ def nested_report(rows: DataFrame) -> DataFrame:
     columns = [c for c in rows.columns if c not in ("trip", "scenario", "config")]
     outages = rows.groupBy("trip", "scenario", "config").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("outages"))
     configs = outages.groupBy("trip", "scenario").agg(F.map_from_entries(F.collect_list(F.struct("config", F.struct("outages")))).alias("configs"))
-    return configs.groupBy("trip").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("scenario", "configs")))).alias("report"))
+    scenarios = configs.groupBy("trip").agg(F.map_from_entries(F.collect_list(F.struct("scenario", "configs"))).alias("scenarios"))
+    return scenarios.select("trip", F.to_json(F.struct(F.create_map("trip", "scenarios").alias("trips"))).alias("report"))
 
 
 def markdown_rows(summary: DataFrame) -> DataFrame:
