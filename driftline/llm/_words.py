@@ -15,7 +15,7 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes handled at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_KEYS = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)

@@ -2,13 +2,17 @@
 
 A document's set holds its distinct shingles; two documents link when 100 * |intersection| >= ``percent`` * |union|.
 Equal sets are one class from the start. Two sets of a link share a shingle among the first
-``n - ceil(percent * n / 100) + 1`` of each under every order of all shingles, so only sets that share one under the
-first order *and* under the second are candidates. Both orders put frequent shingles last, so that a passage that many
-documents share leads to no candidates.
-
-Candidates are gathered in clusters, and clusters in blocks of up to ``BLOCK_SETS`` sets. Pairs of blocks that share
-prefix shingles under both orders are verified by counting common shingles as products of incidence matrices, which
-needs no row for a pair. Only a spanning forest of the links leaves a task, with each set's number of links.
+``n - ceil(percent * n / 100) + 1`` of each under every order of all shingles, and with prefixes made longer by a tenth
+of ``n`` they share that many more. Only sets that share as much under the first order *and* under the second are
+candidates. Both orders put frequent shingles last, so that a passage that many documents share leads to no candidates.
+
+The shingles that two prefixes share also bound the intersection from above: beyond the prefix that ends first, at
+most the rest of that set can be common. Pairs of sets that share shingles in at most ``LISTED`` sets are counted
+and must pass this bound under both orders. Sets with enough more frequent shingles
+to link by these alone are candidates too, but their pairs are never listed. All candidates are
+gathered in clusters, and large clusters in blocks of ``BLOCK_SETS`` sets. Clusters and pairs of blocks are verified by
+counting common shingles as products of incidence matrices, which needs no row for a pair. Only a spanning forest of
+the links leaves a task, with each set's number of links.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -28,6 +32,8 @@ from ._words import mix, shingle_sets
 WORDS = 5
 PERCENT = 80
 BLOCK_SETS = 64
+#: Shingles of up to so many sets are listed: pairs of their sets are counted one by one.
+LISTED = 96
 #: A shingle is frequent if it is in this share of the documents (at least in ``LEAST_FREQUENT``).
 #: At most (shingles a document) / share of them exist, so the table of them has a bound that the corpus cannot raise.
 #: It only sets the order of shingles: another table gives the same links.
@@ -39,10 +45,22 @@ BROADCAST_ROWS = 1_000_000
 #: What a shingle's hash is combined with before it is scrambled, for each order.
 ORDER_KEYS = (0, 0xA0761D6478BD642F)
 _COLUMNS = 1 << 14
+#: Shingles that a task counts at once.
+_HELD = 3_000_000
+
+
+def extension(n: int) -> int:
+    """By how many shingles a prefix is longer than it must be."""
+    return n // 10
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    """Shingles of a prefix: two linked sets share ``extension(n) + 1`` of them, n being the smaller set's size.
+
+    A set of a link has at most ``n - ceil(percent * n / 100)`` shingles that the other lacks, so the shared ones that
+    come first in the order, as many as the extension and one more, are in both prefixes.
+    """
+    return n - (percent * n + 99) // 100 + 1 + extension(n)
 
 
 class Orders:
@@ -52,15 +70,16 @@ class Orders:
         at = np.argsort(hashes)
         self.hashes, self.classes, self.percent = hashes[at], classes[at], percent
 
-    def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
+    def prefix(self, shingles: np.ndarray, order: int) -> tuple[np.ndarray, int]:
+        """The prefix of a set and the rank of its last shingle; ranks of a few shingles may be equal."""
         n = prefix_size(len(shingles), self.percent)
         key = ORDER_KEYS[order]
-        rank = shingles if key == 0 else mix(shingles ^ np.uint64(key))
+        rank = (shingles if key == 0 else mix(shingles ^ np.uint64(key))) >> np.uint64(7)
         if len(self.hashes):
             place = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-            level = np.where(self.hashes[place] == shingles, self.classes[place], 0)
-            return shingles[np.lexsort((rank, level))[:n]]
-        return shingles[:n] if key == 0 else shingles[np.argsort(rank)[:n]]
+            rank = rank | (np.where(self.hashes[place] == shingles, self.classes[place], 0).astype(np.uint64) << np.uint64(57))
+        at = np.argsort(rank, kind="stable")[:n]
+        return shingles[at], int(rank[at[-1]])
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -83,27 +102,33 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             )
 
         def often() -> pa.RecordBatch | None:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            own = held[:size]
+            own.sort()
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.diff(np.append(starts, size))
             found = counts >= 4
             m = int(found.sum())
-            return emit([None] * m, [None] * m, values[found].view(np.int64), counts[found]) if m else None
+            return emit([None] * m, [None] * m, own[starts[found]].view(np.int64), counts[found]) if m else None
 
-        held, size = [], 0
+        pa.default_memory_pool().release_unused()
+        held, size = np.empty(_HELD, dtype=np.uint64), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 keys, ns = [], []
                 for s in shingle_sets(_texts(part), k):
                     keys.append(set_key(s) if len(s) else None)
                     ns.append(len(s))
-                    held.append(s)
-                    size += len(s)
+                    for low in range(0, len(s), _HELD):
+                        some = s[low : low + _HELD]
+                        if size + len(some) > _HELD:
+                            if (out := often()) is not None:
+                                yield out
+                            size = 0
+                        held[size : size + len(some)] = some
+                        size += len(some)
                 yield emit(part.column(0).to_pylist(), keys, [None] * len(ns), ns)
-                if size > 4_000_000:
-                    if (out := often()) is not None:
-                        yield out
-                    held, size = [], 0
-        if held and (out := often()) is not None:
+        if size and (out := often()) is not None:
             yield out
 
     return docs.mapInArrow(run, "doc_id long, key long, h long, n long")
@@ -117,11 +142,24 @@ def _orders(profile: DataFrame, n_docs: int, percent: int):
     return profile.sparkSession.sparkContext.broadcast((found["h"].to_numpy(dtype=np.int64).view(np.uint64), classes, percent))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of ``h, s`` (distinct) the rows whose shingle other sets have too, with the least of these sets."""
-    of_h = Window.partitionBy("h")
-    rows = rows.withColumns({"least": F.min("s").over(of_h), "most": F.max("s").over(of_h)})
-    return rows.where(F.col("least") != F.col("most")).select("h", "s", "least")
+_ROWS = "h long, s long, n long, last long"
+
+
+def _prefix_rows(by: Orders, order: int, sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+    found = [by.prefix(x, order) for x in sets]
+    sizes = [len(h) for h, _ in found]
+    cols = [np.concatenate([h for h, _ in found]).view(np.int64)]
+    cols += [np.repeat(np.array(c, dtype=np.int64), sizes) for c in (keys, [len(x) for x in sets], [last for _, last in found])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "s", "n", "last"])
+
+
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """Of prefix rows those whose shingle other sets have too, with ``m``, the number of these sets, and the least."""
+    of = Window.partitionBy("h")
+    rows = rows.withColumns({"least": F.min("s").over(of), "most": F.max("s").over(of)}).where(F.col("least") != F.col("most"))
+    # a class of copies in several tasks comes from each of them
+    rows = rows.groupBy("h", "s").agg(*[F.first(c).alias(c) for c in ("n", "last", "least")])
+    return C.materialize(rows.withColumn("m", F.count("*").over(of)), name)
 
 
 def _first_prefixes(docs: DataFrame, orders, k: int) -> DataFrame:
@@ -129,22 +167,54 @@ def _first_prefixes(docs: DataFrame, orders, k: int) -> DataFrame:
         by, done = Orders(*orders.value), set()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                hs, ss = [], []
+                sets, keys = [], []
                 for s in shingle_sets(_texts(batch.slice(a, 256)), k):
                     key = set_key(s) if len(s) else None
-                    if key is None or key in done:
-                        continue
-                    done.add(key)
-                    hs.append(by.prefix(s, 0))
-                    ss.append(np.full(len(hs[-1]), key, dtype=np.int64))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ss))], ["h", "s"])
-
-    rows = docs.mapInArrow(run, "h long, s long")
-    # a set of copies in several tasks comes from each of them; its rows then meet in one place and count once
-    of = Window.partitionBy("h")
-    rows = rows.withColumns({"least": F.min("s").over(of), "most": F.max("s").over(of)})
-    return rows.where(F.col("least") != F.col("most")).select("h", "s", "least").distinct()
+                    if key is not None and key not in done:
+                        done.add(key)
+                        sets.append(s)
+                        keys.append(key)
+                if sets:
+                    yield _prefix_rows(by, 0, sets, keys)
+
+    return docs.mapInArrow(run, _ROWS)
+
+
+def _prefix_column(n: Column, percent: int) -> Column:
+    return n - F.floor((percent * n + 99) / 100) + 1 + F.floor(n / 10)
+
+
+def _needed(n: Column, percent: int) -> Column:
+    """Shingles that the prefix of a set of ``n`` shares with that of any set it links with."""
+    return F.floor(F.floor((percent * n + 99) / 100) / 10) + 1
+
+
+def _by_frequent(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of unlisted shingles of sets that have enough of them to link without a listed one."""
+    unlisted = rows.where(F.col("m") > LISTED)
+    enough = unlisted.groupBy("s").agg(F.count("*").alias("u"), F.first("n").alias("_n")).where(F.col("u") >= _needed(F.col("_n"), percent))
+    return unlisted.join(enough.select("s"), "s", "left_semi")
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b, c, bound``: pairs of sets that share listed shingles, and the most that they can have in common."""
+    small = rows.where(F.col("m") <= LISTED)
+    more = rows.where(F.col("m") > LISTED).groupBy("s").agg(F.count("*").alias("u"))
+    one = small.select("h", *[F.col(c).alias(f"{c}_a") for c in ("s", "n", "last")])
+    other = small.select("h", *[F.col(c).alias(f"{c}_b") for c in ("s", "n", "last")])
+    fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.col("s_a") < F.col("s_b"))
+    met = one.join(other, "h").where(fits).groupBy("s_a", "s_b", "n_a", "n_b", "last_a", "last_b").agg(F.count("*").alias("c"))
+    met = met.join(more.select(F.col("s").alias("s_a"), F.col("u").alias("u_a")), "s_a", "left").join(more.select(F.col("s").alias("s_b"), F.col("u").alias("u_b")), "s_b", "left")
+    rest = F.when(F.col("last_a") < F.col("last_b"), F.col("n_a") - _prefix_column(F.col("n_a"), percent)).when(
+        F.col("last_a") > F.col("last_b"), F.col("n_b") - _prefix_column(F.col("n_b"), percent)
+    ).otherwise(F.greatest(F.col("n_a") - _prefix_column(F.col("n_a"), percent), F.col("n_b") - _prefix_column(F.col("n_b"), percent)))
+    bound = F.col("c") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0))) + rest
+    bound = F.when(F.col("c") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0))) > F.floor(F.least("n_a", "n_b") / 10), bound).otherwise(0)
+    return met.select(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "n_a", "n_b", bound.alias("bound"))
+
+
+def _can_link(percent: int) -> Column:
+    return (100 + percent) * F.col("bound") >= percent * (F.col("n_a") + F.col("n_b"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -176,11 +246,21 @@ def _second_prefixes(sets: DataFrame, orders) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                hs = [by.prefix(np.frombuffer(v.as_py(), np.uint64), 1) for v in part.column(1)]
-                ss = np.repeat(part.column(0).to_numpy(), [len(h) for h in hs])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(ss)], ["h", "s"])
+                yield _prefix_rows(by, 1, [np.frombuffer(v.as_py(), np.uint64) for v in part.column(1)], part.column(0).to_pylist())
+
+    return sets.select("s", "shingles").mapInArrow(run, _ROWS)
+
 
-    return sets.select("s", "shingles").mapInArrow(run, "h long, s long")
+def _surviving(first: DataFrame, second: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``first`` that also pass the bound of the second order."""
+    large = second.where(F.col("m") > LISTED).groupBy("s").agg(F.count("*").alias("u"))
+    other = _candidates(second, percent).select("a", "b", F.col("bound").alias("bound_2"))
+    out = first.join(other, ["a", "b"], "left")
+    # pairs that share no listed shingle under the second order can only share frequent ones
+    out = out.join(large.select(F.col("s").alias("a"), F.col("u").alias("u_a")), "a", "left").join(large.select(F.col("s").alias("b"), F.col("u").alias("u_b")), "b", "left")
+    listed = F.col("bound_2").isNotNull() & ((100 + percent) * F.col("bound_2") >= percent * (F.col("n_a") + F.col("n_b")))
+    frequent = F.col("bound_2").isNull() & F.col("u_a").isNotNull() & F.col("u_b").isNotNull()
+    return out.where(listed | frequent).select("a", "b")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -242,27 +322,30 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("pack").applyInArrow(check, "s long, root long, n_links long")
 
 
-def _blocks(shared: DataFrame) -> DataFrame:
-    """``s, cluster, block, whole`` of each set in ``shared``; ``whole`` marks clusters of one block."""
-    clusters = connected_components(shared.select(F.col("s").alias("a"), F.col("least").alias("b")))
-    near = shared.groupBy("s").agg(F.min("h").alias("near"))
-    sets = clusters.withColumnRenamed("id", "s").withColumnRenamed("component", "cluster").join(near, "s")
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("size"))
-    few = sizes.where(F.col("size") <= BLOCK_SETS)
-    sets = sets.join(few.select("cluster", F.lit(True).alias("whole")), "cluster", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    small = sets.where("whole").select("s", "cluster", F.col("cluster").alias("block"), "whole")
-    nth = F.row_number().over(Window.partitionBy("cluster", "near").orderBy("s")) - 1
-    large = sets.where("not whole").withColumn("nth", F.floor(nth / BLOCK_SETS))
-    large = large.select("s", "cluster", F.xxhash64("cluster", "near", "nth").alias("block"), "whole")
-    return small.unionByName(large)
-
-
-def _block_pairs(shared: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of different blocks that share a shingle of ``shared``."""
+def _blocks(pairs: DataFrame, rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``s, block, whole`` of each set with a candidate; ``whole`` marks blocks that are a cluster of their own."""
+    stars = frequent.select(F.min("s").over(Window.partitionBy("h")).alias("a"), F.col("s").alias("b"))
+    clusters = connected_components(pairs.select("a", "b").unionAll(stars))
+    near = rows.groupBy("s").agg(F.min("h").alias("near"))
+    sets = C.materialize(clusters.select(F.col("id").alias("s"), F.col("component").alias("cluster")).join(near, "s"), "clusters")
+    large = sets.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_SETS)
+    sets = sets.join(large, "cluster", "left")
+    small = sets.where(F.col("size").isNull()).select("s", F.col("cluster").alias("block"), F.lit(True).alias("whole"))
+    # sets whose least shared shingles are close go together; the salt splits the order of a very large cluster
+    salt = F.pmod(F.xxhash64("near"), F.lit(16))
+    nth = F.floor((F.row_number().over(Window.partitionBy("cluster", "salt").orderBy("near", "s")) - 1) / BLOCK_SETS)
+    large = sets.where(F.col("size").isNotNull()).withColumn("salt", salt).withColumn("nth", nth)
+    return small.unionByName(large.select("s", F.xxhash64("cluster", "salt", "nth").alias("block"), F.lit(False).alias("whole")))
+
+
+def _block_pairs(pairs: DataFrame, frequent: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of different blocks with a candidate pair: a listed one, or sets that share a frequent shingle."""
     large = blocks.where("not whole").select("s", "block")
-    met = C.materialize(shared.select("h", "s").join(large, "s").select("h", "block").distinct(), "met")
-    other = met.withColumnRenamed("block", "b")
-    return met.withColumnRenamed("block", "a").join(other, "h").where("a < b").select("a", "b").distinct()
+    listed = pairs.join(large.select(F.col("s").alias("a"), F.col("block").alias("x")), "a").join(large.select(F.col("s").alias("b"), F.col("block").alias("y")), "b").select("x", "y")
+    met = C.materialize(frequent.select("h", "s").join(large, "s").select("h", "block").distinct(), "met")
+    unlisted = met.withColumnRenamed("block", "x").join(met.withColumnRenamed("block", "y"), "h").where("x < y").select("x", "y")
+    both = listed.where("x <> y").unionAll(unlisted)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,17 +364,17 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col
     of_docs = profile.where("h is null").select("doc_id", "key", "n")
     orders = _orders(profile, of_docs.count(), percent)
 
-    first = C.materialize(_first_prefixes(docs, orders, k), "prefixes")
+    first = _shared(_first_prefixes(docs, orders, k), "prefixes-1")
+    pairs = C.materialize(_candidates(first, percent).where(_can_link(percent)), "pairs-1")
+    frequent = C.materialize(_by_frequent(first, percent), "frequent")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionAll(frequent.select("s")).distinct()
     classes = of_docs.where("key is not null").groupBy(F.col("key").alias("s")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"))
-    wanted = C.materialize(classes.join(first.select("s").distinct(), "s"), "wanted")
+    wanted = C.materialize(classes.join(used, "s"), "wanted")
     sets = C.materialize(_sets(docs, wanted, k), "sets")
-    second = C.materialize(_shared(_second_prefixes(sets, orders)).distinct(), "prefixes-2")
-
-    both = C.materialize(first.join(second.select("s").distinct(), "s", "left_semi"), "prefixes-1")
-    both = both.withColumn("least", F.min("s").over(Window.partitionBy("h")))
-    blocks = C.materialize(_blocks(both), "blocks")
-    crossing = _block_pairs(both, blocks).intersect(_block_pairs(second, blocks))
-    crossing = C.materialize(crossing, "block-pairs")
+    second = _shared(_second_prefixes(sets, orders), "prefixes-2")
+    pairs = C.materialize(_surviving(pairs, second, percent), "pairs-2")
+    blocks = C.materialize(_blocks(pairs, first, frequent), "blocks")
+    crossing = C.materialize(_block_pairs(pairs, frequent, blocks), "block-pairs")
 
     packs = max(1, blocks.count() // 256)
     own = blocks.select("s", F.col("block").alias("pair"), F.lit(0).alias("side"), F.pmod(F.xxhash64("block"), F.lit(packs)).alias("pack"))
