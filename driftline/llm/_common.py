@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +90,28 @@ def release(df: DataFrame) -> None:
         _written[:] = [(s, p) for s, p in _written if p != path]
 
 
+#: Bytes of an Arrow batch where the session has Spark's default of 64 MB: rows are whole documents, and each task
+#: holds a batch in the JVM and in Python.
+BATCH_BYTES = 16 << 20
+
+
+def trim() -> None:
+    """Give freed memory back at the end of a task, since its Python worker serves other operators next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver found it by its own working folder."""
+    """Let Python workers import this package even if the driver found it by its own working folder.
+
+    Also lowers the session's Arrow batch size to ``BATCH_BYTES`` unless it was set to something else than the default.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.conf.get(name, None) or "").rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_driftline_shipped", False):
         return

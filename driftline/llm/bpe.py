@@ -21,7 +21,7 @@ from . import _common as C
 from ._vocab import PIECES, read_vocabulary, special_pattern, spelled, units
 
 #: Entries that a worker keeps of pre-tokens and of pair checks; the cache starts anew beyond it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 
 
 class PieceCache(dict):
@@ -198,5 +198,6 @@ def encode_documents(docs: DataFrame, vocab_path: str, with_ids: bool = True, id
                     cols += [pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        C.trim()
 
     return C.id_and_bytes(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -110,7 +110,6 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             m = int(found.sum())
             return emit([None] * m, [None] * m, own[starts[found]].view(np.int64), counts[found]) if m else None
 
-        pa.default_memory_pool().release_unused()
         held, size = np.empty(_HELD, dtype=np.uint64), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -130,6 +129,8 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 yield emit(part.column(0).to_pylist(), keys, [None] * len(ns), ns)
         if size and (out := often()) is not None:
             yield out
+        del held
+        C.trim()
 
     return docs.mapInArrow(run, "doc_id long, key long, h long, n long")
 
@@ -176,6 +177,7 @@ def _first_prefixes(docs: DataFrame, orders, k: int) -> DataFrame:
                         keys.append(key)
                 if sets:
                     yield _prefix_rows(by, 0, sets, keys)
+        C.trim()
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -233,6 +235,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 if keep:
                     at = pa.array(keep)
                     yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), pa.array(packed, pa.binary())], ["s", "n_docs", "shingles"])
+        C.trim()
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     found = docs.join(side, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "s", "n_docs")
@@ -247,6 +250,7 @@ def _second_prefixes(sets: DataFrame, orders) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 yield _prefix_rows(by, 1, [np.frombuffer(v.as_py(), np.uint64) for v in part.column(1)], part.column(0).to_pylist())
+        C.trim()
 
     return sets.select("s", "shingles").mapInArrow(run, _ROWS)
 

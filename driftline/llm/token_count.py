@@ -22,7 +22,7 @@ from . import _common as C
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 #: White space as the library's pattern sees it; str.split() takes the four separators for white space, too.
 SPACES = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
