@@ -33,7 +33,7 @@ from ._vocab import PIECES, byte_letters, spelled, units
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 19
-CACHE_ENTRIES = 650_000
+CACHE_ENTRIES = 600_000
 LEAST = -(1 << 63)
 FORMAT = (
     "shard long, seg long, before long, n_tokens long, doc_ids binary, doc_null binary, doc_sizes binary, "
@@ -93,11 +93,17 @@ class LibraryEncoder(dict):
         self.tokenize = self.lib.model.tokenize
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.blank = self.letters[32]
+        self.marks = {c: np.array(self.lib.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,;:!?|"}
 
     def __missing__(self, unit: str) -> bytes:
-        text = spelled(unit)
-        pieces = [text] if unit.isalpha() else PIECES.findall(text)
-        ids = [t.id for p in pieces for t in self.tokenize("".join(map(self.letters.__getitem__, p.encode("utf-8"))))]
+        mark = self.marks.get(unit[-1:])
+        if mark is not None and unit[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token of its own
+            return self[unit[:-1]] + mark
+        if unit.isascii() and unit.isalpha():
+            ids = [t.id for t in self.tokenize(self.blank + unit)]
+        else:
+            ids = [t.id for p in PIECES.findall(spelled(unit)) for t in self.tokenize("".join(map(self.letters.__getitem__, p.encode("utf-8"))))]
         out = self[unit] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
@@ -114,6 +120,13 @@ class LibraryEncoder(dict):
 _encoders: dict[str, LibraryEncoder] = {}
 
 
+def encoder(path: str) -> LibraryEncoder:
+    """One encoder per worker and vocabulary file, with its cache, for all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
+
+
 def write_token_file(docs: DataFrame, vocab_path: str, out: str, end_id: int = 2, percentile: float = 95.0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the token file to the folder ``out``.
 
@@ -124,9 +137,7 @@ def write_token_file(docs: DataFrame, vocab_path: str, out: str, end_id: int = 2
     C.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocab_path not in _encoders:
-            _encoders[vocab_path] = LibraryEncoder(vocab_path)
-        enc, end = _encoders[vocab_path], int(end_id).to_bytes(4, "little")
+        enc, end = encoder(vocab_path), int(end_id).to_bytes(4, "little")
         shard, seg, before = None, 0, 0
         ids: list[int | None] = []
         packed: list[bytes] = []
@@ -160,6 +171,7 @@ def write_token_file(docs: DataFrame, vocab_path: str, out: str, end_id: int = 2
                         ids, packed = [], []
         if ids:
             yield flush()
+        C.trim()
 
     order = F.coalesce("doc_id", F.lit(LEAST))
     (
@@ -171,30 +183,31 @@ def write_token_file(docs: DataFrame, vocab_path: str, out: str, end_id: int = 2
     )
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (packed little-endian uint32) of each document of a token file."""
+def _documents(spark: SparkSession, path: str, last: tuple[str, str], kind: pa.DataType, take) -> DataFrame:
+    """``doc_id, start, n_tokens`` and ``take(packed ids)`` of each document of a token file."""
     C.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 body = row["body"]
                 ids = np.concatenate([unpack_block(body, s) for s in np.frombuffer(row["block_starts"], "<u4").tolist()])
                 sizes = np.frombuffer(row["doc_sizes"], "<i8")
                 ends = np.cumsum(sizes)
                 docs = np.frombuffer(row["doc_ids"], "<i8").tolist()
-                base = row["start"]
-                for k in range(0, len(docs), 4096):
-                    e, z = ends[k : k + 4096], sizes[k : k + 4096]
+                for low in range(0, len(docs), 4096):
+                    e, z = ends[low : low + 4096], sizes[low : low + 4096]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([None if n else i for i, n in zip(docs[k : k + 4096], row["doc_null"][k : k + 4096], strict=True)], pa.int64()),
-                            pa.array(base + e - z, pa.int64()),
+                            pa.array([None if n else i for i, n in zip(docs[low : low + 4096], row["doc_null"][low : low + 4096], strict=True)], pa.int64()),
+                            pa.array(row["start"] + e - z, pa.int64()),
                             pa.array(z, pa.int64()),
-                            pa.array([ids[b - m : b].tobytes() for b, m in zip(e.tolist(), z.tolist(), strict=True)], pa.binary()),
+                            pa.array([take(ids[b - m : b].tobytes()) for b, m in zip(e.tolist(), z.tolist(), strict=True)], kind),
                         ],
-                        ["doc_id", "start", "n_tokens", "ids"],
+                        ["doc_id", "start", "n_tokens", last[0]],
                     )
+        C.trim()
 
     segments = spark.read.schema(FORMAT).parquet(path)
     # One row per shard, that is, per write task: small whatever the corpus, so it may be broadcast and put in one order.
@@ -204,16 +217,15 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     return (
         segments.join(F.broadcast(shards), "shard")
         .select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "doc_null", "doc_sizes", "block_starts", "body")
-        .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+        .mapInArrow(run, f"doc_id long, start long, n_tokens long, {last[0]} {last[1]}")
     )
 
 
-def digest_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document of a token file."""
+def read_token_file(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (packed little-endian uint32) of each document of a token file."""
+    return _documents(spark, path, ("ids", "binary"), pa.binary(), bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_py()) for x in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_token_file(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest_token_file(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of each document of a token file."""
+    return _documents(spark, path, ("ids_crc32", "long"), pa.int64(), zlib.crc32)
