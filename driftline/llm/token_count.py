@@ -1,10 +1,10 @@
 """Token counts (operator 9) by the tokenizers library, with overlap resynchronisation for huge documents.
 
 A document over ``chunk`` characters is encoded in chunks that overlap. Two neighbouring encodings are spliced at a
-stable common boundary: a place in the overlap where both start a new pre-token, the left one having seen a further
-character. The pre-tokenizer reads from left to right without look-behind, so from such a place on both encodings go
-the same way, and everything before it is settled in the left one. Where the overlap has no such place, it is widened
-until it has one or the document ends. Shorter documents are cut at white space, and the library normalises and
+stable common boundary: a place in the overlap where both start a new pre-token and which white space or a digit proves
+to be a border whatever stands around it, the left one having seen a further character. From such a place on both
+encodings go the same way, and everything before it is settled in the left one. Where the overlap has no such place,
+it is widened until it has one or the document ends. Shorter documents are cut at white space, and the library normalises and
 encodes each word once per cache.
 """
 
@@ -25,9 +25,18 @@ OVERLAP_CHARS = 256
 CACHE_ENTRIES = 400_000
 #: White space as the library's pattern sees it; str.split() takes the four separators for white space, too.
 SPACES = regex.compile(r"\p{White_Space}+")
+_DIGITS = frozenset("0123456789")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _stable(text: str, p: int) -> bool:
+    """Whether what stands around ``p`` alone proves that a pre-token ends and another starts there.
+
+    No pre-token has white space, and a digit is one of its own, whatever stands before or after.
+    """
+    return (text[p - 1].isspace() and not _SEPARATORS.match(text[p - 1])) or text[p - 1] in _DIGITS or text[p] in _DIGITS
+
+
 class Counter:
     """Token counts of one vocabulary file."""
 
@@ -81,7 +90,7 @@ class Counter:
                 begin = max(at, end - back)
                 right_end = min(n, begin + self.chunk + overlap)
                 right, right_counts = self._view(text, begin, right_end)
-                common = sorted(p for p in set(left).intersection(right) if begin < p < end)
+                common = sorted(p for p in set(left).intersection(right) if begin < p < end and _stable(text, p))
                 if common:
                     break
                 if begin == at:  # the whole left part has no stable place: one longer part instead
@@ -126,6 +135,13 @@ class Counter:
 _counters: dict[tuple, Counter] = {}
 
 
+def shared_counter(*key) -> Counter:
+    """One counter per worker and parameters, with its cache, for all tasks that the worker runs."""
+    if key not in _counters:
+        _counters[key] = Counter(*key)
+    return _counters[key]
+
+
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row, in any order.
 
@@ -135,10 +151,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048, chunk: int
     C.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocab_path, chunk, overlap)
-        if key not in _counters:
-            _counters[key] = Counter(*key)
-        counter = _counters[key]
+        counter = shared_counter(vocab_path, chunk, overlap)
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
