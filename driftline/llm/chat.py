@@ -335,7 +335,6 @@ def compile_template(source: str) -> Callable[[Iterator[dict]], Iterator[tuple[s
     return render
 
 
-_compiled: dict[str, Callable] = {}
 _PARTS = "conv_id long, part long, text string, spans array<struct<start:int,end:int>>"
 
 
@@ -368,8 +367,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML) -> DataFrame:
     C.ship(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if template not in _compiled:
-            _compiled[template] = compile_template(template)
+        render = compile_template(template)
         held: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
@@ -379,7 +377,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML) -> DataFrame:
 
         for conv, group in _groups(batches):
             messages = ({"role": r[2], "text": r[3]} for r in group)
-            for k, (text, spans) in enumerate(_compiled[template](messages)):
+            for k, (text, spans) in enumerate(render(messages)):
                 held.append((conv, k, text, spans))
                 if len(held) == 1024:
                     yield emit()
