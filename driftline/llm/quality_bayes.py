@@ -1,6 +1,6 @@
 """Quality classifier (operator 3): hierarchical empirical Bayes over documents, paths and hosts.
 
-1. Every document gets shares of character classes, its length and mean word length.
+1. Every document gets shares of character classes, its length, mean word length and how well it packs.
 2. A ridge logistic regression, fitted on a bounded sample of labelled rows, turns them into evidence: the log-odds of
    good quality less the log-odds of the training rows, a log likelihood ratio.
 3. Expected good documents are summed by host and by path within host, over all documents. Rates of sparse hosts are
@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ KEEP_AT = 0.5
 
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\x0b\x0c\r", "#", "$", "%", "&", "*", "|", "!", "?", ".", ",", ";:", "<>", "[](){}", "=+/\\^~`", "@", "\"'", "-_")
 N_CLASSES = len(CLASSES) + 3
-N_FEATURES = N_CLASSES + 2
+N_FEATURES = N_CLASSES + 3
 
 
 def _class_table() -> np.ndarray:
@@ -52,15 +53,20 @@ def features(texts: list[bytes]) -> np.ndarray:
         if not t:
             continue
         counts, words, previous = np.zeros(N_CLASSES), 0, True
+        packer, packed = zlib.compressobj(1), 0
         for k in range(0, len(t), 1 << 22):
             data = np.frombuffer(t, np.uint8, min(1 << 22, len(t) - k), k)
             counts += np.bincount(table[data], minlength=N_CLASSES)
             space = (data == 32) | ((data >= 9) & (data <= 13))
             words += int(np.count_nonzero(~space[1:] & space[:-1])) + int(previous and not space[0])
             previous = bool(space[-1])
+            packed += len(packer.compress(t[k : k + (1 << 22)]))
+        packed += len(packer.flush())
         out[i, :N_CLASSES] = np.sqrt(counts / len(t))
         out[i, N_CLASSES] = np.log1p(words) / 10
         out[i, N_CLASSES + 1] = min(len(t) / max(words, 1), 100) / 10
+        # how little is left of repeated text; the constant is what packing costs a short text
+        out[i, N_CLASSES + 2] = np.log(packed / (len(t) + 20))
     return out
 
 
