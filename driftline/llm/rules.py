@@ -24,9 +24,9 @@ STOP_WORDS = (
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 14.0),
     ("symbol_ratio", None, 0.10),
-    ("stop_word_ratio", 0.015, None),
+    ("stop_word_ratio", 0.01, None),
     ("upper_ratio", None, 0.45),
-    ("dup_line_ratio", None, 0.30),
+    ("dup_line_ratio", None, 0.70),
     ("bullet_line_ratio", None, 0.90),
     ("ellipsis_line_ratio", None, 0.30),
     ("shout_word_ratio", None, 0.20),
