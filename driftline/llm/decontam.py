@@ -124,7 +124,8 @@ def _check_slots(docs: DataFrame, items: DataFrame, candidates: DataFrame, windo
     )
     told = each.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_slots"),
-        F.avg(((F.col("n") == 1) | (F.col("own") == 1)).cast("double")).alias("slot_consistency"),
+        # a copy with all of the item's own values is verbatim, whatever else shares the template
+        F.when(F.min("own") == 1, 1.0).otherwise(F.avg((F.col("n") == 1).cast("double"))).alias("slot_consistency"),
         F.min("own").alias("own"),
     )
     told = told.withColumnsRenamed({"doc_id": "d", "item_id": "i"})
