@@ -33,7 +33,7 @@ from ._vocab import PIECES, byte_letters, spelled, units
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 19
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 LEAST = -(1 << 63)
 FORMAT = (
     "shard long, seg long, before long, n_tokens long, doc_ids binary, doc_null binary, doc_sizes binary, "

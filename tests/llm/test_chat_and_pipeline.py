@@ -20,13 +20,10 @@ def test_language(source, want):
     assert render(source, y="Y", z=False, list=[1, 2], d={"k": "w"}) == want
 
 
-@pytest.mark.parametrize("source", ["{{ a() }}", "{{ a.__class__.x }", "{{ a | eval }}", "{% for a %}{% endfor %}", "{% if a %}", "{{ 'x' }", "{% import os %}", "{{ a b }}", "{{ }}", "{{ not }}"])
+@pytest.mark.parametrize("source", ["{{ a() }}", "{{ a | eval }}", "{% for a %}{% endfor %}", "{% if a %}", "{% import os %}", "{{ a b }}", "{{ }}", "{{ not }}", "{{ a + }}", "{% set a %}"])
 def test_what_is_refused(source):
-    if source == "{{ a.__class__.x }" or source == "{{ 'x' }":
-        assert render(source) == source  # not a tag
-    else:
-        with pytest.raises(chat.TemplateError):
-            chat.compile_template(source)
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source)
 
 
 def test_no_attributes_of_objects():
@@ -69,8 +66,7 @@ def test_round_trip(spark):
 def test_pipeline_against_its_parts(spark, sf_dir):
     import corpus_pipeline as P
     from driftline.llm import decontam, pii
-
-    from .test_join import brute
+    from test_join import brute
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, stages = zip(*P.STAGES, strict=True)
