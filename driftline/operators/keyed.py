@@ -69,7 +69,9 @@ def run_by_key(df: DataFrame, key: str, order: list[str], make: Callable[[], obj
         if held:
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in held], schema=arrow)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out_schema)
+    # a given number of partitions: adaptive execution would merge them by their bytes, but the work is in the kernels
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(run, out_schema)
 
 
 def _decimate(kernel, row):
