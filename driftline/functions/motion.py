@@ -61,7 +61,11 @@ def normalise(values: Column, mean: Column, std: Column) -> Column:
 
 def transpose(matrix: Column, width: int) -> Column:
     """Rows of a matrix as columns."""
-    return F.array(*[F.transform(matrix, lambda row, i=i: row[i]) for i in range(width)])
+
+    def column(i: int) -> Column:
+        return F.transform(matrix, lambda row: row[i])
+
+    return F.array(*[column(i) for i in range(width)])
 
 
 def variance(log_variance: Column) -> Column:
