@@ -10,6 +10,7 @@ text, and the result is the exact merge result. Decoding looks up every id's byt
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,7 +22,7 @@ from . import _common as C
 from ._vocab import PIECES, read_vocabulary, special_pattern, spelled, units
 
 #: Entries that a worker keeps of pre-tokens and of pair checks; the cache starts anew beyond it.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 
 
 class PieceCache(dict):
@@ -36,6 +37,27 @@ class PieceCache(dict):
         return out
 
 
+class UnitCache(dict):
+    """Unit between white space to packed ids. A mark after a letter or digit is a pre-token of its own, so units that
+    end with one are put together from the rest and the mark, and not kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+        self.marks = {c: encode(c.encode()) for c in ".,;:!?|"}
+
+    def __missing__(self, unit: str) -> bytes:
+        mark = self.marks.get(unit[-1:])
+        if mark is not None and unit[-2:-1].isalnum():
+            return self[unit[:-1]] + mark
+        if unit.isascii() and unit.isalpha():
+            out = self.encode(b" " + unit.encode())
+        else:
+            out = b"".join([self.encode(p.encode("utf-8")) for p in PIECES.findall(spelled(unit))])
+        self[unit] = out
+        return out
+
+
 class BacktrackingEncoder:
     """Exact BPE of one vocabulary by longest matches and pair compatibility."""
 
@@ -55,8 +77,8 @@ class BacktrackingEncoder:
         for i in usable:
             self.automaton.add_word(self.tokens[i].decode("latin-1"), (i, len(self.tokens[i])))
         self.automaton.make_automaton()
-        self.cache = PieceCache(self._packed)
-        self.unit_cache = PieceCache(lambda unit: b"".join(map(self.cache.__getitem__, PIECES.findall(spelled(unit)))))
+        self.cache = PieceCache(lambda piece: self._packed(piece.encode("utf-8")))
+        self.unit_cache = UnitCache(self._packed)
 
     def _whole(self, token: int) -> bool:
         """Whether the token's own bytes encode to it: no better merge crosses the place where its halves meet."""
@@ -90,7 +112,7 @@ class BacktrackingEncoder:
         key = (left, right)
         found = self.known.get(key)
         if found is None:
-            if len(self.known) >= CACHE_ENTRIES:
+            if len(self.known) >= CACHE_ENTRIES // 2:
                 self.known.clear()
             found = self.known[key] = self._apart(left, right, 1 << 60)
         return found
@@ -124,13 +146,14 @@ class BacktrackingEncoder:
                 shorter = self.shorter[token]
             token = shorter
 
-    def _packed(self, piece: str) -> bytes:
-        return np.array(self.encode_bytes(piece.encode("utf-8")), dtype="<u4").tobytes()
+    def _packed(self, piece: bytes) -> bytes:
+        ids = self.encode_bytes(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; special strings in it give their ids."""
-        for cache in (self.cache, self.unit_cache):
-            if len(cache) >= CACHE_ENTRIES:
+        for cache, most in ((self.cache, CACHE_ENTRIES // 8), (self.unit_cache, CACHE_ENTRIES)):
+            if len(cache) >= most:
                 cache.clear()
         get = self.cache.__getitem__
         if not any(s in text for s in self.special):
