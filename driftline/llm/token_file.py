@@ -18,6 +18,7 @@ and their (id - minimum) in full (uint32). The width covers ``percentile`` of th
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -42,6 +43,39 @@ FORMAT = (
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("last", "<u2"), ("n_out", "<u2")])
 
 
+@functools.lru_cache(maxsize=64)
+def _layout(n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``n`` values of ``width`` bits: the 32-bit word and the bit where each begins, and the first value of each word."""
+    place = np.arange(n, dtype=np.int64) * width
+    word = place >> 5
+    return word, (place & 31).astype(np.uint64), np.flatnonzero(np.diff(word, prepend=-1))
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, one after the other from the lowest bit on."""
+    n = len(values)
+    if width == 0:
+        return b""
+    _, bit, firsts = _layout(n, width)
+    wide = (values.astype(np.uint64) & np.uint64((1 << width) - 1)) << bit
+    words = np.zeros(len(firsts) + 1, dtype=np.uint64)
+    words[:-1] = np.add.reduceat(wide & np.uint64(0xFFFFFFFF), firsts)  # bits of values do not overlap
+    words[1:] += np.add.reduceat(wide >> np.uint64(32), firsts)
+    return words.astype("<u4").tobytes()[: (n * width + 7) // 8]
+
+
+def _unpacked(body: bytes, start: int, n: int, width: int) -> np.ndarray:
+    if width == 0:
+        return np.zeros(n, dtype=np.uint32)
+    word, bit, firsts = _layout(n, width)
+    size = (n * width + 7) // 8
+    words = np.zeros(len(firsts) + 1, dtype="<u4")
+    words.view(np.uint8)[:size] = np.frombuffer(body, np.uint8, size, start)
+    wide = words.astype(np.uint64)
+    pairs = wide[:-1] | (wide[1:] << np.uint64(32))
+    return ((pairs[word] >> bit) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def pack_blocks(ids: np.ndarray, percentile: float) -> tuple[bytes, np.ndarray]:
     """The blocks of ``ids`` and where each begins."""
     parts, starts, at = [], [], 0
@@ -52,9 +86,8 @@ def pack_blocks(ids: np.ndarray, percentile: float) -> tuple[bytes, np.ndarray]:
         nth = min(len(rest) - 1, int(len(rest) * percentile / 100))
         width = int(np.partition(rest, nth)[nth]).bit_length()
         places = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-        bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
         head = np.array([(low, width, len(block) - 1, len(places))], dtype=HEAD)
-        part = head.tobytes() + np.packbits(bits, bitorder="little").tobytes() + places.astype("<u2").tobytes() + rest[places].astype("<u4").tobytes()
+        part = head.tobytes() + _packed(rest, width) + places.astype("<u2").tobytes() + rest[places].astype("<u4").tobytes()
         starts.append(at)
         parts.append(part)
         at += len(part)
@@ -65,12 +98,8 @@ def unpack_block(body: bytes, start: int) -> np.ndarray:
     """The ids of the block that begins at ``start``."""
     low, width, last, n_out = np.frombuffer(body, HEAD, 1, start)[0].tolist()
     at, n = start + HEAD.itemsize, last + 1
-    size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(body, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-    full = np.zeros((n, 32), dtype=np.uint8)
-    full[:, :width] = bits
-    rest = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel().copy()
-    at += size
+    rest = _unpacked(body, at, n, width)
+    at += (n * width + 7) // 8
     rest[np.frombuffer(body, "<u2", n_out, at)] = np.frombuffer(body, "<u4", n_out, at + 2 * n_out)
     return rest + np.uint32(low)
 
