@@ -92,7 +92,7 @@ def release(df: DataFrame) -> None:
 
 #: Bytes of an Arrow batch where the session has Spark's default of 64 MB: rows are whole documents, and each task
 #: holds a batch in the JVM and in Python.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def trim() -> None:
@@ -110,7 +110,8 @@ def ship(spark: SparkSession) -> None:
     Also lowers the session's Arrow batch size to ``BATCH_BYTES`` unless it was set to something else than the default.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if (spark.conf.get(name, None) or "").rstrip("b") == str(64 << 20):
+    # asked for without a default of ours, an unset entry gives Spark's default; with None it would give None
+    if spark.conf.get(name).lower().rstrip("b") == str(64 << 20):
         spark.conf.set(name, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_driftline_shipped", False):

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from driftline.llm import bpe, token_count, token_file
+from driftline.llm import _common, bpe, token_count, token_file
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LETTERS = "abcdeSTXİǨéÅßſ \n\t\x1c\x85 　é1２Ⅷ½'sdtllverem<|>endoftext🎉日本.,;:!?|"
@@ -112,3 +113,24 @@ def test_count_tokens(docs, no_docs, rows):
         want.append((i, len((text or "").encode()), n, n > 2048))
     assert got == sorted(want, key=str)
     assert token_count.count_tokens(no_docs, WORD).count() == 0
+
+
+def test_arrow_batches_are_bounded(spark):
+    """An unset batch size becomes ``BATCH_BYTES``, and tasks get such batches; one that was set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    _common.ship(spark)
+    assert spark.conf.get(name) == str(_common.BATCH_BYTES)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS text")
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 1.5 * _common.BATCH_BYTES
+    try:
+        spark.conf.set(name, "1000000")
+        _common.ship(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
