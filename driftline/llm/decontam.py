@@ -6,6 +6,10 @@ joined with the benchmark's. For each document and item whose shared windows rea
 words that stand at placeholders of shared windows are compared: a verbatim copy has the item's values, and a
 re-parameterised copy has other values, but maps each value of the item to one value. A text that merely shares a
 template with unrelated values is left alone.
+
+Names are told by their capitals, so a copy whose case was changed has other placeholders. Each text therefore has a
+second view, which is case-folded and keeps names as plain words. It counts where the first view does not reach
+``least_share``.
 """
 
 from __future__ import annotations
@@ -42,6 +46,18 @@ def canonical_words(text: Column) -> Column:
     return _without_punctuation(F.coalesce(measured, counted))
 
 
+def folded(text: Column) -> Column:
+    """The text without differences of case: ``ß`` and ``SS`` are equal too."""
+    return F.lower(F.upper(text))
+
+
+def folded_words(text: Column) -> Column:
+    """As :func:`canonical_words` for a folded text, with names as plain words."""
+    counted = F.regexp_replace(text, _NUMBER, NUMBER)
+    measured = F.when(F.contains(counted, F.lit(NUMBER)), F.regexp_replace(counted, rf"({NUMBER} ?)(?:{UNITS.lower()})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
+    return _without_punctuation(F.coalesce(measured, counted))
+
+
 def plain_words(text: Column) -> Column:
     """As :func:`canonical_words` with the values at the placeholders: a number or unit keeps its letters and digits."""
     spaced = F.regexp_replace(text, rf"([0-9] ?)(?:%|€)(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
@@ -56,14 +72,32 @@ def _windows(words: Column, window: int) -> Column:
     return let(words, of)
 
 
+def _placed(df: DataFrame, key: str, window: int) -> DataFrame:
+    """``key, row, view, i, h, n_plain, values`` of each window of both views: 0 canonical, 1 folded.
+
+    ``values`` are the plain words at the window's placeholders in order, none where the words do not align.
+    """
+    marks = "[" + NUMBER + UNIT + NAME + "]"
+    text = F.col("text")
+    views = df.select(key, F.xxhash64("text").alias("row"), F.explode(F.array(
+        F.struct(F.lit(0).alias("view"), canonical_words(text).alias("w"), plain_words(text).alias("v")),
+        F.struct(F.lit(1).alias("view"), folded_words(folded(text)).alias("w"), plain_words(folded(text)).alias("v")),
+    )).alias("x")).select(key, "row", "x.*")
+    at = views.select(key, "row", "view", "w", "v", F.posexplode(_windows(F.col("w"), window)).alias("i", "h"))
+    here = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get("w", F.col("i") + k).rlike(marks).alias("marked"), F.get("v", F.col("i") + k).alias("v")))
+    slots = F.filter(here, lambda x: x["marked"])
+    return at.withColumn("slots", slots).select(
+        key, "row", "view", "i", "h",
+        (F.lit(window) - F.size("slots")).alias("n_plain"),
+        F.when(F.size("w") == F.size("v"), F.transform("slots", lambda x: x["v"])).otherwise(F.array().cast("array<string>")).alias("values"),
+    )
+
+
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
-    """``item_id, h, n_windows``: distinct windows of each item with two plain words or more."""
-    marks = [NUMBER, UNIT, NAME]
-    words = items.select("item_id", canonical_words(F.col("text")).alias("w"))
-    at = words.select("item_id", F.posexplode(_windows(F.col("w"), window)).alias("i", "h"), "w")
-    plain = F.size(F.filter(F.slice("w", F.col("i") + 1, window), lambda x: ~x.rlike("[" + "".join(marks) + "]")))
-    found = at.where(plain >= 2).select("item_id", "h").distinct()
-    return found.join(found.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
+    """``item_id, view, j, h, counted, item_values, n_windows``: each item's windows; those of two plain words count."""
+    at = _placed(items, "item_id", window).select("item_id", "view", F.col("i").alias("j"), "h", (F.col("n_plain") >= 2).alias("counted"), F.col("values").alias("item_values"))
+    n = at.where("counted").groupBy("item_id", "view").agg(F.count_distinct("h").alias("n_windows"))
+    return at.join(n, ["item_id", "view"])
 
 
 def _bounded(df: DataFrame, name: str) -> DataFrame:
@@ -82,58 +116,58 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_
     """
     docs = C.id_and_text(docs)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bench = _bounded(_item_windows(items, window), "bench-windows")
-    seen = docs.select("doc_id", F.explode(_windows(canonical_words(F.col("text")), window)).alias("h"))
+    of_items = C.materialize(_item_windows(items, window), "item-windows")
+    bench = _bounded(of_items.where("counted").select("item_id", "view", "h", "n_windows").distinct(), "bench-windows")
+    text = F.col("text")
+    both = F.array_distinct(F.concat(_windows(canonical_words(text), window), _windows(folded_words(folded(text)), window)))
+    seen = docs.select("doc_id", F.explode(both).alias("h"))
     shared = (
         seen.join(bench, "h")
-        .groupBy("doc_id", "item_id", "n_windows", "h").agg(F.lit(1).alias("one"))
-        .groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("n_shared"))
-        .withColumn("share", F.col("n_shared") / F.col("n_windows"))
-        .where(F.col("share") >= least_share)
+        .groupBy("doc_id", "item_id", "view", "n_windows", "h").agg(F.lit(1).alias("one"))
+        .groupBy("doc_id", "item_id", "view", "n_windows").agg(F.count("*").alias("n_shared"))
+        .where(F.col("n_shared") / F.col("n_windows") >= least_share)
     )
-    candidates = C.materialize(shared, "candidates")
-    return _check_slots(docs, items, candidates, window, least_consistency)
+    candidates = C.materialize(shared.select("doc_id", "item_id").distinct(), "candidates")
+    return _check_slots(docs, of_items, candidates, window, least_share, least_consistency)
 
 
-def _check_slots(docs: DataFrame, items: DataFrame, candidates: DataFrame, window: int, least_consistency: float) -> DataFrame:
-    marks = "[" + NUMBER + UNIT + NAME + "]"
+def _places(window: int) -> Column:
+    """The groups of matches that a match belongs to: all of its document."""
+    return F.array(F.struct(F.lit(0).cast("long").alias("row"), F.lit(-1).alias("width"), F.lit(0).alias("at")))
 
-    def slots(df: DataFrame, key: str) -> DataFrame:
-        """Window hash and the values at its placeholders; windows without placeholders are left out."""
-        words = df.select(key, canonical_words(F.col("text")).alias("w"), plain_words(F.col("text")).alias("v"))
-        words = words.where(F.size("w") == F.size("v")).where(F.exists("w", lambda x: x.rlike(marks)))
-        at = words.select(key, "w", "v", F.posexplode(_windows(F.col("w"), window)).alias("i", "h"))
-        kept = F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.when(F.get("w", F.col("i") + k).rlike(marks), F.struct(k.alias("k"), F.get("v", F.col("i") + k).alias("v")))),
-            lambda x: x.isNotNull(),
-        )
-        return at.select(key, "h", F.explode(kept).alias("s")).select(key, "h", F.col("s.k").alias("k"), F.col("s.v").alias("v")).distinct()
 
+def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, window: int, least_share: float, least_consistency: float) -> DataFrame:
     few = candidates.count() <= BROADCAST_ROWS
     mark = F.broadcast if few else (lambda x: x)
-    wanted = docs.join(mark(candidates.select("doc_id").distinct()), docs["doc_id"].eqNullSafe(candidates["doc_id"]), "left_semi")
-    of_docs = slots(wanted, "doc_id")
-    of_items = slots(items, "item_id").withColumnRenamed("v", "item_v")
-    pairs = (
-        of_docs.withColumnRenamed("doc_id", "d").join(mark(candidates.select("doc_id", "item_id")), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
-        .join(of_items, ["item_id", "h", "k"])
-        .select("doc_id", "item_id", "item_v", "v").distinct()
+    # a table of its own, so that windows are made of these documents only
+    wanted = C.materialize(docs.join(mark(candidates.select(F.col("doc_id").alias("d")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"), "suspects")
+    pairs = candidates.select(F.col("doc_id").alias("d"), "item_id")
+    met = _placed(wanted, "doc_id", window).join(mark(pairs), F.col("doc_id").eqNullSafe(F.col("d"))).join(of_items, ["item_id", "view", "h"])
+    values = F.filter(F.arrays_zip(F.col("item_values").alias("item_v"), F.col("values").alias("v")), lambda x: x["item_v"].isNotNull() & x["v"].isNotNull())
+    met = met.select("doc_id", "item_id", "view", "n_windows", F.when(F.col("counted"), F.col("h")).alias("h"), F.explode(_places(window)).alias("place"), values.alias("values"))
+    met = met.withColumn("value", F.explode_outer("values"))
+    of = [(F.col("view") == k) for k in (0, 1)]
+    told = met.groupBy("doc_id", "item_id", "place").agg(
+        *[F.size(F.collect_set(F.when(of[k], F.col("h")))).alias(f"n_{k}") for k in (0, 1)],
+        *[F.max(F.when(of[k], F.col("n_windows"))).alias(f"of_{k}") for k in (0, 1)],
+        *[F.collect_set(F.when(of[k], F.col("value"))).alias(f"values_{k}") for k in (0, 1)],
     )
-    each = pairs.groupBy("doc_id", "item_id", "item_v").agg(
-        F.count("*").alias("n"), F.max((F.col("v") == F.col("item_v")).cast("int")).alias("own")
-    )
-    told = each.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_slots"),
-        # a copy with all of the item's own values is verbatim, whatever else shares the template
-        F.when(F.min("own") == 1, 1.0).otherwise(F.avg((F.col("n") == 1).cast("double"))).alias("slot_consistency"),
-        F.min("own").alias("own"),
-    )
-    told = told.withColumnsRenamed({"doc_id": "d", "item_id": "i"})
-    out = candidates.join(told, candidates["doc_id"].eqNullSafe(told["d"]) & (candidates["item_id"] == told["i"]), "left").drop("d", "i")
-    out = out.select(
-        "doc_id", "item_id", "n_shared", "n_windows", "share",
-        F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"),
-        F.coalesce("slot_consistency", F.lit(1.0)).alias("slot_consistency"),
-        F.when(F.coalesce("own", F.lit(1)) == 1, "verbatim").otherwise("reparameterised").alias("kind"),
+    reached = [F.coalesce(F.col(f"n_{k}") / F.col(f"of_{k}") >= least_share, F.lit(False)) for k in (0, 1)]
+    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "values")])
+    item_values = F.array_distinct(F.transform("values", lambda x: x["item_v"]))
+    told = told.withColumn("slots", F.transform(item_values, lambda i: F.transform(F.filter("values", lambda x: x["item_v"] == i), lambda x: x["v"] == i)))
+    told = told.withColumns({
+        "n_slots": F.size("slots").cast("long"),
+        "own": F.forall("slots", lambda s: F.exists(s, lambda x: x)),
+        "single": F.size(F.filter("slots", lambda s: F.size(s) == 1)),
+    })
+    # a copy with all of the item's own values is verbatim, whatever else shares the template
+    told = told.withColumn("slot_consistency", F.when(F.col("own"), 1.0).otherwise(F.col("single") / F.col("n_slots")))
+    told = told.where(F.col("slot_consistency") >= least_consistency)
+    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("own", "slot_consistency", "n", "n_slots", "of")).alias("x"))
+    return best.select(
+        "doc_id", "item_id",
+        F.col("x.n").cast("long").alias("n_shared"), F.col("x.of").alias("n_windows"), (F.col("x.n") / F.col("x.of")).alias("share"),
+        "x.n_slots", "x.slot_consistency",
+        F.when(F.col("x.own"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
-    return out.where(F.col("slot_consistency") >= least_consistency)

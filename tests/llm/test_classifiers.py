@@ -93,6 +93,22 @@ def test_decontamination(spark, docs, no_docs):
     assert decontam.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_of_changed_case(spark):
+    german = "Anna und Otto gehen um 5 Uhr auf der langen Straße von Bonn nach Köln und zählen dort 12 große Schiffe am Ufer."
+    items = spark.createDataFrame([(0, ITEM), (1, german)], "item_id long, text string")
+    rows = [(1, f"Before it. {ITEM.upper()} After it."), (2, f"x {ITEM.lower()} y"), (3, f"x {ITEM.title()} y"), (4, f"SO. {german.upper()} DA."), (5, "THE OLD TRAIN AND THE WIDE VALLEY " * 9)]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 1)} and all(r.kind == "verbatim" for r in got.values())
+
+
+def test_all_items_are_found_in_capitals(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = items.selectExpr("item_id AS doc_id", "concat('Some words before. ', upper(text), ' and after.') AS text")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    want = {(r.item_id, r.item_id) for r in items.collect() if len((r.text or "").split()) >= decontam.WINDOW + 2}
+    assert want and want <= found
+
+
 def test_decontamination_plan_is_native(spark, docs):
     items = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
     plan = decontam.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
