@@ -5,7 +5,9 @@ with typed placeholders, dropping punctuation and lower-casing. Windows of ``win
 joined with the benchmark's. For each document and item whose shared windows reach ``least_share`` of the item's, the
 words that stand at placeholders of shared windows are compared: a verbatim copy has the item's values, and a
 re-parameterised copy has other values, but maps each value of the item to one value. A text that merely shares a
-template with unrelated values is left alone.
+template with unrelated values is left alone. Each place that has ``least_share`` by itself is judged by itself, so
+several variants of an item in one document do not hide each other; the document as a whole is judged too, for copies
+that are torn apart.
 
 Names are told by their capitals, so a copy whose case was changed has other placeholders. Each text therefore has a
 second view, which is case-folded and keeps names as plain words. It counts where the first view does not reach
@@ -26,41 +28,48 @@ LEAST_CONSISTENCY = 0.8
 #: Benchmark windows, or candidate pairs, up to which a side may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 #: Typed placeholders: characters for private use, so that no text has them.
-NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
+NUMBER, UNIT, NAME, NAME_END = "\ue001", "\ue002", "\ue003", "\ue004"
 UNITS = "kilograms|grams|kilometers|kilometres|meters|metres|miles|hours|minutes|seconds|percent|dollars|euros|days|weeks|years|months|kg|mg|km|cm|mm|mph|ml|min|usd|eur|g|m|l|h|s|%|€|°C|°F"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] .)[\p{L}\p{M}]*"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 _SPACES = r"\s+"
+_MARKS = "[" + NUMBER + UNIT + NAME + "]"
 
 
 def _without_punctuation(text: Column) -> Column:
-    words = F.split(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NUMBER}{UNIT}{NAME}]+", ""), _SPACES)
+    words = F.split(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NUMBER}{UNIT}{NAME}{NAME_END}]+", ""), _SPACES)
     return F.filter(words, lambda w: w != "")
 
 
-def canonical_words(text: Column) -> Column:
-    """The words of a text with placeholders. They stand at the same places as in :func:`plain_words`."""
-    named = F.regexp_replace(text, _NAME, NAME)
-    counted = F.regexp_replace(named, _NUMBER, NUMBER)
-    measured = F.when(F.contains(counted, F.lit(NUMBER)), F.regexp_replace(counted, rf"({NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
-    return _without_punctuation(F.coalesce(measured, counted))
-
-
 def folded(text: Column) -> Column:
     """The text without differences of case: ``ß`` and ``SS`` are equal too."""
     return F.lower(F.upper(text))
 
 
-def folded_words(text: Column) -> Column:
-    """As :func:`canonical_words` for a folded text, with names as plain words."""
-    counted = F.regexp_replace(text, _NUMBER, NUMBER)
-    measured = F.when(F.contains(counted, F.lit(NUMBER)), F.regexp_replace(counted, rf"({NUMBER} ?)(?:{UNITS.lower()})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
+def marked_words(text: Column) -> Column:
+    """The words of a text with placeholders for numbers and units, and marks around names.
+
+    They stand at the same places as in :func:`plain_words`. Both views are made from them.
+    """
+    named = folded(F.regexp_replace(text, _NAME, f"{NAME}$0{NAME_END}"))
+    counted = F.regexp_replace(named, _NUMBER, NUMBER)
+    measured = F.when(F.contains(counted, F.lit(NUMBER)), F.regexp_replace(counted, rf"({NUMBER} ?{NAME}?)(?:{UNITS.lower()})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
     return _without_punctuation(F.coalesce(measured, counted))
 
 
+def canonical_words(words: Column) -> Column:
+    """Marked words with a placeholder for each name."""
+    return F.transform(words, lambda w: F.when(F.contains(w, F.lit(NAME)), F.concat(F.lit(NAME), F.substring_index(w, NAME_END, -1))).otherwise(w))
+
+
+def folded_words(words: Column) -> Column:
+    """Marked words with names as plain words."""
+    return F.transform(words, lambda w: F.when(F.contains(w, F.lit(NAME)), F.translate(w, NAME + NAME_END, "")).otherwise(w))
+
+
 def plain_words(text: Column) -> Column:
-    """As :func:`canonical_words` with the values at the placeholders: a number or unit keeps its letters and digits."""
-    spaced = F.regexp_replace(text, rf"([0-9] ?)(?:%|€)(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    """As :func:`folded_words` with the values at the placeholders: a number or unit keeps its letters and digits."""
+    spaced = F.regexp_replace(folded(text), rf"([0-9] ?)(?:%|€)(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
     return _without_punctuation(spaced)
 
 
@@ -73,29 +82,29 @@ def _windows(words: Column, window: int) -> Column:
 
 
 def _placed(df: DataFrame, key: str, window: int) -> DataFrame:
-    """``key, row, view, i, h, n_plain, values`` of each window of both views: 0 canonical, 1 folded.
+    """``key, row, view, i, h, w, v`` of each window of both views: 0 canonical, 1 folded.
 
-    ``values`` are the plain words at the window's placeholders in order, none where the words do not align.
+    ``w`` and ``v`` are its words and plain words; the latter are empty where the two do not stand at the same places.
     """
-    marks = "[" + NUMBER + UNIT + NAME + "]"
-    text = F.col("text")
-    views = df.select(key, F.xxhash64("text").alias("row"), F.explode(F.array(
-        F.struct(F.lit(0).alias("view"), canonical_words(text).alias("w"), plain_words(text).alias("v")),
-        F.struct(F.lit(1).alias("view"), folded_words(folded(text)).alias("w"), plain_words(folded(text)).alias("v")),
-    )).alias("x")).select(key, "row", "x.*")
-    at = views.select(key, "row", "view", "w", "v", F.posexplode(_windows(F.col("w"), window)).alias("i", "h"))
-    here = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get("w", F.col("i") + k).rlike(marks).alias("marked"), F.get("v", F.col("i") + k).alias("v")))
-    slots = F.filter(here, lambda x: x["marked"])
-    return at.withColumn("slots", slots).select(
-        key, "row", "view", "i", "h",
-        (F.lit(window) - F.size("slots")).alias("n_plain"),
-        F.when(F.size("w") == F.size("v"), F.transform("slots", lambda x: x["v"])).otherwise(F.array().cast("array<string>")).alias("values"),
-    )
+    words = df.select(key, F.xxhash64("text").alias("row"), marked_words(F.col("text")).alias("m"), plain_words(F.col("text")).alias("v"))
+    words = words.withColumn("v", F.when(F.size("m") == F.size("v"), F.col("v")).otherwise(F.array().cast("array<string>")))
+    views = F.array(F.struct(F.lit(0).alias("view"), canonical_words(F.col("m")).alias("w")), F.struct(F.lit(1).alias("view"), folded_words(F.col("m")).alias("w")))
+    words = words.select(key, "row", "v", F.explode(views).alias("x")).select(key, "row", "v", "x.*")
+    # parts are cut out before the rows are made, so that no row carries all words of its text
+    parts = F.transform(_windows(F.col("w"), window), lambda h, i: F.named_struct(F.lit("h"), h, F.lit("w"), F.slice("w", i + 1, window), F.lit("v"), F.slice("v", i + 1, window)))
+    return words.select(key, "row", "view", F.posexplode(parts).alias("i", "x")).select(key, "row", "view", "i", "x.*")
+
+
+def _values(window: int) -> Column:
+    """The plain words at a window's placeholders, in order."""
+    here = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get("w", k).rlike(_MARKS).alias("marked"), F.get("v", k).alias("v")))
+    return F.transform(F.filter(here, lambda x: x["marked"]), lambda x: x["v"])
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
     """``item_id, view, j, h, counted, item_values, n_windows``: each item's windows; those of two plain words count."""
-    at = _placed(items, "item_id", window).select("item_id", "view", F.col("i").alias("j"), "h", (F.col("n_plain") >= 2).alias("counted"), F.col("values").alias("item_values"))
+    plain = F.size(F.filter("w", lambda x: ~x.rlike(_MARKS)))
+    at = _placed(items, "item_id", window).select("item_id", "view", F.col("i").alias("j"), "h", (plain >= 2).alias("counted"), _values(window).alias("item_values"))
     n = at.where("counted").groupBy("item_id", "view").agg(F.count_distinct("h").alias("n_windows"))
     return at.join(n, ["item_id", "view"])
 
@@ -112,14 +121,14 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_
     ``kind`` is ``verbatim`` where every compared slot has the item's own value, otherwise ``reparameterised``.
     Null or empty texts and items of fewer words than a window have no windows and match nothing. Repeated documents
     of one id count as one document, whose windows are those of all its rows; repeated items likewise. Further columns
-    are ignored. Empty tables give an empty result.
+    are ignored. Empty tables give an empty result. The figures of a pair are those of its best place, or of the whole
+    document where that is better.
     """
     docs = C.id_and_text(docs)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     of_items = C.materialize(_item_windows(items, window), "item-windows")
     bench = _bounded(of_items.where("counted").select("item_id", "view", "h", "n_windows").distinct(), "bench-windows")
-    text = F.col("text")
-    both = F.array_distinct(F.concat(_windows(canonical_words(text), window), _windows(folded_words(folded(text)), window)))
+    both = let(marked_words(F.col("text")), lambda m: F.array_distinct(F.concat(_windows(canonical_words(m), window), _windows(folded_words(m), window))))
     seen = docs.select("doc_id", F.explode(both).alias("h"))
     shared = (
         seen.join(bench, "h")
@@ -132,8 +141,17 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_
 
 
 def _places(window: int) -> Column:
-    """The groups of matches that a match belongs to: all of its document."""
-    return F.array(F.struct(F.lit(0).cast("long").alias("row"), F.lit(-1).alias("width"), F.lit(0).alias("at")))
+    """The groups of matches that a match belongs to.
+
+    One is all of its document. The others are occurrences in one row: a copy's windows have the same distance
+    between their places in the document and in the item, and up to ``window`` words more or less in a changed copy.
+    """
+    def group(row: Column, width: int, at: Column) -> Column:
+        return F.struct(row.alias("row"), F.lit(width).alias("width"), at.cast("int").alias("at"))
+
+    shift = F.col("i") - F.col("j")
+    near = F.transform(F.sequence(F.lit(0), F.lit(window)), lambda k: group(F.col("row"), window, shift - k))
+    return F.concat(F.array(group(F.lit(0).cast("long"), -1, F.lit(0)), group(F.col("row"), 0, shift)), near)
 
 
 def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, window: int, least_share: float, least_consistency: float) -> DataFrame:
@@ -143,7 +161,7 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
     wanted = C.materialize(docs.join(mark(candidates.select(F.col("doc_id").alias("d")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"), "suspects")
     pairs = candidates.select(F.col("doc_id").alias("d"), "item_id")
     met = _placed(wanted, "doc_id", window).join(mark(pairs), F.col("doc_id").eqNullSafe(F.col("d"))).join(of_items, ["item_id", "view", "h"])
-    values = F.filter(F.arrays_zip(F.col("item_values").alias("item_v"), F.col("values").alias("v")), lambda x: x["item_v"].isNotNull() & x["v"].isNotNull())
+    values = F.filter(F.zip_with("item_values", _values(window), lambda x, y: F.named_struct(F.lit("item_v"), x, F.lit("v"), y)), lambda x: x["item_v"].isNotNull() & x["v"].isNotNull())
     met = met.select("doc_id", "item_id", "view", "n_windows", F.when(F.col("counted"), F.col("h")).alias("h"), F.explode(_places(window)).alias("place"), values.alias("values"))
     met = met.withColumn("value", F.explode_outer("values"))
     of = [(F.col("view") == k) for k in (0, 1)]

@@ -109,6 +109,28 @@ def test_all_items_are_found_in_capitals(spark, sf_dir):
     assert want and want <= found
 
 
+def test_variants_in_one_document(spark):
+    twice = "Anna has 3 red apples in the old basket and Otto has 4 red apples in the old basket so how many red apples are in the old basket of both?"
+    again = "then Anna gave Otto 3 pears and so Otto gave Anna 3 plums while we saw Anna and then Otto eat the rest of them at home"
+    items = spark.createDataFrame([(0, ITEM), (1, twice), (2, again)], "item_id long, text string")
+
+    def variant(city, name, km, hours):
+        return ITEM.replace("Boston", city).replace("Anna", name).replace("5 km", f"{km} km").replace("12", str(hours))
+
+    first, second = variant("Lyon", "Marie", 8, 31), variant("Paris", "Otto", 9, 44)
+    names = iter("Ida Jan Kai Lea Max Nina Olga Paul Rosa Sven Tim Uwe".split())
+    mixed = [re.sub("Anna|Otto", lambda m: next(names), again) for _ in range(2)]  # no place maps a name to one name
+    rows = [
+        (1, f"1. {first} 2. {second} End."),
+        (2, f"x {first} y " + "nothing of the kind " * 50 + second[:80]),
+        (3, "z " + twice.replace("Anna", "Marie").replace("Otto", "Paul").replace("3", "7").replace("4", "9")),
+        (4, f"x {mixed[0]} y {mixed[1]} z"),
+        (5, first), (5, second),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 1), (5, 0)} and all(r.kind == "reparameterised" and r.slot_consistency == 1.0 for r in got.values())
+
+
 def test_decontamination_plan_is_native(spark, docs):
     items = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
     plan = decontam.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
