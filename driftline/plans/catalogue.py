@@ -548,16 +548,26 @@ def q32_nearby_segments(spark, sf_dir):
     return _near(spark, sf_dir).select("c_custkey", "seg", r("fraction").alias("fraction"), "distance", "rank")
 
 
+def _shortest_paths(spark, sf_dir, which) -> DataFrame:
+    s, key = _lattice(spark, sf_dir), F.col("s_suppkey")
+    node = F.concat_ws(":", (key % 10 * 200).cast("long"), (key % 7 * 200).cast("long"))
+    starts = table(spark, sf_dir, "supplier").where(which).select(key.alias("source"), node.alias("node"), (key % 4 * 10.0).alias("distance"))
+    found = roads.bounded_distances(starts, s.select(F.col("node1").alias("a"), F.col("node2").alias("b"), "length"), 350.0)
+    return found.select("source", "node", r("distance").alias("distance"))
+
+
 @query(f"""WITH RECURSIVE {LATTICE}, ed AS (SELECT node1 AS a, node2 AS b, length FROM lt UNION ALL SELECT node2, node1, length FROM lt),
 st AS (SELECT s_suppkey AS source, CAST(s_suppkey % 10 * 200 AS BIGINT) || ':' || CAST(s_suppkey % 7 * 200 AS BIGINT) AS node, s_suppkey % 4 * 10.0::DOUBLE AS d FROM supplier WHERE s_suppkey <= 40),
 wk AS (SELECT source, node, d FROM st UNION SELECT wk.source, ed.b, wk.d + ed.length FROM wk JOIN ed ON ed.a = wk.node WHERE wk.d + ed.length <= 350)
 SELECT source, node, round(min(d), 6) AS distance FROM wk GROUP BY ALL""")
 def q33_bounded_shortest_path(spark, sf_dir):
-    s, key = _lattice(spark, sf_dir), F.col("s_suppkey")
-    node = F.concat_ws(":", (key % 10 * 200).cast("long"), (key % 7 * 200).cast("long"))
-    starts = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(key.alias("source"), node.alias("node"), (key % 4 * 10.0).alias("distance"))
-    found = roads.bounded_distances(starts, s.select(F.col("node1").alias("a"), F.col("node2").alias("b"), "length"), 350.0)
-    return found.select("source", "node", r("distance").alias("distance"))
+    return _shortest_paths(spark, sf_dir, F.col("s_suppkey") <= 40)
+
+
+@query()
+def q53_bounded_shortest_path_all(spark, sf_dir):
+    """As q33 from all suppliers, which its recursive SQL does not have."""
+    return _shortest_paths(spark, sf_dir, F.lit(True))
 
 
 @query(f"""WITH {NEAR}, hd AS (SELECT *, CASE WHEN oneway = 1 THEN psi WHEN oneway = -1 THEN {wrap('psi + pi()')} WHEN abs({wrap('psi_v - psi')}) <= abs({wrap(f"psi_v - {wrap('psi + pi()')}")}) THEN psi ELSE {wrap('psi + pi()')} END AS rp FROM nr WHERE rank <= 12),

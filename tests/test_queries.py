@@ -55,3 +55,25 @@ def test_entry():
 def test_no_cross_join_and_pruned_columns(spark, sf_dir, name):
     plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_shortest_paths_of_all_suppliers(spark):
+    """Against brute-force Dijkstra, at a size with more suppliers than q33 starts from."""
+    import heapq
+
+    sf_dir = "/root/testdata/sf0.01"
+    near = {}
+    for row in catalogue._lattice(spark, sf_dir).select("node1", "node2", "length").collect():
+        near.setdefault(row.node1, []).append((row.node2, row.length))
+        near.setdefault(row.node2, []).append((row.node1, row.length))
+    want = {}
+    for (k,) in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect():
+        heap = [(k % 4 * 10.0, f"{k % 10 * 200}:{k % 7 * 200}")]
+        while heap:
+            d, node = heapq.heappop(heap)
+            if d <= 350 and (k, node) not in want:
+                want[k, node] = round(d, 6)
+                for other, length in near.get(node, ()):
+                    heapq.heappush(heap, (d + length, other))
+    got = {(r.source, r.node): r.distance for r in catalogue.queries()["q53_bounded_shortest_path_all"](spark, sf_dir).collect()}
+    assert max(k for k, _ in got) > 40 and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-5 for x in want)
