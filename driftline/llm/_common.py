@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -37,12 +38,15 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a new temporary folder in local mode, and else a folder in the warehouse, which is shared too.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
         found = f"file://{tempfile.mkdtemp(prefix='driftline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_driftline").rstrip("/")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -82,12 +86,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_driftline_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
-        _written[:] = [(s, p) for s, p in _written if p != path]
+def bounded(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """As :func:`materialize`, marked for broadcast if it has at most ``rows`` rows."""
+    out = materialize(df, name)
+    if out.count() > rows:
+        return out
+    small = F.broadcast(out)
+    small._driftline_path = out._driftline_path
+    return small
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now.
+
+    It does so once the driver's garbage collector has found that nothing refers to them, which on a driver with memory
+    to spare may be long after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more, and the shuffle files behind them."""
+    for df in tables:
+        path = getattr(df, "_driftline_path", None)
+        if path:
+            drop_path(df.sparkSession, path)
+            _written[:] = [(s, p) for s, p in _written if p != path]
+    forget(tables[0].sparkSession)
 
 
 #: Bytes of an Arrow batch where the session has Spark's default of 64 MB: rows are whole documents, and each task

@@ -32,4 +32,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots).groupBy("id").agg(F.min("component").alias("component"))
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots).groupBy("id").agg(F.min("component").alias("component"))
+    out._driftline_path = now._driftline_path  # lets the caller release what is read
+    return out

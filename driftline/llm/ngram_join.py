@@ -8,11 +8,11 @@ candidates. Both orders put frequent shingles last, so that a passage that many
 
 The shingles that two prefixes share also bound the intersection from above: beyond the prefix that ends first, at
 most the rest of that set can be common. Pairs of sets that share shingles in at most ``LISTED`` sets are counted
-and must pass this bound under both orders. Sets with enough more frequent shingles
-to link by these alone are candidates too, but their pairs are never listed. All candidates are
-gathered in clusters, and large clusters in blocks of ``BLOCK_SETS`` sets. Clusters and pairs of blocks are verified by
-counting common shingles as products of incidence matrices, which needs no row for a pair. Only a spanning forest of
-the links leaves a task, with each set's number of links.
+and must pass this bound under both orders. Sets with enough more frequent shingles to link by these alone are
+candidates too, but their pairs are never listed: they are filtered as pairs of blocks, under both orders. All
+candidates are gathered in clusters, and large clusters in blocks of ``BLOCK_SETS`` sets. Clusters and pairs of blocks
+are verified by counting common shingles as products of incidence matrices, which needs no row for a pair. Only a
+spanning forest of the links leaves a task, with each set's number of links.
 """
 
 from __future__ import annotations
@@ -32,6 +32,12 @@ from ._words import mix, shingle_sets
 WORDS = 5
 PERCENT = 80
 BLOCK_SETS = 64
+#: Shingles of a block, so that few sets of very long texts do not meet in one task.
+BLOCK_SHINGLES = 1 << 20
+#: Sets of a very large cluster that are put in order together.
+ORDERED_SETS = 1 << 18
+#: Shingles that a task verifies at once, about.
+PACK_SHINGLES = 1 << 18
 #: Shingles of up to so many sets are listed: pairs of their sets are counted one by one.
 LISTED = 96
 #: A shingle is frequent if it is in this share of the documents (at least in ``LEAST_FREQUENT``).
@@ -70,8 +76,8 @@ class Orders:
         at = np.argsort(hashes)
         self.hashes, self.classes, self.percent = hashes[at], classes[at], percent
 
-    def prefix(self, shingles: np.ndarray, order: int) -> tuple[np.ndarray, int]:
-        """The prefix of a set and the rank of its last shingle; ranks of a few shingles may be equal."""
+    def prefix(self, shingles: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The prefix of a set, which of it is frequent, and the rank of its last; ranks of a few may be equal."""
         n = prefix_size(len(shingles), self.percent)
         key = ORDER_KEYS[order]
         rank = (shingles if key == 0 else mix(shingles ^ np.uint64(key))) >> np.uint64(7)
@@ -79,7 +85,7 @@ class Orders:
             place = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
             rank = rank | (np.where(self.hashes[place] == shingles, self.classes[place], 0).astype(np.uint64) << np.uint64(57))
         at = np.argsort(rank, kind="stable")[:n]
-        return shingles[at], int(rank[at[-1]])
+        return shingles[at], rank[at] >= np.uint64(1 << 57), int(rank[at[-1]])
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -143,24 +149,44 @@ def _orders(profile: DataFrame, n_docs: int, percent: int):
     return profile.sparkSession.sparkContext.broadcast((found["h"].to_numpy(dtype=np.int64).view(np.uint64), classes, percent))
 
 
-_ROWS = "h long, s long, n long, last long"
+#: ``g`` is what a row meets its like by: the shingle, or for a frequent one a key of the row itself, and then ``h`` is
+#: the shingle. ``x`` packs the set's size, the last rank of its prefix and the mark of a frequent shingle.
+_ROWS = "g long, h long, s long, x long"
+_LAST_BITS = 20
 
 
 def _prefix_rows(by: Orders, order: int, sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
     found = [by.prefix(x, order) for x in sets]
-    sizes = [len(h) for h, _ in found]
-    cols = [np.concatenate([h for h, _ in found]).view(np.int64)]
-    cols += [np.repeat(np.array(c, dtype=np.int64), sizes) for c in (keys, [len(x) for x in sets], [last for _, last in found])]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "s", "n", "last"])
+    sizes = [len(h) for h, _, _ in found]
+    h = np.concatenate([h for h, _, _ in found])
+    often = np.concatenate([f for _, f, _ in found])
+    s = np.repeat(np.array(keys, dtype=np.int64), sizes)
+    # a coarser rank never puts two ranks in the wrong order; where it makes them equal the bound is the looser one
+    tail = [(len(x) << (_LAST_BITS + 1)) | ((last >> (64 - _LAST_BITS)) << 1) for x, (_, _, last) in zip(sets, found, strict=True)]
+    g = np.where(often, mix(h ^ mix(s.view(np.uint64))), h)
+    cols = [pa.array(g.view(np.int64)), pa.array(h.view(np.int64), mask=~often), pa.array(s), pa.array(np.repeat(np.array(tail, dtype=np.int64), sizes) | often)]
+    return pa.RecordBatch.from_arrays(cols, ["g", "h", "s", "x"])
+
+
+def _size(x: Column) -> Column:
+    return F.shiftright(x, _LAST_BITS + 1)
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """Of prefix rows those whose shingle other sets have too, with ``m``, the number of these sets, and the least."""
-    of = Window.partitionBy("h")
-    rows = rows.withColumns({"least": F.min("s").over(of), "most": F.max("s").over(of)}).where(F.col("least") != F.col("most"))
+    """``h, sets, listed``: of shingles that several sets have in their prefixes the sets ``(s, x)``.
+
+    A listed shingle, one in at most ``LISTED`` sets, is one row with all of its sets. Others have a row for each set.
+    All of it is one shuffle by shingle. Frequent shingles are known before, are never listed and are dealt out by
+    shingle and set, so that a shingle of very many sets does not meet in one task.
+    """
+    of = Window.partitionBy("g")
+    often = F.col("x").bitwiseAND(1) == 1
+    rows = rows.withColumns({"least": F.min("s").over(of), "most": F.max("s").over(of)}).where(often | (F.col("least") != F.col("most")))
     # a class of copies in several tasks comes from each of them
-    rows = rows.groupBy("h", "s").agg(*[F.first(c).alias(c) for c in ("n", "last", "least")])
-    return C.materialize(rows.withColumn("m", F.count("*").over(of)), name)
+    rows = rows.groupBy("g", "s").agg(F.first("x").alias("x"), F.first("h").alias("h"))
+    rows = rows.withColumn("listed", ~often & (F.count("*").over(of) <= LISTED))
+    rows = rows.groupBy("g", "listed", F.when(~F.col("listed"), F.col("s")).alias("own")).agg(F.collect_list(F.struct("s", "x")).alias("sets"), F.first("h").alias("h"))
+    return C.materialize(rows.select(F.coalesce("h", "g").alias("h"), "sets", "listed"), name)
 
 
 def _first_prefixes(docs: DataFrame, orders, k: int) -> DataFrame:
@@ -191,56 +217,67 @@ def _needed(n: Column, percent: int) -> Column:
     return F.floor(F.floor((percent * n + 99) / 100) / 10) + 1
 
 
-def _by_frequent(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of unlisted shingles of sets that have enough of them to link without a listed one."""
-    unlisted = rows.where(F.col("m") > LISTED)
-    enough = unlisted.groupBy("s").agg(F.count("*").alias("u"), F.first("n").alias("_n")).where(F.col("u") >= _needed(F.col("_n"), percent))
-    return unlisted.join(enough.select("s"), "s", "left_semi")
+def _unlisted(shared: DataFrame) -> DataFrame:
+    """``h, s, x`` of the shingles that are not listed."""
+    return shared.where("not listed").select("h", F.col("sets")[0]["s"].alias("s"), F.col("sets")[0]["x"].alias("x"))
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b, c, bound``: pairs of sets that share listed shingles, and the most that they can have in common."""
-    small = rows.where(F.col("m") <= LISTED)
-    more = rows.where(F.col("m") > LISTED).groupBy("s").agg(F.count("*").alias("u"))
-    one = small.select("h", *[F.col(c).alias(f"{c}_a") for c in ("s", "n", "last")])
-    other = small.select("h", *[F.col(c).alias(f"{c}_b") for c in ("s", "n", "last")])
-    fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.col("s_a") < F.col("s_b"))
-    met = one.join(other, "h").where(fits).groupBy("s_a", "s_b", "n_a", "n_b", "last_a", "last_b").agg(F.count("*").alias("c"))
-    met = met.join(more.select(F.col("s").alias("s_a"), F.col("u").alias("u_a")), "s_a", "left").join(more.select(F.col("s").alias("s_b"), F.col("u").alias("u_b")), "s_b", "left")
-    rest = F.when(F.col("last_a") < F.col("last_b"), F.col("n_a") - _prefix_column(F.col("n_a"), percent)).when(
-        F.col("last_a") > F.col("last_b"), F.col("n_b") - _prefix_column(F.col("n_b"), percent)
-    ).otherwise(F.greatest(F.col("n_a") - _prefix_column(F.col("n_a"), percent), F.col("n_b") - _prefix_column(F.col("n_b"), percent)))
-    bound = F.col("c") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0))) + rest
-    bound = F.when(F.col("c") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0))) > F.floor(F.least("n_a", "n_b") / 10), bound).otherwise(0)
-    return met.select(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "n_a", "n_b", bound.alias("bound"))
+def _counts(unlisted: DataFrame, name: str) -> DataFrame:
+    """``s, u, n``: how many unlisted shingles are in a set's prefix, and its size."""
+    return C.bounded(unlisted.groupBy("s").agg(F.count("*").cast("int").alias("u"), _size(F.first("x")).cast("int").alias("n")), name, BROADCAST_ROWS)
 
 
-def _can_link(percent: int) -> Column:
-    return (100 + percent) * F.col("bound") >= percent * (F.col("n_a") + F.col("n_b"))
+def _candidates(shared: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of sets that share listed shingles and by these, their unlisted ones and their sizes can link.
+
+    The shingles that two prefixes share are at least a tenth of the smaller set and one more. Beyond the prefix that
+    ends first, at most the rest of that set can be common.
+    """
+
+    def pair(a: Column, b: Column) -> Column:
+        n_a, n_b = _size(a["x"]), _size(b["x"])
+        end_a, end_b = a["x"].bitwiseAND((1 << (_LAST_BITS + 1)) - 2), b["x"].bitwiseAND((1 << (_LAST_BITS + 1)) - 2)
+        rest_a, rest_b = n_a - _prefix_column(n_a, percent), n_b - _prefix_column(n_b, percent)
+        rest = F.when(end_a < end_b, rest_a).when(end_a > end_b, rest_b).otherwise(F.greatest(rest_a, rest_b))
+        least = F.greatest(F.ceil(percent * (n_a + n_b) / (100 + percent)) - rest, F.floor(F.least(n_a, n_b) / 10) + 1)
+        return F.struct(a["s"].alias("a"), b["s"].alias("b"), least.cast("int").alias("least"))
+
+    def fits(a: Column, b: Column) -> Column:
+        n_a, n_b = _size(a["x"]), _size(b["x"])
+        return (a["s"] < b["s"]) & (percent * F.greatest(n_a, n_b) <= 100 * F.least(n_a, n_b))
+
+    # at most LISTED sets are in a row, so the pairs of a row are bounded
+    met = F.flatten(F.transform("sets", lambda a: F.transform(F.filter("sets", lambda b: fits(a, b)), lambda b: pair(a, b))))
+    met = shared.where("listed").select(F.explode(met).alias("m")).select("m.*")
+    met = met.groupBy("a", "b").agg(F.count("*").cast("int").alias("c"), F.max("least").alias("least"))
+    met = met.join(counts.select(F.col("s").alias("a"), F.col("u").alias("u_a")), "a", "left").join(counts.select(F.col("s").alias("b"), F.col("u").alias("u_b")), "b", "left")
+    return met.where(F.col("c") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0))) >= F.col("least")).select("a", "b", "c")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``s, n_docs, shingles`` (packed) of the wanted classes, made from the text of one document each."""
+    """``s, n_docs, n, near, shingles`` (packed) of the wanted classes, made from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                keep, packed = [], []
+                keep, packed, sizes, near = [], [], [], []
                 keys = part.column(1).to_pylist()
                 for i, s in enumerate(shingle_sets(_texts(part, 0), k)):
                     if len(s) and set_key(s) == keys[i]:
                         keep.append(i)
                         packed.append(s.tobytes())
+                        sizes.append(len(s))
+                        near.append(int(s[:1].view(np.int64)[0]))
                 if keep:
                     at = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), pa.array(packed, pa.binary())], ["s", "n_docs", "shingles"])
+                    cols = [part.column(1).take(at), part.column(2).take(at), pa.array(sizes, pa.int64()), pa.array(near, pa.int64()), pa.array(packed, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["s", "n_docs", "n", "near", "shingles"])
         C.trim()
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = docs.join(side, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "s", "n_docs")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "s", "n_docs")
     # a repeated document id may bring a class twice; both rows are equal
-    return found.mapInArrow(run, "s long, n_docs long, shingles binary")
+    return found.mapInArrow(run, "s long, n_docs long, n long, near long, shingles binary")
 
 
 def _second_prefixes(sets: DataFrame, orders) -> DataFrame:
@@ -255,16 +292,13 @@ def _second_prefixes(sets: DataFrame, orders) -> DataFrame:
     return sets.select("s", "shingles").mapInArrow(run, _ROWS)
 
 
-def _surviving(first: DataFrame, second: DataFrame, percent: int) -> DataFrame:
+def _surviving(first: DataFrame, second: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``first`` that also pass the bound of the second order."""
-    large = second.where(F.col("m") > LISTED).groupBy("s").agg(F.count("*").alias("u"))
-    other = _candidates(second, percent).select("a", "b", F.col("bound").alias("bound_2"))
-    out = first.join(other, ["a", "b"], "left")
-    # pairs that share no listed shingle under the second order can only share frequent ones
-    out = out.join(large.select(F.col("s").alias("a"), F.col("u").alias("u_a")), "a", "left").join(large.select(F.col("s").alias("b"), F.col("u").alias("u_b")), "b", "left")
-    listed = F.col("bound_2").isNotNull() & ((100 + percent) * F.col("bound_2") >= percent * (F.col("n_a") + F.col("n_b")))
-    frequent = F.col("bound_2").isNull() & F.col("u_a").isNotNull() & F.col("u_b").isNotNull()
-    return out.where(listed | frequent).select("a", "b")
+    out = first.select("a", "b").join(_candidates(second, counts, percent).select("a", "b", F.lit(True).alias("passes")), ["a", "b"], "left")
+    # pairs that pass by no listed shingle of the second order can only do so by unlisted ones
+    enough = counts.where(F.col("u") >= _needed(F.col("n"), percent)).select("s")
+    out = out.join(enough.select(F.col("s").alias("a"), F.lit(True).alias("u_a")), "a", "left").join(enough.select(F.col("s").alias("b"), F.lit(True).alias("u_b")), "b", "left")
+    return out.where("passes or (u_a and u_b)").select("a", "b")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -326,30 +360,46 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("pack").applyInArrow(check, "s long, root long, n_links long")
 
 
-def _blocks(pairs: DataFrame, rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``s, block, whole`` of each set with a candidate; ``whole`` marks blocks that are a cluster of their own."""
-    stars = frequent.select(F.min("s").over(Window.partitionBy("h")).alias("a"), F.col("s").alias("b"))
+def _blocks(pairs: DataFrame, sets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``s, n, block, whole`` of each set with a candidate; ``whole`` marks blocks that are a cluster of their own.
+
+    A block has at most ``BLOCK_SETS`` sets, and at most ``BLOCK_SHINGLES`` shingles besides those of its last set.
+    """
+    # a shingle is a node of its own here, so that no task has to see all of its sets
+    stars = frequent.select("s", F.xxhash64("h", F.lit("shingle")).alias("h"))
     clusters = connected_components(pairs.select("a", "b").unionAll(stars))
-    near = rows.groupBy("s").agg(F.min("h").alias("near"))
-    sets = C.materialize(clusters.select(F.col("id").alias("s"), F.col("component").alias("cluster")).join(near, "s"), "clusters")
-    large = sets.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_SETS)
-    sets = sets.join(large, "cluster", "left")
-    small = sets.where(F.col("size").isNull()).select("s", F.col("cluster").alias("block"), F.lit(True).alias("whole"))
-    # sets whose least shared shingles are close go together; the salt splits the order of a very large cluster
-    salt = F.pmod(F.xxhash64("near"), F.lit(16))
-    nth = F.floor((F.row_number().over(Window.partitionBy("cluster", "salt").orderBy("near", "s")) - 1) / BLOCK_SETS)
-    large = sets.where(F.col("size").isNotNull()).withColumn("salt", salt).withColumn("nth", nth)
-    return small.unionByName(large.select("s", F.xxhash64("cluster", "salt", "nth").alias("block"), F.lit(False).alias("whole")))
-
-
-def _block_pairs(pairs: DataFrame, frequent: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of different blocks with a candidate pair: a listed one, or sets that share a frequent shingle."""
+    sets = C.materialize(clusters.select(F.col("id").alias("s"), F.col("component").alias("cluster")).join(sets.select("s", "n", "near").distinct(), "s"), "clusters")
+    large = sets.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where((F.col("size") > BLOCK_SETS) | (F.col("weight") > BLOCK_SHINGLES))
+    sets_ = sets.join(large, "cluster", "left")
+    small = sets_.where(F.col("size").isNull()).select("s", "n", F.col("cluster").alias("block"), F.lit(True).alias("whole"))
+    # sets whose least shingles are close go together; the salt splits the order of a very large cluster
+    salt = F.pmod(F.xxhash64("near"), 1 + F.floor(F.col("size") / ORDERED_SETS))
+    share = F.greatest(F.lit(1 / BLOCK_SETS), F.col("n") / BLOCK_SHINGLES)
+    so_far = Window.partitionBy("cluster", "salt").orderBy("near", "s").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.floor(F.coalesce(F.sum("share").over(so_far), F.lit(0.0)) + 1e-9)
+    parts = sets_.where(F.col("size").isNotNull()).withColumn("salt", salt).withColumn("share", share).withColumn("nth", nth)
+    out = C.materialize(small.unionByName(parts.select("s", "n", F.xxhash64("cluster", "salt", "nth").alias("block"), F.lit(False).alias("whole"))), "blocks")
+    C.release(sets)
+    return out
+
+
+def _meetings(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different blocks of which a set each has the same shingle."""
+    met = C.materialize(rows.join(large, "s").select("h", "block").distinct(), "met")
+    return met.withColumnRenamed("block", "a").join(met.withColumnRenamed("block", "b"), "h").where("a < b").select("a", "b").distinct()
+
+
+def _block_pairs(pairs: DataFrame, frequent: DataFrame, second: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of different blocks with a candidate pair: a listed one, or sets that share unlisted shingles.
+
+    The latter must also share a shingle under the second order.
+    """
     large = blocks.where("not whole").select("s", "block")
-    listed = pairs.join(large.select(F.col("s").alias("a"), F.col("block").alias("x")), "a").join(large.select(F.col("s").alias("b"), F.col("block").alias("y")), "b").select("x", "y")
-    met = C.materialize(frequent.select("h", "s").join(large, "s").select("h", "block").distinct(), "met")
-    unlisted = met.withColumnRenamed("block", "x").join(met.withColumnRenamed("block", "y"), "h").where("x < y").select("x", "y")
-    both = listed.where("x <> y").unionAll(unlisted)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    listed = pairs.join(large.select(F.col("s").alias("a"), F.col("block").alias("x")), "a").join(large.select(F.col("s").alias("b"), F.col("block").alias("y")), "b").where("x <> y")
+    listed = listed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    again = second.select("h", F.explode("sets").alias("x")).select("h", F.col("x.s").alias("s"))
+    unlisted = _meetings(frequent.select("h", "s"), large).join(_meetings(again.join(frequent.select("s").distinct(), "s", "left_semi"), large), ["a", "b"], "left_semi")
+    return listed.unionAll(unlisted).distinct()
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,28 +419,40 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col
     orders = _orders(profile, of_docs.count(), percent)
 
     first = _shared(_first_prefixes(docs, orders, k), "prefixes-1")
-    pairs = C.materialize(_candidates(first, percent).where(_can_link(percent)), "pairs-1")
-    frequent = C.materialize(_by_frequent(first, percent), "frequent")
+    C.forget(spark)
+    counts_1 = _counts(_unlisted(first), "unlisted-1")
+    pairs = C.materialize(_candidates(first, counts_1, percent).select("a", "b"), "pairs-1")
+    # rows of unlisted shingles of sets that have enough of them to link without a listed one
+    frequent = C.materialize(_unlisted(first).join(counts_1.where(F.col("u") >= _needed(F.col("n"), percent)).select("s"), "s", "left_semi").select("h", "s"), "frequent")
+    C.release(first, counts_1)
     used = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionAll(frequent.select("s")).distinct()
     classes = of_docs.where("key is not null").groupBy(F.col("key").alias("s")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"))
-    wanted = C.materialize(classes.join(used, "s"), "wanted")
+    wanted = C.bounded(classes.join(used, "s"), "wanted", BROADCAST_ROWS)
     sets = C.materialize(_sets(docs, wanted, k), "sets")
+    C.release(wanted)
     second = _shared(_second_prefixes(sets, orders), "prefixes-2")
-    pairs = C.materialize(_surviving(pairs, second, percent), "pairs-2")
-    blocks = C.materialize(_blocks(pairs, first, frequent), "blocks")
-    crossing = C.materialize(_block_pairs(pairs, frequent, blocks), "block-pairs")
-
-    packs = max(1, blocks.count() // 256)
+    counts_2 = _counts(_unlisted(second), "unlisted-2")
+    both = C.materialize(_surviving(pairs, second, counts_2, percent), "pairs-2")
+    C.release(pairs, counts_2)
+    blocks = _blocks(both, sets, frequent)
+    crossing = C.materialize(_block_pairs(both, frequent, second, blocks), "block-pairs")
+    C.release(both, frequent, second)
+
+    # packs of about the same number of shingles
+    packs = 1 + int((blocks.agg(F.sum("n")).first()[0] or 0) // PACK_SHINGLES)
     own = blocks.select("s", F.col("block").alias("pair"), F.lit(0).alias("side"), F.pmod(F.xxhash64("block"), F.lit(packs)).alias("pack"))
     sides = F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
     across = crossing.select(F.xxhash64("a", "b").alias("pair"), sides.alias("x")).select("pair", "x.*").join(blocks.select("s", "block"), "block")
     across = across.select("s", "pair", "side", F.col("pair").alias("pack"))
-    found = C.materialize(_verify(own.unionByName(across).join(sets, "s"), percent), "links")
+    found = C.materialize(_verify(own.unionByName(across).join(sets.select("s", "n_docs", "shingles"), "s"), percent), "links")
+    C.release(sets, crossing, blocks)
 
     components = connected_components(found.select(F.col("s").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("s").agg(F.sum("n_links").alias("links"))
     roots = components.withColumnRenamed("id", "s")
     classes = classes.join(roots, "s", "left").join(links, "s", "left").withColumn("component", F.coalesce("component", "s"))
+    classes = C.materialize(classes, "classes")
+    C.release(found, components)
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     # classes of a component are few rows of numbers; a component of very many classes is split by Spark's skew join
     classes = classes.join(least, "component").select(F.col("s").alias("key"), "component_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

@@ -123,3 +123,23 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got.get(k, k) == v for k, v in root.items())
+
+
+def test_shingle_in_many_blocks(spark, monkeypatch):
+    """A frequent passage that makes up most of many texts: its sets fill several blocks and are never listed."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    passage = [rng.choice(words) for _ in range(90)]
+    rows = [(i, " ".join([*[rng.choice(words) for _ in range(rng.randint(0, 14))], *passage]), "en", "s") for i in range(260)]
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(60)), "en", "s") for i in range(40)]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(ngram_join, "PACK_SHINGLES", 700)
+    monkeypatch.setattr(ngram_join, "ORDERED_SETS", 16)
+    rows = corpus(4, 5, 40, 200)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
