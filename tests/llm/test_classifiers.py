@@ -151,12 +151,12 @@ def kt(a, b):
 class BruteTree:
     """Context-tree weighting by direct recursion over contexts."""
 
-    def __init__(self, texts):
-        self.counts = {}
+    def __init__(self, texts, depth):
+        self.counts, self.depth = {}, depth
         for t in texts:
             for ctx, node, bit in self.steps(t):
-                for d in range(4):
-                    self.counts.setdefault((ctx[3 - d :], node), [0, 0])[bit] += 1
+                for d in range(depth + 1):
+                    self.counts.setdefault((ctx[depth - d :], node), [0, 0])[bit] += 1
         self.children = {}
         for ctx, node in self.counts:
             if ctx:
@@ -164,29 +164,28 @@ class BruteTree:
         self.weighted = {}
         for ctx, node in sorted(self.counts, key=lambda x: -len(x[0])):
             own = kt(*self.counts[ctx, node])
-            if len(ctx) == 3:
+            if len(ctx) == depth:
                 self.weighted[ctx, node] = own
             else:
                 below = sum(self.weighted[c, node] for c in self.children[ctx, node])
                 self.weighted[ctx, node] = np.logaddexp(math.log(0.5) + own, math.log(0.5) + below)
 
-    @staticmethod
-    def steps(text):
-        data = b"\0\0\0" + bytes(text).lower() + b"\0"
-        for k in range(3, len(data)):
+    def steps(self, text):
+        data = b"\0" * self.depth + bytes(text).lower() + b"\0"
+        for k in range(self.depth, len(data)):
             node = 1
             for i in range(8):
                 bit = data[k] >> (7 - i) & 1
-                yield data[k - 3 : k], node, bit
+                yield data[k - self.depth : k], node, bit
                 node = 2 * node + bit
 
     def one(self, ctx, node, depth=0):
-        part = ctx[3 - depth :]
+        part = ctx[self.depth - depth :]
         if (part, node) not in self.counts:
             return 0.5
         a, b = self.counts[part, node]
         own = (b + 0.5) / (a + b + 1)
-        if depth == 3:
+        if depth == self.depth:
             return own
         w = math.exp(math.log(0.5) + kt(a, b) - self.weighted[part, node])
         return w * own + (1 - w) * self.one(ctx, node, depth + 1)
@@ -199,30 +198,55 @@ class BruteTree:
         return total
 
 
-@pytest.mark.parametrize("rows_at_once,frequent", [(1 << 17, 1 << 18), (20, 3)])
-def test_language_model_against_brute_force(docs, no_docs, rows, monkeypatch, rows_at_once, frequent):
-    """Once as it is, once with the model in slices and few words broadcast."""
-    monkeypatch.setattr(ctw, "MODEL_ROWS", rows_at_once)
+@pytest.mark.parametrize("depth,rows_at_once,frequent", [(ctw.DEPTH, ctw.GROUP_ROWS, ctw.FREQUENT_WORDS), (3, 500, 3), (7, 100, 300), (1, 20, 0)])
+def test_language_model_against_brute_force(docs, no_docs, rows, monkeypatch, depth, rows_at_once, frequent):
+    """Once as it is, and with other depths, small groups and few words and contexts broadcast."""
+    monkeypatch.setattr(ctw, "GROUP_ROWS", rows_at_once)
     monkeypatch.setattr(ctw, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(ctw, "FREQUENT_GRAMS", frequent)
     df = docs.where("doc_id is null or doc_id <> 8")
     small = [r for r in rows if r[0] != 8]
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in small]
     words = [[*WORD.findall((r[1] or "").lower() if (r[1] or "").isascii() else (r[1] or "").replace("A", "a")), "\0end"] for r in small]
     counts = Counter(w for ws, h in zip(words, held) if not h for w in ws)
     n, v = sum(counts.values()), len(counts)
-    tree = BruteTree([(r[1] or "").encode() for r, h in zip(small, held) if not h])
+    tree = BruteTree([(r[1] or "").encode() for r, h in zip(small, held) if not h], depth)
     want = []
     for r, h, ws in zip(small, held, words):
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         want.append((str(r[0]), h, len(ws), sum(counts[w] > 0 for w in ws), n, round(base, 6), round(tree.score((r[1] or "").encode()), 3)))
-    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in ctw.score_documents(df).collect()]
+    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in ctw.score_documents(df, depth=depth).collect()]
     assert sorted(got) == sorted(want)
     assert ctw.score_documents(no_docs).count() == 0
 
 
-def test_byte_tables_sum_to_one():
-    p = np.random.default_rng(0).uniform(0.01, 0.99, (3, 256))
-    assert np.allclose((10.0 ** ctw.byte_table(p)).sum(1), 1, atol=1e-4)
+def test_lookup():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    table = ctw.Lookup(keys, np.arange(len(keys), dtype=float))
+    value, known = table(np.concatenate([keys[::-1], keys + np.uint64(1)]))
+    assert known[: len(keys)].all() and (value[: len(keys)] == np.arange(len(keys))[::-1]).all() and not known[len(keys) :].any()
+    assert not ctw.Lookup(keys[:0], np.empty(0))(keys)[1].any()
+
+
+def test_predictions_of_a_context_sum_to_one(spark):
+    """Seen and new bytes after one context together have probability one."""
+    docs = spark.createDataFrame([(k, "abracadabra abba" * 3) for k in range(4)], "doc_id long, text string")
+    grams = ctw._count(docs.selectExpr("doc_id", "cast(text as binary) AS text"), 3).where("kind = 1").groupBy("key").sum("n").toDF("key", "n")
+    tree = ctw.context_tree(grams, 3)
+    after = int.from_bytes(b"bra", "big") << 8
+    keys = spark.createDataFrame([(after + b,) for b in range(256)], "key long")
+    logs = ctw.new_logs(keys, tree).collect()
+    assert len(logs) == 256 and abs(sum(10**r.logs for r in logs) - 1) < 1e-5
+    seen = {r.key: r.logs for r in ctw.byte_logs(grams, tree[-1], 10).collect()}
+    assert all(abs(seen[r.key] - r.logs) < 1e-5 for r in logs if r.key in seen)
+
+
+def test_language_model_beats_the_word_base_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = ctw.score_documents(docs).where("held_out").selectExpr("sum(score) AS score", "sum(base_score) AS base", "sum(bits_per_byte * n_bytes) / sum(n_bytes) AS bits").first()
+    print(got)
+    assert got.score > got.base and got.bits < 2.38
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
