@@ -27,7 +27,7 @@ LEAST_SHARE = 0.5
 LEAST_CONSISTENCY = 0.8
 #: Benchmark windows, or candidate pairs, up to which a side may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
-#: Typed placeholders: characters for private use, so that no text has them.
+#: Typed placeholders: characters for private use. Texts lose them before anything else.
 NUMBER, UNIT, NAME, NAME_END = "\ue001", "\ue002", "\ue003", "\ue004"
 UNITS = "kilograms|grams|kilometers|kilometres|meters|metres|miles|hours|minutes|seconds|percent|dollars|euros|days|weeks|years|months|kg|mg|km|cm|mm|mph|ml|min|usd|eur|g|m|l|h|s|%|€|°C|°F"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] .)[\p{L}\p{M}]*"
@@ -36,6 +36,10 @@ _SPACES = r"\s+"
 _MARKS = "[" + NUMBER + UNIT + NAME + "]"
 
 
+def without_marks(text: Column) -> Column:
+    return F.translate(text, NUMBER + UNIT + NAME + NAME_END, "")
+
+
 def _without_punctuation(text: Column) -> Column:
     words = F.split(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NUMBER}{UNIT}{NAME}{NAME_END}]+", ""), _SPACES)
     return F.filter(words, lambda w: w != "")
@@ -43,7 +47,8 @@ def _without_punctuation(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """The text without differences of case: ``ß`` and ``SS`` are equal too."""
-    return F.lower(F.upper(text))
+    # the optimizer makes lower(upper(x)) into lower(x), which is another text where there is an ``ß``
+    return F.lower(F.concat(F.upper(text), F.lit("")))
 
 
 def marked_words(text: Column) -> Column:
@@ -102,7 +107,10 @@ def _values(window: int) -> Column:
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
-    """``item_id, view, j, h, counted, item_values, n_windows``: each item's windows; those of two plain words count."""
+    """``item_id, view, j, h, counted, item_values, n_windows``: each item's windows; those of two plain words count.
+
+    An item without such a window, one of placeholders only for instance, has no rows and is never found.
+    """
     plain = F.size(F.filter("w", lambda x: ~x.rlike(_MARKS)))
     at = _placed(items, "item_id", window).select("item_id", "view", F.col("i").alias("j"), "h", (plain >= 2).alias("counted"), _values(window).alias("item_values"))
     n = at.where("counted").groupBy("item_id", "view").agg(F.count_distinct("h").alias("n_windows"))
@@ -118,14 +126,15 @@ def _bounded(df: DataFrame, name: str) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE, least_consistency: float = LEAST_CONSISTENCY) -> DataFrame:
     """``doc_id, item_id, n_shared, n_windows, share, n_slots, slot_consistency, kind`` for each contaminated pair.
 
-    ``kind`` is ``verbatim`` where every compared slot has the item's own value, otherwise ``reparameterised``.
-    Null or empty texts and items of fewer words than a window have no windows and match nothing. Repeated documents
+    ``kind`` is ``verbatim`` where every compared slot has the item's own value, otherwise ``reparameterised``. Where a
+    text's words and values do not stand at the same places, no slot can be compared; such a pair is ``incomparable``
+    and has no ``slot_consistency``. The placeholders' own characters are taken out of all texts first. Null or empty texts and items of fewer words than a window have no windows and match nothing. Repeated documents
     of one id count as one document, whose windows are those of all its rows; repeated items likewise. Further columns
     are ignored. Empty tables give an empty result. The figures of a pair are those of its best place, or of the whole
     document where that is better.
     """
-    docs = C.id_and_text(docs)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = C.id_and_text(docs).withColumn("text", without_marks(F.col("text")))
+    items = C.id_and_text(items, "item_id").select(F.col("doc_id").alias("item_id"), without_marks(F.col("text")).alias("text"))
     of_items = C.materialize(_item_windows(items, window), "item-windows")
     bench = _bounded(of_items.where("counted").select("item_id", "view", "h", "n_windows").distinct(), "bench-windows")
     both = let(marked_words(F.col("text")), lambda m: F.array_distinct(F.concat(_windows(canonical_words(m), window), _windows(folded_words(m), window))))
@@ -161,17 +170,20 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
     wanted = C.materialize(docs.join(mark(candidates.select(F.col("doc_id").alias("d")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"), "suspects")
     pairs = candidates.select(F.col("doc_id").alias("d"), "item_id")
     met = _placed(wanted, "doc_id", window).join(mark(pairs), F.col("doc_id").eqNullSafe(F.col("d"))).join(of_items, ["item_id", "view", "h"])
-    values = F.filter(F.zip_with("item_values", _values(window), lambda x, y: F.named_struct(F.lit("item_v"), x, F.lit("v"), y)), lambda x: x["item_v"].isNotNull() & x["v"].isNotNull())
+    values = F.zip_with("item_values", _values(window), lambda x, y: F.named_struct(F.lit("item_v"), x, F.lit("v"), y))
     met = met.select("doc_id", "item_id", "view", "n_windows", F.when(F.col("counted"), F.col("h")).alias("h"), F.explode(_places(window)).alias("place"), values.alias("values"))
     met = met.withColumn("value", F.explode_outer("values"))
+    lost = F.col("value").isNotNull() & (F.col("value.item_v").isNull() | F.col("value.v").isNull())
+    met = met.withColumn("lost", lost).withColumn("value", F.when(~lost, F.col("value")))
     of = [(F.col("view") == k) for k in (0, 1)]
     told = met.groupBy("doc_id", "item_id", "place").agg(
         *[F.size(F.collect_set(F.when(of[k], F.col("h")))).alias(f"n_{k}") for k in (0, 1)],
         *[F.max(F.when(of[k], F.col("n_windows"))).alias(f"of_{k}") for k in (0, 1)],
         *[F.collect_set(F.when(of[k], F.col("value"))).alias(f"values_{k}") for k in (0, 1)],
+        *[F.max(F.when(of[k], F.col("lost"))).alias(f"lost_{k}") for k in (0, 1)],
     )
     reached = [F.coalesce(F.col(f"n_{k}") / F.col(f"of_{k}") >= least_share, F.lit(False)) for k in (0, 1)]
-    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "values")])
+    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "values", "lost")])
     item_values = F.array_distinct(F.transform("values", lambda x: x["item_v"]))
     told = told.withColumn("slots", F.transform(item_values, lambda i: F.transform(F.filter("values", lambda x: x["item_v"] == i), lambda x: x["v"] == i)))
     told = told.withColumns({
@@ -180,12 +192,13 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
         "single": F.size(F.filter("slots", lambda s: F.size(s) == 1)),
     })
     # a copy with all of the item's own values is verbatim, whatever else shares the template
-    told = told.withColumn("slot_consistency", F.when(F.col("own"), 1.0).otherwise(F.col("single") / F.col("n_slots")))
-    told = told.where(F.col("slot_consistency") >= least_consistency)
+    blank = F.col("lost") & (F.col("n_slots") == 0)
+    told = told.withColumns({"own": F.col("own") & ~blank, "slot_consistency": F.when(blank, F.lit(None)).when(F.col("own"), 1.0).otherwise(F.col("single") / F.col("n_slots"))})
+    told = told.where(blank | (F.col("slot_consistency") >= least_consistency))
     best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("own", "slot_consistency", "n", "n_slots", "of")).alias("x"))
     return best.select(
         "doc_id", "item_id",
         F.col("x.n").cast("long").alias("n_shared"), F.col("x.of").alias("n_windows"), (F.col("x.n") / F.col("x.of")).alias("share"),
         "x.n_slots", "x.slot_consistency",
-        F.when(F.col("x.own"), "verbatim").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("x.own"), "verbatim").when(F.col("x.slot_consistency").isNull(), "incomparable").otherwise("reparameterised").alias("kind"),
     )

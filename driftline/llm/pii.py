@@ -3,9 +3,10 @@
 The patterns find e-mail addresses, IPv4 addresses, card and phone numbers, leftmost and without overlap per kind. The
 random field adds what they miss: numbers without their usual marks and secrets. It is trained on a small labelled
 table, :data:`LABELLED`, whose rows are filled with seeded random words and digits, and decoded by Viterbi in numpy
-over batches of sequences. Words without a digit or ``@`` always have the outside tag. A chain whose tag is given at
-a place falls into independent parts there, so only the runs of other words, with what stands around them, need
-decoding, and the result is that of the whole text.
+over batches of sequences. Candidates are words with a digit, ``@``, ``=`` or an inner ``:``, the two words after a word
+that announces a secret, and addresses spelled out with "at" and "dot"; all other words have the outside tag by
+definition. A chain whose tag is given at a place falls into independent parts there, so only the runs of candidates,
+with what stands around them, need decoding, and the result is that of the whole text. Features are of whole words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 TAGS = ("O", *[f"{b}-{k}" for k in KINDS for b in "BI"])
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@=]|:(?=[^\x20\x09-\x0D])")
+_ANNOUNCED = re.compile(r"token|secret|key|passw|pwd|api|auth|credential|passphrase", re.IGNORECASE)
+_SPELLED = re.compile(r"\bdot\b", re.IGNORECASE)
 
 # The base patterns of the four kinds. The local part of an address is found from its ``@`` backwards.
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -35,23 +38,30 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: kind (or None for what is no personal data) and a text: ``{ddd}`` digits, ``{h40}`` hexadecimal, ``{w}`` a word,
-#: ``{W}`` a capitalised word, ``{luhn}`` a card number, ``{bad}`` 16 digits that fail its check, ``{b}`` 0 to 255.
-#: The labelled part stands between ``<`` and ``>``.
+#: kind (or None for what is no personal data) and a text: ``{ddd}`` digits, ``{h16-64}`` as many hexadecimal ones and
+#: ``{k16-40}`` letters and digits in small or (``H``, ``K``) mixed and capital letters, ``{a9-20}`` small letters,
+#: ``{w}`` a word, ``{W}`` a capitalised word, ``{p}`` a mark or none, ``{luhn}`` a card number, ``{bad}`` 16 digits that
+#: fail its check, ``{b}`` 0 to 255. The labelled part stands between ``<`` and ``>``.
 LABELLED: tuple[tuple[str | None, str], ...] = (
-    ("email", "{w} <{w}.{dd}@mail{d}.example.com> {w}"), ("email", "{w} <{w}@{w}.org>, {w}"), ("email", "mail <{w}_{w}@{w}>"), ("email", "({w} <{w}@{w}>) {w}"),
-    ("ip", "{w} <{b}.{b}.{b}.{b}> {w}"), ("ip", "{w} <{b}.{b}.{b}.{b}:{dddd}> {w}"), ("ip", "host <{b}.{b}.{b}.{b}/{dd}>, {w}"),
-    ("card", "{w} <{luhn}> {w}"), ("card", "{w} card <{luhn}>. {W}"), ("card", "{w} <{luhn4}> {w}"),
-    ("phone", "{w} <+1 ({ddd}) 555-{dddd}> {w}"), ("phone", "{w} <({ddd}) 555-{dddd}> {w}"), ("phone", "{w} <({ddd}) {ddd}-{dddd}>, {w}"),
-    ("phone", "call <{ddd}-{ddd}-{dddd}> {w}"), ("phone", "{w} <{ddd}-555-{dddd}>. {W}"), ("phone", "tel <{ddd}.{ddd}.{dddd}> {w}"),
-    ("secret", '{w} token = <"{h40}"> {w}'), ("secret", "key = <{h32}> {w}"), ("secret", "{w} secret: <{h40}>, {w}"), ("secret", 'password = <"{h16}">'), ("secret", 'TOKEN = <"{H40}"!!> {W}'),
-    ("secret", "{w} <password={h18}> {w}"), ("secret", "{w} <api_key={h32}>, {w}"), ("secret", "{w} <token:{h24}> {w}"), (None, "{w} <n={ddd}> {w}"),
-    (None, "{w} {d}, {w}"), (None, "{w} {dd} {w}"), (None, "{W} {dddd}, {w}"), (None, "version {d}.{d} {w}"), (None, "Version {d}.{d}.{d}, {w}"), (None, "license {d}.{d}."),
-    (None, "{w} {dddd}-{dd}-{dd} {w}"), (None, "{w} {dd}:{dd} {w}"), (None, "{w} {d},{ddd} {w}"), (None, "{w} {dddddd} {w}"), (None, "{w} {dddddddd} {w}"), (None, "{w} {bad} {w}"),
-    (None, "{bad}. {W}"), (None, "{w} {dd}% {w}"), (None, "{w} ({dd}) {w}"), (None, "{w} [{d}] {w}"), (None, "{w}{d} {w}"), (None, "{w} {dddd}/{dd} {w}"), (None, "{w} {dd} {dd} {dd} {w}"),
-    (None, "{w} {dddd} {dddd} {w}"), (None, "{w} {ddd}-{dd} {w}"), (None, "{w} {d}.{dd} {w}"), (None, "@{w} {w}"), (None, "{w} @ {w}"), (None, "{w} {dddddddddddd} {w}"), (None, "{w} {ddd} {ddd} {w}"),
-    (None, "{w} {dddddddddddddddddddd} {w}"), (None, "{w} {bad4} {w}"), (None, "{h12} {w}"), (None, "{w} {h40} {w}"), (None, "{W}{dd}!! {W}"), (None, "{bad}!! {W}!!"),
+    ("email", "{w} <{w}.{dd}@{w}{d}.example.com> {w}"), ("email", "{w} <{w}@{w}.org>{p} {w}"), ("email", "mail <{w}_{w}@{w}>"), ("email", "({w} <{w}@{w}>) {w}"),
+    ("email", "{w} <{w} at {w} dot com>{p} {w}"), ("email", "{w} <{w} (at) {w} (dot) org> {w}"), ("email", "{W} <{w} [at] {w} [dot] net>{p}"),
+    ("ip", "{w} <{b}.{b}.{b}.{b}>{p} {w}"), ("ip", "{w} <{b}.{b}.{b}.{b}:{dddd}> {w}"), ("ip", "host <{b}.{b}.{b}.{b}/{dd}>{p} {w}"),
+    ("card", "{w} <{luhn}>{p} {w}"), ("card", "{w} card <{luhn}>{p} {W}"), ("card", "{w} <{luhn4}>{p} {w}"),
+    ("phone", "{w} <+{d} ({ddd}) {ddd}-{dddd}>{p} {w}"), ("phone", "{w} <({ddd}) {ddd}-{dddd}>{p} {w}"), ("phone", "call <{ddd}-{ddd}-{dddd}> {w}"),
+    ("phone", "{w} <{ddd}-{ddd}-{dddd}>{p} {W}"), ("phone", "tel <{ddd}.{ddd}.{dddd}>{p} {w}"), ("phone", "phone: <{ddd} {ddd} {dddd}>{p} {w}"),
+    ("secret", '{w} token = <"{h16-64}"> {w}'), ("secret", "key = <{h16-64}>{p} {w}"), ("secret", "{w} secret: <{h16-128}>{p} {w}"), ("secret", 'password = <"{k10-24}">'),
+    ("secret", 'TOKEN = <"{H16-64}">{p} {W}'), ("secret", "{w} secret = <{K16-40}> {w}"), ("secret", "{w} auth: <{K16-40}>{p} {w}"), ("secret", 'token = <"{H16-64}"{p}> {W}'),
+    ("secret", "{w} <password={k10-24}>{p} {w}"), ("secret", "{w} <api_key={h16-64}>{p} {w}"), ("secret", "{w} <token:{K16-40}> {w}"), ("secret", "<secret={a9-20}>{p} {w}"),
+    ("secret", "password = <{a9-20}>{p} {w}"), ("secret", 'token = <"{a9-20}">{p} {w}'), ("secret", "{w} password: <{a9-20}>{p} {w}"), ("secret", "pwd = <{k10-24}> {w}"),
+    (None, "{w} <n={ddd}> {w}"), (None, "{w} {w}={w} {w}"), (None, "{w} {w}:{w}{p} {w}"), (None, "{w} = {w}{p}"), (None, "{w} = {dd}{p}"), (None, "{w} key {w} {w} {w}"), (None, "a secret {w} {w}{p}"), (None, "the token {w} {w}"),
+    (None, "{w} password {w} {w}"), (None, "{w} key{p} {W} {w}"), (None, "secret{p} {w} {w}"), (None, "{w} {w} dot {w}"), (None, "{w} at {w} {w} dot"), (None, "{w} at {w}, dot {w} {w}"),
+    (None, "{w} {d}{p} {w}"), (None, "{w} {dd} {w}"), (None, "{W} {dddd}{p} {w}"), (None, "version {d}.{d} {w}"), (None, "Version {d}.{d}.{d}{p} {w}"), (None, "license {d}.{d}{p}"),
+    (None, "{w} {dddd}-{dd}-{dd} {w}"), (None, "{w} {dd}:{dd} {w}"), (None, "{w} {d},{ddd} {w}"), (None, "{w} {dddddd} {w}"), (None, "{w} {dddddddd} {w}"), (None, "{w} {bad}{p} {w}"),
+    (None, "{bad}{p} {W}"), (None, "{w} {dd}% {w}"), (None, "{w} ({dd}) {w}"), (None, "{w} [{d}] {w}"), (None, "{w}{d}{p} {w}"), (None, "{w} {dddd}/{dd} {w}"), (None, "{w} {dd} {dd} {dd} {w}"),
+    (None, "{w} {dddd} {dddd} {w}"), (None, "{w} {ddd}-{dd} {w}"), (None, "{w} {d}.{dd}{p} {w}"), (None, "@{w} {w}"), (None, "{w} @ {w}"), (None, "{w} {dddddddddddd} {w}"), (None, "{w} {ddd} {ddd} {w}"),
+    (None, "{w} {dddddddddddddddddddd} {w}"), (None, "{w} {bad4}{p} {w}"), (None, "{h12-15} {w}"), (None, "{w} {h16-64}{p} {w}"), (None, "{W}{dd}{p} {W}"), (None, "{W} = {w} {w}"), (None, "{w} {K16-40} {w}"),
 )
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
 COPIES, ROUNDS, RIDGE, SEED = 12, 150, 0.02, 7
 
 
@@ -89,39 +99,62 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _shape(word: str) -> str:
-    short = word[:64]
-    out = re.sub(r"[0-9]+", lambda m: "9" if len(m[0]) < 2 else f"9{min(len(m[0]), 20)}", short)
+    out = re.sub(r"[0-9]+", lambda m: "9" if len(m[0]) < 2 else f"9{min(len(m[0]), 20)}", word)
     return re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", out))
 
 
 _EDGES = "\"'.,;:!?()[]{}<>|"
-_CUES = frozenset("token secret key password passwd pwd api auth".split())
+_CUES = frozenset("token secret key password passwd pwd api auth passphrase credential credentials api_key".split())
 _PHONE_CUES = frozenset("call tel phone fax mobile".split())
 
 
+def _plain(word: str) -> str:
+    return word.strip(_EDGES + "=").lower()
+
+
 def _cue(words: list[str]) -> str:
-    plain = [w.strip(_EDGES + "=").lower() for w in words]
-    return "secret" if _CUES.intersection(plain) else "phone" if _PHONE_CUES.intersection(plain) else "none"
+    plain = [_plain(w) for w in words]
+    return "secret" if not _CUES.isdisjoint(plain) else "phone" if not _PHONE_CUES.isdisjoint(plain) else "none"
+
+
+def _letters(word: str) -> str:
+    """Which kinds of letters a word has."""
+    return "".join(c for c, found in zip("aA9", (word.upper() != word, word.lower() != word, any(map(str.isdigit, word))), strict=True) if found)
 
 
 def run_features(words: list[str], before: list[str], after: list[str]) -> list[list[str]]:
     """Features of each word of a run: shapes of it and its neighbours, its letters, checks of its digits, cues."""
     shapes = ["<", *map(_shape, words), ">"]
     out = []
-    every = "".join(c for w in words for c in w if c.isdigit())[:40]
+    every = "".join(c for w in words for c in w if c.isdigit())
+    around = [*before[-2:], *words]
+    first = len(around) - len(words)
+    plain = [_plain(w) for w in around]
+    spelled: set[int] = set()
+    for k, w in enumerate(plain):
+        if w == "dot" and k >= 3 and plain[k - 2] == "at":
+            spelled.update(range(k - 3 - first, k + 2 - first))
     for i, w in enumerate(words):
         bare = w.strip(_EDGES)
-        digits = "".join(c for c in bare[:64] if c.isdigit())
+        digits = "".join(c for c in bare if c.isdigit())
+        last = around[max(0, first + i - 2) : first + i]
+        cue = _cue(last)
+        joined = bool(last) and last[-1][-1:] in ("=", ":")
+        letters, size = _letters(bare), min(len(bare) // 4, 6)
         f = [
             "1", f"shape={shapes[i + 1]}", f"bare={_shape(bare)}", f"prev={shapes[i]}", f"next={shapes[i + 2]}",
-            f"n={min(len(digits), 20)}", f"run={min(len(words), 5)}", f"digits={min(len(every), 25)}",
-            f"cue={_cue([*before[-2:], *words[:i]][-2:])}",
+            f"n={min(len(digits), 20)}", f"run={min(len(words), 5)}", f"digits={min(len(every), 25)}", f"cue={cue}",
+            f"letters={letters}", f"size={size}", f"cue={cue}, joined={joined}", f"cue={cue}, joined={joined}, size={size}", f"joined={joined}, letters={letters}, size={size}",
         ]
-        if re.fullmatch(r"[0-9A-Fa-f]{16,64}", bare):
-            f += ["hex", "hex+" + _cue([*before[-2:], *words[:i]][-2:])]
+        if i in spelled:
+            f.append("spelled")
+        if re.fullmatch(r"[0-9A-Fa-f]{16,}", bare):
+            f += ["hex", f"hex+{cue}"]
         keyed = re.fullmatch(r"([A-Za-z_]+)[=:](.+)", bare)
         if keyed:
-            f += ["keyed", f"keyed-hex={bool(re.fullmatch(r'[0-9A-Fa-f]{12,64}', keyed[2].strip(_EDGES)))}", f"keyed-cue={_cue(keyed[1].split('_'))}"]
+            name = "secret" if not _CUES.isdisjoint([keyed[1].lower(), *keyed[1].lower().split("_")]) else "none"
+            value = keyed[2].strip(_EDGES)
+            f += ["keyed", f"keyed={name}", f"keyed-hex={bool(re.fullmatch('[0-9A-Fa-f]{12,}', value))}", f"keyed={name}, size={min(len(value) // 4, 6)}"]
         if 16 <= len(digits) <= 19:
             f.append(f"luhn={luhn(digits)}")
         if 16 <= len(every) <= 19:
@@ -146,23 +179,39 @@ def _filled(pattern: str, rng: random.Random) -> str:
             return w if what == "w" else w.capitalize()
         if what[0] == "d":
             return "".join(rng.choice("0123456789") for _ in what)
-        if what[0] in "hH":
-            hexes = "".join(rng.choice("0123456789abcdef") for _ in range(int(what[1:])))
-            return hexes if what[0] == "h" else hexes.upper()
         if what == "b":
             return str(rng.randint(0, 255))
+        if what == "p":
+            return rng.choice(["", "", "", ",", ".", ";", "!", "!!", "?"])
+        if what[0] in "hHkKa" and what[1:2].isdigit():
+            least, most = map(int, what[1:].split("-"))
+            chars = {"h": "0123456789abcdef", "H": "0123456789ABCDEF", "k": _SMALL + "0123456789", "K": _SMALL + _SMALL.upper() + "0123456789", "a": _SMALL}[what[0]]
+            return "".join(rng.choice(chars) for _ in range(rng.randint(least, most)))
         number = card()
         if what.startswith("bad"):
             number = number[:-1] + str((int(number[-1]) + rng.randint(1, 9)) % 10)
         return " ".join(number[i : i + 4] for i in range(0, 16, 4)) if what.endswith("4") else number
 
-    return re.sub(r"\{(\w+)\}", fill, pattern)
+    return re.sub(r"\{([\w-]+)\}", fill, pattern)
+
+
+def has_candidates(text: str) -> bool:
+    return bool(_MARK.search(text) or _ANNOUNCED.search(text) or _SPELLED.search(text))
 
 
 def _runs(text: str) -> list[tuple[list[tuple[int, int]], list[str], list[str]]]:
-    """Runs of words with a digit or ``@``: their places, the two words before and the one after."""
+    """Runs of candidate words: their places, the two words before and the one after."""
     places = [m.span() for m in _WORD.finditer(text)]
-    marked = [bool(_MARK.search(text, a, b)) for a, b in places]
+    marked = [_MARK.search(text, a, b) is not None for a, b in places]
+    word = lambda k: text[places[k][0] : places[k][1]]
+    if _ANNOUNCED.search(text):
+        for i, (a, b) in enumerate(places):
+            if _ANNOUNCED.search(text, a, b) and _plain(text[a:b]) in _CUES:
+                marked[i + 1 : i + 3] = [True] * len(marked[i + 1 : i + 3])
+    if _SPELLED.search(text):
+        for i in range(3, len(places)):
+            if _plain(word(i)) == "dot" and _plain(word(i - 2)) == "at":
+                marked[i - 3 : i + 2] = [True] * len(marked[i - 3 : i + 2])
     out, i = [], 0
     while i < len(places):
         if not marked[i]:
@@ -171,7 +220,6 @@ def _runs(text: str) -> list[tuple[list[tuple[int, int]], list[str], list[str]]]
         j = i
         while j < len(places) and marked[j]:
             j += 1
-        word = lambda k: text[places[k][0] : places[k][1]]
         out.append((places[i:j], [word(k) for k in range(max(0, i - 2), i)], [word(k) for k in range(j, min(len(places), j + 1))]))
         i = j
     return out
@@ -301,6 +349,8 @@ def _trimmed(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
         a += 1
     while b > a and text[b - 1] in edge:
         b -= 1
+    if kind == "secret" and a and text[a - 1] in "\"'" and 0 <= (end := text.find(text[a - 1], a, b)):
+        b = end
     return a, b
 
 
@@ -308,7 +358,7 @@ def find_spans(texts: list[str], field: Field) -> list[tuple[dict[str, list[tupl
     """Base spans by kind, and all spans, of each text."""
     out, sequences, owners = [], [], []
     for i, text in enumerate(texts):
-        if not _MARK.search(text):
+        if not has_candidates(text):
             out.append(({k: [] for k in BASE_KINDS}, []))
             continue
         base = base_spans(text)

@@ -165,12 +165,13 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, rows: int = TRAIN_ROWS) -> DataFrame:
-    """All columns of ``docs`` with a struct ``quality_`` of host, path, evidence, site rate, posterior and ``kept``.
+def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, rows: int = TRAIN_ROWS, column: str = "quality_") -> DataFrame:
+    """All columns of ``docs`` with a struct ``column`` of host, path, evidence, site rate, posterior and ``kept``.
 
     Null texts count as empty and get the evidence of an empty text; null sources and languages are sites of their
     own; repeated rows are scored alike. Without labels of both classes there is no evidence and everything is kept.
-    Names of further columns cannot clash: the columns made on the way carry a prefix. Empty tables give empty results.
+    Further columns pass through whatever their names; one named like ``column`` is replaced. Empty tables give empty
+    results.
     """
     weights = train(docs, labels, rows)
     base = float(np.clip(_label_rate(labels), 1e-3, 1 - 1e-3))
@@ -179,21 +180,21 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, rows:
     slim = docs.select(F.col("text"), host.alias("host"), path.alias("path"))
     slim = with_evidence(slim, weights).select("host", "path", (1 / (1 + F.exp(-(F.col("evidence") + prior)))).alias("p"))
     table, rate, k_host, k_path = sites(slim)
-    table = table.select(*[F.col(c).alias(f"dl_{c}") for c in table.columns])
-    full = with_evidence(docs.withColumns({"dl_h": host, "dl_p": path}), weights, "dl_evidence")
-    joined = full.join(table, (full["dl_h"] == table["dl_host"]) & (full["dl_p"] == table["dl_path"]))
-    own = 1 / (1 + F.exp(-(F.col("dl_evidence") + prior)))
-    host_rate = (F.col("dl_host_good") - own + k_host * rate) / (F.col("dl_host_n") - 1 + k_host)
-    path_rate = (F.col("dl_good") - own + k_path * host_rate) / (F.col("dl_n") - 1 + k_path)
-    posterior = 1 / (1 + F.exp(-(F.col("dl_evidence") + _odds(path_rate))))
+    table = table.withColumnsRenamed({"host": "of_host", "path": "of_path"})
+    # the document's own columns travel as one struct, so that no name of theirs can clash
+    others = [c for c in docs.columns if c != column]
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"), F.col("text"), host.alias("host"), path.alias("path"))
+    full = with_evidence(full, weights).drop("text")
+    joined = full.join(table, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")))
+    own = 1 / (1 + F.exp(-(F.col("evidence") + prior)))
+    host_rate = (F.col("host_good") - own + k_host * rate) / (F.col("host_n") - 1 + k_host)
+    path_rate = (F.col("good") - own + k_path * host_rate) / (F.col("n") - 1 + k_path)
+    posterior = 1 / (1 + F.exp(-(F.col("evidence") + _odds(path_rate))))
     keep = posterior >= keep_at if np.any(weights) else F.lit(True)
     return joined.select(
-        *docs.columns,
-        F.struct(
-            F.col("dl_h").alias("host"), F.col("dl_p").alias("path"), F.col("dl_evidence").alias("evidence"),
-            path_rate.alias("site_rate"), posterior.alias("posterior"), keep.alias("kept"),
-        ).alias("quality_"),
-    )
+        *[F.col(f"doc.`{c}`") for c in others],
+        F.struct("host", "path", "evidence", path_rate.alias("site_rate"), posterior.alias("posterior"), keep.alias("kept")).alias(column),
+    )
 
 
 def _label_rate(labels: DataFrame) -> float:
