@@ -78,7 +78,7 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     want = {r[0] for r in brute(rows) if r[2] is None or r[2] == r[0]}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == docs.columns
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = {r.doc_id for r in decontam.contaminated(kept, items).collect()}
+    leaks = {r.doc_id for r in decontam.contaminated(kept, items).collect()}  # ids are distinct here
     clean = stages[2](spark, kept, sf_dir).cache()
     assert {r.doc_id for r in clean.collect()} == want - leaks
     private = stages[3](spark, clean, sf_dir).cache()
@@ -88,6 +88,47 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     assert P.run(spark, sf_dir).count() == out.count()
 
 
+def test_rows_of_one_id_are_judged_one_by_one(spark, sf_dir):
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    one = "the old mill stands by the quiet river and its wheel still turns every day of the long summer"
+    rows = [
+        (1, one), (1, "a wholly different text that has nothing to do with it and is kept for its own sake by the stage"), (1, one), (2, one), (2, "two"), (2, "two"),
+        (3, ""), (3, ""), (None, one), (None, "without an id but with words of its own"), (4, f"before. {item} after."), (4, "clean text under the same id as a leak of the benchmark"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS nth", "2 AS row", "3 AS quality_")
+    kept = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, sf_dir).collect()]
+    want = [(1, one), rows[1], (2, "two"), (3, ""), (3, ""), rows[9], rows[10], rows[11]]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    clean = P.benchmark_leaks(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and sorted([(r.doc_id, r.text) for r in clean.collect()], key=str) == sorted([r for r in rows if r != rows[10]], key=str)
+    assert P.quality(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_pipeline_takes_up_after_its_last_stage(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    folder, calls = f"file://{tmp_path}/run", []
+
+    def stage(name, fail=False):
+        def f(spark, docs, sf_dir):
+            calls.append(name)
+            if fail:
+                raise RuntimeError(name)
+            return docs.limit(20)
+
+        return f
+
+    names = [n for n, _ in P.STAGES]
+    monkeypatch.setattr(P, "STAGES", [(n, stage(n, n == names[2])) for n in names])
+    with pytest.raises(RuntimeError):
+        P.run(spark, sf_dir, folder)
+    monkeypatch.setattr(P, "STAGES", [(n, stage(n)) for n in names])
+    assert P.run(spark, sf_dir, folder).count() == 20
+    assert calls == [*names[:3], *names[2:]]
+
+
 def test_stages_on_edge_cases(spark, docs, no_docs, sf_dir):
     import corpus_pipeline as P
 
