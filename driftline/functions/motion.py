@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,7 +87,8 @@ def fix_quality(accuracy: Column) -> Column:
 
 
 def window_stats(values: Column) -> Column:
-    """Mean, population deviation, mean absolute difference, 5th and 95th percentile of an array of numbers."""
+    """Mean, population deviation, mean absolute difference, 5th and 95th percentile of an array of numbers, and the
+    mean size of its Fourier components, without the constant one, in four bands from low to high."""
     n = F.size(values)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     mean = total(values) / n
@@ -99,7 +102,24 @@ def window_stats(values: Column) -> Column:
         at = lambda i: F.get(ordered, i)
         return at(low) + (at(F.least(low + 1, n - 1)) - at(low)) * (place - low)
 
+    half = F.floor(n / 2).cast("int")
+    turn = lambda k, i: 2 * math.pi * k * i / n
+
+    def component(k: Column) -> Column:
+        along, across = (total(F.transform(values, lambda v, i: (v - mean) * f(turn(k, i)))) for f in (F.cos, F.sin))
+        return F.hypot(along, across)
+
+    spectrum = F.transform(F.when(half >= 1, F.sequence(F.lit(1), half)).otherwise(F.array().cast("array<int>")), component)
+
+    def band(j: int) -> Column:
+        # the first bands have one component more where they do not divide evenly
+        width, more = F.floor(half / 4).cast("int"), half % 4
+        size = width + F.when(more > j, 1).otherwise(0)
+        part = F.slice(spectrum, j * width + F.least(F.lit(j), more) + 1, size)
+        return total(part) / F.nullif(size, F.lit(0))
+
     return F.struct(
+        *[band(j).alias(f"band{j + 1}") for j in range(4)],
         mean.alias("mean"), F.sqrt(squares / n).alias("std"),
         F.when(n > 1, total(steps) / (n - 1)).alias("mean_abs_diff"), percentile(0.05).alias("p05"), percentile(0.95).alias("p95"),
     )

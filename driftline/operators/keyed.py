@@ -130,7 +130,7 @@ def oracle_model(window, scalars, frame):
     from .kernels import SpeedEstimate
 
     v = frame.get("true_speed")
-    return None if v is None else SpeedEstimate(float(v), 0.04, 1.0 if v < 0.2 else 0.0)
+    return None if v is None else SpeedEstimate(float(v), 0.05**2, 1.0 if v < 0.3 else 0.0)
 
 
 def navigate(frames: DataFrame, key: str, segments: list[dict] | None = None, use_model: bool = True, **options) -> DataFrame:
@@ -187,10 +187,11 @@ def route_points(df: DataFrame, key: str, least: float, every: int) -> DataFrame
     return run_by_key(df, key, ["idx"], Thin, step, "idx long, e double, n double")
 
 
-def synthetic_fixes(truth: DataFrame, key: str, seed: int, white: float = 1.0, slow: float = 2.0, tau: float = 60.0, dt: float = 1.0, lag: int = 0) -> DataFrame:
+def synthetic_fixes(truth: DataFrame, key: str, seed: int, white: float = 1.0, slow: float = 2.0, tau: float = 30.0, dt: float = 1.0, lag: int = 0) -> DataFrame:
     """Fixes from true positions ``idx, t, e, n, speed, heading``: delayed truth with slow and white noise.
 
-    Each key has its own generator, seeded by the seed and the key, so the result does not depend on partitions.
+    Each key has its own generator, seeded by the seed and the key, so the result does not depend on partitions. Where
+    ``truth`` has a column ``normals``, an array of six numbers a row, these are taken in place of random ones.
     """
     import random
 
@@ -201,16 +202,18 @@ def synthetic_fixes(truth: DataFrame, key: str, seed: int, white: float = 1.0, s
             self.rng, self.past = None, []
             self.noise = (Ar1(slow, tau, dt), Ar1(slow, tau, dt))
 
+        def gauss(self, mean, deviation):
+            return mean + deviation * self.given.pop(0) if self.given else self.rng.gauss(mean, deviation)
+
     def step(kernel, r):
         if kernel.rng is None:
             kernel.rng = random.Random(f"{seed}:{r[key]}")
+        kernel.given = list(r.get("normals") or [])
         kernel.past = [*kernel.past, (r["e"], r["n"], r["speed"], r["heading"])][-(lag + 1) :]
         e, n, speed, heading = kernel.past[0]
-        g = kernel.rng.gauss
+        g = kernel.gauss
         de, dn = (a.update(g(0, 1)) + white * g(0, 1) for a in kernel.noise)
-        return {
-            "t": r["t"], "e": e + de, "n": n + dn, "speed": max(speed + 0.1 * g(0, 1), 0.0),
-            "heading": (heading + g(0, 1)) % 360 if speed > 1 else None, "accuracy": 3.0,
-        }
+        seen = max(speed + 0.1 * g(0, 1), 0.0)
+        return {"t": r["t"], "e": e + de, "n": n + dn, "speed": seen, "heading": (heading + g(0, 1)) % 360 if seen > 1 else None, "accuracy": 3.0}
 
     return run_by_key(truth, key, ["idx"], Source, step, "t double, e double, n double, speed double, heading double, accuracy double")

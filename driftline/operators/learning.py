@@ -22,14 +22,14 @@ def configurations(spark, trips: DataFrame, maps: DataFrame, key: str = "trip")
 
 
 def window_features(windows: DataFrame, channels: int, window: str = "window") -> DataFrame:
-    """``features``: five statistics of each channel of windows of channel arrays, as a vector for ``pyspark.ml``."""
+    """``features``: nine statistics of each channel of windows of channel arrays, as a vector for ``pyspark.ml``."""
     from pyspark.ml.functions import array_to_vector
 
     def channel(c: int) -> Column:
         return F.transform(window, lambda row: row[c].cast("double"))
 
     stats = [window_stats(channel(c)) for c in range(channels)]
-    flat = F.array(*[s[f] for s in stats for f in ("mean", "std", "mean_abs_diff", "p05", "p95")])
+    flat = F.array(*[s[f] for s in stats for f in ("mean", "std", "mean_abs_diff", "p05", "p95", "band1", "band2", "band3", "band4")])
     return windows.withColumn("features", array_to_vector(flat))
 
 

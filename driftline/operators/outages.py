@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,39 +102,57 @@ def f1(predicted: Column, actual: Column) -> Column:
     return 2 * both / F.nullif(F.sum(predicted.cast("long")) + F.sum(actual.cast("long")), F.lit(0))
 
 
+def outage_grid(frames: DataFrame, key: str, index: str, window: int, length: int, spacing: int, least_speed: float = LEAST_SPEED) -> DataFrame:
+    """``key, start, end`` of outages of ``length`` frames that start every ``spacing`` frames from ``window`` on.
+
+    All frames of an outage and the ``window`` frames before it are valid, and the mean speed is at least
+    ``least_speed``. Frames have ``speed`` and ``valid`` and are numbered from 0.
+    """
+    last = F.max(index) + 1 - length - 1
+    starts = frames.groupBy(key).agg(last.alias("last")).where(F.col("last") >= window)
+    starts = starts.select(key, F.explode(F.sequence(F.lit(window).cast("long"), F.col("last").cast("long"), F.lit(spacing).cast("long"))).alias("start"))
+    unrolled = starts.select(key, "start", F.explode(F.sequence(F.col("start") - window, F.col("start") + length - 1)).alias("i"))
+    met = unrolled.join(frames.select(key, F.col(index).alias("i"), "speed", "valid"), [key, "i"])
+    told = met.groupBy(key, "start").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("n"), F.avg(F.when(F.col("i") >= F.col("start"), F.col("speed"))).alias("mean"))
+    return told.where(F.col("valid") & (F.col("n") == window + length) & (F.col("mean") >= least_speed)).select(key, "start", (F.col("start") + length).alias("end"))
+
+
 def hold_last_errors(frames: DataFrame, outages: DataFrame, key: str, index: str, dt: float) -> DataFrame:
-    """Distance error in percent of holding the speed of the frame before an outage all through it."""
-    wanted = outages.select(key, "start", "end", F.explode(F.sequence(F.col("start") - 1, F.col("end") - 1)).alias("i"))
-    met = wanted.join(frames.select(key, F.col(index).alias("i"), "speed", "valid"), [key, "i"])
-    inside = F.col("i") >= F.col("start")
-    out = met.groupBy(key, "start", "end").agg(
-        F.sum(F.when(inside, F.col("speed"))).alias("sum"), F.max(F.when(~inside, F.col("speed"))).alias("held"), F.bool_and(F.when(inside, F.col("valid"))).alias("valid"),
-    )
+    """Distance error in percent of holding the speed of an outage's first frame all through it."""
+    wanted = outages.select(key, "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("i"))
+    met = wanted.join(frames.select(key, F.col(index).alias("i"), "speed"), [key, "i"])
+    out = met.groupBy(key, "start", "end").agg(F.sum("speed").alias("sum"), F.max(F.when(F.col("i") == F.col("start"), F.col("speed"))).alias("held"))
     n = F.col("end") - F.col("start")
     return out.select(
-        key, "start", "end", "valid", (F.col("sum") * dt).alias("distance_m"), (F.col("held") * n * dt).alias("held_m"), (F.col("sum") / n).alias("mean_speed_mps"),
+        key, "start", "end", (F.col("sum") * dt).alias("distance_m"), (F.col("held") * n * dt).alias("held_m"),
         F.when(F.col("sum") > 0, 100 * F.abs(F.col("held") * n - F.col("sum")) / F.col("sum")).alias("error_pct"),
     )
 
 
-def bootstrap(outages: DataFrame, picks: DataFrame, cluster: str, value: str) -> DataFrame:
-    """Median and pass share of each replicate of ``picks(replicate, slot, cluster)``, all rows of a cluster together,
-    and of these the 2.5th, 50th and 97.5th percentiles."""
-    rep = picks.join(outages.select(cluster, value), cluster).groupBy("replicate").agg(
-        F.percentile(value, 0.5).alias("median"), F.avg((F.col(value) < PASS_PERCENT).cast("double")).alias("pass")
-    )
-    q = [0.025, 0.5, 0.975]
-    return rep.agg(*[F.percentile(c, p).alias(f"{c}_{n}") for c in ("median", "pass") for p, n in zip(q, ("low", "mid", "high"), strict=True)], F.count("*").alias("replicates"))
-
-
-def random_picks(clusters: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
-    """``replicate, slot, cluster``: clusters drawn with replacement, as many as there are."""
-    nth = F.row_number().over(Window.orderBy(cluster)) - 1  # clusters are the outages of a trip
-    listed = clusters.select(cluster).distinct().withColumn("slot", nth)
-    n = listed.agg(F.count("*").alias("n"))
-    slots = listed.select("slot").crossJoin(F.broadcast(n)).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = slots.select("replicate", F.col("slot").alias("_s"), F.floor(F.rand(seed) * F.col("n")).alias("slot"))
-    return drawn.join(listed, "slot").select("replicate", F.col("_s").alias("slot"), cluster)
+def robustness(runs: DataFrame, by: list[str], cluster: str, seed: str, value: str, replicates: int = 2000, pick: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Median, pass share and 90th percentile of ``value`` in each group, with bootstrap intervals over clusters.
+
+    A cluster is an outage; the same outage under several seeds is resampled as a whole. ``pick(replicate, slot, n)``
+    gives the number of the cluster drawn, at random by default. Draws are summed to counts for each replicate and
+    cluster before they meet the values. A group without rows is not in the result.
+    """
+    pick = pick or (lambda replicate, slot, n: F.floor(F.rand(0) * n))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1  # the outages of one group
+    clusters = runs.select(*by, cluster).distinct().withColumn("number", nth)
+    sizes = clusters.groupBy(*by).agg(F.count("*").alias("n_outages"))
+    slots = sizes.select(*by, "n_outages", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_outages") - 1)).alias("slot"))
+    drawn = slots.select(*by, "replicate", pick(F.col("replicate"), F.col("slot"), F.col("n_outages")).cast("int").alias("number"))
+    drawn = drawn.groupBy(*by, "replicate", "number").agg(F.count("*").alias("times"))
+    passes = (F.col(value) < PASS_PERCENT).cast("double")
+    met = drawn.join(clusters, [*by, "number"]).join(runs.select(*by, cluster, value), [*by, cluster])
+    reps = met.groupBy(*by, "replicate").agg(F.percentile(value, 0.5, F.col("times")).alias("m"), (F.sum(passes * F.col("times")) / F.sum("times")).alias("p"))
+    ends = reps.groupBy(*by).agg(*[F.percentile(c, q).alias(f"{name}_{end}") for c, name in (("m", "median"), ("p", "pass_rate")) for q, end in ((0.025, "low"), (0.975, "high"))])
+    pooled = runs.groupBy(*by).agg(
+        F.count("*").alias("n_observations"), F.countDistinct(seed).alias("seeds"), F.percentile(value, 0.5).alias("median"),
+        F.avg(passes).alias("pass_rate"), F.percentile(value, 0.9).alias("p90"),
+    )
+    return pooled.join(sizes, by).join(ends, by)
 
 
 def mode_shares(frames: DataFrame) -> DataFrame:

@@ -54,16 +54,19 @@ def rounded_node(lon: Column, lat: Column, places: int = 7) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices ``way, id, highway, oneway, junction, position, lon, lat`` of the lines of a GeoJSON file."""
+    """Vertices ``way, id, highway, oneway, junction, position, lon, lat`` of the lines of a GeoJSON file.
+
+    ``way`` is the file's name with the places of the feature and of the line in it, so features need no ``id``.
+    """
     schema = (
         "features array<struct<properties:struct<id:string,highway:string,name:string,oneway:string,junction:string>,"
         "geometry:struct<type:string,coordinates:string>>>"
     )
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode("features").alias("feature", "f"))
     single = F.array(F.from_json("f.geometry.coordinates", "array<array<double>>"))
     lines = F.when(F.col("f.geometry.type") == "LineString", single).when(F.col("f.geometry.type") == "MultiLineString", F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
-    ways = features.select("f.properties.*", F.posexplode(lines).alias("line", "coords")).where(F.size("coords") >= 2)
-    ways = ways.select(F.concat_ws("/", "id", "line").alias("way"), "id", "highway", "oneway", "junction", F.posexplode("coords").alias("position", "xy"))
+    ways = features.select("file", "feature", "f.properties.*", F.posexplode(lines).alias("line", "coords")).where(F.size("coords") >= 2)
+    ways = ways.select(F.concat_ws("/", "file", "feature", "line").alias("way"), "id", "highway", "oneway", "junction", F.posexplode("coords").alias("position", "xy"))
     return ways.select("way", "id", "highway", "oneway", "junction", "position", F.col("xy")[0].alias("lon"), F.col("xy")[1].alias("lat"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, motion
 from ..operators import alignment, keyed, outages, roads, validity
 from ..sources import tables
+from . import kernel_sql
 
 FLAGSHIP = "q27_hold_last_value"
 SIX_HOURS, HALF_DAY, DAY = 21600.0, 43200.0, 86400.0
@@ -276,13 +277,27 @@ def q16_geodetic_enu(spark, sf_dir):
     return _places(spark, sf_dir).select("c_custkey", r("east", 4).alias("east"), r("north", 4).alias("north"))
 
 
-@query(f"WITH {PLACES} SELECT c_custkey, true AS within FROM en")
+def _inverse_sql(rounds: int = 3) -> str:
+    la, lo = math.radians(LAT0), math.radians(LON0)
+    x0, y0, z0 = _ecef_sql(str(LAT0), str(LON0))
+    x = f"{x0} - ({math.sin(lo)!r}) * east - ({math.sin(la) * math.cos(lo)!r}) * north"
+    y = f"{y0} + ({math.cos(lo)!r}) * east - ({math.sin(la) * math.sin(lo)!r}) * north"
+    q = f"SELECT *, atan2(z, p * {1 - E2!r}) AS phi FROM (SELECT *, sqrt(x * x + y * y) AS p FROM (SELECT c_custkey, lat, lon, {x} AS x, {y} AS y, {z0} + ({math.cos(la)!r}) * north AS z FROM en))"
+    for _ in range(rounds):
+        q = f"SELECT * REPLACE (atan2(z + {E2!r} * {A!r} / sqrt(1 - {E2!r} * sin(phi) * sin(phi)) * sin(phi), p) AS phi) FROM ({q})"
+    return q
+
+
+@query(f"WITH {PLACES} SELECT c_custkey, round(degrees(phi), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon, abs(degrees(phi) - lat) < 2e-6 AND abs(degrees(atan2(y, x)) - lon) < 2e-6 AS within FROM ({_inverse_sql()})")
 def q17_enu_roundtrip(spark, sf_dir):
-    """Whether coordinates come back within 1e-7 degrees."""
+    """Coordinates brought back from the tangent plane, and whether they are within 2e-6 degrees of where they began.
+
+    A point on the ellipsoid lies below the tangent plane, which moves it by its height's share.
+    """
     p = _places(spark, sf_dir)
     lat, lon = angles.to_geodetic(F.col("east"), F.col("north"), F.lit(LAT0), F.lit(LON0))
-    # a point on the ellipsoid lies below the tangent plane, which moves it by its height's share only
-    return p.select("c_custkey", ((F.abs(lat - F.col("lat")) < 2e-6) & (F.abs(lon - F.col("lon")) < 2e-6)).alias("within"))
+    within = (F.abs(lat - F.col("lat")) < 2e-6) & (F.abs(lon - F.col("lon")) < 2e-6)
+    return p.select("c_custkey", r(lat, 9).alias("lat"), r(lon, 9).alias("lon"), within.alias("within"))
 
 
 def _samples(ev: DataFrame) -> DataFrame:
@@ -370,14 +385,14 @@ def _distance_candidates(ev: DataFrame) -> DataFrame:
     bad = cum.select("trip", "i", F.coalesce(bad, F.lit(0)).alias("bad"))
     met = met.join(bad.withColumnsRenamed({"i": "start", "bad": "b1"}), ["trip", "start"]).join(bad.withColumnsRenamed({"i": "end", "bad": "b2"}), ["trip", "end"], "left")
     n = F.col("end") - F.col("start")
-    fits = F.coalesce((n <= 12) & (200.0 / n).between(10.0, 100.0) & (F.col("b2") - F.col("b1") <= 1), F.lit(False))
+    fits = F.coalesce((n <= 12) & (200.0 / n).between(10.0, 100.0) & (F.col("b2") == F.col("b1")), F.lit(False))
     return met.select("trip", "start", "end", fits.alias("fits"))
 
 
 @query(f"""WITH RECURSIVE {EV}, c AS (SELECT trip, i, coalesce(sum(value + 1.0) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum,
   coalesce(sum(CASE WHEN k % 8 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM ev),
 d AS (SELECT a.trip, a.i AS start, min(b.i) AS e FROM c a JOIN c b ON a.trip = b.trip AND b.cum >= a.cum + 200.0 GROUP BY ALL),
-f AS (SELECT d.trip, d.start, d.e, (d.e - d.start <= 12 AND 200.0 / (d.e - d.start) BETWEEN 10 AND 100 AND y.bad - x.bad <= 1) AS fits
+f AS (SELECT d.trip, d.start, d.e, (d.e - d.start <= 12 AND 200.0 / (d.e - d.start) BETWEEN 10 AND 100 AND y.bad = x.bad) AS fits
   FROM d JOIN c x ON x.trip = d.trip AND x.i = d.start JOIN c y ON y.trip = d.trip AND y.i = d.e),
 p AS (SELECT trip, CAST(2 AS BIGINT) AS start FROM (SELECT DISTINCT trip FROM ev) UNION ALL SELECT p.trip, CASE WHEN fits THEN e + 3 ELSE p.start + 1 END FROM p JOIN f ON f.trip = p.trip AND f.start = p.start)
 SELECT p.trip, p.start, f.e AS "end" FROM p JOIN f ON f.trip = p.trip AND f.start = p.start WHERE fits""")
@@ -434,9 +449,9 @@ def q26_summary(spark, sf_dir):
 
 
 HOLD = f"""{GRID}, fr AS (SELECT trip, idx - min(idx) OVER (PARTITION BY trip) AS i, value AS speed, value >= 1 AS valid FROM gv),
-ho AS (SELECT trip, unnest(range(4, count(*) - 10, 16)) AS start FROM fr GROUP BY trip),
-he AS (SELECT ho.trip, ho.start, sum(speed) FILTER (i >= start) AS s, max(speed) FILTER (i < start) AS held, bool_and(valid) FILTER (i >= start) AS valid
-  FROM ho JOIN fr ON fr.trip = ho.trip AND fr.i >= ho.start - 1 AND fr.i < ho.start + 10 GROUP BY ALL),
+ho AS (SELECT trip, unnest(range(4, count(*) - 10, 6)) AS start FROM fr GROUP BY trip),
+he AS (SELECT ho.trip, ho.start, sum(speed) FILTER (i >= start) AS s, max(speed) FILTER (i = start) AS held, bool_and(valid) AS valid
+  FROM ho JOIN fr ON fr.trip = ho.trip AND fr.i >= ho.start - 4 AND fr.i < ho.start + 10 GROUP BY ALL),
 hs AS (SELECT trip, start, s * 6.0 AS distance_m, 100 * abs(held * 10 - s) / s AS error_pct FROM he WHERE valid AND s / 10 >= 3)"""
 
 
@@ -444,8 +459,7 @@ def _held(spark, sf_dir) -> DataFrame:
     grid = _gridded(events(spark, sf_dir))
     first = F.min("idx").over(Window.partitionBy("trip"))
     frames = grid.select("trip", (F.col("idx") - first).alias("i"), F.col("value").alias("speed"), (F.col("value") >= 1).alias("valid"))
-    tiles = outages.tiled_outages(frames.groupBy("trip").agg(F.count("*").alias("n")), "trip", "n", 4, 10, 6)
-    return outages.hold_last_errors(frames, tiles, "trip", "i", 6.0).where("valid AND mean_speed_mps >= 3")
+    return outages.hold_last_errors(frames, outages.outage_grid(frames, "trip", "i", 4, 10, 6), "trip", "i", 6.0)
 
 
 @query(f"""WITH {HOLD} SELECT trip, count(*) AS n, round(quantile_cont(error_pct, 0.5), 6) AS median_pct, round(avg(error_pct), 6) AS mean_pct, round(quantile_cont(error_pct, 0.9), 6) AS p90_pct,
@@ -485,19 +499,21 @@ def q29_mode_histogram(spark, sf_dir):
     return outages.mode_shares(es).join(medians, "mode").select("mode", "n", r("share").alias("share"), "err_median")
 
 
-@query(f"""WITH {HOLD}, cl AS (SELECT row_number() OVER (ORDER BY trip, start) - 1 AS id, error_pct FROM hs), n AS (SELECT count(*) AS n FROM cl),
-pk AS (SELECT rep AS replicate, (rep * 7919 + slot * 104729 + rep * slot) % n AS id FROM n, range(0, 50) a(rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS slot) b),
-rp AS (SELECT replicate, quantile_cont(error_pct, 0.5) AS median, avg(CASE WHEN error_pct < 10 THEN 1.0 ELSE 0.0 END) AS pass FROM pk JOIN cl USING (id) GROUP BY replicate)
-SELECT {', '.join(f'round(quantile_cont({c}, {q}), 6) AS {c}_{m}' for c in ('median', 'pass') for q, m in ((0.025, 'low'), (0.5, 'mid'), (0.975, 'high')))}, count(*) AS replicates FROM rp""")
+@query(f"""WITH {HOLD}, ru AS (SELECT trip % 3 AS scenario, trip * 100000 + start AS outage, seed, error_pct * (1 + seed / 8.0) AS drift FROM hs, range(0, 3) x(seed) WHERE (start + seed) % 5 <> 0),
+cl AS (SELECT scenario, outage, row_number() OVER (PARTITION BY scenario ORDER BY outage) - 1 AS number FROM (SELECT DISTINCT scenario, outage FROM ru)),
+sz AS (SELECT scenario, count(*) AS n_outages FROM cl GROUP BY scenario),
+dr AS (SELECT scenario, replicate, (replicate * 7919 + slot * 104729 + replicate * slot) % n_outages AS number FROM (SELECT *, unnest(range(0, n_outages)) AS slot FROM sz), range(0, 2000) y(replicate)),
+rp AS (SELECT dr.scenario, replicate, quantile_cont(drift, 0.5) AS m, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS p FROM dr JOIN cl USING (scenario, number) JOIN ru USING (scenario, outage) GROUP BY dr.scenario, replicate),
+ci AS (SELECT scenario, {', '.join(f'quantile_cont({c}, {q}) AS {name}_{end}' for c, name in (('m', 'median'), ('p', 'pass_rate')) for q, end in ((0.025, 'low'), (0.975, 'high')))} FROM rp GROUP BY scenario),
+po AS (SELECT scenario, count(*) AS n_observations, count(DISTINCT seed) AS seeds, quantile_cont(drift, 0.5) AS median, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS pass_rate, quantile_cont(drift, 0.9) AS p90 FROM ru GROUP BY scenario)
+SELECT scenario, n_observations, seeds, n_outages, {', '.join(f'round({c}, 6) AS {c}' for c in ('median', 'pass_rate', 'p90', 'median_low', 'median_high', 'pass_rate_low', 'pass_rate_high'))} FROM po JOIN sz USING (scenario) JOIN ci USING (scenario)""")
 def q30_bootstrap_ci(spark, sf_dir):
-    held = _held(spark, sf_dir)
-    nth = (F.row_number().over(Window.orderBy("trip", "start")) - 1).cast("long")  # one row for each outage
-    clusters = held.select(nth.alias("id"), "error_pct")
-    n = clusters.agg(F.count("*").alias("n"))
-    reps = clusters.select(F.col("id").alias("slot")).crossJoin(F.broadcast(n)).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("replicate"))
-    picks = reps.select("replicate", ((F.col("replicate") * 7919 + F.col("slot") * 104729 + F.col("replicate") * F.col("slot")) % F.col("n")).alias("id"))
-    b = outages.bootstrap(clusters, picks, "id", "error_pct")
-    return b.select(*[r(c).alias(c) for c in b.columns if c != "replicates"], "replicates")
+    """The robustness record: outages under three seeds, of which some runs lack some, 2,000 replicates."""
+    runs = _held(spark, sf_dir).select((F.col("trip") % 3).alias("scenario"), (F.col("trip") * 100000 + F.col("start")).alias("outage"), "start", "error_pct", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed"))
+    runs = runs.where((F.col("start") + F.col("seed")) % 5 != 0).withColumn("drift", F.col("error_pct") * (1 + F.col("seed") / 8))
+    # a fixed rule in place of random draws, so that SQL can draw the same
+    out = outages.robustness(runs, ["scenario"], "outage", "seed", "drift", 2000, lambda k, slot, n: (k * 7919 + slot * 104729 + k * slot) % n)
+    return out.select(*[F.col(c) if c in ("scenario", "n_observations", "seeds", "n_outages") else r(c).alias(c) for c in out.columns])
 
 
 def _lattice(spark, sf_dir) -> DataFrame:
@@ -548,26 +564,22 @@ def q32_nearby_segments(spark, sf_dir):
     return _near(spark, sf_dir).select("c_custkey", "seg", r("fraction").alias("fraction"), "distance", "rank")
 
 
-def _shortest_paths(spark, sf_dir, which) -> DataFrame:
-    s, key = _lattice(spark, sf_dir), F.col("s_suppkey")
-    node = F.concat_ws(":", (key % 10 * 200).cast("long"), (key % 7 * 200).cast("long"))
-    starts = table(spark, sf_dir, "supplier").where(which).select(key.alias("source"), node.alias("node"), (key % 4 * 10.0).alias("distance"))
-    found = roads.bounded_distances(starts, s.select(F.col("node1").alias("a"), F.col("node2").alias("b"), "length"), 350.0)
-    return found.select("source", "node", r("distance").alias("distance"))
-
-
 @query(f"""WITH RECURSIVE {LATTICE}, ed AS (SELECT node1 AS a, node2 AS b, length FROM lt UNION ALL SELECT node2, node1, length FROM lt),
-st AS (SELECT s_suppkey AS source, CAST(s_suppkey % 10 * 200 AS BIGINT) || ':' || CAST(s_suppkey % 7 * 200 AS BIGINT) AS node, s_suppkey % 4 * 10.0::DOUBLE AS d FROM supplier WHERE s_suppkey <= 40),
+st AS (SELECT s_suppkey AS source, CAST(s_suppkey % 10 * 200 AS BIGINT) || ':' || CAST(s_suppkey % 7 * 200 AS BIGINT) AS node, s_suppkey % 4 * 10.0::DOUBLE AS d FROM supplier),
 wk AS (SELECT source, node, d FROM st UNION SELECT wk.source, ed.b, wk.d + ed.length FROM wk JOIN ed ON ed.a = wk.node WHERE wk.d + ed.length <= 350)
 SELECT source, node, round(min(d), 6) AS distance FROM wk GROUP BY ALL""")
 def q33_bounded_shortest_path(spark, sf_dir):
-    return _shortest_paths(spark, sf_dir, F.col("s_suppkey") <= 40)
+    s, key = _lattice(spark, sf_dir), F.col("s_suppkey")
+    node = F.concat_ws(":", (key % 10 * 200).cast("long"), (key % 7 * 200).cast("long"))
+    starts = table(spark, sf_dir, "supplier").select(key.alias("source"), node.alias("node"), (key % 4 * 10.0).alias("distance"))
+    found = roads.bounded_distances(starts, s.select(F.col("node1").alias("a"), F.col("node2").alias("b"), "length"), 350.0)
+    return found.select("source", "node", r("distance").alias("distance"))
 
 
-@query()
+@query(_SQL["q33_bounded_shortest_path"])
 def q53_bounded_shortest_path_all(spark, sf_dir):
-    """As q33 from all suppliers, which its recursive SQL does not have."""
-    return _shortest_paths(spark, sf_dir, F.lit(True))
+    """As q33, which once started from some suppliers only."""
+    return q33_bounded_shortest_path(spark, sf_dir)
 
 
 @query(f"""WITH {NEAR}, hd AS (SELECT *, CASE WHEN oneway = 1 THEN psi WHEN oneway = -1 THEN {wrap('psi + pi()')} WHEN abs({wrap('psi_v - psi')}) <= abs({wrap(f"psi_v - {wrap('psi + pi()')}")}) THEN psi ELSE {wrap('psi + pi()')} END AS rp FROM nr WHERE rank <= 12),
@@ -592,14 +604,23 @@ def _street_map() -> list[dict]:
     return out
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, mp AS (SELECT trip, i, i * 12.0 % 900 + 3.7 AS e, trip % 10 * 100.0 + k % 9 - 4 AS n FROM ev), {kernel_sql.street_matching('mp')},
+pq AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY trip, i) AS mass, first(fe) OVER w AS be, first(fn) OVER w AS bn, first(road) OVER w AS br, first(seg) OVER w AS bs FROM hm
+  WINDOW w AS (PARTITION BY trip, i ORDER BY score DESC, d, seg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT trip, CAST(i AS DOUBLE) AS t, CAST(first(bs) AS BIGINT) AS segment, round(first(be), 6) AS foot_e, round(first(bn), 6) AS foot_n,
+  round(sum(CASE WHEN sqrt(pow(fe - be, 2) + pow(fn - bn, 2)) < 3 AND abs({wrap('road - br')}) < radians(20.0) THEN mass ELSE 0 END), 6) AS confidence FROM pq GROUP BY trip, i""")
 def q35_hmm_match(spark, sf_dir):
     i = F.col("i")
-    p = events(spark, sf_dir).select("trip", i.cast("double").alias("t"), (i * 12.0 % 900).alias("e"), (F.col("trip") % 10 * 100.0 + F.col("k") % 9 - 4).alias("n"), F.lit(0.0).alias("psi"), F.lit(12.0).alias("speed"), F.lit(12.0).alias("travelled"), F.lit(5.0).alias("std"))
-    return keyed.match_roads(p, "trip", _street_map())
+    p = events(spark, sf_dir).select("trip", i.cast("double").alias("t"), (i * 12.0 % 900 + 3.7).alias("e"), (F.col("trip") % 10 * 100.0 + F.col("k") % 9 - 4).alias("n"), F.lit(0.0).alias("psi"), F.lit(12.0).alias("speed"), F.lit(12.0).alias("travelled"), F.lit(5.0).alias("std"))
+    out = keyed.match_roads(p, "trip", _street_map())
+    return out.select("trip", "t", "segment", *[r(c).alias(c) for c in ("foot_e", "foot_n", "confidence")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, fx AS (SELECT trip, i, sum(CASE WHEN k % 13 = 0 THEN 40.0 WHEN k % 5 = 0 THEN 9.0 ELSE 1.0 END) OVER (PARTITION BY trip ORDER BY i)::DOUBLE AS t, i * 10.0 + CASE WHEN k % 10 = 7 THEN 300.0 ELSE 0.0 END AS e,
+  CASE WHEN k % 17 <> 0 THEN 3.0 + k % 25 END AS accuracy, CASE WHEN k % 10 = 7 THEN 500.0 ELSE k % 15 * 1.0 END::DOUBLE AS surprise FROM ev),
+fs AS (SELECT trip, i, t, surprise, 10.0::DOUBLE AS own, {{'t': t, 'e': e::DOUBLE, 'n': 0.0::DOUBLE, 'speed': 10.0::DOUBLE, 'accuracy': accuracy::DOUBLE}} AS fix FROM fx),
+mo AS (SELECT trip, -1 AS i, 0.0::DOUBLE AS t, {kernel_sql.MONITOR_START} FROM (SELECT DISTINCT trip FROM ev) UNION ALL {kernel_sql.tick(kernel_sql.on_fix(kernel_sql.tick("SELECT f.trip, f.i, f.t, f.surprise, f.own, f.fix, " + ", ".join(f"s.{c}" for c in kernel_sql.MONITOR) + " FROM mo s JOIN fs f ON f.trip = s.trip AND f.i = s.i + 1", "trip, i, t, surprise, own, fix"), "trip, i, t"), "trip, i, t")})
+SELECT trip, t, decision, mode, round(quality, 6) AS quality FROM mo WHERE i >= 0""")
 def q36_gnss_monitor(spark, sf_dir):
     i, k = F.col("i"), F.col("k")
     t = F.sum(F.when(k % 13 == 0, 40.0).when(k % 5 == 0, 9.0).otherwise(1.0)).over(Window.partitionBy("trip").orderBy("i"))
@@ -607,7 +628,7 @@ def q36_gnss_monitor(spark, sf_dir):
         "trip", t.alias("t"), (i * 10.0 + F.when(k % 10 == 7, 300.0).otherwise(0.0)).alias("e"), F.lit(0.0).alias("n"), F.lit(10.0).alias("speed"),
         F.when(k % 17 != 0, 3.0 + k % 25).alias("accuracy"), F.when(k % 10 == 7, 500.0).otherwise(F.col("k") % 15 * 1.0).alias("surprise"), F.lit(10.0).alias("own_speed"),
     )
-    return keyed.monitor_fixes(fixes, "trip")
+    return keyed.monitor_fixes(fixes, "trip").withColumn("quality", r("quality"))
 
 
 def _frames(ev: DataFrame) -> DataFrame:
@@ -621,9 +642,15 @@ def _frames(ev: DataFrame) -> DataFrame:
     )
 
 
-@query()
+FRAMES = f"""{EV}, fm AS (SELECT trip, i * 10 + j AS f, (i * 10 + j) * 0.1::DOUBLE AS t, (k % 3 - 1) * 0.1::DOUBLE AS ax, 0.0::DOUBLE AS ay, 9.8::DOUBLE AS az, 0.0::DOUBLE AS gx, 0.0::DOUBLE AS gy, (k % 7 - 3) * 0.001::DOUBLE AS gz,
+  CASE WHEN j = 0 AND i NOT BETWEEN 20 AND 30 THEN {{'t': (i * 10 + j) * 0.1::DOUBLE, 'e': (i * 10 + j) * 1.2::DOUBLE, 'n': (k % 5 - 2)::DOUBLE, 'speed': 12.0::DOUBLE, 'accuracy': 5.0::DOUBLE}} END AS fix FROM ev, range(0, 10) x(j))"""
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, {kernel_sql.navigation('fm')}
+SELECT trip, t, round(x0, 4) AS east, round(x1, 4) AS north, round(x3, 5) AS speed, round(x2, 5) AS psi, mode, round(quality, 6) AS quality, round(sqrt(greatest(p00 + p11, 0)), 5) AS position_std FROM nv""")
 def q37_filter_run(spark, sf_dir):
-    return keyed.navigate(_frames(events(spark, sf_dir)), "trip", use_model=False).select("trip", "t", "east", "north", "speed", "psi", "position_std")
+    out = keyed.navigate(_frames(events(spark, sf_dir)), "trip", use_model=False)
+    return out.select("trip", "t", r("east", 4).alias("east"), r("north", 4).alias("north"), r("speed", 5).alias("speed"), r("psi", 5).alias("psi"), "mode", r("quality").alias("quality"), r("position_std", 5).alias("position_std"))
 
 
 @query()
@@ -631,8 +658,12 @@ def q38_navigation(spark, sf_dir):
     return keyed.navigate(_frames(events(spark, sf_dir)), "trip", segments=_street_map())
 
 
-@query(f"""WITH {EV}, s AS (SELECT trip, value, abs(value - lag(value) OVER (PARTITION BY trip ORDER BY i)) AS d FROM ev)
-SELECT trip, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(d), 6) AS mean_abs_diff, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95 FROM s GROUP BY trip""")
+@query(f"""WITH {EV}, s AS (SELECT trip, value, abs(value - lag(value) OVER (PARTITION BY trip ORDER BY i)) AS d FROM ev),
+fn AS (SELECT trip, i, value - avg(value) OVER (PARTITION BY trip) AS x, count(*) OVER (PARTITION BY trip) AS n FROM ev),
+fk AS (SELECT trip, n // 2 AS h, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) AS size FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM fn) GROUP BY trip, n, k),
+fb AS (SELECT trip, size, CASE WHEN k - 1 < h % 4 * (h // 4 + 1) THEN (k - 1) // (h // 4 + 1) ELSE h % 4 + (k - 1 - h % 4 * (h // 4 + 1)) // (h // 4) END AS band FROM fk),
+fa AS (SELECT trip, {', '.join(f'round(avg(size) FILTER (band = {j}), 6) AS band{j + 1}' for j in range(4))} FROM fb GROUP BY trip)
+SELECT a.*, band1, band2, band3, band4 FROM (SELECT trip, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(d), 6) AS mean_abs_diff, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95 FROM s GROUP BY trip) a LEFT JOIN fa USING (trip)""")
 def q39_window_stats(spark, sf_dir):
     lists = events(spark, sf_dir).groupBy("trip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
     s = lists.select("trip", motion.window_stats(F.col("v")).alias("s")).select("trip", "s.*")
@@ -716,16 +747,34 @@ def q49_series_overlap(spark, sf_dir):
     return alignment.common_grid(both, "trip", "low", "high", SIX_HOURS).groupBy("trip").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, rt AS (SELECT trip, i, i * 10.0::DOUBLE AS e, k * 1.0::DOUBLE AS n FROM ev WHERE i % 2 = 0),
+kp AS (SELECT trip, i, true AS kept, e, n FROM rt WHERE i = 0 UNION ALL
+  SELECT rt.trip, rt.i, far, CASE WHEN far THEN rt.e ELSE ke END, CASE WHEN far THEN rt.n ELSE kn END FROM (SELECT rt.*, kp.e AS ke, kp.n AS kn, sqrt(pow(rt.e - kp.e, 2) + pow(rt.n - kp.n, 2)) >= 75 AS far FROM kp JOIN rt ON rt.trip = kp.trip AND rt.i = kp.i + 2) rt)
+SELECT trip, i AS idx, e, n FROM kp WHERE kept""")
 def q50_route_points(spark, sf_dir):
     ev = events(spark, sf_dir).select("trip", F.col("i").alias("idx"), (F.col("i") * 10.0).alias("e"), (F.col("k") * 1.0).alias("n"))
     return keyed.route_points(ev, "trip", 75.0, 2)
 
 
-@query()
+_PHI, _GROW = f"{math.exp(-1 / 30)!r}::DOUBLE", f"{2 * math.sqrt(1 - math.exp(-1 / 30) ** 2)!r}::DOUBLE"
+
+
+def _normal(j: int) -> str:
+    return f"((k * 7 + i * 3 + {5 * j}) % 11 - 5) / 4.0"
+
+
+@query(f"""WITH RECURSIVE {EV}, nz AS (SELECT trip, i, {', '.join(f'({_normal(j)})::DOUBLE AS z{j}' for j in range(6))}, CASE WHEN k % 4 = 0 THEN 1.0 ELSE 12.0 END::DOUBLE AS v FROM ev),
+ar AS (SELECT nz.*, {_GROW} * z0 AS ge, {_GROW} * z2 AS gn FROM nz WHERE i = 0
+  UNION ALL SELECT nz.*, {_PHI} * ge + {_GROW} * nz.z0, {_PHI} * gn + {_GROW} * nz.z2 FROM ar JOIN nz ON nz.trip = ar.trip AND nz.i = ar.i + 1)
+SELECT trip, CAST(i AS DOUBLE) AS t, round(i * 12.0 + ge + z1, 6) AS e, round(gn + z3, 6) AS n, round(greatest(v + 0.1::DOUBLE * z4, 0), 6) AS speed,
+  round(CASE WHEN greatest(v + 0.1::DOUBLE * z4, 0) > 1 THEN {pmod('90 + z5', '360.0')} END, 6) AS heading, 3.0::DOUBLE AS accuracy FROM ar""")
 def q51_synthetic_fixes(spark, sf_dir):
-    ev = events(spark, sf_dir).select("trip", F.col("i").alias("idx"), F.col("i").cast("double").alias("t"), (F.col("i") * 12.0).alias("e"), F.lit(0.0).alias("n"), F.lit(12.0).alias("speed"), F.lit(90.0).alias("heading"))
-    return keyed.synthetic_fixes(ev, "trip", seed=3)
+    """Numbers by a rule stand for the random ones, so that SQL can have the same; the noise is of first order in time."""
+    normals = F.array(*[F.expr(_normal(j)).cast("double") for j in range(6)])
+    speed = F.when(F.col("k") % 4 == 0, 1.0).otherwise(12.0)
+    ev = events(spark, sf_dir).select("trip", F.col("i").alias("idx"), F.col("i").cast("double").alias("t"), (F.col("i") * 12.0).alias("e"), F.lit(0.0).alias("n"), speed.alias("speed"), F.lit(90.0).alias("heading"), normals.alias("normals"))
+    out = keyed.synthetic_fixes(ev, "trip", seed=3)
+    return out.select("trip", "t", *[r(c).alias(c) for c in ("e", "n", "speed", "heading")], "accuracy")
 
 
 @query(f"""WITH {SCORES} SELECT trip, count(*) AS n_observations, count(DISTINCT start) AS n_outages, list(start ORDER BY start) AS starts FROM sc GROUP BY trip""")

@@ -58,7 +58,7 @@ def test_no_cross_join_and_pruned_columns(spark, sf_dir, name):
 
 
 def test_shortest_paths_of_all_suppliers(spark):
-    """Against brute-force Dijkstra, at a size with more suppliers than q33 starts from."""
+    """Against brute-force Dijkstra."""
     import heapq
 
     sf_dir = "/root/testdata/sf0.01"

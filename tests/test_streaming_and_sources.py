@@ -84,13 +84,25 @@ def test_geojson(spark, tmp_path):
     multi = {"type": "Feature", "properties": {"id": 2, "highway": "footway"}, "geometry": {"type": "MultiLineString", "coordinates": [[[91.0, 26.0], [91.1, 26.0]], [[91.2, 26.0]]]}}
     (tmp_path / "m.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [line, multi]}))
     v = tables_vertices = roads.read_geojson(spark, str(tmp_path / "m.geojson"))
-    assert {r.way for r in v.collect()} == {"1/0", "2/0"} and {r.id for r in roads.drivable(tables_vertices).collect()} == {"1"}
+    assert {r.way for r in v.collect()} == {"m.geojson/0/0", "m.geojson/1/0"} and {r.id for r in roads.drivable(tables_vertices).collect()} == {"1"}
     e, n = angles.to_enu(F.col("lat"), F.col("lon"), F.lit(26.144), F.lit(91.736))
     s = roads.vertex_segments(roads.drivable(v).withColumn("e", e).withColumn("n", n), "way", "position", "e", "n", roads.rounded_node(F.col("lon"), F.col("lat")), [])
     got = s.orderBy("part").collect()
     assert abs(got[0].length - 110.7) < 1 and abs(got[1].length - 100.0) < 0.5 and got[0].node2 == got[1].node1
 
 
+def test_geojson_without_ids(spark, tmp_path):
+    """Two streets that share an end and have no id stay two ways of one segment each."""
+    street = lambda *xy: {"type": "Feature", "properties": {"highway": "residential"}, "geometry": {"type": "LineString", "coordinates": list(xy)}}
+    (tmp_path / "n.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [street([10.0, 50.0], [10.001, 50.0]), street([10.001, 50.0], [10.001, 50.002])]}))
+    v = roads.read_geojson(spark, str(tmp_path / "n.geojson"))
+    e, n = angles.to_enu(F.col("lat"), F.col("lon"), F.lit(50.0), F.lit(10.0))
+    s = roads.vertex_segments(v.withColumn("e", e).withColumn("n", n), "way", "position", "e", "n", roads.rounded_node(F.col("lon"), F.col("lat")), []).orderBy("way").collect()
+    assert len(s) == 2 and s[0].node2 == s[1].node1
+    # a degree of latitude is 111.2 km here, one of longitude 71.7 km
+    assert abs(s[0].length - 71.7) < 0.2 and abs(s[1].length - 222.5) < 0.3
+
+
 def test_report_round_trip(spark, sf_dir):
     rows = catalogue._scores(catalogue.events(spark, sf_dir)).select(F.col("trip").cast("string").alias("trip"), F.lit("60s").alias("scenario"), F.lit("full").alias("config"), "start", "end", "distance_m", "drift_pct", "valid")
     back = tables.report_rows(tables.nested_report(rows))
