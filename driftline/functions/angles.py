@@ -73,10 +73,13 @@ def to_geodetic(east: Column, north: Column, lat0: Column, lon0: Column, rounds:
     y = y0 + F.cos(lo) * east - F.sin(la) * F.sin(lo) * north
     z = z0 + F.cos(la) * north
     p = F.hypot(x, y)
-    lat = F.atan2(z, p * (1 - WGS84_E2))
-    for _ in range(rounds):
+
+    def nearer(lat: Column, _: Column) -> Column:
         n = WGS84_A / F.sqrt(1 - WGS84_E2 * F.sin(lat) * F.sin(lat))
-        lat = F.atan2(z + WGS84_E2 * n * F.sin(lat), p)
+        return F.atan2(z + WGS84_E2 * n * F.sin(lat), p)
+
+    # as an aggregate, since written out each round would hold the one before it three times
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(z, p * (1 - WGS84_E2)), nearer)
     return F.degrees(lat), F.degrees(F.atan2(y, x))
 
 

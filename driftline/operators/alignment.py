@@ -88,11 +88,16 @@ def interpolate(probes: DataFrame, samples: DataFrame, key: str, time: str, valu
 
 
 def gap_free(probes: DataFrame, samples: DataFrame, key: str, time: str, limit: float) -> DataFrame:
-    """Probes with ``ok``: whether the interval of samples around them is no longer than ``limit``."""
-    step = F.lead(time).over(Window.partitionBy(key).orderBy(time)) - F.col(time)
+    """Probes with ``ok``: whether the interval of samples around them is no longer than ``limit``.
+
+    Before the first sample and from the last one on, the first and the last interval count.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    step = F.coalesce(F.lead(time).over(w) - F.col(time), F.col(time) - F.lag(time).over(w))
     marked = samples.select(key, time, step.alias("step"))
-    found = asof_backward(probes, marked, key, time, ["step"])
-    return found.withColumn("ok", F.col("at").isNotNull() & F.col("step").isNotNull() & (F.col("step") <= limit)).drop("at", "step")
+    found = asof_backward(probes, marked, key, time, ["step"]).drop("at")
+    first = marked.groupBy(key).agg(F.min_by("step", time).alias("_first"))
+    return found.join(first, key, "left").withColumn("ok", F.coalesce(F.coalesce("step", "_first") <= limit, F.lit(False))).drop("step", "_first")
 
 
 def change_ids(df: DataFrame, key: str, order: str, watched: list[str]) -> DataFrame:
@@ -138,6 +143,17 @@ def lag_correlation(df: DataFrame, index: str, a: str, b: str, max_lag: int) ->
     return met.groupBy("lag").agg(F.avg(F.col("za") * F.col("zb")).alias("r"))
 
 
+def best_lag_by_key(df: DataFrame, key: str, index: str, a: str, b: str, max_lag: int) -> DataFrame:
+    """``key, lag, r``: as :func:`lag_correlation` and :func:`best_lag` for each key's own series, in one shuffle."""
+    own, w = Window.partitionBy(key), Window.partitionBy(key).orderBy(index)
+    z = df.select(key, index, *[((F.col(c) - F.avg(c).over(own)) / (F.stddev_pop(c).over(own) + 1e-9)).alias(n) for c, n in ((a, "za"), (b, "zb"))])
+    lags = range(-max_lag, max_lag + 1)
+    products = z.select(key, *[(F.col("za") * F.lead("zb", k).over(w)).alias(f"p{k}") for k in lags])
+    means = products.groupBy(key).agg(*[F.avg(f"p{k}").alias(f"p{k}") for k in lags])
+    best = F.array_max(F.array(*[F.struct(F.col(f"p{k}").alias("r"), F.lit(-k).alias("minus")) for k in lags]))
+    return means.select(key, (-best["minus"]).alias("lag"), best["r"].alias("r"))
+
+
 def best_lag(correlations: DataFrame) -> DataFrame:
     """The lag of the greatest correlation, the least such lag."""
     return correlations.agg(F.max(F.struct("r", (-F.col("lag")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("lag"), F.col("x.r").alias("r"))

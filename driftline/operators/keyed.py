@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -69,9 +71,33 @@ def run_by_key(df: DataFrame, key: str, order: list[str], make: Callable[[], obj
         if held:
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in held], schema=arrow)
 
-    # a given number of partitions: adaptive execution would merge them by their bytes, but the work is in the kernels
+    # a given number of partitions: adaptive execution would merge them by their bytes, but the work is in the kernels.
+    # By the key itself, the shuffle would be left out where a window before it has dealt the rows by key, and that one
+    # is merged to few tasks.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(run, out_schema)
+    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, out_schema)
+
+
+#: Segments of a map that is broadcast: some 200 bytes each. Larger areas are cut up, by trip or by region.
+MOST_SEGMENTS = 500_000
+_nets: dict[str, object] = {}
+
+
+def shared_map(spark: SparkSession, segments: list[dict]) -> Callable[[], object]:
+    """A function that gives a task the road map, whose index a worker builds once."""
+    if len(segments) > MOST_SEGMENTS:
+        raise ValueError(f"{len(segments)} segments are too many to broadcast; give the map of one area, at most {MOST_SEGMENTS}")
+    shared, name = spark.sparkContext.broadcast(segments), uuid.uuid4().hex
+
+    def net():
+        from . import keyed, kernels
+
+        if name not in keyed._nets:
+            keyed._nets.clear()
+            keyed._nets[name] = kernels.RoadNet(shared.value)
+        return keyed._nets[name]
+
+    return net
 
 
 def _decimate(kernel, row):
@@ -136,29 +162,66 @@ def oracle_model(window, scalars, frame):
 def navigate(frames: DataFrame, key: str, segments: list[dict] | None = None, use_model: bool = True, **options) -> DataFrame:
     """The estimator over each key's frames ``t, ax..gz, fix, true_speed``: one state for each frame.
 
-    ``segments`` is the road map of one area; a larger one is sent by area as a keyed table instead.
+    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments.
     """
-    from .kernels import Navigator, RoadNet
+    from .kernels import Navigator
 
-    shared = frames.sparkSession.sparkContext.broadcast(segments) if segments else None
+    road_net = shared_map(frames.sparkSession, segments) if segments else None
 
     def make():
-        return Navigator(oracle_model if use_model else None, RoadNet(shared.value) if shared else None, **options)
+        return Navigator(oracle_model if use_model else None, road_net() if road_net else None, **options)
 
     return run_by_key(frames, key, ["t"], make, lambda kernel, r: kernel.update(r), NAV_SCHEMA)
 
 
+def navigate_places(frames: DataFrame, key: str, **options) -> DataFrame:
+    """The estimator's output record for frames whose fixes are in degrees; the first fix of a key is its origin."""
+    from .trips import located, output_record
+
+    placed = located(frames, key)
+    states = navigate(placed, key, **options)
+    return output_record(states.join(placed.select(key, "origin").dropDuplicates([key]), key), key)
+
+
+def navigate_with_area_maps(frames: DataFrame, key: str, segments: DataFrame, use_model: bool = True, **options) -> DataFrame:
+    """As :func:`navigate`, with a map of its own for each key, such as the roads near a trip.
+
+    ``segments`` has the key and ``e1, n1, e2, n2, node1, node2, length, psi, oneway``. A key's segments reach its task
+    before its frames, so that no map has to be broadcast.
+    """
+    from .kernels import Navigator, RoadNet
+
+    class Area:
+        def __init__(self):
+            self.segments, self.kernel = [], None
+
+    def step(area, row):
+        if row["segment_"] is not None:
+            area.segments.append(row["segment_"])
+            return None
+        if area.kernel is None:
+            area.kernel = Navigator(oracle_model if use_model else None, RoadNet(area.segments) if area.segments else None, **options)
+        return area.kernel.update(row)
+
+    parts = segments.select(key, F.struct("e1", "n1", "e2", "n2", "node1", "node2", "length", "psi", "oneway").alias("segment_"), F.lit(0).alias("part_"))
+    rows = frames.withColumn("part_", F.lit(1)).unionByName(parts, allowMissingColumns=True)
+    return run_by_key(rows, key, ["part_", "t"], Area, step, NAV_SCHEMA)
+
+
 def match_roads(points: DataFrame, key: str, segments: list[dict]) -> DataFrame:
-    """Map matching of ``t, e, n, psi, speed, travelled, std``: ``key, t, segment, foot_e, foot_n, confidence``."""
-    from .kernels import Matcher, RoadNet
+    """Map matching of ``t, e, n, psi, speed, travelled, std``: ``key, t, segment, foot_e, foot_n, confidence``.
+
+    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments.
+    """
+    from .kernels import Matcher
 
-    shared = points.sparkSession.sparkContext.broadcast(segments)
+    road_net = shared_map(points.sparkSession, segments)
 
     def step(kernel, r):
         m = kernel.step(r["e"], r["n"], r["psi"], r["speed"], r["travelled"], r["std"])
         return {"t": r["t"]} if m is None else {"t": r["t"], "segment": m.segment, "foot_e": m.e, "foot_n": m.n, "confidence": m.confidence}
 
-    return run_by_key(points, key, ["t"], lambda: Matcher(RoadNet(shared.value)), step, "t double, segment long, foot_e double, foot_n double, confidence double")
+    return run_by_key(points, key, ["t"], lambda: Matcher(road_net()), step, "t double, segment long, foot_e double, foot_n double, confidence double")
 
 
 def distance_outages(frames: DataFrame, key: str, candidates: DataFrame, first: int, gap_hit: int, gap_miss: int) -> DataFrame:

@@ -154,7 +154,7 @@ def bounded_distances(starts: DataFrame, edges: DataFrame, cutoff: float) -> Dat
     a round's result is written to the shared folder, and the last one improves nothing.
     """
     spark = starts.sparkSession
-    from ..sources.tables import shared_table
+    from ..sources.tables import drop_table, shared_table
 
     both = edges.select("a", "b", "length").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")).groupBy("a", "b").agg(F.min("length").alias("length"))
     known = starts.where(F.col("distance") <= cutoff).groupBy("source", "node").agg(F.min("distance").alias("distance"))
@@ -165,6 +165,7 @@ def bounded_distances(starts: DataFrame, edges: DataFrame, cutoff: float) -> Dat
         every = known.select("source", "node", "distance", F.lit(True).alias("old")).unionByName(sent)
         after = every.groupBy("source", "node").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("before"))
         after = after.select("source", "node", "distance", (F.col("before").isNull() | (F.col("distance") < F.col("before"))).alias("new"))
-        known = shared_table(spark, after, "distances")
+        before, known = known, shared_table(spark, after, "distances")
+        drop_table(before)
         if known.where("new").isEmpty():
             return known.select("source", "node", "distance")

@@ -7,13 +7,14 @@ signal and ``props.k`` a second measurement. A user has about two events a day,
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, motion
-from ..operators import alignment, keyed, outages, roads, validity
+from ..operators import alignment, keyed, outages, roads, trips, validity
 from ..sources import tables
 from . import kernel_sql
 
@@ -116,7 +117,7 @@ def q04_asof_backward(spark, sf_dir):
     return out.select("trip", "event_id", r("at", 3).alias("at"), F.col("value").alias("view_value"))
 
 
-@query(f"""WITH {GRID}, s AS (SELECT trip, t, lead(t) OVER (PARTITION BY trip ORDER BY t) - t AS step FROM ev)
+@query(f"""WITH {GRID}, s AS (SELECT trip, t, coalesce(lead(t) OVER (PARTITION BY trip ORDER BY t) - t, t - lag(t) OVER (PARTITION BY trip ORDER BY t)) AS step FROM ev)
 SELECT p.trip, p.idx, coalesce(s.step <= 43200.0, false) AS ok FROM p ASOF LEFT JOIN s ON p.trip = s.trip AND p.t >= s.t""")
 def q05_gap_mask(spark, sf_dir):
     ev = events(spark, sf_dir)
@@ -277,18 +278,18 @@ def q16_geodetic_enu(spark, sf_dir):
     return _places(spark, sf_dir).select("c_custkey", r("east", 4).alias("east"), r("north", 4).alias("north"))
 
 
-def _inverse_sql(rounds: int = 3) -> str:
+def _inverse_sql(source: str, rounds: int = 3) -> str:
     la, lo = math.radians(LAT0), math.radians(LON0)
     x0, y0, z0 = _ecef_sql(str(LAT0), str(LON0))
     x = f"{x0} - ({math.sin(lo)!r}) * east - ({math.sin(la) * math.cos(lo)!r}) * north"
     y = f"{y0} + ({math.cos(lo)!r}) * east - ({math.sin(la) * math.sin(lo)!r}) * north"
-    q = f"SELECT *, atan2(z, p * {1 - E2!r}) AS phi FROM (SELECT *, sqrt(x * x + y * y) AS p FROM (SELECT c_custkey, lat, lon, {x} AS x, {y} AS y, {z0} + ({math.cos(la)!r}) * north AS z FROM en))"
+    q = f"SELECT *, atan2(z, p * {1 - E2!r}) AS phi FROM (SELECT *, sqrt(x * x + y * y) AS p FROM (SELECT *, {x} AS x, {y} AS y, {z0} + ({math.cos(la)!r}) * north AS z FROM {source}))"
     for _ in range(rounds):
         q = f"SELECT * REPLACE (atan2(z + {E2!r} * {A!r} / sqrt(1 - {E2!r} * sin(phi) * sin(phi)) * sin(phi), p) AS phi) FROM ({q})"
     return q
 
 
-@query(f"WITH {PLACES} SELECT c_custkey, round(degrees(phi), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon, abs(degrees(phi) - lat) < 2e-6 AND abs(degrees(atan2(y, x)) - lon) < 2e-6 AS within FROM ({_inverse_sql()})")
+@query(f"WITH {PLACES} SELECT c_custkey, round(degrees(phi), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon, abs(degrees(phi) - lat) < 2e-6 AND abs(degrees(atan2(y, x)) - lon) < 2e-6 AS within FROM ({_inverse_sql('en')})")
 def q17_enu_roundtrip(spark, sf_dir):
     """Coordinates brought back from the tangent plane, and whether they are within 2e-6 degrees of where they began.
 
@@ -631,13 +632,13 @@ def q36_gnss_monitor(spark, sf_dir):
     return keyed.monitor_fixes(fixes, "trip").withColumn("quality", r("quality"))
 
 
-def _frames(ev: DataFrame) -> DataFrame:
+def _frames(ev: DataFrame, *keep: str) -> DataFrame:
     """Drives east at ten frames a second, a fix every tenth frame but for an outage, true speed at hand."""
-    ev = ev.select("trip", "i", "k", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    ev = ev.select("trip", "i", "k", *keep, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
     i = F.col("i") * 10 + F.col("j")
     fix = F.struct((i * 1.2).alias("e"), (F.col("k") % 5 - 2.0).alias("n"), F.lit(12.0).alias("speed"), F.lit(90.0).alias("heading"), F.lit(5.0).alias("accuracy"))
     return ev.select(
-        "trip", (i * 0.1).alias("t"), ((F.col("k") % 3 - 1) * 0.1).alias("ax"), F.lit(0.0).alias("ay"), F.lit(9.8).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), ((F.col("k") % 7 - 3) * 0.001).alias("gz"),
+        "trip", *keep, (i * 0.1).alias("t"), ((F.col("k") % 3 - 1) * 0.1).alias("ax"), F.lit(0.0).alias("ay"), F.lit(9.8).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), ((F.col("k") % 7 - 3) * 0.001).alias("gz"),
         F.when((F.col("j") == 0) & ~F.col("i").between(20, 30), fix).alias("fix"), F.lit(12.0).alias("true_speed"),
     )
 
@@ -783,6 +784,129 @@ def q52_distinct_clusters(spark, sf_dir):
     return s.groupBy("trip").agg(F.count("*").alias("n_observations"), F.countDistinct("start").alias("n_outages"), F.array_sort(F.collect_list("start")).alias("starts"))
 
 
+_PHONE = {
+    "t": "7200 + i * 0.12D + (k % 5) * 0.01D - CASE WHEN k % 11 = 0 THEN 0.2D ELSE 0D END", "ax": "(k % 5 - 2) * 0.4D", "ay": "(i % 5 - 2) * 0.3D", "az": "9.8D",
+    "g_yaw": "(k % 3) * 0.01D", "g_roll": "(i % 4) * 0.02D", "g_pitch": "(i % 7 - 3) * 0.1D + (k % 3) * 0.02D",
+    "lat": "52.4D + (i div 9) * 0.0001D", "lon": "-1.5D + (i div 18) * 0.0002D", "kmh": "20D + i div 9", "accuracy": "3D + k % 9", "bearing": "(k * 7 % 360) * 1D",
+}
+_VEHICLE = {
+    "t": "i * 0.11D + (k % 3) * 0.02D + CASE WHEN i > 40 THEN 0.7D ELSE 0D END", "yaw_deg": "(i % 7 - 3) * 6D + (k % 2) * 0.5D", "kmh": "5D + k % 60", "lat": "52.4D + i * 0.00001D", "lon": "-1.5D + i * 0.00002D", "heading": "(i * 17 % 360) * 1D",
+}
+_HOW = trips.Preparation(axis_least=10, lag_least=20, max_lag=5, block=20, block_least=6, block_r=0.2)
+
+
+def _logs_sql(columns: dict[str, str]) -> str:
+    double = {c: re.sub("([0-9.]+)D", lambda m: m[1] + "::DOUBLE", e.replace("div", "//")) for c, e in columns.items()}
+    return ", ".join(f"({e})::DOUBLE AS {c}" for c, e in double.items())
+
+
+def _on_grid(name: str, source: str, values: list[str], probes: str, keep: str) -> str:
+    """A CTE of probes with values of a log interpolated; outside the log the nearest ones."""
+    part = "CASE WHEN b.t > a.t THEN (p.t - a.t) / (b.t - a.t) ELSE 0 END"
+    each = ", ".join(f"CASE WHEN a.t IS NULL THEN b.{v} WHEN b.t IS NULL THEN a.{v} ELSE a.{v} + (b.{v} - a.{v}) * {part} END AS {v}" for v in values)
+    return f"{name} AS (SELECT {keep}, {each} FROM {probes} p ASOF LEFT JOIN {source} a ON p.trip = a.trip AND p.t >= a.t ASOF LEFT JOIN {source} b ON p.trip = b.trip AND p.t <= b.t)"
+
+
+def _corr_of(a: str) -> str:
+    return f"CASE WHEN count(*) FILTER (speed > 2) > {_HOW.axis_least} THEN coalesce((avg({a} * can_yaw) FILTER (speed > 2) - avg({a}) FILTER (speed > 2) * avg(can_yaw) FILTER (speed > 2)) / nullif(stddev_pop({a}) FILTER (speed > 2) * stddev_pop(can_yaw) FILTER (speed > 2), 0), 0) ELSE 0 END"
+
+
+_G3 = list(trips.GYRO)
+_STEPS = "CASE WHEN coalesce(s.step, f.step) <= 0.5 THEN true ELSE false END"
+PREPARED = f"""{EV}, ph0 AS (SELECT trip, i AS row, {_logs_sql(_PHONE)} FROM ev), ve0 AS (SELECT trip, i AS row, {_logs_sql(_VEHICLE)} FROM ev),
+of AS (SELECT trip, round_even((a.t - b.t) / 3600, 0) * 3600 AS hours FROM (SELECT trip, min_by(t, row) AS t FROM ph0 GROUP BY trip) a JOIN (SELECT trip, min_by(t, row) AS t FROM ve0 GROUP BY trip) b USING (trip)),
+ph1 AS (SELECT ph0.* REPLACE (t - hours AS t) FROM ph0 JOIN of USING (trip)),
+ph AS (SELECT * FROM ph1 QUALIFY coalesce(t > lag(t) OVER (PARTITION BY trip ORDER BY row), true)),
+ve1 AS (SELECT * FROM ve0 QUALIFY coalesce(t > lag(t) OVER (PARTITION BY trip ORDER BY row), true)),
+ve2 AS (SELECT *, coalesce(-floor((heading - lag(heading) OVER (PARTITION BY trip ORDER BY row) + 180) / 360), 0) AS turn FROM ve1),
+ve AS (SELECT *, heading + 360 * sum(turn) OVER (PARTITION BY trip ORDER BY row) AS course FROM ve2),
+bo AS (SELECT trip, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM (SELECT trip, min(t) AS lo, max(t) AS hi FROM ph GROUP BY trip) a JOIN (SELECT trip, min(t) AS lo, max(t) AS hi FROM ve GROUP BY trip) b USING (trip)),
+gr AS (SELECT trip, idx, idx * 0.1::DOUBLE AS t FROM (SELECT trip, unnest(range(CAST(ceil(lo / 0.1::DOUBLE) AS BIGINT), CAST(ceil(hi / 0.1::DOUBLE) AS BIGINT))) AS idx FROM bo)),
+{_on_grid('vg', 've', ['yaw_deg', 'kmh', 'lat', 'lon', 'course'], 'gr', 'p.*')},
+fr0 AS (SELECT trip, idx, t, radians(yaw_deg) AS can_yaw, kmh / 3.6::DOUBLE AS speed, lat, lon, {pmod('course', '360.0')} AS course_deg FROM vg),
+{_on_grid('tu', 'ph', _G3, 'fr0', 'p.*')},
+co AS (SELECT trip, count(*) FILTER (speed > 2) AS n_moving, {', '.join(f'{_corr_of(c)} AS {c}' for c in _G3)} FROM tu GROUP BY trip),
+cx AS (SELECT *, CASE WHEN abs(g_yaw) >= abs(g_roll) AND abs(g_yaw) >= abs(g_pitch) THEN 'g_yaw' WHEN abs(g_roll) >= abs(g_pitch) THEN 'g_roll' ELSE 'g_pitch' END AS axis FROM co),
+zs AS (SELECT trip, idx, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9) AS za, (can_yaw - avg(can_yaw) OVER w) / (stddev_pop(can_yaw) OVER w + 1e-9) AS zb
+  FROM (SELECT tu.*, CASE axis WHEN 'g_yaw' THEN tu.g_yaw WHEN 'g_roll' THEN tu.g_roll ELSE tu.g_pitch END AS v FROM tu JOIN cx USING (trip) WHERE n_moving > {_HOW.lag_least}) WINDOW w AS (PARTITION BY trip)),
+lc AS (SELECT x.trip, y.idx - x.idx AS lag, avg(x.za * y.zb) AS r FROM zs x JOIN zs y ON x.trip = y.trip AND y.idx - x.idx BETWEEN -{_HOW.max_lag} AND {_HOW.max_lag} GROUP BY ALL),
+lb AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY trip ORDER BY r DESC, lag) = 1),
+td AS (SELECT cx.*, coalesce(lag * 0.1::DOUBLE, 0) AS lag_s, r AS lag_corr, hours FROM cx LEFT JOIN lb USING (trip) JOIN of USING (trip)),
+ps AS (SELECT ph.* REPLACE (t + lag_s AS t) FROM ph JOIN td USING (trip)),
+{_on_grid('im', 'ps', ['ax', 'ay', 'az', *_G3], 'fr0', 'p.*')},
+{', '.join(f"{n}s AS (SELECT trip, t, coalesce(lead(t) OVER w - t, t - lag(t) OVER w) AS step FROM {s} WINDOW w AS (PARTITION BY trip ORDER BY t)), {n}f AS (SELECT trip, min_by(step, t) AS step FROM {n}s GROUP BY trip)" for n, s in (('vs', 've'), ('us', 'ps')))},
+g1 AS (SELECT im.*, {_STEPS} AS ok1 FROM im ASOF LEFT JOIN vss s ON im.trip = s.trip AND im.t >= s.t LEFT JOIN vsf f ON im.trip = f.trip),
+g2 AS (SELECT g1.*, ok1 AND {_STEPS} AS valid0 FROM g1 ASOF LEFT JOIN uss s ON g1.trip = s.trip AND g1.t >= s.t LEFT JOIN usf f ON g1.trip = f.trip),
+fr1 AS (SELECT * REPLACE (idx - min(idx) OVER (PARTITION BY trip) AS idx) FROM g2),
+bk AS (SELECT trip, idx // {_HOW.block} AS block, CASE WHEN count(*) FILTER (u) > {_HOW.block_least} AND stddev_pop(can_yaw) FILTER (u) > 0.02 THEN
+  (avg(g_pitch * can_yaw) FILTER (u) - avg(g_pitch) FILTER (u) * avg(can_yaw) FILTER (u)) / nullif(stddev_pop(g_pitch) FILTER (u) * stddev_pop(can_yaw) FILTER (u), 0) END AS r FROM (SELECT *, speed > 2 AND valid0 AS u FROM fr1) GROUP BY ALL),
+fr2 AS (SELECT fr1.*, valid0 AND coalesce(r >= {_HOW.block_r}, true) AS valid FROM fr1 JOIN bk ON fr1.trip = bk.trip AND fr1.idx // {_HOW.block} = bk.block),
+ch AS (SELECT *, sum(CASE WHEN nw THEN 1 ELSE 0 END) OVER (PARTITION BY trip ORDER BY row) AS cid FROM (SELECT *, row_number() OVER w = 1 OR lat IS DISTINCT FROM lag(lat) OVER w OR lon IS DISTINCT FROM lag(lon) OVER w OR kmh IS DISTINCT FROM lag(kmh) OVER w AS nw FROM ps WINDOW w AS (PARTITION BY trip ORDER BY row))),
+c1 AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY trip ORDER BY t) = 1),
+fr3 AS (SELECT fr2.*, {', '.join(f'CASE WHEN c.t IS NULL THEN c1.{v} ELSE c.{v} END AS fix_{v}' for v in ('lat', 'lon', 'kmh', 'accuracy', 'bearing', 'cid'))} FROM fr2 ASOF LEFT JOIN ch c ON fr2.trip = c.trip AND fr2.t >= c.t JOIN c1 ON fr2.trip = c1.trip),
+fr AS (SELECT *, fix_kmh / 3.6::DOUBLE AS fix_speed, coalesce(fix_cid > lag(fix_cid) OVER (PARTITION BY trip ORDER BY idx), true) AS fix_new FROM fr3)"""
+
+
+def _prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    ev = events(spark, sf_dir)
+    phone, vehicle = (ev.selectExpr("trip", "i AS row", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in columns.items()]) for columns in (_PHONE, _VEHICLE))
+    return trips.prepare(phone, vehicle, "trip", _HOW)
+
+
+_FRAME = ("t", "can_yaw", "speed", "lat", "lon", "course_deg", "ax", "ay", "az", "fix_lat", "fix_lon", "fix_speed", "fix_accuracy", "fix_bearing")
+
+
+@query(f"""WITH {PREPARED} SELECT trip, idx, valid, fix_new, {', '.join(f'round({c}, 6) AS {c}' for c in _FRAME)}, {', '.join(f'round({a}, 6) AS {b}' for a, b in zip(_G3, ('gx', 'gy', 'gz')))} FROM fr""")
+def q54_prepared_trips(spark, sf_dir):
+    """Two raw logs of each trip to aligned frames: clocks, grid, axis, lag, gaps, agreement, fixes."""
+    return _prepared(spark, sf_dir)[0].select("trip", "idx", "valid", "fix_new", *[r(c).alias(c) for c in (*_FRAME, "gx", "gy", "gz")])
+
+
+@query(f"""WITH {PREPARED}, m AS (SELECT trip, count(*) AS samples, round(count(*) * 0.1 / 60, 6) AS duration_min, round(100 * avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 6) AS valid_pct, round(sum(CASE WHEN valid THEN speed ELSE 0 END) * 0.1 / 1000, 8) AS distance_km FROM fr GROUP BY trip)
+SELECT m.*, hours AS hour_offset_s, round(lag_s, 6) AS lag_s, round(lag_corr, 6) AS lag_corr, axis AS vertical_gyro_column, round(g_pitch, 6) AS corr_pitch, round(md, 6) AS segment_corr_median FROM m JOIN td USING (trip) LEFT JOIN (SELECT trip, median(r) AS md FROM bk GROUP BY trip) USING (trip)""")
+def q55_trip_record(spark, sf_dir):
+    """The metadata of prepared trips."""
+    m = _prepared(spark, sf_dir)[1]
+    return m.select(
+        "trip", "samples", r("duration_min").alias("duration_min"), r("valid_pct").alias("valid_pct"), r("distance_km", 8).alias("distance_km"), "hour_offset_s", r("lag_s").alias("lag_s"),
+        r("lag_corr").alias("lag_corr"), "vertical_gyro_column", r(F.col("gyro_corr")["g_pitch"]).alias("corr_pitch"), r("segment_corr_median").alias("segment_corr_median"),
+    )
+
+
+REPLAYED = f"""{PREPARED}, tl AS (SELECT trip, s AS start, s + 15 AS "end" FROM (SELECT trip, unnest(range(10, count(*) - 15, 25)) AS s FROM fr GROUP BY trip)),
+rf AS (SELECT fr.*, t - first(t) OVER (PARTITION BY fr.trip ORDER BY idx) AS since, tl.start IS NOT NULL AS in_outage, fix_new AND tl.start IS NULL AS has FROM fr LEFT JOIN tl ON fr.trip = tl.trip AND fr.idx >= tl.start AND fr.idx < tl."end")"""
+
+
+def _replayed(spark, sf_dir) -> DataFrame:
+    frames = _prepared(spark, sf_dir)[0]
+    planned = outages.tiled_outages(frames.groupBy("trip").agg(F.count("*").alias("n")), "trip", "n", 10, 15, 10)
+    return trips.replay_frames(frames.withColumn("fix", trips.phone_fixes(frames)), planned)
+
+
+@query(f"""WITH {REPLAYED} SELECT trip, idx, round(since, 6) AS t, in_outage, round(g_pitch, 6) AS gz, has AS has_fix, round(CASE WHEN has THEN fix_lat END, 6) AS lat, round(CASE WHEN has THEN fix_speed END, 6) AS speed,
+round(CASE WHEN has AND fix_speed > 1 THEN fix_bearing END, 6) AS heading, round(CASE WHEN has THEN fix_accuracy END, 6) AS accuracy FROM rf""")
+def q56_replay_frames(spark, sf_dir):
+    """Frames with the phone's own new fixes, nulled inside planned outages."""
+    f = _replayed(spark, sf_dir)
+    return f.select("trip", "idx", r("t").alias("t"), "in_outage", r("gz").alias("gz"), F.col("fix").isNotNull().alias("has_fix"), *[r(f"fix.{c}").alias(c) for c in ("lat", "speed", "heading", "accuracy")])
+
+
+_FIX_N = "CASE WHEN i = 0 THEN 0 ELSE k % 5 - 2 END"
+GEO_FRAMES = f"""{EV}, gm AS (SELECT trip, i * 10 + j AS f, (i * 10 + j) * 0.1::DOUBLE AS t, (k % 3 - 1) * 0.1::DOUBLE AS ax, 0.0::DOUBLE AS ay, 9.8::DOUBLE AS az, 0.0::DOUBLE AS gx, 0.0::DOUBLE AS gy, (k % 7 - 3) * 0.001::DOUBLE AS gz,
+  j = 0 AND i NOT BETWEEN 20 AND 30 AS has, {LAT0} + ({_FIX_N}) / 111000.0::DOUBLE AS lat, {LON0} + (i * 10 + j) * 1.2::DOUBLE / 68000.0::DOUBLE AS lon FROM ev, range(0, 10) x(j)),
+fm AS (SELECT * EXCLUDE (east, north), CASE WHEN has THEN {{'t': t, 'e': east, 'n': north, 'speed': 12.0::DOUBLE, 'accuracy': 5.0::DOUBLE}} END AS fix FROM (SELECT *, {_enu_sql()} FROM gm))"""
+
+
+@query(f"""WITH RECURSIVE {GEO_FRAMES}, {kernel_sql.navigation('fm')}, ou AS (SELECT *, x0 AS east, x1 AS north FROM nv)
+SELECT trip, CAST(round_even(t * 1000, 0) AS BIGINT) AS timestamp, round(degrees(phi), 7) AS latitude, round(degrees(atan2(y, x)), 7) AS longitude, round(x0, 2) AS east, round(x1, 2) AS north, round(x3 * 3.6, 2) AS speed,
+round({pmod('degrees(pi() / 2 - x2)', '360.0')}, 1) AS heading, mode, round(quality, 2) AS "gnssQuality", NULL::DOUBLE AS "aiSpeed", 0.0::DOUBLE AS "aiConfidence", 0.0::DOUBLE AS "mapConfidence", round(sqrt(greatest(p00 + p11, 0)), 2) AS "positionStdM" FROM ({_inverse_sql('ou')})""")
+def q57_output_record(spark, sf_dir):
+    """The estimator's output record for fixes in degrees; the first one is the origin."""
+    frames = _frames(events(spark, sf_dir).withColumn("north", F.expr(_FIX_N)), "north")
+    fix = F.struct((LAT0 + F.col("north") / 111000.0).alias("lat"), (LON0 + F.col("fix.e") / 68000.0).alias("lon"), *[F.col(f"fix.{c}").alias(c) for c in ("speed", "heading", "accuracy")])
+    return keyed.navigate_places(frames.withColumn("fix", F.when(F.col("fix").isNotNull(), fix)).drop("north"), "trip", use_model=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

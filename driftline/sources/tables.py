@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.angles import seconds_of_day
+
 CALIBRATION = (
     "timestamp string, is_calibrated boolean, is_stand_calibrated boolean, is_mounting_aligned boolean, mounting_yaw_offset_deg double, "
     "gyro_bias_rad_s struct<gx:double,gy:double,gz:double>, resting_gravity_vector struct<x:double,y:double,z:double,magnitude:double>, "
@@ -20,14 +23,44 @@ REPORT_ROW = (
 
 
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that the cluster shares and read again, which cuts its lineage."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    """``df`` written to the folder that the cluster shares and read again, which cuts its lineage.
+
+    The table goes when :func:`drop_table` is called or the driver's interpreter ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
         root = f"file://{tempfile.mkdtemp(prefix='driftline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
+    # the warehouse is shared by all executors too
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_driftline"
     path = f"{root.rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._driftline_path = path
+    _tables.append(out)
+    return out
+
+
+_tables: list[DataFrame] = []
+
+
+@atexit.register
+def _drop_tables() -> None:
+    for df in _tables[:]:
+        try:
+            drop_table(df)
+        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+            return
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`shared_table` that nothing reads any more."""
+    path = getattr(df, "_driftline_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _tables[:] = [t for t in _tables if t is not df]
 
 
 def read_log(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
@@ -64,6 +97,37 @@ def write_trips(trips: DataFrame, path: str, key: str = "trip") -> None:
     trips.write.mode("overwrite").partitionBy(key).parquet(path)
 
 
+def parse_logs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Phone and vehicle logs of all trips under ``root``, as ``operators.trips.prepare`` takes them.
+
+    ``row`` is the place in the file, from the offset of its block and the order within, since files are read by line.
+    """
+    def rows(pattern: str) -> DataFrame:
+        raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
+        named = raw.toDF(*[c.strip() for c in raw.columns])
+        path = F.col("_metadata.file_path")
+        return named.select("*", trip_name(F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).alias("trip"), F.monotonically_increasing_id().alias("row"))
+
+    phone, vehicle = rows("S-*.csv"), rows("V-*.csv")
+    number = lambda d, c: F.col(f"`{column_starting(d, c)}`").cast("double")
+    phone = phone.select(
+        "trip", "row", seconds_of_day(F.trim(F.col("`DATE (YYYY-MO-DD HH-MI-SS_SSS)`"))).alias("t"),
+        *[number(phone, f"ACCELEROMETER {c.upper()}").alias(f"a{c}") for c in "xyz"], *[number(phone, f"GYROSCOPE {c}").alias(f"g_{c.lower()}") for c in ("Yaw", "Roll", "Pitch")],
+        number(phone, "GPS LATITUDE").alias("lat"), number(phone, "GPS LONGITUDE").alias("lon"), number(phone, "GPS SPEED").alias("kmh"),
+        number(phone, "GPS ACCURACY").alias("accuracy"), number(phone, "GPS ORIENTATION").alias("bearing"),
+    )
+    vehicle = vehicle.select(
+        "trip", "row", number(vehicle, "Time Since Start of Day").alias("t"), number(vehicle, "Yaw Rate").alias("yaw_deg"), number(vehicle, "Velocity").alias("kmh"),
+        number(vehicle, "Latitude").alias("lat"), number(vehicle, "Longitude").alias("lon"), number(vehicle, "Heading").alias("heading"),
+    )
+    return phone, vehicle
+
+
+def write_metadata(meta: DataFrame, path: str) -> None:
+    """One line of JSON for each trip."""
+    meta.write.mode("overwrite").json(path)
+
+
 def read_trips(spark: SparkSession, path: str, trip: str | None = None) -> DataFrame:
     """Aligned trips; one trip reads its own partition only."""
     df = spark.read.parquet(path)
