@@ -907,6 +907,30 @@ def q57_output_record(spark, sf_dir):
     return keyed.navigate_places(frames.withColumn("fix", F.when(F.col("fix").isNotNull(), fix)).drop("north"), "trip", use_model=False)
 
 
+_DRAWS = ("(a.k * 13 + a.i) % 20 / 20", "(a.k * 7 + a.i * 3) % 10 / 10", "(a.k * 5 + a.i * 11) % 16 / 16", "(a.k + a.i) % 9 / 4 - 1")
+
+
+@query(f"""WITH {ISLANDS}, fe AS (SELECT *, value AS x0, k / 8.0::DOUBLE AS x1 FROM isl),
+wi AS (SELECT a.trip, a.i AS last, a.run_start, a.value AS y, {', '.join(f'({d})::DOUBLE AS u{j}' for j, d in enumerate(_DRAWS))} FROM fe a WHERE a.run_start >= 0 AND a.i + 1 - 8 >= a.run_start AND (a.i + 1 - 8) % 3 = 0),
+wd AS (SELECT *, CAST(round_even(u2 * CASE WHEN u1 < 0.2 THEN 2.0 ELSE 120.0 END * 10, 0) AS BIGINT) AS back FROM wi), wa AS (SELECT wd.*, greatest(last - back, run_start) AS ref FROM wd),
+wx AS (SELECT wa.trip, wa.last, list([(fe.x0 - 2) / 3, (fe.x1 - 1) / 4] ORDER BY fe.i) AS x FROM wa JOIN fe ON fe.trip = wa.trip AND fe.i BETWEEN wa.last - 7 AND wa.last GROUP BY ALL)
+SELECT wa.trip, wa.last + 1 AS "end", round(list_sum(flatten(x)), 6) AS x_sum, round(x[1][1], 6) AS x_first, round(y, 6) AS y, round(CASE WHEN u0 <= 0.75 THEN greatest(v.value + 0.1 * u3, 0) / 30 ELSE 0 END, 6) AS s_speed,
+  round(CASE WHEN u0 <= 0.75 THEN (wa.last - ref) / 10.0::DOUBLE / 120 ELSE 0 END, 6) AS s_age, CASE WHEN u0 <= 0.75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s_valid FROM wa JOIN wx USING (trip, last) JOIN fe v ON v.trip = wa.trip AND v.i = ref""")
+def q58_window_dataset(spark, sf_dir):
+    """Model windows with sampled references; numbers by a rule stand for the random ones."""
+    ev = events(spark, sf_dir).withColumn("valid", F.col("k") % 8 != 0).withColumnsRenamed({"i": "idx", "value": "speed"})
+    frames = ev.withColumn("channels", F.array(F.col("speed"), F.col("k") / 8.0))
+    mean, std = (F.array(*[F.lit(float(x)) for x in xs]) for xs in ((2, 1), (3, 4)))
+    # the measurement of a window's last row, back from its normalised channel
+    k, i = F.round((F.element_at("window", -1)[1] * 4 + 1) * 8).cast("long"), F.col("end") - 1
+    draws = ((k * 13 + i) % 20 / 20, (k * 7 + i * 3) % 10 / 10, (k * 5 + i * 11) % 16 / 16, (k + i) % 9 / 4 - 1)
+    out = trips.window_dataset(frames, F.col("channels"), mean, std, "trip", 8, 3, draws=draws)
+    return out.select(
+        "trip", "end", r(F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b)).alias("x_sum"), r(F.col("x")[0][0]).alias("x_first"), r("y").alias("y"),
+        r(F.col("s")[0]).alias("s_speed"), r(F.col("s")[1]).alias("s_age"), F.col("s")[2].alias("s_valid"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
