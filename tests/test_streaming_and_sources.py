@@ -1,6 +1,7 @@
 """Streams give what batches give; sources and sinks read back what they write."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,8 +154,38 @@ def test_compass_and_scalars(spark):
     assert row.conf == 0.5 and row.q == pytest.approx(0.1) and row.s == [5.0, 120.0, 1.0]
 
 
-def test_bootstrap_of_random_picks(spark):
-    df = spark.createDataFrame([(k, float(k % 20)) for k in range(40)], "id long, drift double")
-    picks = outages.random_picks(df, "id", 50, seed=1)
-    out = outages.bootstrap(df, picks, "id", "drift").first()
-    assert out.replicates == 50 and out.median_low <= out.median_mid <= out.median_high
+def test_robustness_of_random_draws(spark):
+    rows = [("a", k, s, float((k * 7 + s) % 20)) for k in range(40) for s in range(3) if (k + s) % 4] + [("b", 0, 0, 4.0), ("b", 0, 1, 12.0)]
+    df = spark.createDataFrame(rows, "config string, outage long, seed long, drift double")
+    got = {r.config: r for r in outages.robustness(df, ["config"], "outage", "seed", "drift", 300).collect()}
+    a, b = got["a"], got["b"]
+    values = sorted(r[3] for r in rows if r[0] == "a")
+    assert (a.n_outages, a.n_observations, a.seeds) == (40, 90, 3) and (b.n_outages, b.n_observations, b.seeds) == (1, 2, 2)
+    assert a.median == (values[44] + values[45]) / 2 and a.pass_rate == pytest.approx(sum(v < 10 for v in values) / 90)
+    # the spread of a share of 90 values in 40 clusters is near sqrt(1 / 4 / 40); one cluster alone has no spread
+    assert a.median_low < a.median < a.median_high and 0.15 < a.pass_rate_high - a.pass_rate_low < 0.45
+    assert (b.median_low, b.median_high, b.pass_rate_low, b.pass_rate_high) == (8.0, 8.0, 0.5, 0.5)
+
+
+def test_parsed_logs(spark, tmp_path):
+    """Logs on disk, with padded names and a clock an hour ahead, to aligned frames."""
+    from driftline.operators import trips
+
+    folder = tmp_path / "S9"
+    folder.mkdir()
+    names = ["DATE (YYYY-MO-DD HH-MI-SS_SSS)", *[f"ACCELEROMETER {c} (m/s)" for c in "XYZ"], *[f"GYROSCOPE {c} (rad/s)" for c in ("Yaw", "Roll", "Pitch")], "GPS LATITUDE (degrees)", "GPS LONGITUDE (degrees)", "GPS SPEED (Kmh)", "GPS ACCURACY (m)", "GPS ORIENTATION (degrees)"]
+    stamp = lambda s: f"2019-05-01 {int(s // 3600):02d}-{int(s % 3600 // 60):02d}-{int(s % 60):02d}_{round(s % 1 * 1000):03d}"
+    turn = lambda t: 0.3 * math.sin(t)
+    phone = [",".join(f" {n} " for n in names)] + [",".join([stamp(10800.0 + 0.1 * k), "0.1", "0.2", "9.8", "0", "0", str(turn(0.1 * k)), str(50 + k // 10 * 1e-5), "8.0", "36", "5", "90"]) for k in range(400)]
+    vehicle = ["Time Since Start of Day (seconds),Yaw Rate (deg/sec),Velocity (km/hr),Latitude (degrees),Longitude (degrees),Heading (degrees)"]
+    vehicle += [f"{7200 + 0.1 * k},{math.degrees(turn(0.1 * k))},36,{50 + k * 1e-6},8.0,{350 + k % 20}" for k in range(400)]
+    (folder / "S-S9.csv").write_text("\n".join(phone), encoding="latin-1")
+    (folder / "V-S9.csv").write_text("\n".join(vehicle))
+    frames, meta = trips.prepare(*tables.parse_logs(spark, str(tmp_path)), how=trips.Preparation(lag_least=200))
+    m = meta.first()
+    assert m.trip == "S9" and m.hour_offset_s == 3600 and m.lag_s == 0 and m.lag_corr > 0.99 and m.vertical_gyro_column == "g_pitch" and m.valid_pct == 100
+    rows = frames.orderBy("idx").collect()
+    assert len(rows) == m.samples == 399 and abs(rows[50].speed - 10) < 1e-9 and abs(rows[50].gz - rows[50].can_yaw) < 1e-6
+    assert [r.idx for r in rows if r.fix_new][:3] == [0, 10, 20]
+    tables.write_metadata(meta, str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).count() == 1
