@@ -396,10 +396,10 @@ def test_predictions_of_a_context_sum_to_one(spark):
 
 
 def test_language_model_beats_the_word_base_on_held_out_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    """On 25 MB of text; on a tenth of it the word base, which is no distribution, is still ahead (README)."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = ctw.score_documents(docs).where("held_out").selectExpr("sum(score) AS score", "sum(base_score) AS base", "sum(bits_per_byte * n_bytes) / sum(n_bytes) AS bits").first()
-    print(got)
-    assert got.score > got.base and got.bits < 2.38
+    assert got.score > got.base and got.bits < 2.2
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
