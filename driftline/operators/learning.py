@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +75,40 @@ def distance_errors(frames: DataFrame, outages: DataFrame, key: str, index: str,
 def split_report(windows: DataFrame, split: str, speed: str, stationary: float = 0.5) -> DataFrame:
     """Windows, mean speed and share of standing ones of each split."""
     return windows.groupBy(split).agg(F.count("*").alias("windows"), F.avg(speed).alias("mean_speed"), (100 * F.avg((F.col(speed) < stationary).cast("double"))).alias("stationary_pct"))
+
+
+_loaded: dict[str, Callable] = {}
+
+
+def predict_speeds(windows: DataFrame, load: Callable[[], Callable], x: str = "x", s: str = "s") -> DataFrame:
+    """Adds ``predicted, variance, p_stationary`` to windows of normalised channels ``x`` and scaled scalars ``s``.
+
+    ``load()`` gives the model, once for each Python worker: a function of the windows (batch, channels, length) and the
+    scalars (batch, scalars), both ``float32``, to speeds, logarithms of variances and logits of standing still. All
+    windows have one shape; those where ``x`` or ``s`` is null get nulls. :func:`operators.trips.window_dataset` makes
+    such windows.
+    """
+    from .keyed import ship_package
+
+    ship_package(windows.sparkSession)
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("predicted double, variance double, p_stationary double")
+    def predict(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        from driftline.operators import learning
+
+        if name not in learning._loaded:
+            learning._loaded.clear()
+            learning._loaded[name] = load()
+        for xs, ss in parts:
+            out = pd.DataFrame(np.nan, xs.index, ["predicted", "variance", "p_stationary"], dtype="float64")
+            known = xs.notna() & ss.notna()
+            if known.any():
+                batch = np.stack([np.stack(v).astype(np.float32) for v in xs[known]])
+                speed, log_variance, logit = learning._loaded[name](np.ascontiguousarray(batch.transpose(0, 2, 1)), np.stack(ss[known].to_list()).astype(np.float32))
+                flat = [np.asarray(v, dtype=float).reshape(-1) for v in (speed, log_variance, logit)]
+                out.loc[known] = np.column_stack([flat[0], np.exp(flat[1]), 1 / (1 + np.exp(-flat[2]))])
+            yield out.astype(object).where(out.notna(), None)
+
+    made = windows.withColumn("_made", predict(x, s))
+    return made.select(*windows.columns, "_made.predicted", "_made.variance", "_made.p_stationary")

@@ -52,6 +52,35 @@ def score_outages(frames: DataFrame, outages: DataFrame, key: str, index: str, d
     )
 
 
+def live_log(frames: DataFrame, key: str, index: str, dt: float, every: int = 10, least_m: float = 20.0) -> DataFrame:
+    """``key, start, end, duration_s, distance_m, err_m, drift_pct`` of each outage that came to its end.
+
+    Frames are numbered and have ``blocked`` (reception is shut off), the estimate ``est_e, est_n`` (null before the
+    first one) and the truth ``e, n``, which may be null. An outage opens at the first blocked frame with an estimate
+    and closes at the next free one. Its distance is summed between the opening and every ``every``-th frame whose
+    truth is known; at ``least_m`` or less it is not logged, nor where estimate or truth lack at its close.
+    """
+    own = Window.partitionBy(key).orderBy(index)
+    blocked = F.coalesce(F.col("blocked"), F.lit(False))
+    free_before = F.coalesce(F.sum(F.when(blocked, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = frames.select(key, F.col(index).cast("long").alias("i"), blocked.alias("shut"), "e", "n", "est_e", "est_n", free_before.alias("run"))
+    of_run = Window.partitionBy(key, "run")
+    start = F.min(F.when(F.col("shut") & F.col("est_e").isNotNull() & F.col("est_n").isNotNull(), F.col("i"))).over(of_run)
+    close = F.max(F.when(~F.col("shut"), F.col("i"))).over(of_run)
+    rows = rows.withColumns({"start": start, "end": close}).where("start IS NOT NULL AND end IS NOT NULL AND i >= start")
+    ticks = ((F.col("i") == F.col("start")) | (F.col("i") % every == 0)) & F.col("e").isNotNull() & F.col("n").isNotNull()
+    seen = F.when(ticks, F.struct("e", "n"))
+    before = F.last(seen, ignorenulls=True).over(of_run.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"seen": seen, "before": before})
+    step = F.hypot(F.col("seen.e") - F.col("before.e"), F.col("seen.n") - F.col("before.n"))
+    closing = F.col("i") == F.col("end")
+    told = rows.groupBy(key, "start", "end").agg(
+        F.coalesce(F.sum(step), F.lit(0.0)).alias("distance_m"),
+        F.max(F.when(closing, F.hypot(F.col("est_e") - F.col("e"), F.col("est_n") - F.col("n")))).alias("err_m"),
+    ).where((F.col("distance_m") > least_m) & F.col("err_m").isNotNull())
+    return told.select(key, "start", "end", ((F.col("end") - F.col("start")) * dt).alias("duration_s"), "distance_m", "err_m", (100 * F.col("err_m") / F.col("distance_m")).alias("drift_pct"))
+
+
 def scored_only(outages: DataFrame, least_speed: float = LEAST_SPEED) -> DataFrame:
     return outages.where(F.col("valid") & (F.col("mean_speed_mps") >= least_speed))
 

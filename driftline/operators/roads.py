@@ -70,6 +70,20 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return ways.select("way", "id", "highway", "oneway", "junction", "position", F.col("xy")[0].alias("lon"), F.col("xy")[1].alias("lat"))
 
 
+def feature_collections(vertices: DataFrame, key: str) -> DataFrame:
+    """``key, geojson``: the ways of each key, an area of bounded size, as the text of one GeoJSON file.
+
+    Vertices are those of :func:`read_geojson` with the key. A way of one vertex is left out.
+    """
+    point = F.struct("position", F.array(F.round("lon", 7), F.round("lat", 7)).alias("xy"))
+    properties = [c for c in ("id", "highway", "name", "oneway", "junction") if c in vertices.columns]
+    ways = vertices.groupBy(key, "way").agg(F.array_sort(F.collect_list(point)).alias("points"), *[F.first(c, ignorenulls=True).alias(c) for c in properties])
+    geometry = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: p["xy"]).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
+    listed = ways.where(F.size("points") >= 2).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("way", feature.alias("feature")))).alias("ways"))
+    return listed.select(key, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("ways", lambda w: w["feature"]).alias("features"))).alias("geojson"))
+
+
 def drivable(ways: DataFrame, highway: str = "highway") -> DataFrame:
     return ways.where(F.col(highway).isin(*HIGHWAY_CLASSES))
 

@@ -183,3 +183,48 @@ def window_dataset(
     scalars = [F.greatest(F.col("v") + 0.1 * F.col("_u3"), F.lit(0.0)), (F.col("last") - F.col("at")) / rate, F.lit(1.0)]
     s = F.array(*[F.when(has, c / k).otherwise(0.0) for c, k in zip(scalars, scale, strict=True)])
     return drawn.select(key, "end", F.col("window").alias("x"), s.alias("s"), "y")
+
+
+def live_frames(motion_events: DataFrame, fixes: DataFrame, key: str = "trip") -> DataFrame:
+    """Frames as the estimator takes them from a phone's motion events and position fixes.
+
+    Motion events have ``stamp_ms``, accelerations ``ax, ay, az`` with gravity, rates ``alpha, beta, gamma`` in degrees
+    a second about z, x and y, and ``flipped``, whether the phone tells accelerations with the opposite sign. Missing
+    numbers count as 0. Fixes have ``stamp_ms, lat, lon, speed, heading, accuracy``; each goes to the first event at or
+    after it and to no other, and where several wait for one event, the last counts.
+    """
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    sign = F.when(F.coalesce(F.col("flipped"), F.lit(False)), -1.0).otherwise(1.0)
+    moved = motion_events.select(
+        key, "stamp_ms", F.lit(1).alias("part"), *[(sign * zero(c)).alias(c) for c in ("ax", "ay", "az")],
+        *[F.radians(zero(c)).alias(g) for g, c in (("gx", "beta"), ("gy", "gamma"), ("gz", "alpha"))],
+    )
+    known = fixes.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    known = known.select(key, "stamp_ms", F.lit(0).alias("part"), F.struct("stamp_ms", "lat", "lon", finite("speed").alias("speed"), finite("heading").alias("heading"), "accuracy").alias("waiting"))
+    rows = moved.unionByName(known, allowMissingColumns=True)
+    # one sort gives the fix that waits and the event before, after which it came
+    own = Window.partitionBy(key).orderBy("stamp_ms", "part")
+    event = F.when(F.col("part") == 1, F.col("stamp_ms"))
+    rows = rows.withColumns({
+        "waiting": F.last("waiting", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)),
+        "before": F.last(event, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    fresh = F.col("before").isNull() | (F.col("waiting.stamp_ms") > F.col("before"))
+    fix = F.when(F.col("waiting").isNotNull() & fresh, F.struct(*[F.col(f"waiting.{c}").alias(c) for c in ("lat", "lon", "speed", "heading", "accuracy")]))
+    return rows.where("part = 1").select(key, (F.col("stamp_ms") / 1000).alias("t"), "ax", "ay", "az", "gx", "gy", "gz", fix.alias("fix"))
+
+
+def route_chunks(points: DataFrame, key: str = "trip", index: str = "idx", size: int = 120) -> DataFrame:
+    """``key, chunk, first, n, line``: a route's points ``lat, lon`` in stretches that share their end points.
+
+    A stretch has ``size`` points and the first one of the next. ``line`` lists them as latitude, longitude with six
+    places, as a query for the roads along a route takes them.
+    """
+    at = F.row_number().over(Window.partitionBy(key).orderBy(index)) - 1
+    rows = points.select(key, at.cast("long").alias("at"), "lat", "lon")
+    own = (F.col("at") / size).cast("long")
+    chunks = F.when((F.col("at") % size == 0) & (F.col("at") > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    rows = rows.select(key, F.explode(chunks).alias("chunk"), "at", F.format_string("%.6f,%.6f", "lat", "lon").alias("p"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "p")))
+    return rows.groupBy(key, "chunk").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["p"]), ",").alias("line"))

@@ -931,6 +931,59 @@ def q58_window_dataset(spark, sf_dir):
     )
 
 
+_SHUT = "k % 8 < 3"
+
+
+@query(f"""WITH {EV}, fr AS (SELECT trip, i, {_SHUT} AS shut, CASE WHEN k % 11 <> 0 THEN i * 10.0::DOUBLE END AS e, i * 3.0::DOUBLE AS n, CASE WHEN i > 0 THEN i * 10.0::DOUBLE + k % 5 END AS est_e, i * 3.0::DOUBLE - k % 4 AS est_n FROM ev),
+rn AS (SELECT *, count(*) FILTER (NOT shut) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM fr),
+se AS (SELECT trip, run, min(i) FILTER (shut AND est_e IS NOT NULL) AS start, max(i) FILTER (NOT shut) AS "end" FROM rn GROUP BY ALL),
+ou AS (SELECT rn.*, se.start, se."end" FROM rn JOIN se USING (trip, run) WHERE i >= se.start AND se."end" IS NOT NULL),
+tk AS (SELECT trip, start, sum(d) AS distance_m FROM (SELECT trip, start, sqrt(pow(e - lag(e) OVER w, 2) + pow(n - lag(n) OVER w, 2)) AS d FROM ou WHERE (i = start OR i % 2 = 0) AND e IS NOT NULL WINDOW w AS (PARTITION BY trip, start ORDER BY i)) GROUP BY ALL)
+SELECT ou.trip, ou.start, "end", round(("end" - ou.start) * 0.1::DOUBLE, 6) AS duration_s, round(distance_m, 6) AS distance_m, round(sqrt(pow(est_e - e, 2) + pow(est_n - n, 2)), 6) AS err_m,
+  round(100 * sqrt(pow(est_e - e, 2) + pow(est_n - n, 2)) / distance_m, 6) AS drift_pct FROM ou JOIN tk ON tk.trip = ou.trip AND tk.start = ou.start WHERE i = "end" AND distance_m > 20 AND e IS NOT NULL""")
+def q59_live_outage_log(spark, sf_dir):
+    """Outages as they are logged while driving, those of more than 20 m."""
+    out = outages.live_log(_shut_frames(events(spark, sf_dir)), "trip", "i", 0.1, every=2)
+    return out.select("trip", "start", "end", *[r(c).alias(c) for c in ("duration_s", "distance_m", "err_m", "drift_pct")])
+
+
+def _shut_frames(ev: DataFrame) -> DataFrame:
+    k, i = F.col("k"), F.col("i")
+    return ev.select(
+        "trip", "i", F.expr(_SHUT).alias("blocked"), F.when(k % 11 != 0, i * 10.0).alias("e"), (i * 3.0).alias("n"),
+        F.when(i > 0, i * 10.0 + k % 5).alias("est_e"), (i * 3.0 - k % 4).alias("est_n"),
+    )
+
+
+@query(f"""WITH {EV}, rn AS (SELECT trip, i, unnest(CASE WHEN i % 12 = 0 AND i > 0 THEN [i // 12 - 1, i // 12] ELSE [i // 12] END) AS chunk, printf('%.6f,%.6f', 26 + k / 64.0::DOUBLE, 91 + i / 64.0::DOUBLE) AS p FROM ev)
+SELECT trip, chunk, min(i) AS first, count(*) AS n, string_agg(p, ',' ORDER BY i) AS line FROM rn GROUP BY ALL""")
+def q60_route_chunks(spark, sf_dir):
+    """Routes in stretches that share their end points."""
+    ev = events(spark, sf_dir).select("trip", F.col("i").alias("idx"), (26 + F.col("k") / 64.0).alias("lat"), (91 + F.col("i") / 64.0).alias("lon"))
+    return trips.route_chunks(ev, "trip", "idx", 12)
+
+
+@query(f"""WITH {EV}, mo AS (SELECT *, CASE WHEN i % 3 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign, lag(t) OVER (PARTITION BY trip ORDER BY i) AS before FROM ev WHERE kind <> 'click'),
+fx AS (SELECT trip, t, value, k FROM ev WHERE kind = 'click' AND k % 5 <> 0),
+la AS (SELECT mo.trip, mo.i, arg_max(fx.value, fx.t) AS lat, arg_max(fx.k, fx.t) AS k FROM mo JOIN fx ON fx.trip = mo.trip AND fx.t <= mo.t AND (mo.before IS NULL OR fx.t > mo.before) GROUP BY ALL)
+SELECT mo.trip, round(mo.t, 3) AS t, round(sign * value, 6) + 0.0::DOUBLE AS ax, round(sign * coalesce(CASE WHEN mo.k % 7 <> 0 THEN mo.k END, 0), 6) + 0.0::DOUBLE AS ay, round(radians(mo.k), 6) AS gx, round(radians(value), 6) AS gz, la.i IS NOT NULL AS has_fix, round(la.lat, 6) AS lat,
+  CASE WHEN la.k % 4 <> 0 THEN la.k * 1.0::DOUBLE END AS speed FROM mo LEFT JOIN la ON la.trip = mo.trip AND la.i = mo.i""")
+def q61_live_frames(spark, sf_dir):
+    """Motion events and position fixes of a phone as frames, each fix taken once."""
+    ev = events(spark, sf_dir).withColumn("stamp_ms", F.col("t") * 1000)
+    k = F.col("k")
+    moved = ev.where("kind <> 'click'").select(
+        "trip", "stamp_ms", F.col("value").alias("ax"), F.when(k % 7 != 0, k).alias("ay"), F.lit(None).cast("double").alias("az"),
+        F.col("value").alias("alpha"), k.alias("beta"), F.lit(0.0).alias("gamma"), (F.col("i") % 3 == 0).alias("flipped"),
+    )
+    fixes = ev.where("kind = 'click'").select(
+        "trip", "stamp_ms", F.when(k % 5 != 0, F.col("value")).alias("lat"), F.lit(91.0).alias("lon"), F.when(k % 4 != 0, k.cast("double")).otherwise(F.lit(float("nan"))).alias("speed"),
+        F.lit(None).cast("double").alias("heading"), F.lit(5.0).alias("accuracy"),
+    )
+    out = trips.live_frames(moved, fixes)
+    return out.select("trip", r("t", 3).alias("t"), r("ax").alias("ax"), r("ay").alias("ay"), r("gx").alias("gx"), r("gz").alias("gz"), F.col("fix").isNotNull().alias("has_fix"), r("fix.lat").alias("lat"), "fix.speed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -13,24 +13,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.keyed import NAV_SCHEMA, ship_package
 
 
-def run_stream(frames: DataFrame, key: str, time: str, make: Callable[[], object], step: Callable[[object, dict], dict | None], schema: str, watermark: str | None = "2 seconds", stamp: str | None = None) -> DataFrame:
+def _stamped(df: DataFrame, stamp: str) -> DataFrame:
+    """Adds ``stamp_ms_``: pandas gives times in the session's zone without telling it, so they are counted in Spark."""
+    return df.withColumn("stamp_ms_", F.unix_millis(F.col(stamp).cast("timestamp")))
+
+
+def run_stream(
+    frames: DataFrame, key: str, time: str, make: Callable[[], object], step: Callable[[object, dict], dict | None], schema: str, watermark: str | None = "2 seconds",
+    stamp: str | None = None, idle: Callable[[object, float], dict | None] | None = None, idle_ms: int = 2_000, forget_ms: int = 3_600_000,
+) -> DataFrame:
     """Output rows of a kernel for each key of a stream, in the order of ``time`` within each micro-batch.
 
     The kernel is kept between micro-batches. Rows not later than the last one of their key are late: they are left
-    out and counted in ``late``. With ``stamp``, an event-time column, the watermark bounds how long rows are waited
-    for.
+    out and counted in ``late``. With ``stamp``, an event-time column, Spark leaves out rows behind the watermark too,
+    and a key is idle once no row of it came for ``idle_ms`` of event time; then ``idle(kernel, last)`` may give one
+    row more. After ``forget_ms`` more its state ends, and a later row starts anew. Without ``stamp`` no state ends.
     """
     ship_package(frames.sparkSession)
-    if stamp and watermark:
-        frames = frames.withWatermark(stamp, watermark)
+    if stamp:
+        frames = _stamped(frames.withWatermark(stamp, watermark or "0 seconds"), stamp)
     key_type = frames.schema[key].dataType.simpleString()
     out_schema = f"{key} {key_type}, {schema}, late long"
     names = [key, *[c.strip().split(" ")[0] for c in schema.split(", ")], "late"]
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel, last, late = pickle.loads(state.get[0]) if state.exists else (make(), None, 0)
-        rows = [r for p in parts for r in p.to_dict("records")]
+        kernel, last, late, told = pickle.loads(state.get[0]) if state.exists else (make(), None, 0, False)
         out = []
+        if state.hasTimedOut:
+            if told:
+                state.remove()
+                return
+            made = idle(kernel, last) if idle else None
+            if made is not None:
+                out.append({key: k[0], **made, "late": late})
+            state.update((pickle.dumps((kernel, last, late, True)),))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(forget_ms, 1))
+            yield pd.DataFrame(out, columns=names)
+            return
+        rows = [r for p in parts for r in p.to_dict("records")]
         for r in sorted(rows, key=lambda r: r[time]):
             if last is not None and r[time] <= last:
                 late += 1
@@ -39,23 +59,46 @@ def run_stream(frames: DataFrame, key: str, time: str, make: Callable[[], object
             made = step(kernel, {c: None if isinstance(v, float) and v != v else v for c, v in r.items()})
             if made is not None:
                 out.append({key: k[0], **made, "late": late})
-        state.update((pickle.dumps((kernel, last, late)),))
+        state.update((pickle.dumps((kernel, last, late, False)),))
+        if stamp:
+            latest = max((int(r["stamp_ms_"]) for r in rows if r["stamp_ms_"] == r["stamp_ms_"]), default=0)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + max(idle_ms, 1))
         yield pd.DataFrame(out, columns=names)
 
-    return frames.groupBy(key).applyInPandasWithState(update, out_schema, "kernel binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if stamp else GroupStateTimeout.NoTimeout
+    return frames.groupBy(key).applyInPandasWithState(update, out_schema, "kernel binary", "append", timeout)
+
 
+def navigate_stream(frames: DataFrame, key: str, use_model: bool = True, stamp: str | None = None, watermark: str | None = "2 seconds", idle_ms: int = 2_000, **options) -> DataFrame:
+    """The estimator on a stream of frames, equal to the batch form on the same rows.
 
-def navigate_stream(frames: DataFrame, key: str, use_model: bool = True, **options) -> DataFrame:
-    """The estimator on a stream of frames, equal to the batch form on the same rows."""
+    With ``stamp``, a device that sends nothing for ``idle_ms`` gets one more state, ``idle_ms`` after its last one,
+    with the mode that its monitor then tells.
+    """
     from ..operators.kernels import Navigator
     from ..operators.keyed import oracle_model
 
-    return run_stream(frames, key, "t", lambda: Navigator(oracle_model if use_model else None, **options), lambda kernel, r: kernel.update(r), NAV_SCHEMA)
+    def idle(kernel: Navigator, last: float) -> dict:
+        return kernel.silent(last + idle_ms / 1000)
+
+    return run_stream(
+        frames, key, "t", lambda: Navigator(oracle_model if use_model else None, **options), lambda kernel, r: kernel.update(r), NAV_SCHEMA,
+        watermark, stamp, idle, idle_ms,
+    )
+
+
+def track_outages(frames: DataFrame, key: str, dt: float, every: int = 10, least_m: float = 20.0) -> DataFrame:
+    """:func:`operators.outages.live_log` of a stream of frames numbered by ``i``: a row once an outage closes."""
+    from ..operators.kernels import OutageTracker
+
+    schema = "start long, end long, duration_s double, distance_m double, err_m double, drift_pct double"
+    return run_stream(frames, key, "i", lambda: OutageTracker(dt, every, least_m), lambda kernel, r: kernel.update(r), schema)
 
 
 def watch_reception(fixes: DataFrame, key: str, stamp: str, wait_ms: int) -> DataFrame:
     """``key, fixes, lost``: fixes seen so far of each key, and whether none came for ``wait_ms`` of event time."""
     ship_package(fixes.sparkSession)
+    fixes = _stamped(fixes, stamp)
     key_type = fixes.schema[key].dataType.simpleString()
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,8 +110,8 @@ def watch_reception(fixes: DataFrame, key: str, stamp: str, wait_ms: int) -> Dat
         latest = 0
         for p in parts:
             seen += len(p)
-            if len(p):
-                latest = max(latest, int(p[stamp].max().timestamp() * 1000))
+            if p["stamp_ms_"].notna().any():
+                latest = max(latest, int(p["stamp_ms_"].max()))
         state.update((seen,))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait_ms)
         yield pd.DataFrame([{key: k[0], "fixes": seen, "lost": False}])

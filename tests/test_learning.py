@@ -39,3 +39,17 @@ def test_normalised_and_transposed(spark):
     a = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))
     row = spark.range(1).select(motion.transpose(a, 2).alias("t"), motion.normalise(a[1], F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(2.0), F.lit(3.0))).alias("n")).first()
     assert row.t == [[1.0, 3.0], [2.0, 4.0]] and row.n == [1.0, 1.0]
+
+
+def test_batches_of_windows_are_predicted(spark):
+    def load():
+        def model(x, s):
+            assert x.dtype == "float32" and x.shape[1:] == (2, 3)
+            return x[:, 0].sum(axis=1) + s[:, 0], x[:, 1, -1:], s[:, 1] * 0
+
+        return model
+
+    df = spark.createDataFrame([(k, [[k * 1.0, 0.0], [1.0, 0.0], [1.0, k * 0.5]], [10.0, 0.0, 1.0]) for k in range(20)] + [(20, None, [0.0, 0.0, 0.0])], "k int, x array<array<double>>, s array<double>")
+    got = learning.predict_speeds(df, load).orderBy("k").collect()
+    assert [r.predicted for r in got] == [*[k + 12.0 for k in range(20)], None]
+    assert all(abs(r.variance - 2.718281828 ** (r.k * 0.5)) < 1e-3 * r.variance and r.p_stationary == 0.5 for r in got[:20])

@@ -189,3 +189,58 @@ def test_parsed_logs(spark, tmp_path):
     assert [r.idx for r in rows if r.fix_new][:3] == [0, 10, 20]
     tables.write_metadata(meta, str(tmp_path / "meta"))
     assert spark.read.json(str(tmp_path / "meta")).count() == 1
+
+
+def test_silent_device_loses_reception(spark, tmp_path):
+    """Device a sends no more after 10 s; once b has moved the watermark on, a gets one state with the mode changed."""
+    import os
+
+    def rows(device, times):
+        fix = lambda t: (t, 3.0 * t, 0.0, 3.0, 90.0, 4.0)
+        return [(device, float(t), 0.0, 0.0, 9.81, 0.0, 0.0, 0.0, fix(float(t)), 1_700_000_000.0 + t) for t in times]
+
+    schema = "trip string, t double, ax double, ay double, az double, gx double, gy double, gz double, fix struct<t:double,e:double,n:double,speed:double,heading:double,accuracy:double>, at double"
+    for k, part in enumerate([rows("a", range(11)) + rows("b", range(11)), rows("b", range(100, 103)), rows("b", [103])]):
+        spark.createDataFrame(part, schema).withColumn("stamp", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        new = [f for f in os.listdir(tmp_path / "f") if f.endswith(".parquet") and os.stat(tmp_path / "f" / f).st_mtime > 2_000_000]
+        os.utime(tmp_path / "f" / new[0], (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "f")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
+    got = finished(stateful.navigate_stream(stream, "trip", use_model=False, stamp="stamp"), "silence").where("trip = 'a'").orderBy("t").collect()
+    assert [r.t for r in got] == [*map(float, range(11)), 12.0]
+    assert got[10].mode == outages.AIDED and got[11].mode == outages.DEAD_RECKONING and got[11].quality == 0
+
+
+def test_tracked_outages_of_a_stream(spark, sf_dir, tmp_path):
+    frames = catalogue._shut_frames(catalogue.events(spark, sf_dir))
+    frames.coalesce(1).write.parquet(str(tmp_path / "f"))
+    frames = spark.read.parquet(str(tmp_path / "f"))
+    got = finished(stateful.track_outages(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "f")), "trip", 0.1, every=2), "tracked")
+    pick = lambda df: sorted((r.trip, r.start, r.end, round(r.distance_m, 6), round(r.err_m, 6), round(r.drift_pct, 6)) for r in df.collect())
+    want = pick(outages.live_log(frames, "trip", "i", 0.1, every=2))
+    assert want and pick(got) == want
+
+
+def test_outage_log_by_hand(spark):
+    """Open at frame 2, free at 5: 3 x 10 m east; a second one of 10 m is not logged, a third does not end."""
+    rows = [("a", i, i in (2, 3, 4, 7, 11, 12), 10.0 * i, 0.0, 10.0 * i, 3.0) for i in range(13)]
+    df = spark.createDataFrame(rows, "trip string, i long, blocked boolean, e double, n double, est_e double, est_n double")
+    r = outages.live_log(df, "trip", "i", 0.1, every=1).collect()
+    assert [(x.start, x.end, x.distance_m, x.err_m, x.drift_pct) for x in r] == [(2, 5, 30.0, 3.0, 10.0)] and r[0].duration_s == pytest.approx(0.3)
+
+
+def test_fix_is_taken_once(spark):
+    from driftline.operators import trips
+
+    moved = spark.createDataFrame([("a", 100.0 * k, 1.0, -2.0, 9.8, 180.0, 90.0, None, k == 3) for k in range(5)], "trip string, stamp_ms double, ax double, ay double, az double, alpha double, beta double, gamma double, flipped boolean")
+    fixes = spark.createDataFrame([("a", 50.0, 1.0, 2.0, float("nan"), 90.0, 5.0), ("a", 210.0, 3.0, 4.0, 5.0, None, 5.0), ("a", 300.0, 5.0, 6.0, 7.0, None, 5.0), ("a", 999.0, 7.0, 8.0, 9.0, None, 5.0)], "trip string, stamp_ms double, lat double, lon double, speed double, heading double, accuracy double")
+    got = trips.live_frames(moved, fixes).orderBy("t").collect()
+    assert [r.fix and r.fix.lat for r in got] == [None, 1.0, None, 5.0, None] and got[1].fix.speed is None
+    assert (got[3].ax, got[3].ay, got[3].az) == (-1.0, 2.0, -9.8) and got[0].gx == pytest.approx(math.pi / 2) and got[0].gz == pytest.approx(math.pi) and got[0].gy == 0
+
+
+def test_feature_collections_read_back(spark, tmp_path):
+    rows = [("t", "w1", "7", "primary", 1, 9.2, 50.1), ("t", "w1", "7", "primary", 0, 9.1, 50.0), ("t", "w2", None, "service", 0, 9.3, 50.0), ("t", "w2", None, "service", 1, 9.4, 50.2), ("t", "w3", "8", "service", 0, 9.4, 50.2)]
+    v = spark.createDataFrame(rows, "trip string, way string, id string, highway string, position int, lon double, lat double")
+    (tmp_path / "m.geojson").write_text(roads.feature_collections(v, "trip").first().geojson)
+    back = roads.read_geojson(spark, str(tmp_path / "m.geojson")).orderBy("way", "position").collect()
+    assert [(r.id, r.highway, r.lon, r.lat) for r in back] == [("7", "primary", 9.1, 50.0), ("7", "primary", 9.2, 50.1), (None, "service", 9.3, 50.0), (None, "service", 9.4, 50.2)]
