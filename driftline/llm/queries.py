@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, chat, ctw, decontam, ngram_join, pii, quality_bayes, rules, token_count, token_file
+from . import bpe, chat, ctw, decontam, merkle, ngram_join, packing, pii, quality_bayes, rules, token_count, token_file, whitening
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -63,9 +64,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(C.table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "whitening_.*")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the crc32 of the id is even, the folded leaf is that of the row without its line feeds."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.merkle_manifest(C.table(spark, sf_dir, "documents"), changed={"text": tampered}).drop("proof")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False)
+
+
 _QUERIES = (
     op1_decontaminate, op2_bpe, op3_quality, op4_token_file, op5_jaccard_join,
     op6_ctw, op7_chat, op8_quality_rules, op9_token_counts, op10_personal_data,
+    op11_whitening, op12_merkle, op13_packing,
 )
 
 
