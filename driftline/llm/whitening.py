@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -33,18 +33,23 @@ class Whitening:
     axes: np.ndarray
     total: float
 
-    def centred(self, x: str) -> list[Column]:
-        return [F.col(x)[i].cast("double") - F.lit(s / self.n) for i, s in enumerate(self.sums)]
+    def centred(self, x: str) -> list[str]:
+        """SQL expressions of the entries less their means."""
+        return [f"CAST({x}[{i}] AS double) - {_number(s / self.n)}" for i, s in enumerate(self.sums)]
 
-    def whitened(self, values: list[str]) -> list[Column]:
-        """The components from columns of centred values."""
-        return [_added([F.col(c) * F.lit(float(w)) for c, w in zip(values, axis, strict=True)]) / F.lit(float(np.sqrt(v))) for axis, v in zip(self.axes, self.variances, strict=True)]
+    def whitened(self, values: list[str]) -> list[str]:
+        """SQL expressions of the components from columns of centred values."""
+        return [f"{_added([f'{c} * {_number(w)}' for c, w in zip(values, axis, strict=True)])} / {_number(np.sqrt(v))}" for axis, v in zip(self.axes, self.variances, strict=True)]
 
 
-def _added(terms: list[Column]) -> Column:
+def _number(v: float) -> str:
+    return f"({float(v)!r}D)"
+
+
+def _added(terms: list[str]) -> str:
     """The sum as a balanced tree, which is shallow whatever the number of terms."""
     while len(terms) > 1:
-        terms = [terms[k] + terms[k + 1] if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
+        terms = [f"({terms[k]} + {terms[k + 1]})" if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
     return terms[0]
 
 
@@ -60,14 +65,14 @@ def fit(vectors: DataFrame, x: str, most: int) -> Whitening | None:
     if not size:
         return None
     d = size[0].d
-    n, *sums = vectors.agg(F.count("*"), *[F.sum(F.col(x)[i]) for i in range(d)]).collect()[0]
+    n, *sums = vectors.selectExpr("count(*)", *[f"sum({x}[{i}])" for i in range(d)]).collect()[0]
     model = Whitening(n, sums, np.empty(0), np.empty((0, d)), 0.0)
-    centred = vectors.select(*[c.alias(f"c{i}") for i, c in enumerate(model.centred(x))])
+    centred = vectors.selectExpr(*[f"{c} AS c{i}" for i, c in enumerate(model.centred(x))])
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     v = np.zeros((d, d))
     for k in range(0, len(pairs), MOST_PAIRS):
         some = pairs[k : k + MOST_PAIRS]
-        found = centred.agg(*[F.expr(f"sum(c{i} * c{j})").alias(f"p{i}_{j}") for i, j in some]).collect()[0]
+        found = centred.selectExpr(*[f"sum(c{i} * c{j}) AS p{i}_{j}" for i, j in some]).collect()[0]
         for (i, j), total in zip(some, found, strict=True):
             v[i, j] = v[j, i] = total / n
     values, axes = np.linalg.eigh(v)
@@ -100,22 +105,23 @@ def whiten(rows: DataFrame, vector: str = "embedding", id_col: str = "vec_id", c
         C.release(distinct)
         return found.where("false").drop(x).withColumn(out, F.lit(None).cast(f"struct<{RESULT.replace(' ', ':').replace(',:', ',')}>"))
     names = [f"{at}{i}" for i in range(d)]
-    fitted = distinct.select(*[c.alias(n) for c, n in zip(model.centred("x"), names, strict=True)])
-    fitted = fitted.select(*[c.alias(f"w{k}") for k, c in enumerate(model.whitened(names))])
+    fitted = distinct.selectExpr(*[f"{c} AS {n}" for c, n in zip(model.centred("x"), names, strict=True)])
+    fitted = fitted.selectExpr(*[f"{c} AS w{k}" for k, c in enumerate(model.whitened(names))])
     k = len(model.variances)
     around = fitted.agg(*[F.covar_pop(f"w{a}", f"w{b}") for a in range(k) for b in range(a, k)]).collect()[0]
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
     error = max(abs(c - (a == b)) for (a, b), c in zip(pairs, around, strict=True))
     C.release(distinct)
-    off = [F.lit(model.n) * F.col(x)[i] - F.lit(s) for i, s in enumerate(model.sums)]
-    rough = _added([(F.lit(float(model.n)) * F.col(x)[i] - F.lit(float(s))) * (F.lit(float(model.n)) * F.col(x)[i] - F.lit(float(s))) for i, s in enumerate(model.sums)])
-    deviation = F.when(rough < F.lit(9.2e18), _added([o * o for o in off]))
-    wide = found.select(*[F.col(f"`{c}`") for c in rows.columns], deviation.alias(x), *[c.alias(n) for c, n in zip(model.centred(x), names, strict=True)])
+    rough = _added([f"({c}) * ({c})" for c in (f"{_number(model.n)} * {x}[{i}] - {_number(s)}" for i, s in enumerate(model.sums))])
+    exact = _added([f"({c}) * ({c})" for c in (f"{model.n}L * {x}[{i}] - ({s}L)" for i, s in enumerate(model.sums))])
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    centred = [F.expr(c).alias(n) for c, n in zip(model.centred(x), names, strict=True)]
+    wide = found.select(*kept, F.expr(f"CASE WHEN {rough} < 9.2e18D THEN {exact} END").alias(x), *centred)
     each = F.array(*[
         F.struct(
-            F.lit(i + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col(x).alias("deviation"), w.alias("whitened"),
+            F.lit(i + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col(x).alias("deviation"), F.expr(w).alias("whitened"),
             F.lit(float(model.variances[i] / model.total)).alias("explained"), F.lit(float(error)).alias("identity_error"),
         )
         for i, w in enumerate(model.whitened(names))
     ])
-    return wide.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode(each).alias(out))
+    return wide.select(*kept, F.explode(each).alias(out))
