@@ -260,6 +260,7 @@ def merkle_manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: s
     other = leaf_digest([(changed or {}).get(c, F.col(f"`{c}`")) for c in fields])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tree_col).cast("string").alias("tree"), F.unhex(leaf).alias("leaf"), other.alias("_other"), leaf.alias("_leaf"))
     rows = rows.select("doc_id", "tree", "leaf", F.when(F.col("_other") != F.col("_leaf"), F.unhex("_other")).alias("changed"))
+    rows = C.materialize(rows, "digests")  # ranges are found by sampling, which would hash all texts once more
     leaves = numbered(rows, ["doc_id", "leaf", "changed"])
     nodes, subroots, height = _grown(leaves)
     # the sources are the leaves of one more tree
