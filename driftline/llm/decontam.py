@@ -107,13 +107,16 @@ def _values(window: int) -> Column:
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
-    """``item_id, view, j, h, counted, item_values, n_windows``: each item's windows; those of two plain words count.
+    """``item_id, view, j, h, counted, item_values, n_windows, all_slots``: each item's windows; those of two plain words count.
+
+    ``all_slots`` is the number of different values that stand at the placeholders of all windows of the item.
 
     An item without such a window, one of placeholders only for instance, has no rows and is never found.
     """
     plain = F.size(F.filter("w", lambda x: ~x.rlike(_MARKS)))
     at = _placed(items, "item_id", window).select("item_id", "view", F.col("i").alias("j"), "h", (plain >= 2).alias("counted"), _values(window).alias("item_values"))
-    n = at.where("counted").groupBy("item_id", "view").agg(F.count_distinct("h").alias("n_windows"))
+    slots = F.filter(F.array_distinct(F.flatten(F.collect_set("item_values"))), lambda v: v.isNotNull())
+    n = at.groupBy("item_id", "view").agg(F.count_distinct(F.when(F.col("counted"), F.col("h"))).alias("n_windows"), F.size(slots).alias("all_slots")).where("n_windows > 0")
     return at.join(n, ["item_id", "view"])
 
 
@@ -126,7 +129,7 @@ def _bounded(df: DataFrame, name: str) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE, least_consistency: float = LEAST_CONSISTENCY) -> DataFrame:
     """``doc_id, item_id, n_shared, n_windows, share, n_slots, slot_consistency, kind`` for each contaminated pair.
 
-    ``kind`` is ``verbatim`` where every compared slot has the item's own value, otherwise ``reparameterised``. Where a
+    ``kind`` is ``verbatim`` where every slot of the item is there and has the item's own value, otherwise ``reparameterised``. Where a
     text's words and values do not stand at the same places, no slot can be compared; such a pair is ``incomparable``
     and has no ``slot_consistency``. The placeholders' own characters are taken out of all texts first. Null or empty texts and items of fewer words than a window have no windows and match nothing. Repeated documents
     of one id count as one document, whose windows are those of all its rows; repeated items likewise. Further columns
@@ -171,7 +174,7 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
     pairs = candidates.select(F.col("doc_id").alias("d"), "item_id")
     met = _placed(wanted, "doc_id", window).join(mark(pairs), F.col("doc_id").eqNullSafe(F.col("d"))).join(of_items, ["item_id", "view", "h"])
     values = F.zip_with("item_values", _values(window), lambda x, y: F.named_struct(F.lit("item_v"), x, F.lit("v"), y))
-    met = met.select("doc_id", "item_id", "view", "n_windows", F.when(F.col("counted"), F.col("h")).alias("h"), F.explode(_places(window)).alias("place"), values.alias("values"))
+    met = met.select("doc_id", "item_id", "view", "n_windows", "all_slots", F.when(F.col("counted"), F.col("h")).alias("h"), F.explode(_places(window)).alias("place"), values.alias("values"))
     met = met.withColumn("value", F.explode_outer("values"))
     lost = F.col("value").isNotNull() & (F.col("value.item_v").isNull() | F.col("value.v").isNull())
     met = met.withColumn("lost", lost).withColumn("value", F.when(~lost, F.col("value")))
@@ -179,11 +182,12 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
     told = met.groupBy("doc_id", "item_id", "place").agg(
         *[F.size(F.collect_set(F.when(of[k], F.col("h")))).alias(f"n_{k}") for k in (0, 1)],
         *[F.max(F.when(of[k], F.col("n_windows"))).alias(f"of_{k}") for k in (0, 1)],
+        *[F.max(F.when(of[k], F.col("all_slots"))).alias(f"all_{k}") for k in (0, 1)],
         *[F.collect_set(F.when(of[k], F.col("value"))).alias(f"values_{k}") for k in (0, 1)],
         *[F.max(F.when(of[k], F.col("lost"))).alias(f"lost_{k}") for k in (0, 1)],
     )
     reached = [F.coalesce(F.col(f"n_{k}") / F.col(f"of_{k}") >= least_share, F.lit(False)) for k in (0, 1)]
-    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "values", "lost")])
+    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "all", "values", "lost")])
     item_values = F.array_distinct(F.transform("values", lambda x: x["item_v"]))
     told = told.withColumn("slots", F.transform(item_values, lambda i: F.transform(F.filter("values", lambda x: x["item_v"] == i), lambda x: x["v"] == i)))
     told = told.withColumns({
@@ -191,9 +195,11 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
         "own": F.forall("slots", lambda s: F.exists(s, lambda x: x)),
         "single": F.size(F.filter("slots", lambda s: F.size(s) == 1)),
     })
-    # a copy with all of the item's own values is verbatim, whatever else shares the template
+    # a copy with all of the item's own values is verbatim, whatever else shares the template; one that lacks windows
+    # with values of the item is not, though all that can be compared agree
     blank = F.col("lost") & (F.col("n_slots") == 0)
-    told = told.withColumns({"own": F.col("own") & ~blank, "slot_consistency": F.when(blank, F.lit(None)).when(F.col("own"), 1.0).otherwise(F.col("single") / F.col("n_slots"))})
+    whole = F.col("own") & ~blank & (F.col("n_slots") >= F.col("all"))
+    told = told.withColumns({"own": whole, "slot_consistency": F.when(blank, F.lit(None)).when(F.col("own"), 1.0).otherwise(F.col("single") / F.col("n_slots"))})
     told = told.where(blank | (F.col("slot_consistency") >= least_consistency))
     best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("own", "slot_consistency", "n", "n_slots", "of")).alias("x"))
     return best.select(

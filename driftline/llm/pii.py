@@ -4,7 +4,7 @@ The patterns find e-mail addresses, IPv4 addresses, card and phone numbers, left
 random field adds what they miss: numbers without their usual marks and secrets. It is trained on a small labelled
 table, :data:`LABELLED`, whose rows are filled with seeded random words and digits, and decoded by Viterbi in numpy
 over batches of sequences. Candidates are words with a digit, ``@``, ``=`` or an inner ``:``, the two words after a word
-that announces a secret, and addresses spelled out with "at" and "dot"; all other words have the outside tag by
+that announces a secret by itself or by a part of its own, and addresses spelled out with "at" and "dot"; all other words have the outside tag by
 definition. A chain whose tag is given at a place falls into independent parts there, so only the runs of candidates,
 with what stands around them, need decoding, and the result is that of the whole text. Features are of whole words.
 """
@@ -53,6 +53,7 @@ LABELLED: tuple[tuple[str | None, str], ...] = (
     ("secret", 'TOKEN = <"{H16-64}">{p} {W}'), ("secret", "{w} secret = <{K16-40}> {w}"), ("secret", "{w} auth: <{K16-40}>{p} {w}"), ("secret", 'token = <"{H16-64}"{p}> {W}'),
     ("secret", "{w} <password={k10-24}>{p} {w}"), ("secret", "{w} <api_key={h16-64}>{p} {w}"), ("secret", "{w} <token:{K16-40}> {w}"), ("secret", "<secret={a9-20}>{p} {w}"),
     ("secret", "password = <{a9-20}>{p} {w}"), ("secret", 'token = <"{a9-20}">{p} {w}'), ("secret", "{w} password: <{a9-20}>{p} {w}"), ("secret", "pwd = <{k10-24}> {w}"),
+    ("secret", "{W}_PASSWORD: <{a9-20}>{p} {w}"), ("secret", "{w} {w}_secret = <{a9-20}> {w}"), ("secret", "{w} {w}_token: <{a9-20}>{p} {w}"), ("secret", "{w}_key = <{K16-40}> {w}"),
     (None, "{w} <n={ddd}> {w}"), (None, "{w} {w}={w} {w}"), (None, "{w} {w}:{w}{p} {w}"), (None, "{w} = {w}{p}"), (None, "{w} = {dd}{p}"), (None, "{w} key {w} {w} {w}"), (None, "a secret {w} {w}{p}"), (None, "the token {w} {w}"),
     (None, "{w} password {w} {w}"), (None, "{w} key{p} {W} {w}"), (None, "secret{p} {w} {w}"), (None, "{w} {w} dot {w}"), (None, "{w} at {w} {w} dot"), (None, "{w} at {w}, dot {w} {w}"),
     (None, "{w} {d}{p} {w}"), (None, "{w} {dd} {w}"), (None, "{W} {dddd}{p} {w}"), (None, "version {d}.{d} {w}"), (None, "Version {d}.{d}.{d}{p} {w}"), (None, "license {d}.{d}{p}"),
@@ -112,9 +113,19 @@ def _plain(word: str) -> str:
     return word.strip(_EDGES + "=").lower()
 
 
+_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+
+
+def _announces(word: str) -> bool:
+    """Whether a word is, or has among its parts (``DB_PASSWORD``, ``client-secret``, ``accessToken``), one that announces a secret."""
+    if not _ANNOUNCED.search(word):
+        return False
+    parts = [p.lower() for p in _PARTS.findall(word)]
+    return _plain(word) in _CUES or parts[-1] in _CUES or ("_" in word and not _CUES.isdisjoint(parts))
+
+
 def _cue(words: list[str]) -> str:
-    plain = [_plain(w) for w in words]
-    return "secret" if not _CUES.isdisjoint(plain) else "phone" if not _PHONE_CUES.isdisjoint(plain) else "none"
+    return "secret" if any(map(_announces, words)) else "phone" if not _PHONE_CUES.isdisjoint([_plain(w) for w in words]) else "none"
 
 
 def _letters(word: str) -> str:
@@ -152,7 +163,7 @@ def run_features(words: list[str], before: list[str], after: list[str]) -> list[
             f += ["hex", f"hex+{cue}"]
         keyed = re.fullmatch(r"([A-Za-z_]+)[=:](.+)", bare)
         if keyed:
-            name = "secret" if not _CUES.isdisjoint([keyed[1].lower(), *keyed[1].lower().split("_")]) else "none"
+            name = "secret" if _announces(keyed[1]) else "none"
             value = keyed[2].strip(_EDGES)
             f += ["keyed", f"keyed={name}", f"keyed-hex={bool(re.fullmatch('[0-9A-Fa-f]{12,}', value))}", f"keyed={name}, size={min(len(value) // 4, 6)}"]
         if 16 <= len(digits) <= 19:
@@ -206,7 +217,7 @@ def _runs(text: str) -> list[tuple[list[tuple[int, int]], list[str], list[str]]]
     word = lambda k: text[places[k][0] : places[k][1]]
     if _ANNOUNCED.search(text):
         for i, (a, b) in enumerate(places):
-            if _ANNOUNCED.search(text, a, b) and _plain(text[a:b]) in _CUES:
+            if _ANNOUNCED.search(text, a, b) and _announces(text[a:b]):
                 marked[i + 1 : i + 3] = [True] * len(marked[i + 1 : i + 3])
     if _SPELLED.search(text):
         for i in range(3, len(places)):

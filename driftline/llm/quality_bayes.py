@@ -113,29 +113,43 @@ def with_evidence(docs: DataFrame, weights: np.ndarray | None = None, column: st
                 if weights is None:
                     made = pa.array([r.tolist() for r in x], pa.list_(pa.float32()))
                 else:
-                    made = pa.array(x @ weights[:-1] + weights[-1], pa.float64())
+                    # row by row: a matrix product may add in an order that depends on the number of rows
+                    made = pa.array((x * weights[:-1]).sum(1) + weights[-1], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, kind)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights fitted on up to ``rows`` labelled documents. Repeated labels of a document count once, as the greatest."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and marks of up to ``rows`` labelled documents.
+
+    Repeated labels of a document count once, as the greatest; of the rows of one id the text of least hash counts.
+    """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") > 0).cast("int")).alias("good"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = C.id_and_text(docs).join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
-    found = with_evidence(found, column="x").select("doc_id", "good", "x").dropDuplicates(["doc_id"]).toPandas()
-    found = found.sort_values("doc_id")
-    x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), N_FEATURES)
-    return fit(x, found["good"].to_numpy(dtype=float))
+    one = found.groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    found = with_evidence(one, column="x").select("doc_id", "good", "x").toPandas().sort_values("doc_id")
+    return np.array(found["x"].tolist(), dtype=float).reshape(len(found), N_FEATURES), found["good"].to_numpy(dtype=float)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
+    """Weights fitted on the training rows and the share of good ones among them; one half without any."""
+    x, good = training_rows(docs, labels, rows)
+    return fit(x, good), float(good.mean()) if len(good) else 0.5
+
+
+def _exact(c: Column) -> Column:
+    """A sum that does not depend on the order of the rows: whole multiples of 10^-15 are added."""
+    return F.sum(c.cast("decimal(38,15)")).cast("double")
 
 
 def _strength(rows: DataFrame, rate: Column, centre: Column, n: Column) -> float:
     """Strength of a beta prior by the method of moments: the spread of rates beyond what sampling explains."""
     noise = centre * (1 - centre)
     r = rows.agg(
-        F.sum(n * F.pow(rate - centre, 2)).alias("spread"), F.sum(noise).alias("noise"), F.sum(n).alias("n"), F.sum(n * noise).alias("base")
+        _exact(n * F.pow(rate - centre, 2)).alias("spread"), _exact(noise).alias("noise"), F.sum(n).alias("n"), _exact(n * noise).alias("base")
     ).first()
     if not r["n"] or not r["base"]:
         return MOST_STRENGTH
@@ -146,11 +160,11 @@ def _strength(rows: DataFrame, rate: Column, centre: Column, n: Column) -> float
 
 def sites(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
     """``host, path, n, good, host_n, host_good`` summed over all documents, the global rate and both strengths."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"))
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), _exact(F.col("p")).alias("good"))
     paths = C.materialize(paths, "sites")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), _exact(F.col("good")).alias("host_good"))
     table = paths.join(hosts, "host")
-    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
+    total = hosts.agg(F.sum("host_n").alias("n"), _exact(F.col("host_good")).alias("good")).first()
     rate = float(np.clip(total["good"] / total["n"], 1e-6, 1 - 1e-6)) if total["n"] else 0.5
     k_host = _strength(hosts, F.col("host_good") / F.col("host_n"), F.lit(rate), F.col("host_n"))
     host_rate = (F.col("host_good") + k_host * rate) / (F.col("host_n") + k_host)
@@ -169,12 +183,12 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, rows:
     """All columns of ``docs`` with a struct ``column`` of host, path, evidence, site rate, posterior and ``kept``.
 
     Null texts count as empty and get the evidence of an empty text; null sources and languages are sites of their
-    own; repeated rows are scored alike. Without labels of both classes there is no evidence and everything is kept.
+    own; repeated rows are scored alike. The result does not depend on how rows are partitioned. Without labels of both classes there is no evidence and everything is kept.
     Further columns pass through whatever their names; one named like ``column`` is replaced. Empty tables give empty
     results.
     """
-    weights = train(docs, labels, rows)
-    base = float(np.clip(_label_rate(labels), 1e-3, 1 - 1e-3))
+    weights, base = train(docs, labels, rows)
+    base = float(np.clip(base, 1e-3, 1 - 1e-3))
     host, path = site_columns(docs)
     prior = float(np.log(base / (1 - base)))
     slim = docs.select(F.col("text"), host.alias("host"), path.alias("path"))
@@ -196,7 +210,3 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, rows:
         F.struct("host", "path", "evidence", path_rate.alias("site_rate"), posterior.alias("posterior"), keep.alias("kept")).alias(column),
     )
 
-
-def _label_rate(labels: DataFrame) -> float:
-    found = labels.agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0]
-    return 0.5 if found is None else float(found)

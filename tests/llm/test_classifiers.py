@@ -235,8 +235,9 @@ def brute_pairs(docs, items, k=decontam.WINDOW):
                     if share(found, view) >= decontam.LEAST_SHARE:
                         pairs = {x for v, *_, values in found if v == view for x in values}
                         slots = {a: [b == a for x, b in pairs if x == a] for a, _ in pairs}
-                        own = all(map(any, slots.values()))
-                        consistency = 1.0 if own else sum(len(s) == 1 for s in slots.values()) / len(slots)
+                        agree = all(map(any, slots.values()))
+                        own = agree and len(slots) >= len({x for _, _, values in own_windows[view] for x in values})
+                        consistency = 1.0 if agree else sum(len(s) == 1 for s in slots.values()) / len(slots)
                         if consistency >= decontam.LEAST_CONSISTENCY:
                             best = max(best or (False,), (own, consistency, len({w for v, _, _, w, c, _ in found if v == view and c}), len(slots), of[view]))
                         break
@@ -245,6 +246,15 @@ def brute_pairs(docs, items, k=decontam.WINDOW):
     return out
 
 
+def test_a_copy_with_some_values_spelled_out_is_not_verbatim(spark):
+    """All slots that can still be compared agree, but windows of the item are missing."""
+    item = "the old mill by the river sells 40 sacks of flour each day and the boat carries them 12 times a week to the town while 5 km of road stay empty"
+    changed = item.replace("12 times", "twelve times").replace("5 km", "five km")
+    docs = spark.createDataFrame([(1, f"before it all {item} and after"), (2, f"before it all {changed} and after")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got[1].kind == "verbatim" and got[2].kind == "reparameterised" and got[2].slot_consistency == 1.0 and got[2].n_slots < got[1].n_slots
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(12)
     names, units = "Anna Otto Boston Lyon Marie Paul Zürich Élodie".split(), ["km", "kg", "%", "hours", "m", "", " €", " dollars"]
@@ -506,3 +516,40 @@ def test_secret_without_its_name(field):
     text = "and token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" or password=531ccd051a92ebcb68 end"
     spans = pii.find_spans([text], field)[0][1]
     assert [text[a:b] for k, a, b in spans if k == "secret"] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "531ccd051a92ebcb68"]
+
+
+@pytest.mark.parametrize("text", ["DB_PASSWORD: swordfishabcdef", "client_secret = abcdefghijkl", "access_token: abcdefghijklmnop", "accessToken = qwertyuiopas now"])
+def test_secrets_announced_by_a_part_of_a_word(field, text):
+    assert [text[a:b] for k, a, b in pii.find_spans([text], field)[0][1]] == [text.split("=")[-1].split(":")[-1].split()[0]]
+
+
+@pytest.mark.parametrize("text", ["the key-value pairs of everything there", "a monkey: something", "keyboard = something", "the secretary: everything", "tokens: something"])
+def test_words_that_announce_nothing(field, text):
+    assert pii.find_spans([text], field)[0][1] == []
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    """Repeated ids with other texts, repeated, null and conflicting labels: one weight vector, and the prior of its rows."""
+    rng = random.Random(3)
+    rows = [(k % 40, " ".join(rng.choice(["good", "BAD", "123", "x#", "word."]) for _ in range(rng.randint(1, 60))), "src", "en") for k in range(160)]
+    marks = [(k, k % 3 % 2) for k in range(40)] + [(1, 1), (1, 0), (2, None), (None, 1), (None, 1), (999, 1)] + [(4, 0)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    told = []
+    for n in (2, 3, 7):
+        weights, rate = quality_bayes.train(docs.repartition(n), labels.repartition(n))
+        found = quality_bayes.classify(docs.repartition(n), labels.repartition(n), column="v").select("doc_id", "text", "v.posterior", "v.site_rate")
+        told.append((weights.tolist(), rate, sorted(map(tuple, found.collect()))))
+    assert told[0] == told[1] == told[2]
+    good = {}
+    for k, q in marks:
+        if k is not None and q is not None and k < 40:
+            good[k] = max(good.get(k, 0), q)
+    assert told[0][1] == sum(good.values()) / len(good)
+    x, y = quality_bayes.training_rows(docs, labels)
+    texts = {}
+    hashes = {t: h for t, h in docs.selectExpr("text", "xxhash64(text)").collect()}
+    for k, text, *_ in rows:
+        texts[k] = min(texts.get(k, (2**63, "")), (hashes[text], text))
+    want = quality_bayes.features([texts[k][1].encode() for k in sorted(good)])
+    assert np.array_equal(x, want.astype(float)) and y.tolist() == [good[k] for k in sorted(good)]
