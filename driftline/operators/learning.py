@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..functions.motion import window_stats
 
 #: The estimator's configurations: speed model, map, and whether the true speed takes the model's part.
@@ -50,15 +51,15 @@ def boosted_baseline(train: DataFrame, label: str, rounds: int = 50, depth: int
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted", maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
 
 
-def sampled_reference_age(longest: float, none_share: float, seed: int) -> Column:
-    """A random age of the reference in seconds, null for a share of rows that have none."""
-    return F.when(F.rand(seed) >= none_share, F.rand(seed + 1) * longest)
+def sampled_reference_age(longest: float, none_share: float, seed: int, *keys: Column | str) -> Column:
+    """A random age of the reference in seconds, null for a share of rows that have none; drawn by the row's ``keys``."""
+    return F.when(uniform(seed, *keys) >= none_share, uniform(seed, *keys, draw=1) * longest)
 
 
 def repeat_dropout(df: DataFrame, key: str, order: str, column: str, share: float, seed: int) -> DataFrame:
     """The column with a random share of its values replaced by the one before."""
     before = F.lag(column).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn(column, F.when(F.rand(seed) < share, F.coalesce(before, F.col(column))).otherwise(F.col(column)))
+    return df.withColumn(column, F.when(uniform(seed, key, order) < share, F.coalesce(before, F.col(column))).otherwise(F.col(column)))
 
 
 def distance_errors(frames: DataFrame, outages: DataFrame, key: str, index: str, dt: float, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import drop_table, shared_table
+from . import bootstrap, quantiles
+
 AIDED, DEGRADED, DEAD_RECKONING, REACQUISITION = "GNSS_AIDED", "DEGRADED", "DEAD_RECKONING", "REACQUISITION"
 LEAST_SPEED = 3.0
 PASS_PERCENT = 10.0
@@ -158,30 +159,28 @@ def hold_last_errors(frames: DataFrame, outages: DataFrame, key: str, index: str
     )
 
 
-def robustness(runs: DataFrame, by: list[str], cluster: str, seed: str, value: str, replicates: int = 2000, pick: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def robustness(runs: DataFrame, by: list[str], cluster: str, seed: str, value: str, replicates: int = 2000, draws=None, **options) -> DataFrame:
     """Median, pass share and 90th percentile of ``value`` in each group, with bootstrap intervals over clusters.
 
-    A cluster is an outage; the same outage under several seeds is resampled as a whole. ``pick(replicate, slot, n)``
-    gives the number of the cluster drawn, at random by default. Draws are summed to counts for each replicate and
-    cluster before they meet the values. A group without rows is not in the result.
+    A cluster is an outage; the same outage under several seeds is resampled as a whole. ``draws`` are random with a
+    fixed seed by default, see :mod:`.bootstrap`, which takes ``options`` too. Rows without a value do not count; a
+    group without rows is not in the result.
     """
-    pick = pick or (lambda replicate, slot, n: F.floor(F.rand(0) * n))
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1  # the outages of one group
-    clusters = runs.select(*by, cluster).distinct().withColumn("number", nth)
-    sizes = clusters.groupBy(*by).agg(F.count("*").alias("n_outages"))
-    slots = sizes.select(*by, "n_outages", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_outages") - 1)).alias("slot"))
-    drawn = slots.select(*by, "replicate", pick(F.col("replicate"), F.col("slot"), F.col("n_outages")).cast("int").alias("number"))
-    drawn = drawn.groupBy(*by, "replicate", "number").agg(F.count("*").alias("times"))
-    passes = (F.col(value) < PASS_PERCENT).cast("double")
-    met = drawn.join(clusters, [*by, "number"]).join(runs.select(*by, cluster, value), [*by, cluster])
-    reps = met.groupBy(*by, "replicate").agg(F.percentile(value, 0.5, F.col("times")).alias("m"), (F.sum(passes * F.col("times")) / F.sum("times")).alias("p"))
-    ends = reps.groupBy(*by).agg(*[F.percentile(c, q).alias(f"{name}_{end}") for c, name in (("m", "median"), ("p", "pass_rate")) for q, end in ((0.025, "low"), (0.975, "high"))])
+    g = F.to_json(F.struct(*by))
+    runs = runs.where(F.col(value).isNotNull())
+    reps = bootstrap.replicates_of(runs.select(g.alias("g"), F.col(cluster).alias("cluster"), F.col(value).alias("value")), PASS_PERCENT, replicates, draws, **options)
+    # a row for each replicate
+    ends = reps.groupBy("g").agg(*[F.percentile(c, q).alias(f"{name}_{end}") for c, name in (("median", "median"), ("share", "pass_rate")) for q, end in ((0.025, "low"), (0.975, "high"))])
     pooled = runs.groupBy(*by).agg(
-        F.count("*").alias("n_observations"), F.countDistinct(seed).alias("seeds"), F.percentile(value, 0.5).alias("median"),
-        F.avg(passes).alias("pass_rate"), F.percentile(value, 0.9).alias("p90"),
-    )
-    return pooled.join(sizes, by).join(ends, by)
+        F.count("*").alias("n_observations"), F.countDistinct(seed).alias("seeds"), F.countDistinct(cluster).alias("n_outages"), F.avg((F.col(value) < PASS_PERCENT).cast("double")).alias("pass_rate")
+    )
+    exact = quantiles.exact_percentiles(runs, by, value, {"median": 0.5, "p90": 0.9})
+    out = pooled.withColumn("g", g).join(ends, "g").join(exact.withColumn("g", g).drop(*by), "g")
+    out = out.select(*by, "n_observations", "seeds", "n_outages", "median", "pass_rate", "p90", "median_low", "median_high", "pass_rate_low", "pass_rate_high")
+    out = shared_table(runs.sparkSession, out, "robustness")  # a row for each group
+    for t in (reps, exact):
+        drop_table(t)
+    return out
 
 
 def mode_shares(frames: DataFrame) -> DataFrame:
@@ -190,6 +189,7 @@ def mode_shares(frames: DataFrame) -> DataFrame:
 
 
 def latency_statistics(df: DataFrame, ms: str, rate_hz: float) -> DataFrame:
-    return df.agg(F.avg(ms).alias("mean_ms"), F.percentile(ms, 0.99).alias("p99_ms")).select(
-        "mean_ms", "p99_ms", (1000 / F.col("mean_ms")).alias("frames_per_s"), (1000 / rate_hz / F.col("mean_ms")).alias("realtime_factor")
-    )
+    """Mean and exact 99th percentile of a whole table, frames a second and the multiple of real time at ``rate_hz``."""
+    p99 = quantiles.exact_percentiles(df, [], ms, {"p99_ms": 0.99})
+    # one row each
+    return df.agg(F.avg(ms).alias("mean_ms")).crossJoin(F.broadcast(p99)).select("mean_ms", "p99_ms", (1000 / F.col("mean_ms")).alias("frames_per_s"), (1000 / rate_hz / F.col("mean_ms")).alias("realtime_factor"))

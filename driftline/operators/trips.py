@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, motion
+from ..functions.draws import normal, uniform
 from ..sources.tables import shared_table
 from . import alignment, outages, validity
 
@@ -169,7 +170,7 @@ def window_dataset(
     to 0.2), its age as a share of 2 s or 120 s, and the normal noise of its speed in 0.1 m/s. The age is cut to the
     start of the valid run. Frames have ``idx, speed, valid``; ``channels`` is an array.
     """
-    draws = draws or (F.rand(seed), F.rand(seed + 1), F.rand(seed + 2), F.randn(seed + 3))
+    draws = draws or (*[uniform(seed, key, "end", draw=k) for k in range(3)], normal(seed, key, "end", draw=3))
     rows = validity.islands(frames.withColumn("_x", motion.normalise(channels, mean, std)), key, "idx", "valid")
     windows = validity.sliding_windows(rows, key, "idx", F.col("_x"), length, step).withColumn("last", F.col("end") - 1)
     # drawn in a projection of its own, so that each number is drawn once

@@ -500,11 +500,35 @@ def q29_mode_histogram(spark, sf_dir):
     return outages.mode_shares(es).join(medians, "mode").select("mode", "n", r("share").alias("share"), "err_median")
 
 
-@query(f"""WITH {HOLD}, ru AS (SELECT trip % 3 AS scenario, trip * 100000 + start AS outage, seed, error_pct * (1 + seed / 8.0) AS drift FROM hs, range(0, 3) x(seed) WHERE (start + seed) % 5 <> 0),
-cl AS (SELECT scenario, outage, row_number() OVER (PARTITION BY scenario ORDER BY outage) - 1 AS number FROM (SELECT DISTINCT scenario, outage FROM ru)),
-sz AS (SELECT scenario, count(*) AS n_outages FROM cl GROUP BY scenario),
-dr AS (SELECT scenario, replicate, (replicate * 7919 + slot * 104729 + replicate * slot) % n_outages AS number FROM (SELECT *, unnest(range(0, n_outages)) AS slot FROM sz), range(0, 2000) y(replicate)),
-rp AS (SELECT dr.scenario, replicate, quantile_cont(drift, 0.5) AS m, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS p FROM dr JOIN cl USING (scenario, number) JOIN ru USING (scenario, outage) GROUP BY dr.scenario, replicate),
+class RuleDraws:
+    """A fixed rule in place of random draws, so that SQL can draw the same."""
+
+    def left(self, group, level, node, replicates, draws, n_left, n):
+        return (draws * n_left + (replicates * 37 + level * 11 + node * 5) % n) // n
+
+    def picks(self, group, bucket, replicate, slot, n):
+        return (replicate * 7919 + slot * 104729 + replicate * slot) % n
+
+
+_BUCKET = 64
+
+
+@query(f"""WITH RECURSIVE {HOLD}, ru AS (SELECT trip % 3 AS scenario, trip * 100000 + start AS outage, seed, error_pct * (1 + seed / 8.0) AS drift FROM hs, range(0, 3) x(seed) WHERE (start + seed) % 5 <> 0),
+dc AS (SELECT DISTINCT scenario, outage FROM ru),
+sz AS (SELECT scenario, count(*) AS n_outages, greatest(0, CAST(ceil(log2(count(*) / {_BUCKET}.0)) AS INTEGER)) AS levels FROM dc GROUP BY scenario),
+bk AS (SELECT scenario, outage, levels, outage % (1 << levels) AS bucket FROM dc JOIN sz USING (scenario)),
+cl AS (SELECT *, row_number() OVER (PARTITION BY scenario, bucket ORDER BY outage) - 1 AS number FROM bk),
+nd AS (SELECT scenario, level, bucket >> level AS node, count(*) AS n FROM (SELECT *, unnest(range(0, levels + 1)) AS level FROM bk) GROUP BY ALL),
+tr AS (
+  SELECT scenario, replicate, CAST(levels AS BIGINT) AS level, CAST(0 AS BIGINT) AS node, n_outages AS m FROM sz, range(0, 2000) y(replicate)
+  UNION ALL
+  SELECT t.scenario, t.replicate, t.level - 1, c.node, CASE WHEN c.node % 2 = 0 THEN g ELSE t.m - g END FROM (
+    SELECT tr.*, (tr.m * coalesce(l.n, 0) + (tr.replicate * 37 + tr.level * 11 + tr.node * 5) % p.n) // p.n AS g
+    FROM tr JOIN nd p ON p.scenario = tr.scenario AND p.level = tr.level AND p.node = tr.node LEFT JOIN nd l ON l.scenario = tr.scenario AND l.level = tr.level - 1 AND l.node = 2 * tr.node WHERE tr.level > 0) t
+  JOIN nd c ON c.scenario = t.scenario AND c.level = t.level - 1 AND c.node >> 1 = t.node),
+dr AS (SELECT scenario, replicate, bucket, (replicate * 7919 + slot * 104729 + replicate * slot) % n AS number FROM (
+  SELECT tr.scenario, tr.replicate, tr.node AS bucket, nd.n, unnest(range(0, tr.m)) AS slot FROM tr JOIN nd ON nd.scenario = tr.scenario AND nd.level = 0 AND nd.node = tr.node WHERE tr.level = 0)),
+rp AS (SELECT dr.scenario, replicate, quantile_cont(drift, 0.5) AS m, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS p FROM dr JOIN cl USING (scenario, bucket, number) JOIN ru USING (scenario, outage) GROUP BY dr.scenario, replicate),
 ci AS (SELECT scenario, {', '.join(f'quantile_cont({c}, {q}) AS {name}_{end}' for c, name in (('m', 'median'), ('p', 'pass_rate')) for q, end in ((0.025, 'low'), (0.975, 'high')))} FROM rp GROUP BY scenario),
 po AS (SELECT scenario, count(*) AS n_observations, count(DISTINCT seed) AS seeds, quantile_cont(drift, 0.5) AS median, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS pass_rate, quantile_cont(drift, 0.9) AS p90 FROM ru GROUP BY scenario)
 SELECT scenario, n_observations, seeds, n_outages, {', '.join(f'round({c}, 6) AS {c}' for c in ('median', 'pass_rate', 'p90', 'median_low', 'median_high', 'pass_rate_low', 'pass_rate_high'))} FROM po JOIN sz USING (scenario) JOIN ci USING (scenario)""")
@@ -512,8 +536,9 @@ def q30_bootstrap_ci(spark, sf_dir):
     """The robustness record: outages under three seeds, of which some runs lack some, 2,000 replicates."""
     runs = _held(spark, sf_dir).select((F.col("trip") % 3).alias("scenario"), (F.col("trip") * 100000 + F.col("start")).alias("outage"), "start", "error_pct", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed"))
     runs = runs.where((F.col("start") + F.col("seed")) % 5 != 0).withColumn("drift", F.col("error_pct") * (1 + F.col("seed") / 8))
-    # a fixed rule in place of random draws, so that SQL can draw the same
-    out = outages.robustness(runs, ["scenario"], "outage", "seed", "drift", 2000, lambda k, slot, n: (k * 7919 + slot * 104729 + k * slot) % n)
+    runs = tables.shared_table(spark, runs, "runs")
+    out = outages.robustness(runs, ["scenario"], "outage", "seed", "drift", 2000, RuleDraws(), spread=lambda c: c, bucket=_BUCKET)
+    tables.drop_table(runs)
     return out.select(*[F.col(c) if c in ("scenario", "n_observations", "seeds", "n_outages") else r(c).alias(c) for c in out.columns])
 
 

@@ -26,7 +26,7 @@ def test_distance_errors_and_sampling(spark):
     out = spark.createDataFrame([("a", 10, 20)], "trip string, start long, end long")
     r = learning.distance_errors(frames, out, "trip", "i", 0.1, lambda d: d.withColumn("predicted", F.lit(9.0))).first()
     assert r.distance_m == 10.0 and abs(r.error_pct - 10) < 1e-9
-    ages = spark.range(2000).select(learning.sampled_reference_age(120.0, 0.2, 3).alias("x")).agg(F.avg("x").alias("m"), F.count("x").alias("n")).first()
+    ages = spark.range(2000).select(learning.sampled_reference_age(120.0, 0.2, 3, "id").alias("x")).agg(F.avg("x").alias("m"), F.count("x").alias("n")).first()
     assert 55 < ages.m < 65 and 1500 < ages.n < 1700
     kept = learning.repeat_dropout(frames.withColumn("speed", F.col("i") * 1.0), "trip", "i", "speed", 0.5, 1)
     assert 0 < kept.where("speed = i - 1").count() < 50
