@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import motion
+from . import scans
+
 
 def monotonic_filter(df: DataFrame, key: str, order: str, time: str) -> DataFrame:
     """Rows whose time is later than that of the row before in file order; the first row of a key stays."""
@@ -100,30 +103,72 @@ def gap_free(probes: DataFrame, samples: DataFrame, key: str, time: str, limit:
     return found.join(first, key, "left").withColumn("ok", F.coalesce(F.coalesce("step", "_first") <= limit, F.lit(False))).drop("step", "_first")
 
 
-def change_ids(df: DataFrame, key: str, order: str, watched: list[str]) -> DataFrame:
-    """``is_new``: whether a watched value differs from the row before (NaN always does), ``change_id``: their running count."""
-    w = Window.partitionBy(key).orderBy(order)
-    changed = F.row_number().over(w) == 1
+def change_ids(df: DataFrame, key: str, order: str, watched: list[str], width: float | None = None) -> DataFrame:
+    """``is_new``: whether a watched value differs from the row before (NaN always does), ``change_id``: their running count.
+
+    With ``width``, a key's rows are cut into stretches of that length, see :mod:`.scans`.
+    """
+    kinds = dict(df.dtypes)
+    if width is None:
+        w = Window.partitionBy(key).orderBy(order)
+        first, before = F.row_number().over(w) == 1, {c: F.lag(c).over(w) for c in watched}
+    else:
+        names = {c: f"_was_{k}" for k, c in enumerate(watched)}
+        df = scans.Stretches(df, key, order, width).previous({**{names[c]: F.col(c) for c in watched}, "_was": F.lit(True)}).done()
+        first, before = F.col("_was").isNull(), {c: F.col(n) for c, n in names.items()}
+    changed = first
     for c in watched:
-        before = F.lag(c).over(w)
-        changed = changed | ~F.col(c).eqNullSafe(before)
-        if dict(df.dtypes)[c] in ("double", "float"):
+        changed = changed | ~F.col(c).eqNullSafe(before[c])
+        if kinds[c] in ("double", "float"):
             changed = changed | F.isnan(c)
-    df = df.withColumn("is_new", changed)
-    return df.withColumn("change_id", F.sum(F.col("is_new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
+    df = df.withColumn("is_new", F.coalesce(changed, F.lit(True)))
+    if width is None:
+        return df.withColumn("change_id", F.sum(F.col("is_new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.drop("_was", *names.values())
+    return scans.Stretches(df, key, order, width).running_sum(F.col("is_new").cast("long"), "change_id").done()
+
+
+def unwrapped(df: DataFrame, key: str, order: str, angle: str, period: float = 360.0, out: str = "unwrapped", width: float | None = None) -> DataFrame:
+    """The angle with turns of ``period`` added so that no step exceeds half of it; with ``width`` in stretches."""
+    turns = lambda before: F.coalesce(-F.floor((F.col(angle) - before + period / 2) / period), F.lit(0))
+    if width is None:
+        w = Window.partitionBy(key).orderBy(order)
+        df = df.withColumn("_turn", turns(F.lag(angle).over(w)))
+        return df.withColumn(out, F.col(angle) + period * F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_turn")
+    cut = scans.Stretches(df, key, order, width).previous({"_angle": F.col(angle)}).running_sum(turns(F.col("_angle")), "_turns")
+    return cut.done().withColumn(out, F.col(angle) + period * F.col("_turns")).drop("_angle", "_turns")
+
+
+def forward_fill(df: DataFrame, key: str, order: str, column: str, initial: float, out: str, width: float | None = None) -> DataFrame:
+    """The last non-null value so far, ``initial`` before the first; with ``width`` in stretches."""
+    if width is not None:
+        return scans.Stretches(df, key, order, width).latest(F.col(column), out).done().withColumn(out, F.coalesce(out, F.lit(initial)))
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.coalesce(F.last(column, ignorenulls=True).over(w), F.lit(initial)))
 
-def unwrapped(df: DataFrame, key: str, order: str, angle: str, period: float = 360.0, out: str = "unwrapped") -> DataFrame:
-    """The angle with turns of ``period`` added so that no step exceeds half of it."""
-    w = Window.partitionBy(key).orderBy(order)
-    step = F.col(angle) - F.lag(angle).over(w)
-    df = df.withColumn("_turn", F.coalesce(-F.floor((step + period / 2) / period), F.lit(0)))
-    return df.withColumn(out, F.col(angle) + period * F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_turn")
 
+def gravity_directions(df: DataFrame, key: str, order: str, alpha: float = 0.01, width: float = 1e6, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``down_x, down_y, down_z``, the direction of gravity, from accelerations ``ax, ay, az`` and turn rates ``gx, gy, gz``.
 
-def forward_fill(df: DataFrame, key: str, order: str, column: str, initial: float, out: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.coalesce(F.last(column, ignorenulls=True).over(w), F.lit(initial)))
+    It starts with a key's first sample whose size is within a fifth of one g, and is then moved by ``alpha`` towards
+    each one within a tenth while the device hardly turns; before the start it is straight up. A sample with a null
+    changes nothing.
+    """
+    acc, turn = ["ax", "ay", "az"], ["gx", "gy", "gz"]
+    size = F.sqrt(sum((F.col(c) * F.col(c) for c in acc), F.lit(0.0))) / motion.G
+    still = F.sqrt(sum((F.col(c) * F.col(c) for c in turn), F.lit(0.0))) < 0.2
+    fits = F.coalesce((size > 0.8) & (size < 1.2), F.lit(False))
+    moves = F.coalesce((size > 0.9) & (size < 1.1) & still, F.lit(False))
+    cut = scans.Stretches(df, key, order, width, ties).running_sum(fits.cast("long"), "_fitting")
+    begins = fits & (F.col("_fitting") == 1)
+    moves = moves & (F.col("_fitting") > 0)
+    factor = F.when(begins, 0.0).when(moves, 1 - alpha).otherwise(1.0)
+    cut = cut.affine(factor, {f"_g{c}": F.when(begins, F.col(c)).when(moves, alpha * F.col(c)).otherwise(0.0) for c in acc}, 1 - alpha)
+    g = [F.col(f"_g{c}") for c in acc]
+    length = F.sqrt(sum((c * c for c in g), F.lit(0.0)))
+    known = F.col("_fitting") > 0
+    down = {f"down_{n}": F.when(known, c / length).otherwise(float(n == "z")) for n, c in zip("xyz", g, strict=True)}
+    return cut.done().withColumns(down).drop("_fitting", *[f"_g{c}" for c in acc])
 
 
 def clamped_shift(df: DataFrame, key: str, index: str, column: str, lag: int, out: str) -> DataFrame:

@@ -57,7 +57,7 @@ def _counts(draws, row: dict, replicates: np.ndarray) -> np.ndarray:
     n, ends = len(row["clusters"]), np.cumsum(m)
     at = np.repeat(np.arange(len(replicates)), m)
     picked = draws.picks(row["g"], row["bucket"], replicates[at], np.arange(ends[-1]) - np.repeat(ends - m, m), n)
-    return np.bincount(at * n + picked, minlength=len(replicates) * n).reshape(len(replicates), n)
+    return np.bincount(at * n + picked, minlength=len(replicates) * n).reshape(len(replicates), n).astype(float)
 
 
 def _observations(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def replicates_of(observations: DataFrame, limit: float, replicates: int = 2000,
                 if not use.any():
                     continue
                 kinds, at = np.unique(values[use], return_inverse=True)
-                member = np.zeros((len(row["clusters"]), len(kinds)), dtype=np.int64)
+                member = np.zeros((len(row["clusters"]), len(kinds)))  # floating point, which BLAS multiplies; counts are exact in it
                 np.add.at(member, (owner[use], at), 1)
                 for first in range(0, replicates, CHUNK):
                     w = (_counts(draws, row, np.arange(first, min(first + CHUNK, replicates))) @ member).astype("<i4").T

@@ -112,17 +112,6 @@ def decimate(df: DataFrame, key: str, period: float) -> DataFrame:
     return run_by_key(df, key, ["t"], lambda: Decimator(period), _decimate, "t_end double, means array<double>")
 
 
-def gravity(df: DataFrame, key: str, alpha: float = 0.01) -> DataFrame:
-    """``key, t, gx_, gy_, gz_``: gravity directions from ``t, ax, ay, az, gx, gy, gz``."""
-    from .kernels import Gravity
-
-    def step(kernel, r):
-        d = kernel.update((r["ax"], r["ay"], r["az"]), (r["gx"], r["gy"], r["gz"]))
-        return {"t": r["t"], "down_x": d[0], "down_y": d[1], "down_z": d[2]}
-
-    return run_by_key(df, key, ["t"], lambda: Gravity(alpha), step, "t double, down_x double, down_y double, down_z double")
-
-
 def monitor_fixes(df: DataFrame, key: str) -> DataFrame:
     """``key, t, decision, mode, quality`` of each fix ``t, e, n, speed, accuracy, surprise, own_speed``, ticked after it."""
     from .kernels import Fix, FixMonitor
@@ -224,16 +213,6 @@ def match_roads(points: DataFrame, key: str, segments: list[dict]) -> DataFrame:
     return run_by_key(points, key, ["t"], lambda: Matcher(road_net()), step, "t double, segment long, foot_e double, foot_n double, confidence double")
 
 
-def distance_outages(frames: DataFrame, key: str, candidates: DataFrame, first: int, gap_hit: int, gap_miss: int) -> DataFrame:
-    """Greedy choice among ``key, start, end, fits`` candidates (one for each start) from frame ``first`` on."""
-    from .kernels import GreedyPicker
-
-    def step(kernel, r):
-        return {"start": r["start"], "end": r["end"]} if kernel.update(r["start"], r["end"], r["fits"]) else None
-
-    return run_by_key(candidates, key, ["start"], lambda: GreedyPicker(gap_hit, gap_miss, first), step, "start long, end long")
-
-
 def route_points(df: DataFrame, key: str, least: float, every: int) -> DataFrame:
     """Points of a route thinned to at least ``least`` apart, of every ``every``-th sample ``idx, e, n``."""
     import math

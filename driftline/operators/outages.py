@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop_table, shared_table
-from . import bootstrap, quantiles
+from . import bootstrap, chains, quantiles
 
 AIDED, DEGRADED, DEAD_RECKONING, REACQUISITION = "GNSS_AIDED", "DEGRADED", "DEAD_RECKONING", "REACQUISITION"
 LEAST_SPEED = 3.0
@@ -20,6 +20,20 @@ def tiled_outages(trips: DataFrame, key: str, n: str, first: int, length: int, r
     return trips.select(key, F.posexplode(starts).alias("outage", "start")).withColumn("end", F.col("start") + length)
 
 
+def distance_outages(candidates: DataFrame, key: str, first: int, gap_hit: int, gap_miss: int) -> DataFrame:
+    """``key, start, end``: a greedy choice among ``key, start, end, fits`` candidates, one for each start.
+
+    The first candidate looked at starts at ``first``; after one that fits the next start is ``gap_hit`` past its end,
+    after another one ``gap_miss`` past its start. The choice ends where no candidate has the start, or it has no end.
+    """
+    candidates = candidates.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    fits = F.coalesce("fits", F.lit(False))
+    edges = candidates.select(key, F.col("start").alias("node"), F.when(fits, F.col("end") + gap_hit).otherwise(F.col("start") + gap_miss).alias("next"))
+    starts = candidates.select(key, F.lit(first).cast("long").alias("node")).distinct()
+    visited = chains.reached(edges, starts, key).withColumnRenamed("node", "start")
+    return candidates.where(fits).join(visited, [key, "start"], "left_semi").select(key, "start", "end")
+
+
 def masked(frames: DataFrame, outages: DataFrame, key: str, index: str) -> DataFrame:
     """Frames with ``in_outage``: intervals are unrolled to their indices, so the join is one of equal keys."""
     inside = outages.select(key, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias(index)).distinct()

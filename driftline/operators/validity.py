@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def islands(df: DataFrame, key: str, index: str, valid: str, out: str = "run_start") -> DataFrame:
-    """First index of the run of valid rows that a row is in; -1 for invalid rows."""
+from . import scans
+
+def islands(df: DataFrame, key: str, index: str, valid: str, out: str = "run_start", width: float | None = None) -> DataFrame:
+    """First index of the run of valid rows that a row is in; -1 for invalid rows.
+
+    With ``width``, a key's rows are cut into stretches of that length, and a run that goes over their borders is one.
+    """
+    if width is not None:
+        cut = scans.Stretches(df, key, index, width).previous({"_valid": F.col(valid)})
+        begins = F.when(F.col(valid) & ~F.coalesce("_valid", F.lit(False)), F.col(index))
+        cut = cut.latest(begins, "_start").done()
+        return cut.withColumn(out, F.when(F.col(valid), F.col("_start")).otherwise(F.lit(-1).cast("long"))).drop("_valid", "_start")
     w = Window.partitionBy(key).orderBy(index)
     broken = F.sum(F.when(F.col(valid), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_island", broken)

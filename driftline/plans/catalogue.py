@@ -125,7 +125,7 @@ def q05_gap_mask(spark, sf_dir):
 
 
 def _islands(ev: DataFrame) -> DataFrame:
-    return validity.islands(ev.withColumn("valid", F.col("k") % 8 != 0), "trip", "i", "valid")
+    return validity.islands(ev.withColumn("valid", F.col("k") % 8 != 0), "trip", "i", "valid", width=32)
 
 
 ISLANDS = f"""{EV}, b AS (SELECT *, k % 8 <> 0 AS valid, sum(CASE WHEN k % 8 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY trip ORDER BY i) AS g FROM ev),
@@ -141,7 +141,7 @@ def q06_islands(spark, sf_dir):
 SELECT trip, i, is_new, CAST(sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY trip ORDER BY i) AS BIGINT) AS change_id FROM x""")
 def q07_change_ids(spark, sf_dir):
     ev = events(spark, sf_dir).withColumn("level", F.floor(F.col("k") / 25))
-    return alignment.change_ids(ev, "trip", "i", ["kind", "level"]).select("trip", "i", "is_new", "change_id")
+    return alignment.change_ids(ev, "trip", "i", ["kind", "level"], width=32).select("trip", "i", "is_new", "change_id")
 
 
 @query(f"""WITH {EV}, a AS (SELECT trip, i, {pmod('value * 7', '360.0')} AS angle FROM ev),
@@ -150,7 +150,7 @@ u AS (SELECT trip, i, angle + 360.0 * sum(coalesce(-floor((step + 180) / 360.0),
 SELECT trip, i, round(u, 6) AS unwrapped, round({pmod('u', '360.0')}, 6) AS wrapped FROM u""")
 def q08_unwrap_angle(spark, sf_dir):
     ev = events(spark, sf_dir).withColumn("angle", F.pmod(F.col("value") * 7, F.lit(360.0)))
-    out = alignment.unwrapped(ev, "trip", "i", "angle")
+    out = alignment.unwrapped(ev, "trip", "i", "angle", width=32)
     return out.select("trip", "i", r("unwrapped").alias("unwrapped"), r(F.pmod("unwrapped", F.lit(360.0))).alias("wrapped"))
 
 
@@ -353,9 +353,8 @@ SELECT trip, i, round(CASE WHEN g IS NULL THEN 0.0 ELSE g[1]/sqrt(g[1]*g[1]+g[2]
   round(CASE WHEN g IS NULL THEN 1.0 ELSE g[3]/sqrt(g[1]*g[1]+g[2]*g[2]+g[3]*g[3]) END, 6) AS down_z FROM s""")
 def q21_gated_gravity(spark, sf_dir):
     s = _samples(events(spark, sf_dir))
-    out = keyed.gravity(s.select("trip", "t", "ax", "ay", "az", "gx", "gy", "gz"), "trip")
-    nth = (F.row_number().over(Window.partitionBy("trip").orderBy("t")) - 1).cast("long")
-    return out.select("trip", nth.alias("i"), r("down_x").alias("down_x"), r("down_z").alias("down_z"))
+    out = alignment.gravity_directions(s.select("trip", "i", "ax", "ay", "az", "gx", "gy", "gz"), "trip", "i", width=32)
+    return out.select("trip", "i", r("down_x").alias("down_x"), r("down_z").alias("down_z"))
 
 
 def _trips(ev: DataFrame) -> DataFrame:
@@ -399,7 +398,7 @@ p AS (SELECT trip, CAST(2 AS BIGINT) AS start FROM (SELECT DISTINCT trip FROM ev
 SELECT p.trip, p.start, f.e AS "end" FROM p JOIN f ON f.trip = p.trip AND f.start = p.start WHERE fits""")
 def q23_distance_outages(spark, sf_dir):
     ev = events(spark, sf_dir)
-    return keyed.distance_outages(ev, "trip", _distance_candidates(ev), 2, 3, 1)
+    return outages.distance_outages(tables.shared_table(spark, _distance_candidates(ev), "candidates"), "trip", 2, 3, 1)
 
 
 @query(f"""WITH {EV}, {TILES} SELECT ev.trip, ev.i, count(tl.start) > 0 AS in_outage FROM ev LEFT JOIN tl ON ev.trip = tl.trip AND ev.i >= tl.start AND ev.i < tl."end" GROUP BY ALL""")
@@ -510,7 +509,7 @@ class RuleDraws:
         return (replicate * 7919 + slot * 104729 + replicate * slot) % n
 
 
-_BUCKET = 64
+_BUCKET = 256
 
 
 @query(f"""WITH RECURSIVE {HOLD}, ru AS (SELECT trip % 3 AS scenario, trip * 100000 + start AS outage, seed, error_pct * (1 + seed / 8.0) AS drift FROM hs, range(0, 3) x(seed) WHERE (start + seed) % 5 <> 0),

@@ -102,3 +102,80 @@ def test_random_replicates_are_the_same_for_any_partitions_and_spread_as_they_sh
 def test_robustness_of_no_rows(spark):
     none = spark.createDataFrame([], "config string, outage long, seed long, drift double")
     assert outages.robustness(none, ["config"], "outage", "seed", "drift", 10).collect() == []
+
+
+@pytest.fixture(scope="module")
+def walk(spark):
+    """One key with almost all rows, a small one, a null one, gaps in the order, nulls and NaN among the values."""
+    rng = np.random.default_rng(1)
+    rows, at = [], 0
+    for k in range(1500):
+        at += int(rng.integers(1, 4)) if k % 200 else 500
+        key = "hot" if k % 30 else ("small" if k % 60 else None)
+        angle = None if k % 97 == 0 else float(rng.uniform(0, 360))
+        rows.append((key, at, angle, bool(rng.random() < 0.8), float("nan") if k % 40 == 0 else float(rng.integers(0, 3)), None if rng.random() < 0.7 else float(k)))
+    return spark.createDataFrame(rows, "key string, at long, angle double, ok boolean, level double, seldom double").repartition(5)
+
+
+def test_scans_in_stretches_equal_those_of_one_window(spark, walk):
+    from driftline.operators import alignment, validity
+
+    for width in (7, 100, 1e6):
+        for f, columns in (
+            (lambda w: validity.islands(walk, "key", "at", "ok", width=w), ["run_start"]),
+            (lambda w: alignment.change_ids(walk, "key", "at", ["level", "ok"], width=w), ["is_new", "change_id"]),
+            (lambda w: alignment.unwrapped(walk.where("angle IS NOT NULL"), "key", "at", "angle", width=w), ["unwrapped"]),
+            (lambda w: alignment.forward_fill(walk, "key", "at", "seldom", -1.0, "filled", width=w), ["filled"]),
+        ):
+            got, want = (sorted(map(str, f(w).select("key", "at", *[F.round(c, 6) if c == "unwrapped" else F.col(c) for c in columns]).collect())) for w in (width, None))
+            assert got == want
+
+
+def test_a_hot_key_is_spread_over_tasks(spark, walk):
+    """No stretch, and so no task that one key is dealt to, has more than a few rows of it."""
+    from driftline.operators import scans
+
+    cut = scans.Stretches(walk, "key", "at", 50).running_sum(F.lit(1), "n")
+    largest = cut.rows.groupBy(cut.key, cut.stretch).agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0]
+    plan = cut.done()._jdf.queryExecution().optimizedPlan().toString()
+    assert largest <= 50 and "windowspecdefinition(_scan_key#" in plan and cut.done().columns == [*walk.columns, "n"]
+    assert cut.done().where("key = 'hot'").agg(F.max("n")).first()[0] == walk.where("key = 'hot'").count()
+
+
+@pytest.mark.parametrize(("alpha", "width"), [(0.01, 40), (0.5, 1e6), (0.9, 300), (1.0, 25)])
+def test_gravity_as_an_affine_scan(spark, alpha, width, monkeypatch):
+    from driftline.operators import alignment, kernels, scans
+
+    monkeypatch.setattr(scans, "MOST_BLOCK", 64)
+    rng = np.random.default_rng(3)
+    rows = []
+    for key, n in (("hot", 2000), ("two", 2), (None, 40), ("never", 5)):
+        for i in range(n):
+            size = rng.choice([9.8, 9.0, 11.5, 3.0]) if key != "never" else 2.0
+            v = rng.normal(size=3) * 0.2 + [0, 0, 1]
+            rows.append((key, i, *map(float, v / np.linalg.norm(v) * size), *map(float, rng.normal(size=3) * rng.choice([0.02, 0.3]))))
+    df = spark.createDataFrame(rows, "key string, i long, ax double, ay double, az double, gx double, gy double, gz double")
+    found = alignment.gravity_directions(df.repartition(3), "key", "i", alpha, width)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and found.columns == [*df.columns, "down_x", "down_y", "down_z"]
+    got, state = {(r.key, r.i): (r.down_x, r.down_y, r.down_z) for r in found.collect()}, {}
+    for key, i, *v in rows:
+        down = state.setdefault(key, kernels.Gravity(alpha)).update(v[:3], v[3:])
+        assert got[key, i] == pytest.approx(down, abs=1e-9)
+
+
+def test_greedy_outages_by_doubling(spark):
+    """Chains of thousands of steps, gaps in the starts, an end that is missing, one key without the first start, null keys."""
+    rng = np.random.default_rng(8)
+    rows = [("long", k, k + int(rng.integers(1, 30)), bool(rng.random() < 0.4)) for k in range(6000)] + [("gap", k, k + 3, k % 5 == 0) for k in range(60) if k != 41]
+    rows += [("late", k, k + 2, True) for k in range(5, 20)] + [("open", 2, None, True), ("open", 3, 4, True), ("null", 2, 5, None), ("null", 3, 6, True), (None, 2, 5, True)]
+    df = spark.createDataFrame(rows, "trip string, start long, end long, fits boolean")
+    got = sorted(map(tuple, outages.distance_outages(df.repartition(5), "trip", 2, 3, 1).collect()))
+    want = []
+    for trip in ("long", "gap", "late", "open", "null"):
+        own, at = {s: (e, f) for t, s, e, f in rows if t == trip}, 2
+        while at in own and own[at][0] is not None:
+            end, fits = own[at]
+            if fits:
+                want.append((trip, at, end))
+            at = end + 3 if fits else at + 1
+    assert got == sorted(want) and len(got) > 200
