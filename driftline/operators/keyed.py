@@ -197,22 +197,6 @@ def navigate_with_area_maps(frames: DataFrame, key: str, segments: DataFrame, us
     return run_by_key(rows, key, ["part_", "t"], Area, step, NAV_SCHEMA)
 
 
-def match_roads(points: DataFrame, key: str, segments: list[dict]) -> DataFrame:
-    """Map matching of ``t, e, n, psi, speed, travelled, std``: ``key, t, segment, foot_e, foot_n, confidence``.
-
-    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments.
-    """
-    from .kernels import Matcher
-
-    road_net = shared_map(points.sparkSession, segments)
-
-    def step(kernel, r):
-        m = kernel.step(r["e"], r["n"], r["psi"], r["speed"], r["travelled"], r["std"])
-        return {"t": r["t"]} if m is None else {"t": r["t"], "segment": m.segment, "foot_e": m.e, "foot_n": m.n, "confidence": m.confidence}
-
-    return run_by_key(points, key, ["t"], lambda: Matcher(road_net()), step, "t double, segment long, foot_e double, foot_n double, confidence double")
-
-
 def route_points(df: DataFrame, key: str, least: float, every: int) -> DataFrame:
     """Points of a route thinned to at least ``least`` apart, of every ``every``-th sample ``idx, e, n``."""
     import math

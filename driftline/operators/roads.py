@@ -161,25 +161,29 @@ def posterior(scored: DataFrame, point: str, segment: str, near_m: float = 3.0,
     return out.withColumn("confidence", F.sum(F.when(same, F.col("posterior")).otherwise(0.0)).over(own)).drop("_b")
 
 
-def bounded_distances(starts: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
+def bounded_distances(starts: DataFrame, edges: DataFrame, cutoff: float | str) -> DataFrame:
     """``source, node, distance`` of nodes within ``cutoff`` over undirected ``edges(a, b, length)``.
 
-    ``starts(source, node, distance)`` are the nodes first reached. Each round sends improved distances one edge on;
-    a round's result is written to the shared folder, and the last one improves nothing.
+    ``starts(source, node, distance)`` are the nodes first reached; ``cutoff`` is a number or the column of ``starts``
+    that has each source's own. Each round sends improved distances one edge on; a round's result is written to the
+    shared folder, and the last one improves nothing.
     """
     spark = starts.sparkSession
     from ..sources.tables import drop_table, shared_table
 
     both = edges.select("a", "b", "length").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")).groupBy("a", "b").agg(F.min("length").alias("length"))
-    known = starts.where(F.col("distance") <= cutoff).groupBy("source", "node").agg(F.min("distance").alias("distance"))
+    both = shared_table(spark, both, "edges")
+    limit = F.col(cutoff) if isinstance(cutoff, str) else F.lit(float(cutoff))
+    known = starts.select("source", "node", "distance", limit.alias("cutoff")).where("distance <= cutoff").groupBy("source", "node", "cutoff").agg(F.min("distance").alias("distance"))
     known = shared_table(spark, known.withColumn("new", F.lit(True)), "distances")
     while True:
-        sent = known.where("new").join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        sent = sent.where(F.col("distance") <= cutoff).withColumn("old", F.lit(False))
-        every = known.select("source", "node", "distance", F.lit(True).alias("old")).unionByName(sent)
-        after = every.groupBy("source", "node").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("before"))
-        after = after.select("source", "node", "distance", (F.col("before").isNull() | (F.col("distance") < F.col("before"))).alias("new"))
+        sent = known.where("new").join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), "cutoff", (F.col("distance") + F.col("length")).alias("distance"))
+        sent = sent.where("distance <= cutoff").withColumn("old", F.lit(False))
+        every = known.select("source", "node", "cutoff", "distance", F.lit(True).alias("old")).unionByName(sent)
+        after = every.groupBy("source", "node", "cutoff").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("before"))
+        after = after.select("source", "node", "cutoff", "distance", (F.col("before").isNull() | (F.col("distance") < F.col("before"))).alias("new"))
         before, known = known, shared_table(spark, after, "distances")
         drop_table(before)
         if known.where("new").isEmpty():
+            drop_table(both)
             return known.select("source", "node", "distance")

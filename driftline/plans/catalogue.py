@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, motion
-from ..operators import alignment, keyed, outages, roads, trips, validity
+from ..operators import alignment, keyed, matching, outages, roads, trips, validity
 from ..sources import tables
 from . import kernel_sql
 
@@ -629,15 +629,16 @@ def _street_map() -> list[dict]:
     return out
 
 
-@query(f"""WITH RECURSIVE {EV}, mp AS (SELECT trip, i, i * 12.0 % 900 + 3.7 AS e, trip % 10 * 100.0 + k % 9 - 4 AS n FROM ev), {kernel_sql.street_matching('mp')},
+@query(f"""WITH RECURSIVE {EV}, {LATTICE}, mp AS (SELECT trip, i, i * 120.0 % 840 + 3.7 AS e, trip % 9 * 100.0 + k % 9 - 4 AS n FROM ev), {kernel_sql.street_matching('mp', 120.0)},
 pq AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY trip, i) AS mass, first(fe) OVER w AS be, first(fn) OVER w AS bn, first(road) OVER w AS br, first(seg) OVER w AS bs FROM hm
   WINDOW w AS (PARTITION BY trip, i ORDER BY score DESC, d, seg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT trip, CAST(i AS DOUBLE) AS t, CAST(first(bs) AS BIGINT) AS segment, round(first(be), 6) AS foot_e, round(first(bn), 6) AS foot_n,
   round(sum(CASE WHEN sqrt(pow(fe - be, 2) + pow(fn - bn, 2)) < 3 AND abs({wrap('road - br')}) < radians(20.0) THEN mass ELSE 0 END), 6) AS confidence FROM pq GROUP BY trip, i""")
 def q35_hmm_match(spark, sf_dir):
+    """Streets with one-way rules, 120 m from one point to the next, so that routes lead over several nodes."""
     i = F.col("i")
-    p = events(spark, sf_dir).select("trip", i.cast("double").alias("t"), (i * 12.0 % 900 + 3.7).alias("e"), (F.col("trip") % 10 * 100.0 + F.col("k") % 9 - 4).alias("n"), F.lit(0.0).alias("psi"), F.lit(12.0).alias("speed"), F.lit(12.0).alias("travelled"), F.lit(5.0).alias("std"))
-    out = keyed.match_roads(p, "trip", _street_map())
+    p = events(spark, sf_dir).select("trip", i.cast("double").alias("t"), (i * 120.0 % 840 + 3.7).alias("e"), (F.col("trip") % 9 * 100.0 + F.col("k") % 9 - 4).alias("n"), F.lit(0.0).alias("psi"), F.lit(12.0).alias("speed"), F.lit(120.0).alias("travelled"), F.lit(5.0).alias("std"))
+    out = matching.match(p, _lattice(spark, sf_dir).withColumnRenamed("seg", "segment"), "trip", "t")
     return out.select("trip", "t", "segment", *[r(c).alias(c) for c in ("foot_e", "foot_n", "confidence")])
 
 

@@ -157,23 +157,26 @@ def navigation(frames: str) -> str:
     return f"nv AS ({step(first)} UNION ALL {step(after)})"
 
 
-def street_matching(points: str) -> str:
-    """CTEs ``hm`` for matching ``points(trip, i, e, n)`` heading east at 12 m/s to a lattice of streets 100 m apart.
+def street_matching(points: str, travelled: float) -> str:
+    """CTEs ``hm`` for matching ``points(trip, i, e, n)`` heading east at 12 m/s to the streets ``lt``, with one-way rules.
 
-    With 12 m travelled a step, routes end within 84 m, so that a route only leads over a node of its own segment.
+    The shortest way between two nodes of the lattice that has streets on all sides is that along its axes.
     """
-    turn = f"CASE WHEN abs({wrap('0 - psi')}) <= abs({wrap('0 - ' + wrap('psi + pi()'))}) THEN psi ELSE {wrap('psi + pi()')} END"
-    ends = [f"CASE WHEN {c} = {a} AND {d} <= 84 THEN {d} + {w} END" for c, w in (("c.a", "c.f * 100"), ("c.b", "(1 - c.f) * 100")) for a, d in (("r.a", "r.f * 100"), ("r.b", "(1 - r.f) * 100"))]
-    route = f"CASE WHEN c.seg = r.seg THEN abs(c.f - r.f) * 100 ELSE least({', '.join(f'coalesce({e}, 1e300)' for e in ends)}) END"
+    back = wrap("psi + pi()")
+    turn = f"CASE WHEN oneway = 1 THEN psi WHEN oneway = -1 THEN {back} WHEN abs({wrap('0 - psi')}) <= abs({wrap('0 - ' + back)}) THEN psi ELSE {back} END"
+    ends = []
+    for e, n, rest in (("c.e1", "c.n1", "c.f * c.length"), ("c.e2", "c.n2", "(1 - c.f) * c.length")):
+        for re, rn, off in (("r.e1", "r.n1", "r.f * r.length"), ("r.e2", "r.n2", "(1 - r.f) * r.length")):
+            way = f"{off} + abs({e} - {re}) + abs({n} - {rn})"
+            ends.append(f"CASE WHEN {way} <= {2 * travelled + 60!r} THEN {way} + {rest} END")
+    route = f"CASE WHEN c.seg = r.seg THEN abs(c.f - r.f) * c.length ELSE least({', '.join(f'coalesce({e}, 1e300)' for e in ends)}) END"
     width = math.radians(25.0)
-    return f"""st AS (SELECT w * 10 + p AS seg, CASE WHEN w < 10 THEN p * 100.0 ELSE (w - 10) * 100.0 END::DOUBLE AS e1, CASE WHEN w < 10 THEN w * 100.0 ELSE p * 100.0 END::DOUBLE AS n1,
-  CASE WHEN w < 10 THEN p * 100.0 + 100 ELSE (w - 10) * 100.0 END::DOUBLE AS e2, CASE WHEN w < 10 THEN w * 100.0 ELSE p * 100.0 + 100 END::DOUBLE AS n2, CASE WHEN w < 10 THEN 0.0 ELSE pi() / 2 END AS psi FROM range(0, 25) x(w), range(0, 10) y(p)),
-cf AS (SELECT trip, i, seg, least(greatest(((e - e1) * (e2 - e1) + (n - n1) * (n2 - n1)) / 10000.0, 0), 1) AS f, e, n, st.* EXCLUDE (seg) FROM {points}, st WHERE abs(e - (e1 + e2) / 2) < 80 AND abs(n - (n1 + n2) / 2) < 80),
+    return f"""cf AS (SELECT trip, i, seg, least(greatest(((e - e1) * (e2 - e1) + (n - n1) * (n2 - n1)) / (length * length), 0), 1) AS f, e, n, lt.* EXCLUDE (seg) FROM {points}, lt WHERE abs(e - (e1 + e2) / 2) < 80 AND abs(n - (n1 + n2) / 2) < 80),
 cd AS (SELECT *, e1 + f * (e2 - e1) AS fe, n1 + f * (n2 - n1) AS fn, sqrt(pow(e - (e1 + f * (e2 - e1)), 2) + pow(n - (n1 + f * (n2 - n1)), 2)) AS d FROM cf),
-ca AS (SELECT trip, i, seg, f, fe, fn, d, e1 || ':' || n1 AS a, e2 || ':' || n2 AS b, {turn} AS road FROM cd WHERE d <= 25 QUALIFY row_number() OVER (PARTITION BY trip, i ORDER BY d, seg) <= 12),
+ca AS (SELECT trip, i, seg, f, fe, fn, d, e1, n1, e2, n2, length, {turn} AS road FROM cd WHERE d <= 25 QUALIFY row_number() OVER (PARTITION BY trip, i ORDER BY d, seg) <= 12),
 ce AS (SELECT *, -0.5 * pow(d / 5.0, 2) - 0.5 * pow({wrap('0 - road')} / {width!r}, 2) AS emission FROM ca),
 hm AS (SELECT *, emission - max(emission) OVER (PARTITION BY trip) AS score FROM ce WHERE i = 0
   UNION ALL SELECT * EXCLUDE (total), total - max(total) OVER (PARTITION BY trip) AS score FROM (
     SELECT * EXCLUDE (reached), emission + CASE WHEN max(reached) OVER (PARTITION BY trip) > -5e8 THEN greatest(reached, -1e9) ELSE 0 END AS total FROM (
-      SELECT c.trip, c.i, c.seg, c.f, c.fe, c.fn, c.d, c.a, c.b, c.road, c.emission, max(CASE WHEN {route} < 1e200 THEN r.score - abs({route} - 12.0) / 11.0 ELSE -1e300 END) AS reached
+      SELECT c.trip, c.i, c.seg, c.f, c.fe, c.fn, c.d, c.e1, c.n1, c.e2, c.n2, c.length, c.road, c.emission, max(CASE WHEN {route} < 1e200 THEN r.score - abs({route} - {travelled!r}) / {8 + 0.25 * travelled!r} ELSE -1e300 END) AS reached
       FROM hm r JOIN ce c ON c.trip = r.trip AND c.i = r.i + 1 GROUP BY ALL)))"""
