@@ -47,14 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = groups.distinct().join(docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).distinct(), "row")
     least = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("first"))
     kept = _without(docs, members.join(least, "component").where("row <> first").select("row"))
-    # equal rows are one member; of those that stay only one does
+    # rows equal in id and text are one member; of those that stay only the one of least hash of all columns does
     again = C.bounded(groups.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated", BROADCAST_ROWS)
     if again.isEmpty():
         return kept
     nth = C.fresh(docs, "nth")
     on = _row(kept) == again["row"]
     repeated = kept.join(again, on, "left_semi")
-    once = repeated.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
+    once = repeated.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))).where(F.col(nth) == 1).drop(nth)
     return kept.join(again, on, "left_anti").unionByName(once)
 
 
