@@ -15,6 +15,8 @@ HIGHWAY_CLASSES = (
     "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road",
 )
 CELL_M = 50.0
+#: Points of a cell that one task meets with the cell's segments.
+MOST_IN_CELL = 100_000
 
 
 def oneway_direction(oneway: Column, highway: Column, junction: Column) -> Column:
@@ -109,19 +111,24 @@ def _projection(e: Column, n: Column) -> tuple[Column, Column, Column, Column]:
     return t, foot_e, foot_n, F.hypot(e - foot_e, n - foot_n)
 
 
-def nearby(points: DataFrame, segments: DataFrame, point: str, segment: str, radius: float, cell: float = CELL_M) -> DataFrame:
+def nearby(points: DataFrame, segments: DataFrame, point: str, segment: str, radius: float, cell: float = CELL_M, most: int = MOST_IN_CELL) -> DataFrame:
     """Pairs of points ``e, n`` and segments within ``radius``: fraction, foot point and distance.
 
-    Both sides meet in cells, so the join has equal keys; a pair that meets in several cells counts once.
+    A segment is in all cells that its box and ``radius`` around it touch, a point in the one it stands in. So points
+    are shuffled once, as they are, and each pair meets once. A cell with more than ``most`` points is split in parts,
+    to which its points are dealt by a hash, and its segments go to every part. Points without a place match nothing.
     """
-    reach = math.ceil(radius / cell)
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = points.select(point, (F.floor(F.col("e") / cell).cast("long")).alias("x"), (F.floor(F.col("n") / cell).cast("long")).alias("y"))
-    cells = cells.select(point, F.explode(F.transform(around, lambda d: F.col("x") + d)).alias("cx"), "y")
-    cells = cells.select(point, "cx", F.explode(F.transform(around, lambda d: F.col("y") + d)).alias("cy"))
-    pairs = cells.join(segment_cells(segments, segment, cell), ["cx", "cy"]).select(point, segment).distinct()
+    size = max(cell, radius / 2)
+    at = lambda c: F.floor(c / size).cast("long")
+    here = points.where(F.col("e").isNotNull() & F.col("n").isNotNull()).withColumns({"_cx": at(F.col("e")), "_cy": at(F.col("n"))})
+    # full cells only: at most a row for each ``most`` points
+    full = here.groupBy("_cx", "_cy").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_cx", "_cy", F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    here = here.join(F.broadcast(full), ["_cx", "_cy"], "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(point, "e", "n"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    span = lambda a, b: F.sequence(at(F.least(a, b) - radius), at(F.greatest(a, b) + radius))
+    there = segments.withColumn("_cx", F.explode(span(F.col("e1"), F.col("e2")))).withColumn("_cy", F.explode(span(F.col("n1"), F.col("n2"))))
+    there = there.join(F.broadcast(full), ["_cx", "_cy"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     t, foot_e, foot_n, distance = _projection(F.col("e"), F.col("n"))
-    met = pairs.join(points, point).join(segments, segment)
+    met = here.join(there, ["_cx", "_cy", "_part"]).drop("_cx", "_cy", "_part")
     return met.withColumns({"fraction": t, "foot_e": foot_e, "foot_n": foot_n, "distance": distance}).where(F.col("distance") <= radius)
 
 

@@ -179,3 +179,30 @@ def test_greedy_outages_by_doubling(spark):
                 want.append((trip, at, end))
             at = end + 3 if fits else at + 1
     assert got == sorted(want) and len(got) > 200
+
+
+@pytest.mark.parametrize("most", [100_000, 40])
+def test_nearby_segments_against_all_pairs(spark, most):
+    """Half of all points in one cell, points on borders and at one place, segments longer than a cell and of no length."""
+    from driftline.operators import roads
+
+    rng = np.random.default_rng(6)
+    places = [(*rng.uniform(0, 40, 2),) for _ in range(200)] + [(*rng.uniform(-300, 600, 2),) for _ in range(150)] + [(50.0, 100.0)] * 20 + [(0.0, -50.0), (None, 3.0)]
+    lines = [(*rng.uniform(-300, 600, 2), *rng.uniform(-300, 600, 2)) for _ in range(40)] + [(10.0, 10.0, 10.0, 10.0), (0.0, 0.0, 100.0, 0.0)]
+    points = spark.createDataFrame([(k, None if e is None else float(e), float(n), "x") for k, (e, n) in enumerate(places)], "point long, e double, n double, kind string")
+    segments = spark.createDataFrame([(k, *map(float, s)) for k, s in enumerate(lines)], "segment long, e1 double, n1 double, e2 double, n2 double")
+    for radius in (30.0, 170.0):
+        got = {(r.point, r.segment): r.distance for r in roads.nearby(points.repartition(3), segments, "point", "segment", radius, most=most).collect()}
+        rows = roads.nearby(points, segments, "point", "segment", radius, most=most)
+        want = {}
+        for i, (e, n) in enumerate(places):
+            for j, (a, b, c, d) in enumerate(lines):
+                if e is None:
+                    continue
+                size = max((c - a) ** 2 + (d - b) ** 2, 1e-9)
+                f = min(max(((e - a) * (c - a) + (n - b) * (d - b)) / size, 0), 1)
+                far = float(np.hypot(e - a - f * (c - a), n - b - f * (d - b)))
+                if far <= radius:
+                    want[i, j] = far
+        assert rows.count() == len(got) and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert set(rows.columns) == {*points.columns, *segments.columns, "fraction", "foot_e", "foot_n", "distance"}
