@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import uniform
-from ..functions.motion import window_stats
+from .keyed import ship_package
 
 #: The estimator's configurations: speed model, map, and whether the true speed takes the model's part.
 CONFIGURATIONS = (("ekf_only", False, False, False), ("ekf_ai", True, False, False), ("ekf_ai_map", True, True, False), ("ekf_ai_map_oracle", True, True, True))
@@ -25,6 +27,59 @@ def configurations(spark, trips: DataFrame, maps: DataFrame, key: str = "trip")
     return rows.where(~F.col("use_map") | F.col("_map")).drop("_map")
 
 
+STATISTICS = ("mean", "std", "mean_abs_diff", "p05", "p95", "band1", "band2", "band3", "band4")
+
+
+def _statistics(x: np.ndarray) -> np.ndarray:
+    """A row of ``STATISTICS`` for each window of one length; a statistic that a length does not have is NaN."""
+    n = x.shape[1]
+    out = np.full((len(x), len(STATISTICS)), np.nan)
+    if n == 0:
+        return out
+    out[:, 0], out[:, 1] = x.mean(1), x.std(1)
+    if n > 1:
+        out[:, 2] = np.abs(np.diff(x, axis=1)).mean(1)
+    out[:, 3], out[:, 4] = np.percentile(x, [5, 95], axis=1)
+    size = np.abs(np.fft.rfft(x - out[:, :1], axis=1))[:, 1:]
+    for k, part in enumerate(np.array_split(np.arange(size.shape[1]), 4)):
+        if len(part):
+            out[:, 5 + k] = size[:, part].mean(1)
+    return out
+
+
+def window_statistics(windows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``windows`` with, for each array column named in ``columns``, a struct of ``STATISTICS`` under its value there.
+
+    Mean, population deviation, mean absolute difference, 5th and 95th percentile, and the mean size of the Fourier
+    components but the constant one in four bands from low to high, by a real transform over all windows of one length
+    of a batch at once. A null array, one with a null in it, or an empty one has null statistics, and so has a
+    statistic that a window is too short for.
+    """
+    ship_package(windows.sparkSession)
+    own = T.StructType([T.StructField(n, T.DoubleType()) for n in STATISTICS])
+    schema = T.StructType([*windows.schema.fields, *[T.StructField(out, own) for out in columns.values()]])
+    wide = windows.select("*", *[F.col(c).cast("array<double>").alias(f"_w{k}") for k, c in enumerate(columns)])
+    kept = len(windows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for at in range(kept, kept + len(columns)):
+                lists = batch.column(at)
+                begin = lists.offsets.to_numpy()[:-1]
+                size, values = np.diff(lists.offsets.to_numpy()), lists.values
+                lost = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+                fits = ~lists.is_null().to_numpy(zero_copy_only=False) & (size > 0) & (lost[begin + size] == lost[begin])
+                flat, stats = values.to_numpy(zero_copy_only=False), np.full((batch.num_rows, len(STATISTICS)), np.nan)
+                for n in np.unique(size[fits]):
+                    rows = np.flatnonzero(fits & (size == n))
+                    stats[rows] = _statistics(flat[begin[rows][:, None] + np.arange(n)])
+                made.append(pa.StructArray.from_arrays([pa.array(c, pa.float64(), mask=~fits | np.isnan(c)) for c in stats.T], list(STATISTICS)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], schema.names)
+
+    return wide.mapInArrow(run, schema)
+
+
 def window_features(windows: DataFrame, channels: int, window: str = "window") -> DataFrame:
     """``features``: nine statistics of each channel of windows of channel arrays, as a vector for ``pyspark.ml``."""
     from pyspark.ml.functions import array_to_vector
@@ -32,9 +87,11 @@ def window_features(windows: DataFrame, channels: int, window: str = "window") -
     def channel(c: int) -> Column:
         return F.transform(window, lambda row: row[c].cast("double"))
 
-    stats = [window_stats(channel(c)) for c in range(channels)]
-    flat = F.array(*[s[f] for s in stats for f in ("mean", "std", "mean_abs_diff", "p05", "p95", "band1", "band2", "band3", "band4")])
-    return windows.withColumn("features", array_to_vector(flat))
+    names = {f"_channel{c}": f"_stats{c}" for c in range(channels)}
+    split = windows.withColumns({f"_channel{c}": channel(c) for c in range(channels)})
+    told = window_statistics(split, names)
+    flat = F.array(*[F.col(f"_stats{c}.{n}") for c in range(channels) for n in STATISTICS])
+    return told.withColumn("features", array_to_vector(flat)).drop(*names, *names.values())
 
 
 def ridge_baseline(train: DataFrame, label: str, strength: float = 1.0):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, motion
-from ..operators import alignment, keyed, matching, outages, roads, trips, validity
+from ..operators import alignment, keyed, learning, matching, outages, roads, trips, validity
 from ..sources import tables
 from . import kernel_sql
 
@@ -1009,6 +1009,21 @@ def q61_live_frames(spark, sf_dir):
     return out.select("trip", r("t", 3).alias("t"), r("ax").alias("ax"), r("ay").alias("ay"), r("gx").alias("gx"), r("gz").alias("gz"), F.col("fix").isNotNull().alias("has_fix"), r("fix.lat").alias("lat"), "fix.speed")
 
 
+@query(f"""WITH {ISLANDS}, w AS (SELECT trip, i + 1 AS e, run_start, list(value) OVER (PARTITION BY trip ORDER BY i ROWS 15 PRECEDING) AS x FROM isl),
+ok AS (SELECT trip, e, x FROM w WHERE len(x) = 16 AND run_start >= 0 AND e - 16 >= run_start AND (e - 16) % 2 = 0),
+el AS (SELECT trip, e, unnest(x) AS v, unnest(range(0, 16)) AS j FROM ok),
+st AS (SELECT *, v - avg(v) OVER (PARTITION BY trip, e) AS c, abs(v - lag(v) OVER (PARTITION BY trip, e ORDER BY j)) AS d FROM el),
+fk AS (SELECT trip, e, k, sqrt(pow(sum(c * cos(2 * pi() * k * j / 16)), 2) + pow(sum(c * sin(2 * pi() * k * j / 16)), 2)) AS size FROM st, range(1, 9) y(k) GROUP BY ALL),
+fb AS (SELECT trip, e, {', '.join(f'round(avg(size) FILTER ((k - 1) // 2 = {j}), 6) AS band{j + 1}' for j in range(4))} FROM fk GROUP BY trip, e)
+SELECT a.trip, a.e AS "end", mean, std, mean_abs_diff, p05, p95, band1, band2, band3, band4 FROM (SELECT trip, e, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(d), 6) AS mean_abs_diff, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.95), 6) AS p95 FROM st GROUP BY trip, e) a
+JOIN fb ON fb.trip = a.trip AND fb.e = a.e""")
+def q62_window_spectra(spark, sf_dir):
+    """Statistics and band energies of fixed windows of valid runs, by a real Fourier transform."""
+    windows = validity.sliding_windows(_islands(events(spark, sf_dir)), "trip", "i", F.col("value"), 16, 2)
+    s = learning.window_statistics(windows, {"window": "s"})
+    return s.select("trip", "end", *[r(f"s.{c}").alias(c) for c in learning.STATISTICS])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

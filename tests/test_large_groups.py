@@ -206,3 +206,20 @@ def test_nearby_segments_against_all_pairs(spark, most):
                     want[i, j] = far
         assert rows.count() == len(got) and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
     assert set(rows.columns) == {*points.columns, *segments.columns, "fraction", "foot_e", "foot_n", "distance"}
+
+
+def test_window_statistics_of_odd_windows(spark):
+    """Against the column version: lengths of one to nine, nulls inside, null and empty arrays, two columns at once."""
+    from driftline.functions import motion
+    from driftline.operators import learning
+
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.normal(size=n)], [1.0] * n) for k, n in enumerate([1, 2, 3, 5, 8, 9, 9, 20])] + [(100, None, [2.0]), (101, [1.0, None, 2.0], []), (102, [], None)]
+    df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")
+    got = {r.id: r for r in learning.window_statistics(df, {"a": "sa", "b": "sb"}).collect()}
+    want = {r.id: r for r in df.where("id < 100").select("id", motion.window_stats(F.col("a")).alias("sa"), motion.window_stats(F.col("b")).alias("sb")).collect()}
+    for k, r in got.items():
+        for c in ("sa", "sb"):
+            for n in learning.STATISTICS:
+                assert r[c][n] == (None if k >= 100 and not (k == 100 and c == "sb") else pytest.approx(want[k][c][n], abs=1e-9)) if k in want else r[c][n] in (None, 2.0, 0.0)
+    assert got[101].sa.mean is None and got[102].sb.mean is None and got[100].sb.mean == 2.0
