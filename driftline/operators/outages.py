@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import drop_table, shared_table
+from ..sources.tables import drop_table, report_rows, shared_table
 from . import bootstrap, chains, quantiles
 
 AIDED, DEGRADED, DEAD_RECKONING, REACQUISITION = "GNSS_AIDED", "DEGRADED", "DEAD_RECKONING", "REACQUISITION"
@@ -197,6 +197,16 @@ def robustness(runs: DataFrame, by: list[str], cluster: str, seed: str, value: s
     return out
 
 
+def robustness_of_reports(reports: DataFrame, replicates: int = 2000, draws=None, **options) -> DataFrame:
+    """The robustness record of each trip, scenario and configuration over the reports ``run, report`` of several runs.
+
+    Outages that are valid and fast enough count. A run that lacks a trip, a scenario, a configuration or an outage
+    adds nothing there; outages are the same if they start at the same frame.
+    """
+    rows = scored_only(report_rows(reports, keep=("run",)))
+    return robustness(rows, ["trip", "scenario", "config"], "start", "run", "drift_pct", replicates, draws, **options)
+
+
 def mode_shares(frames: DataFrame) -> DataFrame:
     total = frames.agg(F.count("*").alias("all"))
     return frames.groupBy("mode").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("mode", "n", (F.col("n") / F.col("all")).alias("share"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -512,8 +513,9 @@ class RuleDraws:
 _BUCKET = 256
 
 
-@query(f"""WITH RECURSIVE {HOLD}, ru AS (SELECT trip % 3 AS scenario, trip * 100000 + start AS outage, seed, error_pct * (1 + seed / 8.0) AS drift FROM hs, range(0, 3) x(seed) WHERE (start + seed) % 5 <> 0),
-dc AS (SELECT DISTINCT scenario, outage FROM ru),
+def _bootstrap_sql(columns: str = "scenario") -> str:
+    """CTEs and query of the robustness record over ``ru(scenario, outage, seed, drift)`` with the draws of :class:`RuleDraws`."""
+    return f"""dc AS (SELECT DISTINCT scenario, outage FROM ru),
 sz AS (SELECT scenario, count(*) AS n_outages, greatest(0, CAST(ceil(log2(count(*) / {_BUCKET}.0)) AS INTEGER)) AS levels FROM dc GROUP BY scenario),
 bk AS (SELECT scenario, outage, levels, outage % (1 << levels) AS bucket FROM dc JOIN sz USING (scenario)),
 cl AS (SELECT *, row_number() OVER (PARTITION BY scenario, bucket ORDER BY outage) - 1 AS number FROM bk),
@@ -530,7 +532,11 @@ dr AS (SELECT scenario, replicate, bucket, (replicate * 7919 + slot * 104729 + r
 rp AS (SELECT dr.scenario, replicate, quantile_cont(drift, 0.5) AS m, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS p FROM dr JOIN cl USING (scenario, bucket, number) JOIN ru USING (scenario, outage) GROUP BY dr.scenario, replicate),
 ci AS (SELECT scenario, {', '.join(f'quantile_cont({c}, {q}) AS {name}_{end}' for c, name in (('m', 'median'), ('p', 'pass_rate')) for q, end in ((0.025, 'low'), (0.975, 'high')))} FROM rp GROUP BY scenario),
 po AS (SELECT scenario, count(*) AS n_observations, count(DISTINCT seed) AS seeds, quantile_cont(drift, 0.5) AS median, avg(CASE WHEN drift < 10 THEN 1.0 ELSE 0.0 END) AS pass_rate, quantile_cont(drift, 0.9) AS p90 FROM ru GROUP BY scenario)
-SELECT scenario, n_observations, seeds, n_outages, {', '.join(f'round({c}, 6) AS {c}' for c in ('median', 'pass_rate', 'p90', 'median_low', 'median_high', 'pass_rate_low', 'pass_rate_high'))} FROM po JOIN sz USING (scenario) JOIN ci USING (scenario)""")
+SELECT {columns}, n_observations, seeds, n_outages, {', '.join(f'round({c}, 6) AS {c}' for c in ('median', 'pass_rate', 'p90', 'median_low', 'median_high', 'pass_rate_low', 'pass_rate_high'))} FROM po JOIN sz USING (scenario) JOIN ci USING (scenario)"""
+
+
+@query(f"""WITH RECURSIVE {HOLD}, ru AS (SELECT trip % 3 AS scenario, trip * 100000 + start AS outage, seed, error_pct * (1 + seed / 8.0) AS drift FROM hs, range(0, 3) x(seed) WHERE (start + seed) % 5 <> 0),
+{_bootstrap_sql()}""")
 def q30_bootstrap_ci(spark, sf_dir):
     """The robustness record: outages under three seeds, of which some runs lack some, 2,000 replicates."""
     runs = _held(spark, sf_dir).select((F.col("trip") % 3).alias("scenario"), (F.col("trip") * 100000 + F.col("start")).alias("outage"), "start", "error_pct", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed"))
@@ -1024,6 +1030,28 @@ def q62_window_spectra(spark, sf_dir):
     return s.select("trip", "end", *[r(f"s.{c}").alias(c) for c in learning.STATISTICS])
 
 
+@query(f"""WITH RECURSIVE {SCORES}, ru AS (SELECT 'S' || (trip % 3) AS scenario, trip * 100000 + start AS outage, seed, drift_pct * (1 + seed / 8.0) AS drift FROM sc, range(0, 3) x(seed) WHERE valid AND mean_speed_mps >= 3 AND (start + seed) % 5 <> 0 AND NOT (trip % 3 = 1 AND seed = 2)),
+{_bootstrap_sql("scenario AS trip, '60s' AS scenario, 'full' AS config")}""")
+def q63_robustness_of_reports(spark, sf_dir):
+    """Scores to nested report files of three runs, back to rows, scored outages, and the robustness record of each trip.
+
+    Runs lack some outages, one lacks a whole trip.
+    """
+    scores = _scores(events(spark, sf_dir)).crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "seed")))  # three rows
+    scores = scores.where(((F.col("start") + F.col("seed")) % 5 != 0) & ~((F.col("trip") % 3 == 1) & (F.col("seed") == 2)))
+    rows = scores.select(
+        F.concat_ws("/", "seed", F.concat(F.lit("S"), F.col("trip") % 3)).alias("trip"), F.lit("60s").alias("scenario"), F.lit("full").alias("config"),
+        (F.col("trip") * 100000 + F.col("start")).alias("start"), "end", "mean_speed_mps", "valid", (F.col("drift_pct") * (1 + F.col("seed") / 8)).alias("drift_pct"),
+    )
+    # a report for each run and trip; the run is no part of the trip's name in it
+    reports = tables.nested_report(rows).select(F.substring_index("trip", "/", 1).alias("run"), F.regexp_replace("report", '"[0-2]/(S[0-2])"', '"$1"').alias("report"))
+    path = f"{tables.shared_root(spark)}/driftline/reports-{uuid.uuid4().hex}"
+    tables.write_reports(reports, path)
+    out = outages.robustness_of_reports(tables.read_reports(spark, path), 2000, RuleDraws(), spread=lambda c: c, bucket=_BUCKET)
+    tables.drop_folder(spark, path)
+    return out.select(*[F.col(c) if c in ("trip", "scenario", "config", "n_observations", "seeds", "n_outages") else r(c).alias(c) for c in out.columns])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -27,13 +27,7 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     The table goes when :func:`drop_table` is called or the driver's interpreter ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and spark.sparkContext.master.split("[")[0] == "local":
-        root = f"file://{tempfile.mkdtemp(prefix='driftline-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    # the warehouse is shared by all executors too
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_driftline"
-    path = f"{root.rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/driftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._driftline_path = path
@@ -41,6 +35,16 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
+        root = f"file://{tempfile.mkdtemp(prefix='driftline-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    # the warehouse is shared by all executors too
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_driftline").rstrip("/")
+
+
 _tables: list[DataFrame] = []
 
 
@@ -53,13 +57,16 @@ def _drop_tables() -> None:
             return
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of :func:`shared_table` that nothing reads any more."""
     path = getattr(df, "_driftline_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        drop_folder(df.sparkSession, path)
         _tables[:] = [t for t in _tables if t is not df]
 
 
@@ -166,12 +173,26 @@ def vertical_bias(c: Column) -> Column:
     return (bias["gx"] * gravity["x"] + bias["gy"] * gravity["y"] + bias["gz"] * gravity["z"]) / size
 
 
-def report_rows(reports: DataFrame, report: str = "report") -> DataFrame:
-    """``trip, scenario, config`` and the score columns of nested reports in JSON."""
+def report_rows(reports: DataFrame, report: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``trip, scenario, config`` and the score columns of nested reports in JSON, after the columns to ``keep``.
+
+    A report that is no JSON, or lacks a level, has no rows.
+    """
     schema = f"struct<trips:map<string,map<string,map<string,struct<outages:array<struct<{REPORT_ROW.replace(' ', ':').replace(',:', ',')}>>>>>>>"
-    parsed = reports.select(F.from_json(report, schema).alias("r"))
-    rows = parsed.select(F.explode("r.trips").alias("trip", "a")).select("trip", F.explode("a").alias("scenario", "b"))
-    return rows.select("trip", "scenario", F.explode("b").alias("config", "c")).select("trip", "scenario", "config", F.explode("c.outages").alias("o")).select("trip", "scenario", "config", "o.*")
+    parsed = reports.select(*keep, F.from_json(report, schema).alias("r"))
+    rows = parsed.select(*keep, F.explode("r.trips").alias("trip", "a")).select(*keep, "trip", F.explode("a").alias("scenario", "b"))
+    rows = rows.select(*keep, "trip", "scenario", F.explode("b").alias("config", "c")).select(*keep, "trip", "scenario", "config", F.explode("c.outages").alias("o"))
+    return rows.select(*keep, "trip", "scenario", "config", "o.*")
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Nested reports ``run, report`` as lines of text, a folder for each run; runs that are there already are replaced."""
+    reports.select("run", "report").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """``run, report`` of what :func:`write_reports` wrote; the folder's name is the run."""
+    return spark.read.schema("report string, run string").text(path)
 
 
 def nested_report(rows: DataFrame) -> DataFrame:
