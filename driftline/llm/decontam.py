@@ -129,7 +129,8 @@ def _bounded(df: DataFrame, name: str) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE, least_consistency: float = LEAST_CONSISTENCY) -> DataFrame:
     """``doc_id, item_id, n_shared, n_windows, share, n_slots, slot_consistency, kind`` for each contaminated pair.
 
-    ``kind`` is ``verbatim`` where every slot of the item is there and has the item's own value, otherwise ``reparameterised``. Where a
+    ``kind`` is ``verbatim`` where every slot of the item is there and has the item's own value, or, case aside, all of its
+    windows; otherwise ``reparameterised``. Where a
     text's words and values do not stand at the same places, no slot can be compared; such a pair is ``incomparable``
     and has no ``slot_consistency``. The placeholders' own characters are taken out of all texts first. Null or empty texts and items of fewer words than a window have no windows and match nothing. Repeated documents
     of one id count as one document, whose windows are those of all its rows; repeated items likewise. Further columns
@@ -187,7 +188,10 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
         *[F.max(F.when(of[k], F.col("lost"))).alias(f"lost_{k}") for k in (0, 1)],
     )
     reached = [F.coalesce(F.col(f"n_{k}") / F.col(f"of_{k}") >= least_share, F.lit(False)) for k in (0, 1)]
-    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "all", "values", "lost")])
+    # in the folded view names are words: it shows a whole copy where all its windows are there with the item's values
+    items_1 = F.array_distinct(F.transform("values_1", lambda x: x["item_v"]))
+    folded = reached[1] & ~F.coalesce("lost_1", F.lit(False)) & (F.col("n_1") == F.col("of_1")) & (F.size(items_1) >= F.col("all_1")) & F.forall(items_1, lambda i: F.exists("values_1", lambda x: (x["item_v"] == i) & (x["v"] == i)))
+    told = told.where(reached[0] | reached[1]).select("doc_id", "item_id", reached[0].alias("canonical"), folded.alias("folded"), *[F.when(reached[0], F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("n", "of", "all", "values", "lost")])
     item_values = F.array_distinct(F.transform("values", lambda x: x["item_v"]))
     told = told.withColumn("slots", F.transform(item_values, lambda i: F.transform(F.filter("values", lambda x: x["item_v"] == i), lambda x: x["v"] == i)))
     told = told.withColumns({
@@ -198,9 +202,9 @@ def _check_slots(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, wi
     # a copy with all of the item's own values is verbatim, whatever else shares the template; one that lacks windows
     # with values of the item is not, though all that can be compared agree
     blank = F.col("lost") & (F.col("n_slots") == 0)
-    whole = F.col("own") & ~blank & (F.col("n_slots") >= F.col("all"))
-    told = told.withColumns({"own": whole, "slot_consistency": F.when(blank, F.lit(None)).when(F.col("own"), 1.0).otherwise(F.col("single") / F.col("n_slots"))})
-    told = told.where(blank | (F.col("slot_consistency") >= least_consistency))
+    whole = (F.col("canonical") & F.col("own") & ~blank & (F.col("n_slots") >= F.col("all"))) | F.col("folded")
+    told = told.withColumns({"own": whole, "slot_consistency": F.when(blank & ~F.col("folded"), F.lit(None)).when(F.col("own") | F.col("folded"), 1.0).otherwise(F.col("single") / F.col("n_slots"))})
+    told = told.where(F.col("slot_consistency").isNull() | (F.col("slot_consistency") >= least_consistency))
     best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("own", "slot_consistency", "n", "n_slots", "of")).alias("x"))
     return best.select(
         "doc_id", "item_id",

@@ -231,16 +231,21 @@ def brute_pairs(docs, items, k=decontam.WINDOW):
                     places.setdefault(place, []).append(m)
             best = None
             for found in places.values():
+                told = {}
                 for view in (0, 1):
-                    if share(found, view) >= decontam.LEAST_SHARE:
-                        pairs = {x for v, *_, values in found if v == view for x in values}
-                        slots = {a: [b == a for x, b in pairs if x == a] for a, _ in pairs}
-                        agree = all(map(any, slots.values()))
-                        own = agree and len(slots) >= len({x for _, _, values in own_windows[view] for x in values})
-                        consistency = 1.0 if agree else sum(len(s) == 1 for s in slots.values()) / len(slots)
-                        if consistency >= decontam.LEAST_CONSISTENCY:
-                            best = max(best or (False,), (own, consistency, len({w for v, _, _, w, c, _ in found if v == view and c}), len(slots), of[view]))
-                        break
+                    pairs = {x for v, *_, values in found if v == view for x in values}
+                    slots = {a: [b == a for x, b in pairs if x == a] for a, _ in pairs}
+                    agree, n = all(map(any, slots.values())), len({w for v, _, _, w, c, _ in found if v == view and c})
+                    every = agree and len(slots) >= len({x for _, _, values in own_windows[view] for x in values})
+                    told[view] = slots, agree, n, every and (view == 0 or n == of[view])
+                view = next((v for v in (0, 1) if share(found, v) >= decontam.LEAST_SHARE), None)
+                if view is None:
+                    continue
+                slots, agree, n, whole = told[view]
+                folded = share(found, 1) >= decontam.LEAST_SHARE and told[1][3]
+                consistency = 1.0 if agree or folded else sum(len(s) == 1 for s in slots.values()) / len(slots)
+                if consistency >= decontam.LEAST_CONSISTENCY:
+                    best = max(best or (False,), (whole or folded, consistency, n, len(slots), of[view]))
             if best:
                 out[d, i] = (best[2], best[4], best[3], round(best[1], 9), "verbatim" if best[0] else "reparameterised")
     return out
