@@ -143,4 +143,4 @@ def test_stages_on_edge_cases(spark, docs, no_docs, sf_dir):
 def test_queries_are_complete():
     from driftline.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
