@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, motion
-from ..operators import alignment, keyed, learning, matching, outages, roads, trips, validity
+from ..operators import alignment, benchmark, keyed, learning, matching, outages, roads, trips, validity
 from ..sources import tables
 from . import kernel_sql
 
@@ -1052,6 +1052,49 @@ def q63_robustness_of_reports(spark, sf_dir):
     return out.select(*[F.col(c) if c in ("trip", "scenario", "config", "n_observations", "seeds", "n_outages") else r(c).alias(c) for c in out.columns])
 
 
+def _driven(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Frames with their truth, and outages of two lengths."""
+    frames = _frames(events(spark, sf_dir), "i", "k").withColumn("idx", F.round(F.col("t") * 10).cast("long"))
+    frames = frames.withColumns({"e": F.col("idx") * 1.2, "n": F.lit(0.0), "speed": F.lit(12.0), "valid": F.col("k") % 40 != 0})
+    ends = frames.groupBy("trip").agg(F.count("*").alias("n_frames"))
+    tiles = [outages.tiled_outages(ends, "trip", "n_frames", first, length, 60).withColumn("scenario", F.lit(name)) for name, first, length in _OUTAGES]
+    return frames, tiles[0].unionByName(tiles[1]).select("trip", "scenario", "start", "end")
+
+
+_OUTAGES = (("5s", 100, 50), ("12s", 110, 120))
+# a replay is a trip of its own: the scenario's place is its last digit
+DRIVEN = f"""{FRAMES}, tl AS ({' UNION ALL '.join(f"""SELECT trip, {j} AS sc, s AS start, s + {length} AS "end" FROM (SELECT trip, unnest(range({first}, 10 * count(*) - {length}, {length + 60})) AS s FROM ev GROUP BY trip)""" for j, (_, first, length) in enumerate(_OUTAGES))}),
+ry AS (SELECT fm.* REPLACE (fm.trip * 10 + sc AS trip, CASE WHEN EXISTS (SELECT 1 FROM tl WHERE tl.trip = fm.trip AND tl.sc = y.sc AND fm.f >= tl.start AND fm.f < tl."end") THEN NULL ELSE fix END AS fix) FROM fm JOIN (SELECT DISTINCT trip, sc FROM tl) y ON y.trip = fm.trip), {kernel_sql.navigation('ry')},
+es AS (SELECT nv.trip // 10 AS trip, nv.trip % 10 AS sc, CAST(round(t * 10) AS BIGINT) AS f, sqrt(pow(x0 - 1.2 * round(t * 10), 2) + pow(x1, 2)) AS err, mode IN {kernel_sql.LOST} AS dr FROM nv),
+so AS (SELECT tl.trip, tl.sc, start, "end", sum(1.2::DOUBLE) FILTER (f >= start) AS distance_m, bool_and(ev.k % 40 <> 0) FILTER (f >= start) AS valid, max(err) FILTER (f = start - 1) AS err_start_m, max(err) FILTER (f = "end" - 1) AS err_end_m,
+  max(err) FILTER (f >= start) AS err_max_m, avg(CAST(dr AS INTEGER)) FILTER (f >= start) AS dr_fraction, (min(f) FILTER (dr AND f >= start) - start) * 0.1::DOUBLE AS switch_latency_s
+  FROM tl JOIN es ON es.trip = tl.trip AND es.sc = tl.sc AND f >= start - 1 AND f < "end" JOIN ev ON ev.trip = tl.trip AND ev.i = f // 10 GROUP BY tl.trip, tl.sc, start, "end"),
+bm AS (SELECT *, CASE sc {' '.join(f"WHEN {j} THEN '{name}'" for j, (name, _, _) in enumerate(_OUTAGES))} END AS scenario, 100 * err_end_m / distance_m AS drift_pct, ("end" - start) * 0.1::DOUBLE AS duration_s, distance_m / (("end" - start) * 0.1::DOUBLE) AS mean_speed_mps FROM so)"""
+
+
+@query(f"""WITH RECURSIVE {DRIVEN} SELECT scenario, trip, start, "end", valid, {', '.join(f'round({c}, 4) AS {c}' for c in _SCORED)} FROM bm""")
+def q64_benchmark_scores(spark, sf_dir):
+    """Frames replayed without fixes inside planned outages of two lengths, estimated, and each outage scored."""
+    s = benchmark.benchmark(*_driven(spark, sf_dir), "trip", 0.1, use_model=False)
+    return s.select("scenario", "trip", "start", "end", "valid", *[r(c, 4).alias(c) for c in _SCORED])
+
+
+_ENDS = ("median_low", "median_high", "pass_rate_low", "pass_rate_high")
+
+
+_ROBUST, _ROBUST_SELECT = _bootstrap_sql().rsplit("\nSELECT ", 1)
+
+
+@query(f"""WITH RECURSIVE {DRIVEN}, kp AS (SELECT * FROM bm WHERE valid AND mean_speed_mps >= 3), ru AS (SELECT scenario, trip * 100000 + start AS outage, 0 AS seed, drift_pct AS drift FROM kp),
+{_ROBUST}, rb AS (SELECT {_ROBUST_SELECT.replace(', 6)', ', 4)')}), sm AS ({_summary_sql('scenario').replace(', 6)', ', 4)')} FROM kp GROUP BY scenario)
+SELECT sm.*, n_outages, {', '.join(_ENDS)} FROM sm JOIN rb USING (scenario)""")
+def q65_benchmark_record(spark, sf_dir):
+    """The benchmark from frames to the record of each scenario: summary and bootstrap intervals of 2,000 replicates."""
+    scores = benchmark.benchmark(*_driven(spark, sf_dir), "trip", 0.1, use_model=False)
+    s = benchmark.record(scores, ["scenario"], F.col("trip") * 100000 + F.col("start"), draws=RuleDraws(), spread=lambda c: c, bucket=_BUCKET)
+    return s.select("scenario", "n", "n_outages", *[r(c, 4).alias(c) for c in s.columns if c not in ("scenario", "n", "n_outages")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
