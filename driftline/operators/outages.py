@@ -140,6 +140,31 @@ def error_metrics(df: DataFrame, predicted: str, actual: str, bands: list[tuple[
     )
 
 
+def model_record(df: DataFrame, by: list[str], bands: list[tuple[float, float]], standing_below: float = 0.3) -> DataFrame:
+    """What a speed model is worth, a row for each group ``by``, such as a split.
+
+    Rows have ``predicted, variance, p_stationary, actual, has_reference``. Beside :func:`error_metrics` the record has
+    ``stationary_f1``, ``z_std``, the deviation of errors in units of the predicted one, and the MAE with and without a
+    reference speed. Rows without a prediction or truth do not count; a variance that is not positive has no part in
+    ``z_std``. Values of no rows are null.
+    """
+    rows = df.where(F.col("predicted").isNotNull() & F.col("actual").isNotNull())
+    e, actual = F.col("predicted") - F.col("actual"), F.col("actual")
+    # a row for each group, so that rows are not sorted by group
+    means = rows.groupBy(*by).agg(F.avg("actual").alias("_mean"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    rows = rows.join(means.withColumnsRenamed({c: f"_{c}" for c in by}), same)
+    parts = [F.avg(F.when((actual >= lo) & (actual < hi), F.abs(e))).alias(f"mae_{lo:g}_{hi:g}") for lo, hi in bands]
+    has = F.coalesce("has_reference", F.lit(False))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), *parts,
+        f1(F.coalesce(F.col("p_stationary") > 0.5, F.lit(False)), actual < standing_below).alias("stationary_f1"),
+        F.stddev_pop(F.when(F.col("variance") > 0, e / F.sqrt("variance"))).alias("z_std"),
+        F.avg(F.abs(actual - F.col("_mean"))).alias("mae_of_mean"),
+        F.avg(F.when(has, F.abs(e))).alias("mae_with_reference"), F.avg(F.when(~has, F.abs(e))).alias("mae_without_reference"),
+    )
+
+
 def f1(predicted: Column, actual: Column) -> Column:
     """F1 of two boolean columns as an aggregate; null without positives."""
     both = F.sum((predicted & actual).cast("long"))

@@ -55,16 +55,12 @@ def rounded_node(lon: Column, lat: Column, places: int = 7) -> Column:
     return F.concat_ws(":", F.round(lon * 10**places).cast("long"), F.round(lat * 10**places).cast("long"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices ``way, id, highway, oneway, junction, position, lon, lat`` of the lines of a GeoJSON file.
+_PROPERTIES = "struct<id:string,highway:string,name:string,oneway:string,junction:string>"
+_FEATURE = f"struct<properties:{_PROPERTIES},geometry:struct<type:string,coordinates:string>>"
 
-    ``way`` is the file's name with the places of the feature and of the line in it, so features need no ``id``.
-    """
-    schema = (
-        "features array<struct<properties:struct<id:string,highway:string,name:string,oneway:string,junction:string>,"
-        "geometry:struct<type:string,coordinates:string>>>"
-    )
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode("features").alias("feature", "f"))
+
+def _vertices(features: DataFrame) -> DataFrame:
+    """The vertices of ``file, feature, f``: parsed features and what tells them apart."""
     single = F.array(F.from_json("f.geometry.coordinates", "array<array<double>>"))
     lines = F.when(F.col("f.geometry.type") == "LineString", single).when(F.col("f.geometry.type") == "MultiLineString", F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
     ways = features.select("file", "feature", "f.properties.*", F.posexplode(lines).alias("line", "coords")).where(F.size("coords") >= 2)
@@ -72,6 +68,38 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return ways.select("way", "id", "highway", "oneway", "junction", "position", F.col("xy")[0].alias("lon"), F.col("xy")[1].alias("lat"))
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices ``way, id, highway, oneway, junction, position, lon, lat`` of the lines of a GeoJSON file.
+
+    ``way`` is the file's name with the places of the feature and of the line in it, so features need no ``id``. A file
+    is one row in one task; :func:`read_large_geojson` reads a large one by many.
+    """
+    features = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
+    return _vertices(features.select(F.col("_metadata.file_name").alias("file"), F.posexplode("features").alias("feature", "f")))
+
+
+def read_large_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_geojson`, of files that many tasks share: a file is cut where a feature says that it is one.
+
+    Each feature must begin with its ``type``, as map tools write them; another file, or one that is cut off, is an
+    error and never a part of the map. Features are told apart by a hash of their text, so features of one file that
+    are equal in text count once.
+    """
+    pieces = spark.read.option("lineSep", '"Feature"').text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    begins = r',\s*\{\s*"type"\s*:\s*$'  # the next feature's type
+    head = F.rlike("value", F.lit(r"^\s*\{"))
+    if_first = F.rlike("value", F.lit(r'\[\s*\{\s*"type"\s*:\s*$')) | F.rlike("value", F.lit(r'"features"\s*:\s*\[\s*\]'))
+    ends = F.rlike("value", F.lit(begins)) | F.rlike("value", F.lit(r"(?s)\}\s*\]\s*(,.*)?\}\s*$"))
+    text = F.concat(F.lit('{"type":"Feature"'), F.regexp_replace("value", begins, ""))
+    parsed = F.from_json(text, _FEATURE)
+    wrong = F.concat(F.lit("features do not begin with their type in "), F.col("file"))
+    good = F.when(head, if_first).otherwise(ends & F.rlike("value", F.lit(r"^\s*[,}]")) & parsed.isNotNull())
+    checked = F.when(good, text).otherwise(F.raise_error(wrong))
+    told = pieces.select("file", F.when(head, F.when(if_first, F.lit(None).cast("string")).otherwise(F.raise_error(wrong))).otherwise(checked).alias("text"))
+    told = told.where(F.col("text").isNotNull()).withColumn("feature", F.hex(F.xxhash64("text")))
+    return _vertices(told.dropDuplicates(["file", "feature"]).select("file", "feature", F.from_json("text", _FEATURE).alias("f")))
+
+
 def feature_collections(vertices: DataFrame, key: str) -> DataFrame:
     """``key, geojson``: the ways of each key, an area of bounded size, as the text of one GeoJSON file.
 

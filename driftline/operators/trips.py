@@ -30,6 +30,8 @@ class Preparation:
     block_least: int = 100
     block_std: float = 0.02
     block_r: float = 0.5
+    #: The gyro column that is about the vertical; another one in a trip of more than ``lag_least`` moving frames is an error.
+    vertical: str | None = None
 
 
 def _whole_hour_offset(phone: DataFrame, vehicle: DataFrame, key: str) -> DataFrame:
@@ -80,6 +82,9 @@ def prepare(phone: DataFrame, vehicle: DataFrame, key: str = "trip", how: Prepar
     sizes = turned.groupBy(key).agg(F.count(F.when(moving, 1)).alias("n_moving"))
     picked = alignment.pick_axis(turned.withColumns({c: F.when(moving, F.col(c)) for c in (*GYRO, "can_yaw")}), key, list(GYRO), "can_yaw", how.axis_least)
     axis = picked.select(key, "axis", F.create_map(*[x for c in GYRO for x in (F.lit(c), F.col(c))]).alias("gyro_corr")).join(sizes, key)
+    if how.vertical:
+        wrong = F.raise_error(F.concat(F.lit("the vertical gyro column of trip "), F.col(key).cast("string"), F.lit(" is "), F.col("axis")))
+        axis = axis.withColumn("axis", F.when((F.col("n_moving") > how.lag_least) & (F.col("axis") != how.vertical), wrong).otherwise(F.col("axis")))
     vertical = F.coalesce(*[F.when(F.col("axis") == c, F.col(c)) for c in GYRO])
     series = turned.join(axis.where(F.col("n_moving") > how.lag_least).select(key, "axis"), key).withColumn("vertical", vertical)
     lags = alignment.best_lag_by_key(series, key, "idx", "vertical", "can_yaw", how.max_lag)

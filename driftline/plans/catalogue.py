@@ -1095,6 +1095,24 @@ def q65_benchmark_record(spark, sf_dir):
     return s.select("scenario", "n", "n_outages", *[r(c, 4).alias(c) for c in s.columns if c not in ("scenario", "n", "n_outages")])
 
 
+_BANDS = ((0, 5), (5, 15), (15, 40), (40, 60))
+
+
+@query(f"""WITH x AS (SELECT l_returnflag AS split, l_quantity AS a, l_quantity * 0.97 + l_discount * 20 - l_tax * 3 AS p, 0.25 + l_tax * 10 AS var, l_discount * 10 AS ps, l_linenumber % 3 <> 0 AS ref FROM lineitem)
+SELECT split, count(*) AS n, round(avg(abs(p - a)), 6) AS mae, round(sqrt(avg((p - a) * (p - a))), 6) AS rmse, round(avg(p - a), 6) AS bias, {', '.join(f'round(avg(abs(p - a)) FILTER (a >= {lo} AND a < {hi}), 6) AS mae_{lo}_{hi}' for lo, hi in _BANDS)},
+round(2.0 * count(*) FILTER (ps > 0.5 AND a < 4) / nullif(count(*) FILTER (ps > 0.5) + count(*) FILTER (a < 4), 0), 6) AS stationary_f1, round(stddev_pop((p - a) / sqrt(var)), 6) AS z_std, round(avg(abs(a - m)), 6) AS mae_of_mean,
+round(avg(abs(p - a)) FILTER (ref), 6) AS mae_with_reference, round(avg(abs(p - a)) FILTER (NOT ref), 6) AS mae_without_reference FROM x JOIN (SELECT split, avg(a) AS m FROM x GROUP BY split) USING (split) GROUP BY split""")
+def q66_model_record(spark, sf_dir):
+    """What a model is worth, in one record for each split."""
+    q = F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("split"), q.alias("actual"), (q * 0.97 + F.col("l_discount") * 20 - F.col("l_tax") * 3).alias("predicted"), (0.25 + F.col("l_tax") * 10).alias("variance"),
+        (F.col("l_discount") * 10).alias("p_stationary"), (F.col("l_linenumber") % 3 != 0).alias("has_reference"),
+    )
+    m = outages.model_record(rows, ["split"], list(_BANDS), 4.0)
+    return m.select("split", "n", *[r(c).alias(c) for c in m.columns if c not in ("split", "n")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

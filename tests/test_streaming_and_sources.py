@@ -104,6 +104,45 @@ def test_geojson_without_ids(spark, tmp_path):
     assert abs(s[0].length - 71.7) < 0.2 and abs(s[1].length - 222.5) < 0.3
 
 
+@pytest.mark.parametrize("compact", [True, False])
+def test_large_geojson_is_read_by_many_tasks(spark, tmp_path, compact):
+    """The same vertices as the whole-file reader, with texts that look like borders, an id or none, and a member after the features."""
+    import random
+
+    rng, features = random.Random(2), []
+    for k in range(700):
+        xy = lambda: [[round(rng.uniform(0, 9), 7), round(rng.uniform(0, 9), 7)] for _ in range(rng.randint(1, 6))]
+        multi = k % 9 == 0
+        names = ["Straße \"x\"", "Features", "}, {", "FeatureCollection", None]
+        features.append({"type": "Feature", "properties": {"id": k if k % 3 else None, "highway": "road", "name": names[k % 5]}, "geometry": {"type": "MultiLineString" if multi else "LineString", "coordinates": [xy(), xy()] if multi else xy()}})
+    text = json.dumps({"type": "FeatureCollection", "features": features, "crs": {"type": "name"}}, ensure_ascii=False, **({"separators": (",", ":")} if compact else {"indent": 1}))
+    (tmp_path / "m.geojson").write_text(text, encoding="utf-8")
+    path, before = str(tmp_path / "m.geojson"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    pick = lambda d: sorted(((r.id, r.highway, r.position, r.lon, r.lat) for r in d.collect()), key=str)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        got = roads.read_large_geojson(spark, path)
+        assert spark.read.option("lineSep", '"Feature"').text(path).rdd.getNumPartitions() > 5
+        assert pick(got) == pick(roads.read_geojson(spark, path)) and got.select("way").distinct().count() == roads.read_geojson(spark, path).select("way").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_geojson_refuses_other_orders(spark, tmp_path):
+    good = {"type": "Feature", "properties": {"id": 1}, "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}}
+    late = {"properties": {"id": 1}, "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, "type": "Feature"}
+    odd = {"type": "Feature", "properties": {"name": "Feature"}, "geometry": good["geometry"]}
+    for k, features in enumerate(([late, late], [good, late], [good, odd, good])):
+        (tmp_path / f"{k}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+        with pytest.raises(Exception, match="do not begin with their type"):
+            roads.read_large_geojson(spark, str(tmp_path / f"{k}.geojson")).collect()
+    (tmp_path / "cut.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [good, good]})[:-30])
+    with pytest.raises(Exception, match="do not begin with their type"):
+        roads.read_large_geojson(spark, str(tmp_path / "cut.geojson")).collect()
+    (tmp_path / "none.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    assert roads.read_large_geojson(spark, str(tmp_path / "none.geojson")).count() == 0
+
+
 def test_report_round_trip(spark, sf_dir):
     rows = catalogue._scores(catalogue.events(spark, sf_dir)).select(F.col("trip").cast("string").alias("trip"), F.lit("60s").alias("scenario"), F.lit("full").alias("config"), "start", "end", "distance_m", "drift_pct", "valid")
     back = tables.report_rows(tables.nested_report(rows))
@@ -187,6 +226,8 @@ def test_parsed_logs(spark, tmp_path):
     rows = frames.orderBy("idx").collect()
     assert len(rows) == m.samples == 399 and abs(rows[50].speed - 10) < 1e-9 and abs(rows[50].gz - rows[50].can_yaw) < 1e-6
     assert [r.idx for r in rows if r.fix_new][:3] == [0, 10, 20]
+    with pytest.raises(Exception, match="vertical gyro column of trip S9 is g_pitch"):
+        trips.prepare(*tables.parse_logs(spark, str(tmp_path)), how=trips.Preparation(lag_least=200, vertical="g_roll"))
     tables.write_metadata(meta, str(tmp_path / "meta"))
     assert spark.read.json(str(tmp_path / "meta")).count() == 1
 
