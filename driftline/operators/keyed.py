@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +33,16 @@ def ship_package(spark: SparkSession) -> None:
     sc._driftline_package = True
 
 
+def tie(df: DataFrame) -> Column:
+    """A hash of a row's values, to put rows of equal time in an order that does not depend on partitions. Maps have none."""
+    return F.xxhash64(*["`" + f.name.replace("`", "``") + "`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def run_by_key(df: DataFrame, key: str, order: list[str], make: Callable[[], object], step: Callable[[object, dict], dict | None], schema: str, finish: Callable[[object], Iterator[dict]] | None = None) -> DataFrame:
     """For each key a new kernel from ``make``; ``step(kernel, row)`` gives an output row or None for each row.
 
-    ``schema`` lists the output columns after the key. ``finish(kernel)`` may give more rows at the end of a key.
+    Rows that are equal in ``order`` come by a hash of all their values. ``schema`` lists the output columns after the
+    key. ``finish(kernel)`` may give more rows at the end of a key.
     """
     ship_package(df.sparkSession)
     kind = df.schema[key].dataType
@@ -75,7 +81,7 @@ def run_by_key(df: DataFrame, key: str, order: list[str], make: Callable[[], obj
     # By the key itself, the shuffle would be left out where a window before it has dealt the rows by key, and that one
     # is merged to few tasks.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, out_schema)
+    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order, tie(df)).mapInArrow(run, out_schema)
 
 
 #: Segments of a map that is broadcast: some 200 bytes each. Larger areas are cut up, by trip or by region.
