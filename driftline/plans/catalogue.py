@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, motion
 from ..operators import alignment, benchmark, keyed, learning, matching, outages, roads, trips, validity
-from ..sources import tables
+from ..sources import replays, tables, versions
 from . import kernel_sql
 
 FLAGSHIP = "q27_hold_last_value"
@@ -1113,6 +1113,63 @@ def q66_model_record(spark, sf_dir):
     return m.select("split", "n", *[r(c).alias(c) for c in m.columns if c not in ("split", "n")])
 
 
+@query(f"""WITH {FRAMES}, sl AS (SELECT trip, f - 30 AS f, ax, gz, f * 1.2 AS e, fix FROM fm WHERE f BETWEEN 30 AND 629),
+rp AS (SELECT trip, count(*) AS frames, round(count(*) / 600.0, 1)::DOUBLE AS minutes, count(fix) AS n_fixes, count(*) FILTER (f % 10 = 0) AS n_truth, round(sum(ax) + sum(gz) + 9.8 * count(*), 4)::DOUBLE AS imu_sum,
+  round(sum(fix.e * 0.00001 + 9), 4)::DOUBLE AS fix_lon_sum, round(sum(CASE WHEN f % 10 = 0 THEN e * 0.00001 + 9 END), 4)::DOUBLE AS truth_lon_sum, min(e) - 150 AS lo, max(e) + 150 AS hi FROM sl GROUP BY trip),
+vt AS (SELECT trip, i // 4 AS way, k % 50 * 40.0 AS e, (k % 7 - 3) * 200.0 AS n FROM ev),
+wy AS (SELECT vt.trip, way, count(*) AS points FROM vt JOIN rp USING (trip) GROUP BY vt.trip, way HAVING bool_or(e > lo AND e < hi AND n > -150 AND n < 150) AND count(*) >= 2)
+SELECT rp.trip, frames, minutes, n_fixes, n_truth, imu_sum, fix_lon_sum, truth_lon_sum, coalesce(n_roads, 0) AS n_roads, CAST(coalesce(n_points, 0) AS BIGINT) AS n_points
+FROM rp LEFT JOIN (SELECT trip, count(*) AS n_roads, sum(points) AS n_points FROM wy GROUP BY trip) USING (trip)""")
+def q67_replay_export(spark, sf_dir):
+    """All drives exported, one minute from 3 s on, with the roads around, and counted as read back from what was written."""
+    ev = events(spark, sf_dir)
+    f = _frames(ev)
+    number = F.round(F.col("t") * 10).cast("long")
+    f = f.withColumns({"idx": number, "e": number * 1.2, "n": F.lit(0.0), "lat": F.lit(50.0), "lon": number * 1.2 * 0.00001 + 9, "fix_lat": F.when(F.col("fix").isNotNull(), F.col("fix.n") * 0.00001 + 50), "fix_lon": F.col("fix.e") * 0.00001 + 9, **{f"fix_{c}": F.col(f"fix.{c}") for c in ("speed", "heading", "accuracy")}})
+    e, n = F.col("k") % 50 * 40.0, (F.col("k") % 7 - 3) * 200.0
+    v = ev.select("trip", F.floor(F.col("i") / 4).alias("way"), (F.col("i") % 4).alias("position"), F.lit("service").alias("highway"), e.alias("e"), n.alias("n"), (e * 0.00001 + 9).alias("lon"), (n * 0.00001 + 50).alias("lat"))
+    path = f"{tables.shared_root(spark)}/replay-export-{uuid.uuid4().hex}"
+    tables.drop_at_exit(spark, path)
+    index = replays.export(f, v, path, "trip", "idx", start_s=3.0, minutes=1.0, margin_m=150.0)
+    text = F.from_json("replay", "frames bigint, imu array<double>, gnss array<array<double>>, gt array<array<double>>")
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    read = versions.read(spark, f"{path}/replays").select("trip", text.alias("x")).select(
+        "trip", F.size("x.gnss").cast("long").alias("n_fixes"), F.size("x.gt").cast("long").alias("n_truth"), r(summed("x.imu"), 4).alias("imu_sum"),
+        F.when(F.size("x.gnss") > 0, r(summed(F.transform("x.gnss", lambda p: p[2])), 4)).alias("fix_lon_sum"), r(summed(F.transform("x.gt", lambda p: p[2])), 4).alias("truth_lon_sum"),
+    )
+    features = F.from_json("geojson", "features array<struct<geometry: struct<coordinates: array<array<double>>>>>")["features"]
+    points = F.aggregate(F.transform("x", lambda w: F.size(w["geometry"]["coordinates"])), F.lit(0), lambda a, x: a + x)
+    maps = versions.read(spark, f"{path}/maps").select("trip", features.alias("x")).select("trip", F.size("x").cast("long").alias("n_roads"), points.cast("long").alias("n_points"))
+    return index.join(read, "trip").join(maps, "trip").select("trip", "frames", "minutes", *read.columns[1:], "n_roads", "n_points")
+
+
+_REPORT = f"""sm AS (SELECT CAST(trip % 3 AS VARCHAR) AS trip, CAST(trip % 2 AS VARCHAR) AS scenario, 'c' || start % 4 AS config, count(*) AS n, quantile_cont(drift_pct, 0.5) AS a, avg(drift_pct) AS b, quantile_cont(drift_pct, 0.9) AS c,
+  avg(CASE WHEN drift_pct < 10 THEN 1.0 ELSE 0.0 END) AS d, quantile_cont(err_end_m, 0.5) AS e FROM sc WHERE valid AND mean_speed_mps >= 3 GROUP BY ALL)"""
+
+
+@query(f"""WITH {SCORES}, {_REPORT}
+SELECT trip, scenario, 0 AS position, '**' || trip || ' – ' || CASE scenario WHEN '0' THEN 'even trips' ELSE scenario END || '**' AS line FROM sm GROUP BY ALL
+UNION ALL SELECT DISTINCT trip, scenario, 1, '| Engine | n | drift median | drift mean | drift p90 | pass < 10 % | end error median | ms/frame |' FROM sm
+UNION ALL SELECT DISTINCT trip, scenario, 2, '|---|---:|---:|---:|---:|---:|---:|---:|' FROM sm
+UNION ALL SELECT trip, scenario, CAST(2 + row_number() OVER (PARTITION BY trip, scenario ORDER BY config) AS INTEGER), printf('| %s | %d | %.1f %% | %.1f %% | %.1f %% | %.0f%% | %.1f m | – |', config, n, round(a, 1), round(b, 1), round(c, 1), round(100 * d, 0), round(e, 1)) FROM sm""")
+def q68_report_tables(spark, sf_dir):
+    """Scored outages as Markdown tables, one for each of three groups of trips and two scenarios."""
+    kept = outages.scored_only(_scores(events(spark, sf_dir))).withColumn("scenario", F.col("trip") % 2).withColumn("trip", F.col("trip") % 3)
+    s = outages.summarise(kept.withColumn("config", F.concat(F.lit("c"), F.col("start") % 4)), ["trip", "scenario", "config"])
+    return tables.markdown_tables(s, scenarios={"0": "even trips"})
+
+
+@query(f"""{_SQL["q34_hmm_posterior"].split("SELECT c_custkey, seg, round(posterior")[0].rstrip()},
+bs AS (SELECT *, first(seg) OVER w AS bseg, first(foot_e) OVER w AS be, first(foot_n) OVER w AS bn, first(rp) OVER w AS br FROM pr WINDOW w AS (PARTITION BY c_custkey ORDER BY round(score, 9) DESC, seg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT c_custkey, CAST(any_value(bseg) AS BIGINT) AS seg, round(sum(CASE WHEN sqrt(pow(foot_e - be, 2) + pow(foot_n - bn, 2)) < 3 AND abs({wrap('rp - br')}) < radians(20.0) THEN posterior ELSE 0 END), 6) AS confidence FROM bs GROUP BY c_custkey""")
+def q69_road_confidence(spark, sf_dir):
+    """The likeliest road of each point, and the mass of all candidates that are the same road."""
+    pairs = _near(spark, sf_dir).withColumnsRenamed({"psi": "road", "psi_v": "psi"})
+    scored = roads.emission_scores(pairs, F.lit(20.0)).withColumn("score", F.round("score", 9))
+    out = roads.posterior(scored, "c_custkey", "seg")
+    return out.where("is_best").select("c_custkey", "seg", r("confidence").alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

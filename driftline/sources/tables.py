@@ -46,6 +46,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _tables: list[DataFrame] = []
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver's interpreter ends."""
+    _folders.append((spark, path))
 
 
 @atexit.register
@@ -55,6 +61,11 @@ def _drop_tables() -> None:
             drop_table(df)
         except Exception:  # noqa: BLE001  the session may have ended before the interpreter
             return
+    for spark, path in _folders:
+        try:
+            drop_folder(spark, path)
+        except Exception:  # noqa: BLE001  as above
+            return
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -210,6 +221,40 @@ def markdown_rows(summary: DataFrame) -> DataFrame:
     return summary.select(line.alias("line"))
 
 
+#: The columns of a report's table, and how their numbers are written: digits and what follows.
+REPORT_COLUMNS = {
+    "drift median": ("drift_pct_median", 1, " %"), "drift mean": ("drift_pct_mean", 1, " %"), "drift p90": ("drift_pct_p90", 1, " %"),
+    "pass < 10 %": ("pass_rate_10pct", 0, "%"), "end error median": ("err_end_m_median", 1, " m"), "ms/frame": ("frame_latency_ms_mean", 2, ""),
+}
+
+
+def markdown_tables(summary: DataFrame, configs: dict[str, str] | None = None, scenarios: dict[str, str] | None = None) -> DataFrame:
+    """``trip, scenario, position, line``: a Markdown table for each trip and scenario of a summary by configuration.
+
+    A summary has ``trip, scenario, config, n`` and the columns of ``operators.outages.summarise``; one that it lacks, a
+    null, and all numbers of a configuration without outages are dashes. Configurations are in order of their names
+    (null first); ``configs`` and ``scenarios`` give labels in place of names. Halves are rounded away from zero.
+    """
+    labelled = lambda c, labels: F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col(c)], F.col(c)) if labels else F.col(c)
+
+    def cell(name: str, digits: int, unit: str) -> Column:
+        # a unit after a blank stands after a dash too
+        dash = F.lit("–" + (unit if unit.startswith(" ") else ""))
+        if name not in summary.columns:
+            return F.lit("–")
+        value = F.round((100 if name == "pass_rate_10pct" else 1) * F.col(name), digits)
+        return F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, "–").when(value.isNull(), dash).otherwise(F.format_string(f"%.{digits}f{unit.replace('%', '%%')}", value))
+
+    cells = [cell(*how) for how in REPORT_COLUMNS.values()]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.coalesce(labelled("config", configs), F.lit("–")), F.coalesce(F.col("n"), F.lit(0)).cast("string"), *cells), F.lit(" |"))
+    title = F.concat(F.lit("**"), F.coalesce("trip", F.lit("–")), F.lit(" – "), F.coalesce(labelled("scenario", scenarios), F.lit("–")), F.lit("**"))
+    head = F.lit("| Engine | n | " + " | ".join(REPORT_COLUMNS) + " |"), F.lit("|---|" + "---:|" * (len(REPORT_COLUMNS) + 1))
+    rows = summary.withColumns({"trip": F.col("trip").cast("string"), "scenario": F.col("scenario").cast("string"), "config": F.col("config").cast("string")})
+    rows = rows.groupBy("trip", "scenario").agg(F.array_sort(F.collect_list(F.struct(F.col("config").isNotNull().alias("named"), "config", line.alias("line")))).alias("lines"))
+    lines = F.concat(F.array(title, *head), F.transform("lines", lambda x: x["line"]))
+    return rows.select("trip", "scenario", F.posexplode(lines).alias("position", "line"))
+
+
 def replay_bundle(frames: DataFrame, key: str, index: str, low: int, high: int, stride: int = 10) -> DataFrame:
     """Per trip the flat inertial list, the fixes and every ``stride``-th true position of a slice of frames."""
     part = frames.where(F.col(index).between(low, high - 1)).withColumn("_i", F.col(index) - low)
