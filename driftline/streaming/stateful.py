@@ -134,7 +134,8 @@ def run_stream(
     counted in ``late``. A null key is a key. With ``stamp``, an event-time column, Spark leaves out rows behind the
     watermark too, and a key is idle once no row of it came for ``idle_ms`` of event time; then ``idle(kernel, last)``
     may give one row more. After ``forget_ms`` more its state ends, and a later row starts anew. Without ``stamp``
-    a state ends ``ttl_ms`` of the clock after its last change, or, if that is None, never.
+    a state ends ``ttl_ms`` of the clock after its last change, or, if that is None, never. With ``ttl_ms`` give the
+    query a processing-time trigger: with ``availableNow`` it was not seen to end.
     """
     spark = frames.sparkSession
     ship_package(spark)

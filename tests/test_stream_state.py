@@ -4,6 +4,7 @@ import math
 import os
 import random
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -152,3 +153,20 @@ def test_a_silent_key_ends_and_starts_anew(spark, tmp_path):
     # once all is read a batch without rows moves the watermark to 94 s, before the timers of 100 and 101 s
     assert sorted((r.fixes, r.lost) for r in got.where("k = 'a'").collect()) == [(1, False), (1, False), (1, True)]
     assert sorted((r.fixes, r.lost) for r in got.where("k = 'b'").collect())[-1] != (0, True)
+
+
+@pytest.mark.parametrize(("ttl_ms", "total"), [(3_600_000, 8.0), (1, 3.0)])
+def test_time_to_live(spark, tmp_path, by_value, ttl_ms, total):
+    """Without event time a state that nobody changed for ``ttl_ms`` is gone in the next micro-batch."""
+    schema, src = "k string, t double, v double", str(tmp_path / "in")
+    parts(spark, src, [("a", 1.0, 5.0)], [("a", 2.0, 3.0)], schema=schema)
+    sums = states.Stored("total double", lambda k: (k.total,), lambda k, r: setattr(k, "total", r.total))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    df = stateful.run_stream(stream, "k", "t", Sum, lambda k, r: k.update(r), "t double, total double", sums, ttl_ms=ttl_ms)
+    name = f"lived_{ttl_ms}"
+    q = df.writeStream.outputMode("append").format("memory").queryName(name).trigger(processingTime="1 second").start()
+    until = time.time() + 25
+    while spark.table(name).count() < 2 and time.time() < until and q.isActive:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(map(tuple, spark.table(name).select("t", "total").collect())) == [(1.0, 5.0), (2.0, total)]
