@@ -44,9 +44,7 @@ def run_by_key(df: DataFrame, key: str, order: list[str], make: Callable[[], obj
     Rows that are equal in ``order`` come by a hash of all their values. ``schema`` lists the output columns after the
     key. ``finish(kernel)`` may give more rows at the end of a key.
     """
-    ship_package(df.sparkSession)
-    kind = df.schema[key].dataType
-    out_schema = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL(schema).fields])
+    out_schema = _with_key(df, key, schema)
     names = [f.name for f in out_schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +75,21 @@ def run_by_key(df: DataFrame, key: str, order: list[str], make: Callable[[], obj
         if held:
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in held], schema=arrow)
 
+    return _dealt(df, key, order).mapInArrow(run, out_schema)
+
+
+def _with_key(df: DataFrame, key: str, schema: str) -> T.StructType:
+    return T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(schema).fields])
+
+
+def _dealt(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows dealt by key, in order in each task; tasks can import this package."""
+    ship_package(df.sparkSession)
     # a given number of partitions: adaptive execution would merge them by their bytes, but the work is in the kernels.
     # By the key itself, the shuffle would be left out where a window before it has dealt the rows by key, and that one
     # is merged to few tasks.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order, tie(df)).mapInArrow(run, out_schema)
+    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order, tie(df))
 
 
 #: Segments of a map that is broadcast: some 200 bytes each. Larger areas are cut up, by trip or by region.
@@ -157,10 +165,23 @@ def oracle_model(window, scalars, frame):
 def navigate(frames: DataFrame, key: str, segments: list[dict] | None = None, use_model: bool = True, **options) -> DataFrame:
     """The estimator over each key's frames ``t, ax..gz, fix, true_speed``: one state for each frame.
 
-    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments.
+    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments. Without map, model and options many
+    keys are followed side by side.
     """
     from .kernels import Navigator
 
+    if not segments and not use_model and not options:
+        schema = _with_key(frames, key, NAV_SCHEMA)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            from . import lockstep
+
+            yield from lockstep.estimated(batches, key, to_arrow_schema(schema))
+
+        return _dealt(frames, key, ["t"]).mapInArrow(run, schema)
+
     road_net = shared_map(frames.sparkSession, segments) if segments else None
 
     def make():
