@@ -17,7 +17,7 @@ def replays(frames: DataFrame, planned: DataFrame, key: str, index: str = "idx")
     """
     run = F.to_json(F.struct("scenario", key))
     wanted = planned.select(key, "scenario").distinct().withColumn("run", run)
-    marked = outages.masked(frames.join(wanted, key), planned.select(run.alias("run"), "start", "end"), "run", index)
+    marked = outages.masked(frames.join(outages.never_broadcast(wanted), key), planned.select(run.alias("run"), "start", "end"), "run", index)
     return marked.withColumn("fix", F.when(~F.col("in_outage"), F.col("fix")))
 
 
@@ -31,7 +31,7 @@ def estimated(frames: DataFrame, planned: DataFrame, key: str, index: str = "idx
     states = keyed.navigate(rows, "run", **options).select("run", "t", F.col("east").alias("est_e"), F.col("north").alias("est_n"), "mode")
     started = F.min(F.when(F.col("fix").isNotNull(), F.col("t"))).over(Window.partitionBy("run"))
     known = F.col("t") >= F.col("started")
-    out = rows.withColumn("started", started).join(states, ["run", "t"])
+    out = outages.never_broadcast(rows.withColumn("started", started)).join(states, ["run", "t"])
     return out.withColumns({c: F.when(known, F.col(c)) for c in ("est_e", "est_n")}).drop("started")
 
 
@@ -44,7 +44,7 @@ def benchmark(frames: DataFrame, planned: DataFrame, key: str, dt: float, index:
     run = F.to_json(F.struct("scenario", key))
     names = planned.select(run.alias("run"), "scenario", key).distinct()
     scores = outages.score_outages(estimated(frames, planned, key, index, **options), planned.select(run.alias("run"), "start", "end").distinct(), "run", index, dt)
-    return names.join(scores, "run").drop("run")
+    return outages.never_broadcast(names).join(scores, "run").drop("run")
 
 
 def record(scores: DataFrame, by: list[str], outage: Column, replicates: int = 2000, draws=None, **options) -> DataFrame:

@@ -34,10 +34,19 @@ def distance_outages(candidates: DataFrame, key: str, first: int, gap_hit: int,
     return candidates.where(fits).join(visited, [key, "start"], "left_semi").select(key, "start", "end")
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """For a side of a join that is large when run, though Spark takes it for small and would send it to the driver.
+
+    Its guess has no share in what ``explode`` makes of a row, and goes by the bytes of a file in which repeated values
+    take next to no room.
+    """
+    return df.hint("merge")
+
+
 def masked(frames: DataFrame, outages: DataFrame, key: str, index: str) -> DataFrame:
     """Frames with ``in_outage``: intervals are unrolled to their indices, so the join is one of equal keys."""
     inside = outages.select(key, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias(index)).distinct()
-    return frames.join(inside.withColumn("in_outage", F.lit(True)), [key, index], "left").withColumn("in_outage", F.coalesce("in_outage", F.lit(False)))
+    return frames.join(never_broadcast(inside.withColumn("in_outage", F.lit(True))), [key, index], "left").withColumn("in_outage", F.coalesce("in_outage", F.lit(False)))
 
 
 def score_outages(frames: DataFrame, outages: DataFrame, key: str, index: str, dt: float) -> DataFrame:
@@ -48,7 +57,7 @@ def score_outages(frames: DataFrame, outages: DataFrame, key: str, index: str, d
     error = F.hypot(F.col("est_e") - F.col("e"), F.col("est_n") - F.col("n"))
     rows = frames.select(key, F.col(index).alias("i"), "speed", "valid", error.alias("err"), F.col("mode").isin(DEAD_RECKONING, REACQUISITION).alias("dr"))
     wanted = outages.select(key, "start", "end", F.explode(F.sequence(F.col("start") - 1, F.col("end") - 1)).alias("i"))
-    met = wanted.join(rows, [key, "i"])
+    met = never_broadcast(wanted).join(rows, [key, "i"])
     inside = F.col("i") >= F.col("start")
     scored = met.groupBy(key, "start", "end").agg(
         F.sum(F.when(inside, F.col("speed") * dt)).alias("distance_m"),
@@ -181,7 +190,7 @@ def outage_grid(frames: DataFrame, key: str, index: str, window: int, length: in
     starts = frames.groupBy(key).agg(last.alias("last")).where(F.col("last") >= window)
     starts = starts.select(key, F.explode(F.sequence(F.lit(window).cast("long"), F.col("last").cast("long"), F.lit(spacing).cast("long"))).alias("start"))
     unrolled = starts.select(key, "start", F.explode(F.sequence(F.col("start") - window, F.col("start") + length - 1)).alias("i"))
-    met = unrolled.join(frames.select(key, F.col(index).alias("i"), "speed", "valid"), [key, "i"])
+    met = never_broadcast(unrolled).join(frames.select(key, F.col(index).alias("i"), "speed", "valid"), [key, "i"])
     told = met.groupBy(key, "start").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("n"), F.avg(F.when(F.col("i") >= F.col("start"), F.col("speed"))).alias("mean"))
     return told.where(F.col("valid") & (F.col("n") == window + length) & (F.col("mean") >= least_speed)).select(key, "start", (F.col("start") + length).alias("end"))
 
@@ -189,7 +198,7 @@ def outage_grid(frames: DataFrame, key: str, index: str, window: int, length: in
 def hold_last_errors(frames: DataFrame, outages: DataFrame, key: str, index: str, dt: float) -> DataFrame:
     """Distance error in percent of holding the speed of an outage's first frame all through it."""
     wanted = outages.select(key, "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("i"))
-    met = wanted.join(frames.select(key, F.col(index).alias("i"), "speed"), [key, "i"])
+    met = never_broadcast(wanted).join(frames.select(key, F.col(index).alias("i"), "speed"), [key, "i"])
     out = met.groupBy(key, "start", "end").agg(F.sum("speed").alias("sum"), F.max(F.when(F.col("i") == F.col("start"), F.col("speed"))).alias("held"))
     n = F.col("end") - F.col("start")
     return out.select(
