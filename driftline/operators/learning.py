@@ -36,9 +36,10 @@ def _statistics(x: np.ndarray) -> np.ndarray:
     out = np.full((len(x), len(STATISTICS)), np.nan)
     if n == 0:
         return out
-    out[:, 0], out[:, 1] = x.mean(1), x.std(1)
+    # summed in the order of the values, by which a mean halfway between two rounded ones goes as in SQL
+    out[:, 0], out[:, 1] = np.cumsum(x, axis=1)[:, -1] / n, x.std(1)
     if n > 1:
-        out[:, 2] = np.abs(np.diff(x, axis=1)).mean(1)
+        out[:, 2] = np.cumsum(np.abs(np.diff(x, axis=1)), axis=1)[:, -1] / (n - 1)
     out[:, 3], out[:, 4] = np.percentile(x, [5, 95], axis=1)
     size = np.abs(np.fft.rfft(x - out[:, :1], axis=1))[:, 1:]
     for k, part in enumerate(np.array_split(np.arange(size.shape[1]), 4)):
