@@ -110,6 +110,14 @@ def bounded(df: DataFrame, name: str, rows: int) -> DataFrame:
     return small
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """For a side of a join that is large when run, though Spark takes it for small and would send it to the driver.
+
+    Its guess goes by the bytes of a file and has no share in what ``explode`` makes of a row.
+    """
+    return df.hint("merge")
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished queries now.
 

@@ -149,6 +149,8 @@ def context_tree(grams: DataFrame, depth: int) -> list[DataFrame]:
         here = _kt(levels[d]).withColumn("w", F.lit(1.0)) if d == depth else levels[d]
         here = here.select("ctx", "node", "w", "one", _suffix(F.col("ctx"), d - 1).alias("up"))
         above = out[-1].select(F.col("ctx").alias("up"), "node", "s", "r")
+        # contexts of no byte or one have 65,280 nodes at most; how many deeper ones have grows with the corpus
+        above = above if d <= 2 else C.never_broadcast(above)
         here = here.join(above, ["up", "node"]).select("ctx", "node", (F.col("s") + F.col("r") * w * one).alias("s"), (F.col("r") * (1 - w)).alias("r"))
         out.append(C.materialize(here, f"tree-{d}"))
     C.release(*levels)
@@ -192,7 +194,8 @@ def new_logs(keys: DataFrame, tree: list[DataFrame]) -> DataFrame:
     nodes = tree[0].withColumn("d", F.lit(0))
     for d, level in enumerate(tree[1:], 1):
         nodes = nodes.unionAll(level.withColumn("d", F.lit(d)))
-    found = steps.join(nodes.selectExpr("d", "ctx", "node", _PREDICTED), ["d", "ctx", "node"])
+    # a key has 8 * (depth + 1) steps
+    found = C.never_broadcast(steps).join(nodes.selectExpr("d", "ctx", "node", _PREDICTED), ["d", "ctx", "node"])
     found = found.groupBy("key", "node", "bit").agg(F.max(F.struct("d", "p"))["p"].alias("p"))
     found = found.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("known"), F.count("*").alias("n"))
     logs = F.coalesce("known", F.lit(0.0)) + (8 - F.coalesce("n", F.lit(0))) * math.log10(0.5)
