@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ from .keyed import ship_package
 BUCKET = 2048
 #: Ranges of values in a pass, replicates that are handled together, values that meet their weights one by one.
 RANGES, CHUNK, MOST_VALUES = 32, 250, 200_000
+#: Replicates whose weights of all values in reach meet in one task; a part of ``CHUNK``.
+PART = 25
 
 
 class RandomDraws:
@@ -85,6 +86,11 @@ def _buckets(clusters: DataFrame, spread: Callable[[Column], Column], size: int)
     return out
 
 
+def _dealt(buckets: DataFrame) -> DataFrame:
+    """Buckets on as many tasks as a shuffle has: they are small in bytes, by which Spark would merge them, but not in work."""
+    return buckets.repartition(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("g", "bucket"))
+
+
 def _histograms(buckets: DataFrame, splits: DataFrame, draws, replicates: int, limit: float) -> DataFrame:
     """``g, replicate, bin, w``: weight in each range, and as the last bin that of values below ``limit``.
 
@@ -116,7 +122,7 @@ def _histograms(buckets: DataFrame, splits: DataFrame, draws, replicates: int, l
                     yield from told()
         yield from told()
 
-    met = buckets.join(F.broadcast(splits), "g").select("g", "n_clusters", "bucket", "clusters", "path", "splits")
+    met = _dealt(buckets).join(F.broadcast(splits), "g").select("g", "n_clusters", "bucket", "clusters", "path", "splits")
     return met.mapInArrow(run, schema).groupBy("g", "replicate", "bin").agg(F.sum("w").alias("w"))
 
 
@@ -173,7 +179,7 @@ def replicates_of(observations: DataFrame, limit: float, replicates: int = 2000,
         drop_table(hist)
         drop_table(reach)
     below = hist.join(F.broadcast(bounds.select("g", F.col("low").alias("least"))), "g").where("bin < least AND bin <= top").groupBy("g", "replicate").agg(F.sum("w").alias("below"))
-    chunk = (F.floor(F.col("replicate") / CHUNK) * CHUNK).alias("chunk")
+    chunk = (F.floor(F.col("replicate") / PART) * PART).alias("chunk")
     told = reach.join(below, ["g", "replicate"], "left").select("g", "replicate", chunk, "total", "passes", "at", F.coalesce("below", F.lit(0)).alias("below"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,23 +195,31 @@ def replicates_of(observations: DataFrame, limit: float, replicates: int = 2000,
                 np.add.at(member, (owner[use], at), 1)
                 for first in range(0, replicates, CHUNK):
                     w = (_counts(draws, row, np.arange(first, min(first + CHUNK, replicates))) @ member).astype("<i4").T
-                    columns = [pa.array([row["g"]] * len(kinds)), pa.array([first] * len(kinds)), pa.array(kinds), pa.array([x.tobytes() for x in w], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["g", "chunk", "value", "weights"])
-
-    near = buckets.join(F.broadcast(bounds), "g").select("g", "n_clusters", "bucket", "clusters", "path", "from", "to").mapInArrow(weigh, "g string, chunk long, value double, weights binary")
-
-    def medians(of: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        of, near = of.sort_values("replicate"), near.sort_values("value", kind="stable")
-        first = int(of["chunk"].iloc[0])
-        at = of["replicate"].to_numpy() - first
-        w = np.frombuffer(b"".join(near["weights"]), "<i4").reshape(len(near), -1)[:, at]
-        upto = of["below"].to_numpy()[None, :] + np.cumsum(w, axis=0, dtype=np.int64)
-        v, place = near["value"].to_numpy(), of["at"].to_numpy()
+                    for k in range(0, w.shape[1], PART):
+                        part = np.ascontiguousarray(w[:, k : k + PART])
+                        ends = np.arange(len(kinds) + 1, dtype=np.int32) * (4 * part.shape[1])
+                        weights = pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(ends), pa.py_buffer(part)])
+                        columns = [pa.array([row["g"]] * len(kinds), pa.string()), pa.array(np.full(len(kinds), first + k)), pa.array(kinds), weights]
+                        yield pa.RecordBatch.from_arrays(columns, ["g", "chunk", "value", "weights"])
+
+    near = _dealt(buckets).join(F.broadcast(bounds), "g").select("g", "n_clusters", "bucket", "clusters", "path", "from", "to").mapInArrow(weigh, "g string, chunk long, value double, weights binary")
+
+    def medians(of: pa.Table, near: pa.Table) -> pa.Table:
+        v, held = near["value"].to_numpy(), near["weights"].combine_chunks()
+        ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(v) + 1]
+        w = np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4").reshape(len(v), -1)
+        order = np.argsort(v, kind="stable")
+        v, w = v[order], w[order]
+        # a value that many buckets have counts once
+        new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        v, w = v[new], np.add.reduceat(w, new, axis=0, dtype=np.int64)
+        replicate, chunk, total, passes, place, below = (of[c].to_numpy() for c in ("replicate", "chunk", "total", "passes", "at", "below"))
+        upto = below[None, :] + np.cumsum(w[:, replicate - chunk], axis=0)
         found = [v[np.argmax(upto > rank[None, :], axis=0)] for rank in (np.floor(place), np.ceil(place))]
-        return pd.DataFrame({"g": of["g"].to_numpy(), "replicate": of["replicate"].to_numpy(), "median": found[0] + (found[1] - found[0]) * (place - np.floor(place)), "share": (of["passes"] / of["total"]).to_numpy()})
+        return pa.table({"g": of["g"], "replicate": of["replicate"], "median": found[0] + (found[1] - found[0]) * (place - np.floor(place)), "share": passes / total})
 
     # a group has a chunk of replicates and the values in reach
-    out = told.groupBy("g", "chunk").cogroup(near.groupBy("g", "chunk")).applyInPandas(medians, "g string, replicate long, median double, share double")
+    out = told.groupBy("g", "chunk").cogroup(near.groupBy("g", "chunk")).applyInArrow(medians, "g string, replicate long, median double, share double")
     out = shared_table(spark, out, "bootstrap-replicates")
     for t in (clusters, buckets, hist, reach, bounds):
         drop_table(t)
