@@ -154,23 +154,28 @@ NAV_SCHEMA = (
 )
 
 
+#: Deviation of the speed that :func:`oracle_model` tells, and the speed below which a vehicle stands.
+ORACLE_STD, ORACLE_STANDING = 0.05, 0.3
+
+
 def oracle_model(window, scalars, frame):
     """A speed model that passes the frame's true speed through; for tests and upper bounds."""
     from .kernels import SpeedEstimate
 
     v = frame.get("true_speed")
-    return None if v is None else SpeedEstimate(float(v), 0.05**2, 1.0 if v < 0.3 else 0.0)
+    return None if v is None else SpeedEstimate(float(v), ORACLE_STD**2, 1.0 if v < ORACLE_STANDING else 0.0)
 
 
 def navigate(frames: DataFrame, key: str, segments: list[dict] | None = None, use_model: bool = True, **options) -> DataFrame:
     """The estimator over each key's frames ``t, ax..gz, fix, true_speed``: one state for each frame.
 
-    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments. Without map, model and options many
-    keys are followed side by side.
+    ``segments`` is the road map of one area, of at most ``MOST_SEGMENTS`` segments. Without options many keys are followed
+    side by side.
     """
     from .kernels import Navigator
 
-    if not segments and not use_model and not options:
+    road_net = shared_map(frames.sparkSession, segments) if segments else None
+    if not options:
         schema = _with_key(frames, key, NAV_SCHEMA)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +183,10 @@ def navigate(frames: DataFrame, key: str, segments: list[dict] | None = None, us
 
             from . import lockstep
 
-            yield from lockstep.estimated(batches, key, to_arrow_schema(schema))
+            yield from lockstep.estimated(batches, key, to_arrow_schema(schema), speed_model=use_model, net=road_net() if road_net else None)
 
         return _dealt(frames, key, ["t"]).mapInArrow(run, schema)
 
-    road_net = shared_map(frames.sparkSession, segments) if segments else None
-
     def make():
         return Navigator(oracle_model if use_model else None, road_net() if road_net else None, **options)
 

@@ -1,4 +1,4 @@
-"""The estimator without model and map for many keys side by side.
+"""The estimator for many keys side by side, with or without the speed model ``keyed.oracle_model`` and a road map.
 
 A step takes one frame of each key of a block, so that a number of :class:`.kernels.Navigator` is an array over keys
 here. What follows from a frame is the same. Blocks have a bounded number of rows; a key that goes on in the next block
@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from ..functions.motion import G
 from . import kernels as K
 from .kernels import BIAS, EAST, HEADING, NORTH, SCALE, SPEED, wrap
+from .keyed import ORACLE_STANDING, ORACLE_STD, oracle_model
+from .streets import Chains, Streets
 
 #: Rows of a block, and keys below which a step over arrays costs more than one key after the other.
 BLOCK, LEAST_KEYS = 1 << 17, 8
@@ -54,10 +56,14 @@ class Fixes:
 
 
 class States:
-    """What :class:`.kernels.Navigator` holds of each key."""
+    """What :class:`.kernels.Navigator` holds of each key.
 
-    def __init__(self, n: int):
+    ``speed_model`` says whether frames tell their true speed to the filter; ``streets`` is the road map, if there is one.
+    """
+
+    def __init__(self, n: int, speed_model: bool = False, streets: Streets | None = None):
         rules = K.FixMonitor()
+        self.speed_model, self.streets = speed_model, streets
         self.x = np.zeros((6, n))
         self.p = np.repeat(np.diag(np.square(K.Filter.START))[:, :, None], n, axis=2)
         self.last_t, self.end, self.seen_at = (np.full(n, np.nan) for _ in range(3))
@@ -66,15 +72,20 @@ class States:
         self.interval, self.quality = np.full(n, rules.interval), np.full(n, rules.quality)
         self.mode, self.rejects = np.full(n, MODES.index(rules.mode)), np.zeros(n, dtype=np.int64)
         self.seen, self.pending = Fixes(n), Fixes(n)
+        # decimated samples up to a full window, and the sum and number of yaw rates since the last one
+        self.window, self.yaw, self.yaws = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=np.int64)
+        self.estimated, self.estimate = np.zeros(n, dtype=bool), np.full(n, np.nan)
+        self.started, self.asked_at, self.travelled, self.map_confidence = np.zeros(n, dtype=bool), np.full(n, np.nan), np.zeros(n), np.zeros(n)
+        self.chains = Chains(n)
 
     def _arrays(self) -> Iterator[tuple[object, str]]:
-        for owner in (self, self.seen, self.pending):
+        for owner in (self, self.seen, self.pending, self.chains):
             for name, value in vars(owner).items():
                 if isinstance(value, np.ndarray):
                     yield owner, name
 
     def one(self, k: int) -> States:
-        out = States(1)
+        out = States(1, self.speed_model, self.streets)
         for (mine, name), (its, _) in zip(self._arrays(), out._arrays(), strict=True):
             setattr(its, name, getattr(mine, name)[..., k : k + 1].copy())
         return out
@@ -86,7 +97,7 @@ class States:
     def navigator(self, k: int) -> K.Navigator:
         """A key's estimator of its own."""
         known = lambda v: None if np.isnan(v) else float(v)
-        nav = K.Navigator()
+        nav = K.Navigator(oracle_model if self.speed_model else None, self.streets.net if self.streets else None)
         nav.filter.x, nav.filter.p = self.x[:, k].copy(), self.p[:, :, k].copy()
         nav.last_t, bins, monitor = known(self.last_t[k]), nav.speeds.decimator, nav.satellites.monitor
         bins.end, bins.count = known(self.end[k]), int(self.count[k])
@@ -95,6 +106,14 @@ class States:
         monitor.mode, monitor.interval, monitor.quality = MODES[self.mode[k]], float(self.interval[k]), float(self.quality[k])
         monitor.seen_at, monitor.rejects = known(self.seen_at[k]), int(self.rejects[k])
         monitor.seen, monitor.pending = self.seen.of(k), self.pending.of(k)
+        # the model looks at how long the window is, and at nothing in it
+        nav.speeds.window, nav.speeds.yaws = [[]] * int(self.window[k]), [float(self.yaw[k])] + [0.0] * int(self.yaws[k] - 1) if self.yaws[k] else []
+        nav.speeds.estimate = oracle_model(None, None, {"true_speed": float(self.estimate[k])}) if self.estimated[k] else None
+        nav.satellites.started, roads = bool(self.started[k]), nav.roads
+        roads.asked_at, roads.travelled = known(self.asked_at[k]), float(self.travelled[k])
+        roads.match = K.Match(0.0, 0.0, 0.0, float(self.map_confidence[k]), 0, 0.0) if self.map_confidence[k] else None
+        if self.streets:
+            roads.matcher.last = self.chains.last(k)
         return nav
 
     def keep(self, k: int, nav: K.Navigator) -> None:
@@ -107,6 +126,13 @@ class States:
         self.seen_at[k], self.rejects[k] = np.nan if monitor.seen_at is None else monitor.seen_at, monitor.rejects
         self.seen.keep(k, monitor.seen)
         self.pending.keep(k, monitor.pending)
+        speeds, roads = nav.speeds, nav.roads
+        self.window[k], self.yaw[k], self.yaws[k] = len(speeds.window), sum(speeds.yaws), len(speeds.yaws)
+        self.estimated[k], self.estimate[k] = speeds.estimate is not None, np.nan if speeds.estimate is None else speeds.estimate.speed
+        self.started[k], self.asked_at[k], self.travelled[k] = nav.satellites.started, np.nan if roads.asked_at is None else roads.asked_at, roads.travelled
+        self.map_confidence[k] = roads.match.confidence if roads.match else 0.0
+        if self.streets:
+            self.chains.keep(k, roads.matcher.last)
 
     def down(self, n: int) -> np.ndarray:
         g = self.g[:, :n]
@@ -130,8 +156,10 @@ class States:
         for k in range(6):
             p[k, k] += K.Filter.GROWTH[k, k] * dt
 
-    def decimate(self, n: int, t: np.ndarray, values: np.ndarray, period: float = 0.1) -> None:
-        """Means of samples in bins go on to gravity."""
+    def decimate(self, n: int, t: np.ndarray, values: np.ndarray, yaw: np.ndarray, speed: np.ndarray, has_speed: np.ndarray, period: float = 0.1) -> None:
+        """Means of samples in bins go on to gravity and, once a window is full, the frame's speed to the filter."""
+        self.yaw[:n] += yaw
+        self.yaws[:n] += 1
         end, sums, count = self.end[:n], self.sums[:, :n], self.count[:n]
         np.copyto(end, t + period / 2, where=np.isnan(end))
         done = np.flatnonzero((count > 0) & (t >= end))
@@ -145,6 +173,22 @@ class States:
                 late = late[end[late] <= t[late]]
         sums += values
         count += 1
+        if len(done):
+            self._modelled(done, speed, has_speed)
+
+    def _modelled(self, at: np.ndarray, speed: np.ndarray, has_speed: np.ndarray, size: int = 40, inflation: float = 4.0) -> None:
+        yaw = self.yaw[at] / self.yaws[at]
+        self.yaw[at], self.yaws[at], self.window[at] = 0.0, 0, np.minimum(self.window[at] + 1, size)
+        if not self.speed_model:
+            return
+        asked = (self.window[at] == size) & has_speed[at]
+        at, yaw = at[asked], yaw[asked]
+        self.estimated[at], self.estimate[at] = True, speed[at]
+        stands = speed[at] < ORACLE_STANDING
+        moving, at, yaw = at[~stands], at[stands], yaw[stands]
+        self._take(moving, SPEED, speed[moving], max(ORACLE_STD**2 * inflation, 1e-4))
+        self._take(at, SPEED, np.zeros(len(at)), K.STANDING_SPEED)
+        self._take(at, BIAS, yaw, K.STANDING_BIAS)
 
     def _gravity(self, at: np.ndarray, means: np.ndarray, rules=K.Gravity()) -> None:
         acc, gyro, g = means[:3], means[3:], self.g[:, at]
@@ -169,7 +213,7 @@ class States:
         size = self.p[place, place, at] + noise
         if gate is not None:
             told = ~(offset * offset / size > gate)
-            at, offset, size, noise = at[told], offset[told], size[told], noise[told]
+            at, offset, size, noise = at[told], offset[told], size[told], np.broadcast_to(noise, told.shape)[told]
         if not len(at):
             return
         p = self.p[:, :, at]
@@ -181,6 +225,43 @@ class States:
         self.p[:, :, at] = p
         self._settle(at)
 
+    def _take_line(self, at: np.ndarray, e: np.ndarray, n: np.ndarray, psi: np.ndarray, std: np.ndarray) -> None:
+        """:func:`.kernels.road_told` of each key ``at``."""
+        h_e, h_n, noise = -np.sin(psi), np.cos(psi), std * std
+        offset = h_e * (e - self.x[EAST, at]) + h_n * (n - self.x[NORTH, at])
+        p = self.p[:, :, at]
+        cross = p[:, EAST] * h_e + p[:, NORTH] * h_n
+        size = h_e * cross[EAST] + h_n * cross[NORTH] + noise
+        told = ~(offset * offset / size > K.GATE)
+        at, offset, noise, h_e, h_n = (c[told] for c in (at, offset, noise, h_e, h_n))
+        if not len(at):
+            return
+        p, gain = p[:, :, told], cross[:, told] / size[told]
+        self.x[:, at] += gain * offset
+        p = p - gain[:, None] * (h_e * p[EAST] + h_n * p[NORTH])[None]
+        p = p - (p[:, EAST] * h_e + p[:, NORTH] * h_n)[:, None] * gain[None]
+        self.p[:, :, at] = p + noise * gain[:, None] * gain[None]
+        self._settle(at)
+
+    def mapped(self, n: int, t: np.ndarray, moved: np.ndarray, period: float = 0.5, least: float = 0.4) -> None:
+        """The road map is asked where it is time; it counts while reception is lost and the match is sure enough."""
+        self.travelled[:n] += moved
+        at = np.flatnonzero(self.started[:n] & ~(t - self.asked_at[:n] < period))
+        if not len(at):
+            return
+        x, p = self.x, self.p
+        std = np.sqrt(np.maximum(p[EAST, EAST, at] + p[NORTH, NORTH, at], 0.0))
+        e, north, psi, sure = self.chains.step(self.streets, at, x[EAST, at], x[NORTH, at], x[HEADING, at], x[SPEED, at], self.travelled[at], std)
+        self.asked_at[at], self.travelled[at], self.map_confidence[at] = t[at], 0.0, sure
+        lost = (self.mode[at] == _DEAD_RECKONING) | (self.mode[at] == _REACQUISITION)
+        told = (sure >= least) & lost
+        at, e, north, psi, sure = (c[told] for c in (at, e, north, psi, sure))
+        if not len(at):
+            return
+        self._take_line(at, e, north, psi, 3.0 / sure)
+        turned = (sure > 0.8) & (x[SPEED, at] > 3.0)
+        self._take(at[turned], HEADING, psi[turned], np.square(math.radians(6.0) / sure[turned]), K.GATE, True)
+
     def _innovation(self, at: np.ndarray, e: np.ndarray, n: np.ndarray, noise: np.ndarray):
         """Residuals of a place, the inverse of their covariance and the normalised square."""
         de, dn = e - self.x[EAST, at], n - self.x[NORTH, at]
@@ -215,6 +296,7 @@ class States:
     def fixed(self, at: np.ndarray, t, e, n, speed, heading, accuracy) -> None:
         """A fix of each key ``at``; ``speed``, ``heading`` and ``accuracy`` are NaN where they are not told."""
         rules = K.FixMonitor()
+        self.started[at] = True
         std = np.where(np.isnan(accuracy), 10.0, accuracy)
         moving = speed > 2.0
         course = np.where(moving, wrap(math.pi / 2 - np.radians(heading)), np.nan)
@@ -253,6 +335,7 @@ class States:
         self.pending.t[at[kept]] = np.nan
         if anchored.any():
             self._anchor(at[anchored], e[anchored], n[anchored], course[anchored], speed[anchored])
+            self.chains.segment[:, at[anchored]] = -1  # a jump is no route
         fused = ~anchored & ~refused
         if fused.any():
             at, e, n, std, speed, course, moving, inflated = (c[fused] for c in (at, e, n, std, speed, course, moving, inflated))
@@ -270,44 +353,51 @@ class States:
         self.quality[:n][silent] = 0.0
 
 
-def follow(states: States, starts: np.ndarray, sizes: np.ndarray, t: np.ndarray, sensors: np.ndarray, has_fix: np.ndarray, fix: np.ndarray) -> dict[str, np.ndarray]:
+def follow(states: States, starts: np.ndarray, sizes: np.ndarray, t: np.ndarray, sensors: np.ndarray, has_fix: np.ndarray, fix: np.ndarray, speed: np.ndarray, has_speed: np.ndarray) -> dict[str, np.ndarray]:
     """The states after each row of a block; key ``k`` has ``sizes[k]`` rows from ``starts[k]`` on, longest keys first."""
-    out = {c: np.empty(len(t)) for c in ("east", "north", "speed", "psi", "quality", "position_std")}
+    out = {c: np.empty(len(t)) for c in ("east", "north", "speed", "psi", "quality", "position_std", "model_speed", "model_confidence", "map_confidence")}
+    confidence = K.SpeedEstimate(0.0, ORACLE_STD**2, 0.0).confidence()
     out["mode"] = np.empty(len(t), dtype=np.int8)
     for step in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -step, "left"))
         if n < LEAST_KEYS:
             for k in range(n):
-                _alone(states, k, range(starts[k] + step, starts[k] + sizes[k]), t, sensors, has_fix, fix, out)
+                _alone(states, k, range(starts[k] + step, starts[k] + sizes[k]), t, sensors, has_fix, fix, speed, has_speed, out)
             break
         rows = starts[:n] + step
         now, seen = t[rows], sensors[:, rows]
         yaw = (states.down(n) * seen[3:]).sum(axis=0)
         dt = now - states.last_t[:n]
-        states.predict(n, np.where((dt > 0) & (dt < 1), dt, 0.0), yaw)
+        dt = np.where((dt > 0) & (dt < 1), dt, 0.0)
+        states.predict(n, dt, yaw)
         states.last_t[:n] = now
-        states.decimate(n, now, seen)
+        moved = states.x[SPEED, :n] * dt
+        states.decimate(n, now, seen, yaw, speed[rows], has_speed[rows])
         at = np.flatnonzero(has_fix[rows])
         if len(at):
             states.fixed(at, now[at], *fix[:, rows[at]])
         states.tick(n, now)
+        if states.streets:
+            states.mapped(n, now, moved)
         x, p = states.x[:, :n], states.p
         for name, values in (
             ("east", x[EAST]), ("north", x[NORTH]), ("speed", x[SPEED]), ("psi", x[HEADING]), ("quality", states.quality[:n]), ("mode", states.mode[:n]),
+            ("model_speed", states.estimate[:n]), ("model_confidence", np.where(states.estimated[:n], confidence, 0.0)), ("map_confidence", states.map_confidence[:n]),
             ("position_std", np.sqrt(np.maximum(p[EAST, EAST, :n] + p[NORTH, NORTH, :n], 0.0))),
         ):
             out[name][rows] = values
     return out
 
 
-def _alone(states: States, k: int, rows: range, t: np.ndarray, sensors: np.ndarray, has_fix: np.ndarray, fix: np.ndarray, out: dict[str, np.ndarray]) -> None:
+def _alone(states: States, k: int, rows: range, t: np.ndarray, sensors: np.ndarray, has_fix: np.ndarray, fix: np.ndarray, speed: np.ndarray, has_speed: np.ndarray, out: dict[str, np.ndarray]) -> None:
     """One key's last rows in a block, by its own estimator."""
     nav = states.navigator(k)
     for row in rows:
         told = {c: None if np.isnan(v) else v for c, v in zip(_FIX, fix[:, row].tolist(), strict=True)} if has_fix[row] else None
-        state = nav.update({"t": t[row], **dict(zip(_SENSORS, sensors[:, row].tolist(), strict=True)), "fix": told})
+        frame = {"t": t[row], "fix": told, "true_speed": float(speed[row]) if has_speed[row] else None}
+        state = nav.update(frame | dict(zip(_SENSORS, sensors[:, row].tolist(), strict=True)))
         for c, values in out.items():
-            values[row] = MODES.index(state[c]) if c == "mode" else state[c]
+            values[row] = MODES.index(state[c]) if c == "mode" else np.nan if state[c] is None else state[c]
     states.keep(k, nav)
 
 
@@ -315,7 +405,7 @@ def _numbers(column, default: float = np.nan) -> np.ndarray:
     return pc.fill_null(column.cast(pa.float64()), default).to_numpy(zero_copy_only=False)
 
 
-def _block(table: pa.Table, key: str, before: tuple | None, names: list[str]) -> tuple[pa.Table, tuple]:
+def _block(table: pa.Table, key: str, before: tuple | None, names: list[str], speed_model: bool, streets: Streets | None) -> tuple[pa.Table, tuple]:
     """The output of a block, and its last key with its state; ``before`` is that of the block before."""
     table = table.combine_chunks()
     column = lambda c: table[c].combine_chunks()
@@ -333,29 +423,32 @@ def _block(table: pa.Table, key: str, before: tuple | None, names: list[str]) ->
                 fix[k] = _numbers(pc.struct_field(fixes, c))
                 if k < 2 and int(pc.sum(pc.struct_field(fixes, c).is_valid()).as_py() or 0) < has_fix.sum():
                     raise TypeError("a fix has no place")
+    speed, has_speed = np.full(rows, np.nan), np.zeros(rows, dtype=bool)
+    if "true_speed" in table.column_names:
+        speed, has_speed = _numbers(column("true_speed")), column("true_speed").is_valid().to_numpy(zero_copy_only=False)
     codes = column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
     sizes = np.diff(np.append(starts, rows))
     order = np.argsort(-sizes, kind="stable")
-    states = States(len(starts))
+    states = States(len(starts), speed_model, streets)
     first, last = (int(np.flatnonzero(order == k)[0]) for k in (0, len(starts) - 1))
     if before is not None and table[key][0].as_py() == before[0]:
         states.put(first, before[1])
-    out = follow(states, starts[order], sizes[order], t, sensors, has_fix, fix)
+    out = follow(states, starts[order], sizes[order], t, sensors, has_fix, fix, speed, has_speed)
     out["mode"] = pa.DictionaryArray.from_arrays(out["mode"], list(MODES)).cast(pa.string())
-    nothing = np.zeros(rows)
-    out |= {"t": t, "model_speed": pa.nulls(rows, pa.float64()), "model_confidence": nothing, "map_confidence": nothing, key: column(key)}
+    out |= {"t": t, "model_speed": pa.array(out["model_speed"], mask=out["model_confidence"] == 0.0), key: column(key)}
     return pa.table([pa.array(out[c]) if isinstance(out[c], np.ndarray) else out[c] for c in names], names=names), (table[key][rows - 1].as_py(), states.one(last))
 
 
-def estimated(batches: Iterator[pa.RecordBatch], key: str, schema: pa.Schema, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+def estimated(batches: Iterator[pa.RecordBatch], key: str, schema: pa.Schema, block: int = BLOCK, speed_model: bool = False, net: K.RoadNet | None = None) -> Iterator[pa.RecordBatch]:
     """States for frames that come by key and time."""
+    streets = Streets(net) if net else None
     held: list[pa.RecordBatch] = []
     before, n = None, 0
 
     def told() -> Iterator[pa.RecordBatch]:
         nonlocal before, n
-        out, before = _block(pa.Table.from_batches(held), key, before, schema.names)
+        out, before = _block(pa.Table.from_batches(held), key, before, schema.names, speed_model, streets)
         held.clear()
         n = 0
         yield from out.cast(schema).to_batches(max_chunksize=1 << 14)
