@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,16 @@ def estimated(frames: DataFrame, planned: DataFrame, key: str, index: str = "idx
     return out.withColumns({c: F.when(known, F.col(c)) for c in ("est_e", "est_n")}).drop("started")
 
 
-def benchmark(frames: DataFrame, planned: DataFrame, key: str, dt: float, index: str = "idx", **options) -> DataFrame:
+def benchmark(frames: DataFrame, planned: DataFrame, key: str, dt: float, index: str = "idx", order: list[str] | None = None, frames_of: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
     """``scenario, key`` and the score columns of :func:`.outages.score_outages` for each planned outage.
 
-    Beside what :func:`estimated` needs, frames have the truth ``e, n, speed`` and ``valid``. An outage that reaches
-    beyond the frames is scored by those that there are, and has no end error.
+    Frames have ``t``, unique in a key, sensor columns, ``fix`` with ``e, n``, the truth ``e, n, speed`` and ``valid``;
+    ``options`` are those of :func:`.keyed.navigate`. An outage that reaches beyond the frames is scored by those that
+    there are, and has no end error. Frames are replayed in the task that estimates them, and may be made there, too, of
+    rows in ``order`` by ``frames_of``, see :func:`.keyed.replayed`; so they are neither shuffled nor stored.
     """
-    run = F.to_json(F.struct("scenario", key))
-    names = planned.select(run.alias("run"), "scenario", key).distinct()
-    scores = outages.score_outages(estimated(frames, planned, key, index, **options), planned.select(run.alias("run"), "start", "end").distinct(), "run", index, dt)
-    return outages.never_broadcast(names).join(scores, "run").drop("run")
+    met = keyed.replayed(frames, planned, key, index, order or ["t"], frames_of, **options)
+    return outages.score_frames(met, ["scenario", key], dt)
 
 
 def record(scores: DataFrame, by: list[str], outage: Column, replicates: int = 2000, draws=None, **options) -> DataFrame:

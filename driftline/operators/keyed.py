@@ -193,6 +193,39 @@ def navigate(frames: DataFrame, key: str, segments: list[dict] | None = None, us
     return run_by_key(frames, key, ["t"], make, lambda kernel, r: kernel.update(r), NAV_SCHEMA)
 
 
+def replayed(
+    rows: DataFrame, planned: DataFrame, key: str, index: str, order: list[str], frames_of: Callable[[DataFrame], DataFrame] | None = None,
+    segments: list[dict] | None = None, use_model: bool = True, **options,
+) -> DataFrame:
+    """``key, scenario, start, end, i`` and ``speed, valid, e, n, est_e, est_n, mode`` of each frame of each planned outage and the one before.
+
+    Frames are as for :func:`navigate`, numbered by ``index``, with the truth ``speed, valid, e, n``. They are estimated
+    once for each ``scenario`` that ``planned`` has an outage of in their key, without the fixes inside its outages;
+    before the first fix that is left there is no estimate. ``rows`` are dealt by key and put in ``order``; where frames
+    are made of rows, ``frames_of`` does that in the task, so that only rows are shuffled and sorted. It gives the
+    frames of a row after those of the row before, and keeps the columns that begin with an underscore.
+    """
+    from .kernels import Navigator
+    from .lockstep import _SENSORS
+    from .replaying import TRUTH, outage_frames
+
+    road_net = shared_map(rows.sparkSession, segments) if segments else None
+    make = (lambda: Navigator(oracle_model if use_model else None, road_net() if road_net else None, **options)) if options else None
+    own = planned.select(key, F.lit(0).alias("_part"), F.col("scenario").alias("_scenario"), *[F.col(c).cast("long").alias(f"_{c}") for c in ("start", "end")])
+    both = rows.withColumn("_part", F.lit(1)).unionByName(own, allowMissingColumns=True).where(F.col(key).isNotNull())
+    frames = _dealt(both, key, ["_part", *order])
+    frames = frames_of(frames) if frames_of else frames
+    told = [key, "_part", "_scenario", "_start", "_end", index, "t", "fix", *TRUTH, *[c for c in (*_SENSORS, "true_speed") if c in frames.columns]]
+    schema = _with_key(frames, key, f"scenario {planned.schema['scenario'].dataType.simpleString()}, start long, end long, i long, speed double, valid boolean, e double, n double, est_e double, est_n double, mode string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        yield from outage_frames(batches, key, index, to_arrow_schema(schema), make, use_model, road_net() if road_net else None)
+
+    return frames.select(*dict.fromkeys(told)).mapInArrow(run, schema)
+
+
 def navigate_places(frames: DataFrame, key: str, **options) -> DataFrame:
     """The estimator's output record for frames whose fixes are in degrees; the first fix of a key is its origin."""
     from .trips import located, output_record

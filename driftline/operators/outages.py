@@ -54,12 +54,17 @@ def score_outages(frames: DataFrame, outages: DataFrame, key: str, index: str, d
 
     The error before the outage is that of the frame before its start.
     """
-    error = F.hypot(F.col("est_e") - F.col("e"), F.col("est_n") - F.col("n"))
-    rows = frames.select(key, F.col(index).alias("i"), "speed", "valid", error.alias("err"), F.col("mode").isin(DEAD_RECKONING, REACQUISITION).alias("dr"))
+    rows = frames.select(key, F.col(index).alias("i"), "speed", "valid", "est_e", "est_n", "e", "n", "mode")
     wanted = outages.select(key, "start", "end", F.explode(F.sequence(F.col("start") - 1, F.col("end") - 1)).alias("i"))
-    met = never_broadcast(wanted).join(rows, [key, "i"])
+    return score_frames(never_broadcast(wanted).join(rows, [key, "i"]), [key], dt)
+
+
+def score_frames(met: DataFrame, by: list[str], dt: float) -> DataFrame:
+    """As :func:`score_outages`, from a row ``by, start, end, i`` for each outage and each frame of it and the one before."""
+    error = F.hypot(F.col("est_e") - F.col("e"), F.col("est_n") - F.col("n"))
+    met = met.withColumns({"err": error, "dr": F.col("mode").isin(DEAD_RECKONING, REACQUISITION)})
     inside = F.col("i") >= F.col("start")
-    scored = met.groupBy(key, "start", "end").agg(
+    scored = met.groupBy(*by, "start", "end").agg(
         F.sum(F.when(inside, F.col("speed") * dt)).alias("distance_m"),
         F.max(F.when(F.col("i") == F.col("end") - 1, F.col("err"))).alias("err_end_m"),
         F.max(F.when(F.col("i") == F.col("start") - 1, F.col("err"))).alias("err_start_m"),
@@ -70,7 +75,7 @@ def score_outages(frames: DataFrame, outages: DataFrame, key: str, index: str, d
     )
     seconds = (F.col("end") - F.col("start")) * dt
     return scored.select(
-        key, "start", "end", seconds.alias("duration_s"), "distance_m", (F.col("distance_m") / seconds).alias("mean_speed_mps"), "valid",
+        *by, "start", "end", seconds.alias("duration_s"), "distance_m", (F.col("distance_m") / seconds).alias("mean_speed_mps"), "valid",
         "err_start_m", "err_end_m", "err_max_m", F.when(F.col("distance_m") > 0, 100 * F.col("err_end_m") / F.col("distance_m")).alias("drift_pct"),
         "dr_fraction", ((F.col("_first") - F.col("start")) * dt).alias("switch_latency_s"),
     )
